@@ -130,6 +130,8 @@ def running_total(
         F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"),
         F.sum("_sum").over(within).alias("_total"),
     )
+    if not group:
+        carried = F.broadcast(carried)  # one row per sort partition
     joined = keyed.join(carried, ["_part", *names], "inner")
     if weight is None:
         own = F.col("_slot") - F.col("_first") + 1
