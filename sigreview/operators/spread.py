@@ -104,12 +104,12 @@ def running_total(
     is needed to carry totals across partitions.
     """
     group = list(group)
-    weighed = df.withColumn("_weight", (F.lit(1) if weight is None else weight).cast("bigint"))
+    weighed = df.withColumn("_rt_weight", (F.lit(1) if weight is None else weight).cast("bigint"))
     pinned = pin(
         weighed.orderBy(*[F.col(g).asc() for g in group], *order).withColumn(
-            "_slot", F.monotonically_increasing_id()
+            "_rt_slot", F.monotonically_increasing_id()
         )
-    ).withColumn("_part", F.shiftright("_slot", _SLOT_BITS))
+    ).withColumn("_rt_part", F.shiftright("_rt_slot", _SLOT_BITS))
 
     # Null-safe grouping keys: the join below must also match null groups.
     keys = [F.coalesce(F.col(g).cast("string"), F.lit("")).alias(f"_g{i}")
@@ -118,30 +118,30 @@ def running_total(
     names = [f"_g{i}" for i in range(len(group))] + [f"_n{i}" for i in range(len(group))]
     keyed = pinned.select("*", *keys)
 
-    runs = keyed.groupBy("_part", *names).agg(
-        F.sum("_weight").alias("_sum"), F.min("_slot").alias("_first")
+    runs = keyed.groupBy("_rt_part", *names).agg(
+        F.sum("_rt_weight").alias("_rt_sum"), F.min("_rt_slot").alias("_rt_first")
     )
     # One row per sort partition and group: a window over one group sees at
     # most as many rows as there are sort partitions.
     within = Window.partitionBy(*names)
-    before = within.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = within.orderBy("_rt_part").rowsBetween(Window.unboundedPreceding, -1)
     carried = runs.select(
-        "_part", *names, "_first",
-        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"),
-        F.sum("_sum").over(within).alias("_total"),
+        "_rt_part", *names, "_rt_first",
+        F.coalesce(F.sum("_rt_sum").over(before), F.lit(0)).alias("_rt_before"),
+        F.sum("_rt_sum").over(within).alias("_rt_total"),
     )
     if not group:
         carried = F.broadcast(carried)  # one row per sort partition
-    joined = keyed.join(carried, ["_part", *names], "inner")
+    joined = keyed.join(carried, ["_rt_part", *names], "inner")
     if weight is None:
-        own = F.col("_slot") - F.col("_first") + 1
+        own = F.col("_rt_slot") - F.col("_rt_first") + 1
     else:
-        local = Window.partitionBy("_part", *names).orderBy("_slot")
-        own = F.sum("_weight").over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = joined.withColumn(total, (F.col("_before") + own).cast("bigint"))
+        local = Window.partitionBy("_rt_part", *names).orderBy("_rt_slot")
+        own = F.sum("_rt_weight").over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = joined.withColumn(total, (F.col("_rt_before") + own).cast("bigint"))
     if group_total:
-        out = out.withColumn(group_total, F.col("_total").cast("bigint"))
-    return out.drop("_weight", "_slot", "_part", "_first", "_before", "_total", *names)
+        out = out.withColumn(group_total, F.col("_rt_total").cast("bigint"))
+    return out.drop("_rt_weight", "_rt_slot", "_rt_part", "_rt_first", "_rt_before", "_rt_total", *names)
 
 
 def number_rows(

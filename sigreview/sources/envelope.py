@@ -24,7 +24,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(READING_PAGE).json(path).select(F.struct("LIMS_EXPORT").alias("page"))
 
 
-def page_index(pages: DataFrame) -> DataFrame:
+def page_index(pages: DataFrame, *keep: str) -> DataFrame:
     """Offsets and counts stated by each page."""
     result = "page.LIMS_EXPORT.resultSet"
     return pages.select(
@@ -33,6 +33,7 @@ def page_index(pages: DataFrame) -> DataFrame:
         F.col(f"{result}.nextOffset").alias("next_offset"),
         F.col(f"{result}.totalCount").alias("total_count"),
         F.coalesce(F.size(f"{result}.records"), F.lit(0)).cast("bigint").alias("n_records"),
+        *keep,
     )
 
 
