@@ -1,70 +1,67 @@
-"""The decision rules as column expressions: threshold, reason, three-state signal."""
+"""The decision rules as SQL expressions: threshold, reason, three-state signal."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from .. import fixed_values as V
-from .text import fill
+from .text import fill, quote
 
 
-def breaches(value: Column, direction: Column, threshold: Column) -> Column:
+def breaches(value: str, direction: str, threshold: str) -> str:
     """Strictly beyond the threshold on the side of concern; never NULL."""
-    beyond = ((direction == V.LOW) & (value < threshold)) | ((direction == V.HIGH) & (value > threshold))
-    return F.coalesce(beyond, F.lit(False))
+    return (
+        f"coalesce(({direction} = '{V.LOW}' AND {value} < {threshold}) "
+        f"OR ({direction} = '{V.HIGH}' AND {value} > {threshold}), FALSE)"
+    )
 
 
-def margin(value: Column, threshold: Column) -> Column:
-    return F.round(value - threshold, 4)
+def margin(value: str, threshold: str) -> str:
+    return f"round({value} - {threshold}, 4)"
 
 
 def reason(
-    assay: Column, value: Column, unit: Column, direction: Column, threshold: Column,
-    threshold_unit: Column, prior_mean: Column, prior_n: Column,
-) -> Column:
+    assay: str, value: str, unit: str, direction: str, threshold: str, threshold_unit: str,
+    prior_mean: str, prior_n: str,
+) -> str:
     """Why a reading was flagged or not; ``prior_mean`` is rounded by the caller."""
     facts = dict(
-        assay=assay, value=value, unit=F.coalesce(unit, F.lit("")),
-        direction=F.coalesce(direction, F.lit("")), threshold=threshold,
-        threshold_unit=F.coalesce(threshold_unit, F.lit("")), margin=margin(value, threshold),
+        assay=assay, value=value, unit=f"coalesce({unit}, '')",
+        direction=f"coalesce({direction}, '')", threshold=threshold,
+        threshold_unit=f"coalesce({threshold_unit}, '')", margin=margin(value, threshold),
     )
     return (
-        F.when(threshold.isNull(), fill(V.REASON_NO_REFERENCE, assay=assay))
-        .when(breaches(value, direction, threshold),
-              fill(V.REASON_BREACH, **facts, mean=prior_mean, n=prior_n))
-        .otherwise(fill(V.REASON_WITHIN, **facts))
+        f"CASE WHEN {threshold} IS NULL THEN {fill(V.REASON_NO_REFERENCE, assay=assay)} "
+        f"WHEN {breaches(value, direction, threshold)} "
+        f"THEN {fill(V.REASON_BREACH, **facts, mean=prior_mean, n=prior_n)} "
+        f"ELSE {fill(V.REASON_WITHIN, **facts)} END"
     )
 
 
-def signal_state(drug: Column, n_adverse: Column) -> Column:
+def signal_state(drug: str, n_adverse: str) -> str:
     return (
-        F.when(drug.isNull(), V.NO_MAPPING)
-        .when(F.coalesce(n_adverse, F.lit(0)) > 0, V.CORRELATED)
-        .otherwise(V.CHECKED)
+        f"CASE WHEN {drug} IS NULL THEN '{V.NO_MAPPING}' "
+        f"WHEN coalesce({n_adverse}, 0) > 0 THEN '{V.CORRELATED}' ELSE '{V.CHECKED}' END"
     )
 
 
-def signal_detail(drug: Column, n_adverse: Column, terms: Column) -> Column:
+def signal_detail(drug: str, n_adverse: str, terms: str) -> str:
     return (
-        F.when(drug.isNull(), V.DETAIL_NO_MAPPING)
-        .when(F.coalesce(n_adverse, F.lit(0)) > 0, fill(V.DETAIL_CORRELATED, drug=drug, terms=terms))
-        .otherwise(fill(V.DETAIL_CHECKED, drug=drug))
+        f"CASE WHEN {drug} IS NULL THEN {quote(V.DETAIL_NO_MAPPING)} "
+        f"WHEN coalesce({n_adverse}, 0) > 0 THEN {fill(V.DETAIL_CORRELATED, drug=drug, terms=terms)} "
+        f"ELSE {fill(V.DETAIL_CHECKED, drug=drug)} END"
     )
 
 
-def signal_summary(state: Column) -> Column:
+def signal_summary(state: str) -> str:
     return (
-        F.when(state == V.CORRELATED, V.SUMMARY_CORRELATED)
-        .when(state == V.CHECKED, V.SUMMARY_CHECKED)
-        .otherwise(V.SUMMARY_NO_MAPPING)
+        f"CASE {state} WHEN '{V.CORRELATED}' THEN {quote(V.SUMMARY_CORRELATED)} "
+        f"WHEN '{V.CHECKED}' THEN {quote(V.SUMMARY_CHECKED)} ELSE {quote(V.SUMMARY_NO_MAPPING)} END"
     )
 
 
-def state_rank(state: Column) -> Column:
+def state_rank(state: str) -> str:
     """2 correlated, 1 checked, 0 anything else: the review priority of a state."""
-    return F.when(state == V.CORRELATED, 2).when(state == V.CHECKED, 1).otherwise(0)
+    return f"CASE {state} WHEN '{V.CORRELATED}' THEN 2 WHEN '{V.CHECKED}' THEN 1 ELSE 0 END"
 
 
-def state_of_rank(rank: Column) -> Column:
-    return F.when(rank == 2, V.CORRELATED).when(rank == 1, V.CHECKED).when(rank == 0, V.NO_MAPPING)
+def state_of_rank(rank: str) -> str:
+    return f"CASE {rank} WHEN 2 THEN '{V.CORRELATED}' WHEN 1 THEN '{V.CHECKED}' WHEN 0 THEN '{V.NO_MAPPING}' END"

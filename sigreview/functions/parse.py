@@ -1,52 +1,51 @@
-"""Column expressions that turn vendor text into typed values; bad text gives NULL."""
+"""SQL expressions that turn vendor text into typed values; bad text gives NULL."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from .. import fixed_values as V
+from .text import raw
 
 
-def _part(sample: Column, index: int) -> Column:
-    return F.nullif(F.regexp_extract(sample, V.SAMPLE_ID_PATTERN, index), F.lit(""))
+def _part(sample: str, index: int) -> str:
+    return f"nullif(regexp_extract({sample}, {raw(V.SAMPLE_ID_PATTERN)}, {index}), '')"
 
 
-def sample_compound(sample: Column) -> Column:
+def sample_compound(sample: str) -> str:
     return _part(sample, 1)
 
 
-def sample_plate(sample: Column) -> Column:
-    return F.concat(F.lit("P"), _part(sample, 2))
+def sample_plate(sample: str) -> str:
+    return f"concat('P', {_part(sample, 2)})"
 
 
-def sample_well(sample: Column) -> Column:
+def sample_well(sample: str) -> str:
     return _part(sample, 3)
 
 
-def sample_replicate(sample: Column) -> Column:
-    return _part(sample, 4).try_cast("int")
+def sample_replicate(sample: str) -> str:
+    return f"TRY_CAST({_part(sample, 4)} AS INT)"
 
 
-def sample_group(sample: Column) -> Column:
+def sample_group(sample: str) -> str:
     """Compound number of any id with the compound prefix, well-formed or not."""
-    return F.nullif(F.regexp_extract(sample, V.SAMPLE_GROUP_PATTERN, 1), F.lit(""))
+    return f"nullif(regexp_extract({sample}, {raw(V.SAMPLE_GROUP_PATTERN)}, 1), '')"
 
 
-def vendor_timestamp(text: Column) -> Column:
+def vendor_timestamp(text: str) -> str:
     """Vendor timestamp text to a wall-clock timestamp, cut to milliseconds."""
-    iso = F.regexp_replace(text, V.VENDOR_TS_PATTERN, "$1-$2-$3 $4:$5:$6.$7")
-    return F.when(text.rlike(V.VENDOR_TS_PATTERN), iso).try_cast("timestamp_ntz")
+    shape = raw(V.VENDOR_TS_PATTERN)
+    iso = f"regexp_replace({text}, {shape}, '$1-$2-$3 $4:$5:$6.$7')"
+    return f"TRY_CAST(CASE WHEN {text} RLIKE {shape} THEN {iso} END AS TIMESTAMP_NTZ)"
 
 
-def vendor_timestamp_text(ts: Column) -> Column:
+def vendor_timestamp_text(ts: str) -> str:
     """The inverse of :func:`vendor_timestamp`."""
-    return F.date_format(ts, V.VENDOR_TS_FORMAT)
+    return f"date_format({ts}, '{V.VENDOR_TS_FORMAT}')"
 
 
-def iso_timestamp(text: Column) -> Column:
-    return text.try_cast("timestamp_ntz")
+def iso_timestamp(text: str) -> str:
+    return f"TRY_CAST({text} AS TIMESTAMP_NTZ)"
 
 
-def lenient_number(text: Column) -> Column:
-    return F.when(text.rlike(V.NUMBER_PATTERN), text).try_cast("double")
+def lenient_number(text: str) -> str:
+    return f"TRY_CAST(CASE WHEN {text} RLIKE {raw(V.NUMBER_PATTERN)} THEN {text} END AS DOUBLE)"

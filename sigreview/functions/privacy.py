@@ -1,38 +1,34 @@
-"""Pseudonyms, placeholders and masks as column expressions."""
+"""Pseudonyms, placeholders and masks as SQL expressions.
 
-from __future__ import annotations
+``is_member`` is TRUE, FALSE or an expression for the caller's membership.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 from .. import fixed_values as V
+from .text import quote
 
 
-def _as_flag(is_member: bool | Column) -> Column:
-    return is_member if isinstance(is_member, Column) else F.lit(bool(is_member))
-
-
-def pseudonym(identifier: Column, salt: str) -> Column:
-    return F.sha2(F.concat(identifier, F.lit(salt)), 256)
+def pseudonym(identifier: str, salt: str) -> str:
+    return f"sha2(concat({identifier}, {quote(salt)}), 256)"
 
 
-def second_pseudonym(key: Column) -> Column:
-    return F.concat(F.lit(V.ANON_PREFIX), F.substring(F.sha2(key, 256), 1, V.ANON_DIGITS))
+def second_pseudonym(key: str) -> str:
+    return f"concat('{V.ANON_PREFIX}', substr(sha2({key}, 256), 1, {V.ANON_DIGITS}))"
 
 
-def structure_placeholder(compound: Column) -> Column:
-    digest = F.upper(F.substring(F.md5(compound), 1, V.STRUCTURE_DIGITS))
-    return F.concat(F.lit(V.STRUCTURE_PREFIX), digest)
+def structure_placeholder(compound: str) -> str:
+    return f"concat('{V.STRUCTURE_PREFIX}', upper(substr(md5({compound}), 1, {V.STRUCTURE_DIGITS})))"
 
 
-def mask_value(value: Column, is_member: bool | Column) -> Column:
-    return F.when(_as_flag(is_member), value).otherwise(V.REDACTED_VALUE)
+def mask_value(value: str, is_member: str) -> str:
+    return f"CASE WHEN {is_member} THEN {value} ELSE {quote(V.REDACTED_VALUE)} END"
 
 
-def mask_key(key: Column, is_member: bool | Column) -> Column:
-    return F.when(_as_flag(is_member), key).otherwise(second_pseudonym(key))
+def mask_key(key: str, is_member: str) -> str:
+    return f"CASE WHEN {is_member} THEN {key} ELSE {second_pseudonym(key)} END"
 
 
-def row_visible(observation_type: Column, is_member: bool | Column) -> Column:
+def row_visible(observation_type: str, is_member: str) -> str:
     """Members see every row, others no laboratory rows; a NULL type stays hidden."""
-    return _as_flag(is_member) | (observation_type != V.LAB_RESULT)
+    return f"({is_member} OR {observation_type} <> '{V.LAB_RESULT}')"

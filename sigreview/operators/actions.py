@@ -25,17 +25,16 @@ from .spread import HOT_ROWS, join_unique
 
 RESOLVE, REOPEN = "resolve", "reopen"
 
-_FACTS = ("resolution_reason", "actor", "action_ts", "note")
+_FACTS = "struct(resolution_reason, actor, action_ts, note)"
 
 
 def split_actions(actions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): a resolve needs one of the known reasons, a reopen none."""
-    fine = F.coalesce(
-        (F.col("action") == REOPEN)
-        | ((F.col("action") == RESOLVE) & F.col("resolution_reason").isin(*V.RESOLUTION_REASONS)),
-        F.lit(False),
+    reasons = ", ".join(f"'{r}'" for r in V.RESOLUTION_REASONS)
+    fine = (
+        f"coalesce(action = '{REOPEN}' OR (action = '{RESOLVE}' AND resolution_reason IN ({reasons})), FALSE)"
     )
-    return actions.where(fine), actions.where(~fine)
+    return actions.where(fine), actions.where(f"NOT {fine}")
 
 
 def apply_actions(
@@ -43,83 +42,65 @@ def apply_actions(
 ) -> tuple[DataFrame, DataFrame]:
     """(next queue, next resolved log) after all accepted actions of the log."""
     log, _ = split_actions(actions)
-    is_resolve, is_reopen = F.col("action") == RESOLVE, F.col("action") == REOPEN
     key = ["reading_id"]
+    resolve, reopen = f"action = '{RESOLVE}'", f"action = '{REOPEN}'"
 
-    spans = log.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.max(F.when(is_resolve, F.col("seq"))).alias("_last_resolve"),
-        F.max(F.when(is_reopen, F.col("seq"))).alias("_last_reopen"),
-        F.min(F.when(is_reopen, F.col("seq"))).alias("_first_reopen"),
-    )
     # Only rows that take actions at all; a reading is in the queue once.
-    live = queue.where(F.col("status").isin(V.OPEN, V.RESOLVED)).select(
-        *key, (F.col("status") == V.OPEN).alias("_starts_open")
-    )
-    spans = spans.join(live, key, "inner")
+    live = queue.where(f"status IN ('{V.OPEN}', '{V.RESOLVED}')").selectExpr(
+        *key, f"status = '{V.OPEN}' AS starts_open")
+    spans = log.groupBy(*key).agg(
+        F.expr("count(1) AS rows"),
+        F.expr(f"max(CASE WHEN {resolve} THEN seq END) AS last_resolve"),
+        F.expr(f"max(CASE WHEN {reopen} THEN seq END) AS last_reopen"),
+        F.expr(f"min(CASE WHEN {reopen} THEN seq END) AS first_reopen"),
+    ).join(live, key, "inner")
     weights = spans.select(*key, "rows")
 
-    def logged_with(facts: DataFrame) -> DataFrame:
+    def log_with(facts: DataFrame) -> DataFrame:
         return join_unique(log, facts, key, "inner", spread=["seq"], weights=weights, hot_rows=hot_rows)
 
-    first_legal = is_resolve & (
-        F.col("_starts_open") | F.coalesce(F.col("seq") > F.col("_first_reopen"), F.lit(False))
-    )
-    details = F.struct(*_FACTS)
-    turns = logged_with(spans.drop("rows")).groupBy(*key).agg(
-        F.max(F.when(is_reopen & (F.col("seq") < F.col("_last_resolve")), F.col("seq")))
-        .alias("_turn"),
-        F.min_by(details, F.when(first_legal, F.col("seq"))).alias("_first"),
+    first_legal = f"{resolve} AND (starts_open OR seq > first_reopen)"
+    turns = log_with(spans.drop("rows")).groupBy(*key).agg(
+        F.expr(f"max(CASE WHEN {reopen} AND seq < last_resolve THEN seq END) AS turn"),
+        F.expr(f"min_by({_FACTS}, CASE WHEN {first_legal} THEN seq END) AS first_one"),
     )
     spans = spans.join(turns, key, "inner")
-    in_force = is_resolve & F.when(F.col("_turn").isNotNull(), F.col("seq") > F.col("_turn")).otherwise(
-        F.col("_starts_open")
-    )
-    last = logged_with(spans.select(*key, "_turn", "_starts_open")).groupBy(*key).agg(
-        F.min_by(details, F.when(in_force, F.col("seq"))).alias("_in_force")
-    )
-    outcome = spans.join(last, key, "inner").select(
-        *key, "_first", "_in_force",
-        (F.coalesce(F.col("_last_resolve") > F.coalesce("_last_reopen", F.lit(-(2**62))), F.lit(False)))
-        .alias("_ends_resolved"),
+    in_force = f"{resolve} AND CASE WHEN turn IS NULL THEN starts_open ELSE seq > turn END"
+    last = log_with(spans.select(*key, "turn", "starts_open")).groupBy(*key).agg(
+        F.expr(f"min_by({_FACTS}, CASE WHEN {in_force} THEN seq END) AS in_force"))
+    outcome = spans.join(last, key, "inner").selectExpr(
+        *key, "first_one", "in_force",
+        "last_resolve IS NOT NULL AND (last_reopen IS NULL OR last_resolve > last_reopen) AS ends_resolved",
     )
     acted = queue.join(outcome, key, "left")
     return _next_queue(acted), insert_if_absent(resolved, _new_log_rows(acted), key)
 
 
 def _next_queue(acted: DataFrame) -> DataFrame:
-    known = F.col("_ends_resolved").isNotNull()
-    resolved_now = F.col("_in_force").isNotNull()
-    ends_resolved = known & F.col("_ends_resolved")
-    was_resolved = F.col("status") == V.RESOLVED
-    reopened = known & ~F.col("_ends_resolved") & (was_resolved | resolved_now)
+    """Queue columns after the actions; rows without any have NULL ends_resolved."""
+    reopened = f"NOT ends_resolved AND (status = '{V.RESOLVED}' OR in_force IS NOT NULL)"
 
-    def carried(column: str, fact: str):
+    def carried(column: str, fact: str) -> str:
         return (
-            F.when(reopened, F.lit(None))
-            .when(ends_resolved & resolved_now, F.col(f"_in_force.{fact}"))
-            .otherwise(F.col(column))
+            f"CASE WHEN {reopened} THEN NULL WHEN ends_resolved AND in_force IS NOT NULL "
+            f"THEN in_force.{fact} ELSE {column} END"
         )
 
     changed = {
-        "status": F.when(ends_resolved, V.RESOLVED).when(reopened, V.OPEN).otherwise(F.col("status")),
+        "status": f"CASE WHEN ends_resolved THEN '{V.RESOLVED}' WHEN {reopened} THEN '{V.OPEN}' ELSE status END",
         "resolved_by": carried("resolved_by", "actor"),
         "resolved_ts": carried("resolved_ts", "action_ts"),
         "resolution_note": carried("resolution_note", "note"),
         # A reopen leaves the reason of the last resolution in place.
-        "resolution_reason": F.when(resolved_now, F.col("_in_force.resolution_reason"))
-        .otherwise(F.col("resolution_reason")),
+        "resolution_reason": "CASE WHEN in_force IS NOT NULL THEN in_force.resolution_reason ELSE resolution_reason END",
     }
-    return acted.select([changed.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in QUEUE])
+    return acted.selectExpr(*[f"{changed.get(f.name, f.name)} AS {f.name}" for f in QUEUE])
 
 
 def _new_log_rows(acted: DataFrame) -> DataFrame:
     facts = {
-        "resolution_reason": F.col("_first.resolution_reason"),
-        "resolved_by": F.col("_first.actor"),
-        "resolved_ts": F.col("_first.action_ts"),
-        "resolution_note": F.col("_first.note"),
+        "resolution_reason": "first_one.resolution_reason", "resolved_by": "first_one.actor",
+        "resolved_ts": "first_one.action_ts", "resolution_note": "first_one.note",
     }
-    return acted.where(F.col("_first").isNotNull()).select(
-        [facts.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in RESOLVED_ITEM]
-    )
+    return acted.where("first_one IS NOT NULL").selectExpr(
+        *[f"{facts.get(f.name, f.name)} AS {f.name}" for f in RESOLVED_ITEM])

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .. import fixed_values as V
 from ..functions import text
 from .spread import HOT_ROWS, join_unique, number_rows
 
@@ -21,34 +23,31 @@ def breach_texts(flags: DataFrame, per_part: int = FLAGS_PER_PROMPT) -> DataFram
     Flags are listed in a fixed order.  A compound with more than ``per_part``
     flags gets several parts, so that its text stays whole and its rows bounded.
     """
-    flagged = flags.where("is_flagged").select(
-        "compound_id", "reading_id", "assay_name", "result_value", "threshold", "margin", "reason"
-    )
     placed = number_rows(
-        flagged, [F.col("assay_name").asc(), F.col("margin").asc(), F.col("reading_id").asc()],
-        group=["compound_id"], group_size="n_flags",
+        flags.where("is_flagged").select(
+            "compound_id", "reading_id", "assay_name", "result_value", "threshold", "margin", "reason"),
+        ["assay_name", "margin", "reading_id"], group=["compound_id"], group_size="n_flags",
     )
     breach = text.fill(
         "{assay} {value} vs threshold {threshold} (margin {margin})",
-        assay=F.col("assay_name"), value=F.round("result_value", 3),
-        threshold=F.col("threshold"), margin=F.round("margin", 3),
+        assay="assay_name", value="round(result_value, 3)", threshold="threshold",
+        margin="round(margin, 3)",
     )
-    part = (F.floor((F.col("position") - 1) / per_part) + 1).cast("int")
-    listed = F.array_sort(F.collect_list(F.struct("position", breach.alias("breach"), "reason")))
     return (
-        placed.groupBy("compound_id", part.alias("part"))
-        .agg(F.max("n_flags").alias("n_flags"), listed.alias("_listed"))
-        .select(
+        placed.selectExpr("*", f"CAST(floor((position - 1) / {per_part}) + 1 AS INT) AS part")
+        .groupBy("compound_id", "part")
+        .agg(F.expr("max(n_flags) AS n_flags"),
+             F.expr(f"array_sort(collect_list(struct(position, {breach} AS breach, reason))) AS listed"))
+        .selectExpr(
             "compound_id", "part", "n_flags",
-            F.array_join(F.transform("_listed", lambda r: r["breach"]), "; ").alias("breaches"),
-            F.array_join(F.array_distinct(F.transform("_listed", lambda r: r["reason"])), " || ")
-            .alias("reason_text"),
+            "array_join(listed.breach, '; ') AS breaches",
+            "array_join(array_distinct(listed.reason), ' || ') AS reason_text",
         )
     )
 
 
 def recommendation_prompts(
-    flags: DataFrame, correlation: DataFrame, as_of: Column, model_label: str,
+    flags: DataFrame, correlation: DataFrame, as_of: datetime, model_label: str,
     per_part: int = FLAGS_PER_PROMPT, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One grounded prompt per flagged compound (and part), with audit columns."""
@@ -56,17 +55,16 @@ def recommendation_prompts(
     joined = join_unique(
         breach_texts(flags, per_part), signal, ["compound_id"], spread=["part"], hot_rows=hot_rows
     )
-    state = F.coalesce("correlation_state", F.lit("no_mapping"))
-    return joined.select(
+    state = f"coalesce(correlation_state, '{V.NO_MAPPING}')"
+    prompt = text.prompt(
+        "compound_id", "n_flags", "reason_text", "breaches", state, "n_adverse_obs", "signal_detail")
+    return joined.selectExpr(
         "compound_id", "part", "n_flags",
-        state.alias("correlation_state"),
+        f"{state} AS correlation_state",
         "n_adverse_obs",
-        text.prompt(
-            F.col("compound_id"), F.col("n_flags"), F.col("reason_text"), F.col("breaches"),
-            state, F.col("n_adverse_obs"), F.col("signal_detail"),
-        ).alias("recommendation_input"),
-        F.lit(model_label).alias("model_endpoint"),
-        as_of.alias("generated_ts"),
+        f"{prompt} AS recommendation_input",
+        f"{text.quote(model_label)} AS model_endpoint",
+        f"{text.stamp(as_of)} AS generated_ts",
     )
 
 
@@ -87,9 +85,10 @@ def recommend(prompts: DataFrame, model: Callable[[pd.Series], pd.Series]) -> Da
 
 def checked_replies(recommended: DataFrame) -> DataFrame:
     """Action and rationale of each reply, and whether it kept the format."""
-    reply = F.col("recommendation")
-    return recommended.withColumns({
-        "action": text.reply_action(reply),
-        "rationale": text.reply_rationale(reply),
-        "is_valid": text.reply_valid(reply),
-    })
+    reply = "recommendation"
+    return recommended.selectExpr(
+        "*",
+        f"{text.reply_action(reply)} AS action",
+        f"{text.reply_rationale(reply)} AS rationale",
+        f"{text.reply_valid(reply)} AS is_valid",
+    )

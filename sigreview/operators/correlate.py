@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import datetime
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import decide
+from ..functions.text import stamp
 from .spread import HOT_ROWS, join_unique
 
 
 def known_drugs(observations: DataFrame) -> DataFrame:
-    return observations.select("drug_code").where(F.col("drug_code").isNotNull()).distinct()
+    return observations.select("drug_code").where("drug_code IS NOT NULL").distinct()
 
 
 def validate_crosswalk(
@@ -21,16 +24,15 @@ def validate_crosswalk(
 
     A NULL drug code counts as seen: there is nothing to look up.
     """
-    drugs = known_drugs(observations).withColumn("_drug_seen", F.lit(True))
-    compounds = registry.select("compound_id").distinct().withColumn("_compound_seen", F.lit(True))
+    drugs = known_drugs(observations).selectExpr("*", "TRUE AS _drug_seen")
+    compounds = registry.select("compound_id").distinct().selectExpr("*", "TRUE AS _compound_seen")
     marked = join_unique(seed, drugs, ["drug_code"], spread=["compound_id"], hot_rows=hot_rows)
     marked = join_unique(marked, compounds, ["compound_id"],
                          spread=["drug_code", "mapping_source"], hot_rows=hot_rows)
-    return marked.select(
+    return marked.selectExpr(
         "compound_id", "drug_code", "mapping_source", "confidence",
-        (F.col("drug_code").isNull() | F.coalesce("_drug_seen", F.lit(False)))
-        .alias("drug_code_seen_in_clinical"),
-        F.coalesce("_compound_seen", F.lit(False)).alias("compound_seen_in_registry"),
+        "drug_code IS NULL OR coalesce(_drug_seen, FALSE) AS drug_code_seen_in_clinical",
+        "coalesce(_compound_seen, FALSE) AS compound_seen_in_registry",
     )
 
 
@@ -41,12 +43,12 @@ def collapse_crosswalk(crosswalk: DataFrame, coherent: bool = False) -> DataFram
     the most confident row instead.
     """
     if coherent:
-        best = F.max(F.struct("confidence", "drug_code"))
-        return crosswalk.groupBy("compound_id").agg(best.alias("_best")).select(
-            "compound_id", "_best.drug_code", F.col("_best.confidence").alias("crosswalk_confidence")
+        best = F.expr("max(struct(confidence, drug_code)) AS best")
+        return crosswalk.groupBy("compound_id").agg(best).selectExpr(
+            "compound_id", "best.drug_code", "best.confidence AS crosswalk_confidence"
         )
     return crosswalk.groupBy("compound_id").agg(
-        F.max("drug_code").alias("drug_code"), F.max("confidence").alias("crosswalk_confidence")
+        F.expr("max(drug_code) AS drug_code"), F.expr("max(confidence) AS crosswalk_confidence")
     )
 
 
@@ -57,11 +59,11 @@ def adverse_by_drug(observations: DataFrame) -> DataFrame:
     distinct terms only, however many rows one drug has.
     """
     per_term = (
-        observations.where(F.col("observation_type") == V.ADVERSE)
-        .groupBy("drug_code", "value").agg(F.count(F.lit(1)).alias("_n"))
+        observations.where(f"observation_type = '{V.ADVERSE}'")
+        .groupBy("drug_code", "value").agg(F.expr("count(1) AS n"))
     )
     return per_term.groupBy("drug_code").agg(
-        F.sum("_n").alias("n_adverse"), F.collect_list("value").alias("terms")
+        F.expr("sum(n) AS n_adverse"), F.expr("collect_list(value) AS terms")
     )
 
 
@@ -74,17 +76,17 @@ def adverse_by_compound(
     compounds multiplies one row, not its observations.
     """
     mapped = (
-        crosswalk.where(F.col("drug_code").isNotNull())
-        .groupBy("compound_id", "drug_code").agg(F.count(F.lit(1)).alias("_times"))
+        crosswalk.where("drug_code IS NOT NULL")
+        .groupBy("compound_id", "drug_code").agg(F.expr("count(1) AS times"))
     )
     joined = join_unique(
         mapped, adverse_by_drug(observations), ["drug_code"], "inner",
         spread=["compound_id"], hot_rows=hot_rows,
     )
-    terms = F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms"))))
+    terms = "array_sort(array_distinct(flatten(collect_list(terms))))"
     return joined.groupBy("compound_id").agg(
-        F.sum(F.col("n_adverse") * F.col("_times")).alias("n_adverse"),
-        F.array_join(terms, ", ").alias("terms"),
+        F.expr("sum(n_adverse * times) AS n_adverse"),
+        F.expr(f"array_join({terms}, ', ') AS terms"),
     )
 
 
@@ -93,27 +95,26 @@ def flagged_compounds(flags: DataFrame) -> DataFrame:
 
 
 def signals(
-    compounds: DataFrame, crosswalk: DataFrame, observations: DataFrame, as_of: Column,
+    compounds: DataFrame, crosswalk: DataFrame, observations: DataFrame, as_of: datetime,
     coherent: bool = False, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Three-state signal for each given compound (one row per compound)."""
     mapping = collapse_crosswalk(crosswalk, coherent)
     adverse = adverse_by_compound(crosswalk, observations, hot_rows)
     joined = compounds.join(mapping, "compound_id", "left").join(adverse, "compound_id", "left")
-    drug, n = F.col("drug_code"), F.col("n_adverse")
-    return joined.select(
+    return joined.selectExpr(
         "compound_id",
-        decide.signal_state(drug, n).alias("correlation_state"),
+        f"{decide.signal_state('drug_code', 'n_adverse')} AS correlation_state",
         "drug_code",
         "crosswalk_confidence",
-        F.coalesce(n, F.lit(0)).alias("n_adverse_obs"),
-        decide.signal_detail(drug, n, F.col("terms")).alias("signal_detail"),
-        as_of.alias("evaluated_ts"),
+        "coalesce(n_adverse, 0L) AS n_adverse_obs",
+        f"{decide.signal_detail('drug_code', 'n_adverse', 'terms')} AS signal_detail",
+        f"{stamp(as_of)} AS evaluated_ts",
     )
 
 
 def correlate(
-    flags: DataFrame, crosswalk: DataFrame, observations: DataFrame, as_of: Column,
+    flags: DataFrame, crosswalk: DataFrame, observations: DataFrame, as_of: datetime,
     coherent: bool = False, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Three-state signal per flagged compound."""
@@ -122,11 +123,11 @@ def correlate(
 
 def public_summary(correlation: DataFrame) -> DataFrame:
     """Compound-level view without drug code, terms or patient data."""
-    return correlation.select(
+    return correlation.selectExpr(
         "compound_id", "correlation_state", "n_adverse_obs",
-        decide.signal_summary(F.col("correlation_state")).alias("signal_summary"),
+        f"{decide.signal_summary('correlation_state')} AS signal_summary",
     )
 
 
 def state_counts(correlation: DataFrame) -> DataFrame:
-    return correlation.groupBy("correlation_state").agg(F.count(F.lit(1)).alias("n_compounds"))
+    return correlation.groupBy("correlation_state").agg(F.expr("count(1) AS n_compounds"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
@@ -22,45 +23,40 @@ def drift_rates(
 
     Drift needs enough resolutions and a rate strictly above the tolerance.
     """
-    n, fp = F.col("n_resolved"), F.col("n_false_positive")
     counted = resolved.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_resolved"),
-        F.count_if(F.col("resolution_reason") == V.FALSE_POSITIVE).alias("n_false_positive"),
+        F.expr("count(1) AS n_resolved"),
+        F.expr(f"count_if(resolution_reason = '{V.FALSE_POSITIVE}') AS n_false_positive"),
     )
-    rated = counted.withColumn("observed_fpr", F.coalesce(F.try_divide(fp, n), F.lit(0.0)))
-    return rated.withColumn(
-        "label",
-        F.when(n < min_resolved, V.DRIFT_INSUFFICIENT)
-        .when(F.col("observed_fpr") > tolerance, V.DRIFT)
-        .otherwise(V.DRIFT_OK),
+    rated = counted.selectExpr(
+        "*", "coalesce(try_divide(n_false_positive, n_resolved), 0.0D) AS observed_fpr")
+    return rated.selectExpr(
+        "*",
+        f"CASE WHEN n_resolved < {min_resolved} THEN '{V.DRIFT_INSUFFICIENT}' "
+        f"WHEN observed_fpr > {float(tolerance)!r}D THEN '{V.DRIFT}' ELSE '{V.DRIFT_OK}' END AS label",
     )
 
 
-def drift_tasks(rates: DataFrame, tolerance: float, as_of: Column) -> DataFrame:
+def drift_tasks(rates: DataFrame, tolerance: float, as_of: datetime) -> DataFrame:
     """A review task for each drifting assay; its id is fixed per assay and day."""
-    fpr = F.col("observed_fpr")
-    return rates.where(F.col("label") == V.DRIFT).select(
-        text.task_id(F.col("assay_name"), as_of).alias("task_id"),
+    action = text.task_action("assay_name", "n_false_positive", "n_resolved", "observed_fpr", tolerance)
+    return rates.where(f"label = '{V.DRIFT}'").selectExpr(
+        f"{text.task_id('assay_name', as_of)} AS task_id",
         "assay_name", "observed_fpr", "n_resolved", "n_false_positive",
-        F.lit(float(tolerance)).alias("tolerance"),
-        F.lit(V.OPEN).alias("status"),
-        text.task_action(F.col("assay_name"), F.col("n_false_positive"), F.col("n_resolved"), fpr,
-                         tolerance).alias("suggested_action"),
-        as_of.alias("opened_ts"),
+        f"{float(tolerance)!r}D AS tolerance",
+        f"'{V.OPEN}' AS status",
+        f"{action} AS suggested_action",
+        f"{text.stamp(as_of)} AS opened_ts",
     )
 
 
 def upsert_tasks(tasks: DataFrame, found: DataFrame) -> DataFrame:
     """Tasks refreshed by id and opened again; a known task keeps its tolerance."""
-    both = tasks.alias("o").join(found.alias("n"), F.col("o.task_id") == F.col("n.task_id"), "full_outer")
-    is_new, is_old = F.col("n.task_id").isNotNull(), F.col("o.task_id").isNotNull()
-    kept_if_old = ("task_id", "assay_name", "tolerance")
-    return both.select([
-        (
-            F.when(is_old, F.col(f"o.{f.name}")).otherwise(F.col(f"n.{f.name}"))
-            if f.name in kept_if_old
-            else F.when(is_new, F.col(f"n.{f.name}")).otherwise(F.col(f"o.{f.name}"))
-        ).cast(f.dataType).alias(f.name)
+    both = tasks.alias("o").join(found.alias("n"), F.expr("o.task_id = n.task_id"), "full_outer")
+    kept = ("task_id", "assay_name", "tolerance")
+    return both.selectExpr(*[
+        f"CASE WHEN o.task_id IS NOT NULL THEN o.{f.name} ELSE n.{f.name} END AS {f.name}"
+        if f.name in kept else
+        f"CASE WHEN n.task_id IS NOT NULL THEN n.{f.name} ELSE o.{f.name} END AS {f.name}"
         for f in REVIEW_TASK
     ])
 
@@ -68,7 +64,7 @@ def upsert_tasks(tasks: DataFrame, found: DataFrame) -> DataFrame:
 def drift_check(
     resolved: DataFrame,
     tasks: DataFrame,
-    as_of: Column,
+    as_of: datetime,
     tolerance: float = V.DRIFT_TOLERANCE,
     min_resolved: int = V.DRIFT_MIN_RESOLVED,
 ) -> tuple[DataFrame, DataFrame]:

@@ -2,50 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import datetime
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from .rollup import compound_totals, open_rows
+from ..functions.text import stamp
+from .review_queue import open_rows
+from .rollup import compound_totals
 from .spread import exact_percentiles
 
 
-def elapsed_seconds(start: Column, end: Column) -> Column:
-    """Seconds between two wall-clock timestamps, fractions kept."""
-    micros = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
-    return micros / F.lit(1e6)
+def elapsed_seconds(start: str, end: str) -> str:
+    """SQL for the seconds between two wall-clock times, fractions kept."""
+    return f"timestampdiff(MICROSECOND, {start}, {end}) / 1e6D"
 
 
-def hours(seconds: Column) -> Column:
-    return F.round(seconds / 3600, 2)
+def hours(seconds: str) -> str:
+    return f"round({seconds} / 3600, 2)"
 
 
-def rate(part: Column, whole: Column) -> Column:
-    """part / whole to four decimals, NULL on an empty whole."""
-    return F.round(F.try_divide(part, whole), 4)
+def rate(part: str, whole: str) -> str:
+    """SQL for part / whole to four decimals, NULL on an empty whole."""
+    return f"round(try_divide({part}, {whole}), 4)"
 
 
 def convergence(queue: DataFrame) -> DataFrame:
     """How many open compounds also carry a clinical signal; each counts once."""
-    state = F.coalesce("clinical_correlation_state", F.lit(V.NO_MAPPING))
+    state = f"coalesce(clinical_correlation_state, '{V.NO_MAPPING}')"
     counts = compound_totals(queue).agg(
-        F.count(F.lit(1)).alias("compounds_open"),
-        F.count_if(state == V.CORRELATED).alias("correlated"),
-        F.count_if(state == V.CHECKED).alias("checked_no_correlation"),
-        F.count_if(state == V.NO_MAPPING).alias("no_mapping"),
+        F.expr("count(1) AS compounds_open"),
+        *[F.expr(f"count_if({state} = '{s}') AS {s}") for s in (V.CORRELATED, V.CHECKED, V.NO_MAPPING)],
+    )
+    return counts.selectExpr(
+        "*",
+        f"{rate(V.CORRELATED, 'compounds_open')} AS convergence_rate",
+        f"{rate(V.CORRELATED, f'{V.CORRELATED} + {V.CHECKED}')} AS correlation_rate_of_mapped",
     )
-    mapped = F.col("correlated") + F.col("checked_no_correlation")
-    return counts.withColumns({
-        "convergence_rate": rate(F.col("correlated"), F.col("compounds_open")),
-        "correlation_rate_of_mapped": rate(F.col("correlated"), mapped),
-    })
 
 
 def outcome_counts(resolved: DataFrame) -> DataFrame:
-    reason = F.col("resolution_reason")
     return resolved.agg(
-        F.count(F.lit(1)).alias("resolved_count"),
-        *[F.count_if(reason == r).alias(r) for r in V.RESOLUTION_REASONS],
+        F.expr("count(1) AS resolved_count"),
+        *[F.expr(f"count_if(resolution_reason = '{r}') AS {r}") for r in V.RESOLUTION_REASONS],
     )
 
 
@@ -55,64 +55,59 @@ def cycle_times(resolved: DataFrame, approximate: bool = False, accuracy: int =
     Rows without a flag time are left out.  Exact by default; ``approximate``
     trades a relative rank error of 1/accuracy for a single pass.
     """
-    timed = resolved.where(F.col("flagged_ts").isNotNull()).select(
-        elapsed_seconds(F.col("flagged_ts"), F.col("resolved_ts")).alias("seconds")
-    )
+    timed = resolved.where("flagged_ts IS NOT NULL").selectExpr(
+        f"{elapsed_seconds('flagged_ts', 'resolved_ts')} AS seconds")
+    points = {"median_seconds": 0.5, "p90_seconds": 0.9}
     if approximate:
-        return timed.agg(
-            F.percentile_approx("seconds", 0.5, accuracy).alias("median_seconds"),
-            F.percentile_approx("seconds", 0.9, accuracy).alias("p90_seconds"),
-        )
-    return exact_percentiles(timed, "seconds", {"median_seconds": 0.5, "p90_seconds": 0.9})
+        return timed.agg(*[
+            F.expr(f"percentile_approx(seconds, {p}D, {accuracy}) AS {name}") for name, p in points.items()
+        ])
+    return exact_percentiles(timed, "seconds", points)
 
 
 def triage_kpis(resolved: DataFrame, approximate: bool = False) -> DataFrame:
     """One row: resolved count, cycle times, outcome mix, false-positive rate."""
-    counts = outcome_counts(resolved).withColumn("_one", F.lit(1))
-    # Both sides are one-row aggregates, so this equi-join on a constant is 1:1.
-    times = cycle_times(resolved, approximate).agg(
-        F.max("median_seconds").alias("median_seconds"), F.max("p90_seconds").alias("p90_seconds")
-    ).withColumn("_one", F.lit(1))
-    return counts.join(F.broadcast(times), "_one", "left").drop("_one").withColumns({
-        "median_hours": hours(F.col("median_seconds")),
-        "p90_hours": hours(F.col("p90_seconds")),
-        "false_positive_rate": rate(F.col(V.FALSE_POSITIVE), F.col("resolved_count")),
+    times = cycle_times(resolved, approximate)
+    both = outcome_counts(resolved).withColumns({
+        name: times.select(name).scalar() for name in ("median_seconds", "p90_seconds")
     })
+    return both.selectExpr(
+        "*",
+        f"{hours('median_seconds')} AS median_hours",
+        f"{hours('p90_seconds')} AS p90_hours",
+        f"{rate(V.FALSE_POSITIVE, 'resolved_count')} AS false_positive_rate",
+    )
 
 
 def outcome_mix(resolved: DataFrame) -> DataFrame:
     """Share of each resolution reason in percent of all resolutions."""
-    mix = resolved.groupBy("resolution_reason").agg(F.count(F.lit(1)).alias("n"))
-    everything = mix.agg(F.sum("n")).scalar()
-    return mix.withColumn("percent", F.col("n") * 100 / everything)
+    mix = resolved.groupBy("resolution_reason").agg(F.expr("count(1) AS n"))
+    return mix.withColumn("percent", F.col("n") * 100 / mix.agg(F.sum("n")).scalar())
 
 
 def cycle_by_outcome(resolved: DataFrame) -> DataFrame:
     """Mean hours from flag to resolution per resolution reason."""
-    seconds = elapsed_seconds(F.col("flagged_ts"), F.col("resolved_ts"))
-    return resolved.where(F.col("flagged_ts").isNotNull()).groupBy("resolution_reason").agg(
-        F.count(F.lit(1)).alias("n"), (F.avg(seconds) / 3600).alias("mean_hours")
-    )
+    seconds = elapsed_seconds("flagged_ts", "resolved_ts")
+    return resolved.where("flagged_ts IS NOT NULL").groupBy("resolution_reason").agg(
+        F.expr("count(1) AS n"), F.expr(f"avg({seconds}) / 3600 AS mean_hours"))
 
 
-def trailing_days(df: DataFrame, ts: str, days: int, as_of: Column) -> DataFrame:
-    return df.where(F.col(ts) >= as_of - F.make_dt_interval(F.lit(days)))
+def trailing_days(df: DataFrame, ts: str, days: int, as_of: datetime) -> DataFrame:
+    return df.where(f"{ts} >= {stamp(as_of)} - make_dt_interval({int(days)})")
 
 
-def flags_by_assay(queue: DataFrame, days: int, as_of: Column) -> DataFrame:
+def flags_by_assay(queue: DataFrame, days: int, as_of: datetime) -> DataFrame:
     """Open flags per assay in the last days, with the grand total and the bar
     length relative to the largest assay."""
     counts = trailing_days(open_rows(queue), "flagged_ts", days, as_of).groupBy("assay_name").agg(
-        F.count(F.lit(1)).alias("open_flags")
-    )
-    total, largest = counts.agg(F.sum("open_flags")).scalar(), counts.agg(F.max("open_flags")).scalar()
+        F.expr("count(1) AS open_flags"))
+    total = counts.agg(F.sum("open_flags")).scalar()
+    largest = counts.agg(F.expr("greatest(1, max(open_flags))")).scalar()
     return counts.withColumns({
-        "total_flags": total,
-        "percent_of_largest": F.col("open_flags") * 100 / F.greatest(F.lit(1), largest),
+        "total_flags": total, "percent_of_largest": F.col("open_flags") * 100 / largest,
     }).orderBy(F.col("open_flags").desc(), "assay_name")
 
 
 def top_with_ties(counts: DataFrame, count: str) -> DataFrame:
     """The groups holding the highest count; several where they tie."""
-    highest = counts.agg(F.max(count)).scalar()
-    return counts.where(F.col(count) == highest)
+    return counts.where(F.col(count) == counts.agg(F.max(count)).scalar())

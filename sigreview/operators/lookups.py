@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .spread import number_rows
@@ -32,7 +32,7 @@ def history_positions(readings: DataFrame) -> DataFrame:
     """Chronological place of every reading within its compound and assay."""
     slim = readings.select("compound_id", "assay_name", "sample_id", "acquired_ts", "result_value")
     return number_rows(
-        slim, [F.col("acquired_ts").asc(), F.col("sample_id").asc()], group=["compound_id", "assay_name"]
+        slim, ["acquired_ts", "sample_id"], group=["compound_id", "assay_name"]
     )
 
 
@@ -42,12 +42,11 @@ def latest_readings(readings: DataFrame, n: int = 3) -> DataFrame:
     Spark cuts each group to n rows before the shuffle (window group limit), so
     a compound with most of the rows sends no more than n per input task.
     """
-    latest = Window.partitionBy("compound_id").orderBy(F.col("acquired_ts").desc(), F.col("sample_id").asc())
-    return (
-        readings.select("compound_id", "sample_id", "assay_name", "result_value", "result_unit", "acquired_ts")
-        .withColumn("recency", F.row_number().over(latest))
-        .where(F.col("recency") <= n)
-    )
+    latest = "PARTITION BY compound_id ORDER BY acquired_ts DESC, sample_id"
+    return readings.selectExpr(
+        "compound_id", "sample_id", "assay_name", "result_value", "result_unit", "acquired_ts",
+        f"row_number() OVER ({latest}) AS recency",
+    ).where(f"recency <= {int(n)}")
 
 
 def worst_margins(flags: DataFrame, k: int = 5) -> DataFrame:

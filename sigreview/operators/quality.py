@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from ..functions.text import quote
 
 
 @dataclass(frozen=True)
@@ -30,16 +31,14 @@ READING_RULES = (
 )
 
 
-def first_broken(rules: Sequence[Rule] = READING_RULES) -> Column:
-    """Label of the first broken rule, NULL for a good row."""
-    label = F.lit(None).cast("string")
-    for rule in reversed(rules):
-        label = F.when(F.expr(rule.broken), rule.label).otherwise(label)
-    return label
+def first_broken(rules: Sequence[Rule] = READING_RULES) -> str:
+    """SQL for the label of the first broken rule, NULL for a good row."""
+    cases = " ".join(f"WHEN {rule.broken} THEN {quote(rule.label)}" for rule in rules)
+    return f"CASE {cases} END"
 
 
 def label_quality(df: DataFrame, rules: Sequence[Rule] = READING_RULES) -> DataFrame:
-    return df.withColumn("quarantine_reason", first_broken(rules))
+    return df.selectExpr("*", f"{first_broken(rules)} AS quarantine_reason")
 
 
 def split_quality(
@@ -47,52 +46,46 @@ def split_quality(
 ) -> tuple[DataFrame, DataFrame]:
     """(valid, quarantine): exact complements, as both follow from one label."""
     labelled = label_quality(df, rules)
-    valid = labelled.where(F.col("quarantine_reason").isNull()).drop("quarantine_reason")
-    return valid, labelled.where(F.col("quarantine_reason").isNotNull())
+    valid = labelled.where("quarantine_reason IS NULL").drop("quarantine_reason")
+    return valid, labelled.where("quarantine_reason IS NOT NULL")
 
 
 def reconcile(df: DataFrame, rules: Sequence[Rule] = READING_RULES) -> DataFrame:
     """One row: all rows, valid rows, quarantined rows and whether they add up."""
-    broken = first_broken(rules)
-    counts = df.select(broken.alias("_label")).agg(
-        F.count(F.lit(1)).alias("source_rows"),
-        F.count_if(F.col("_label").isNull()).alias("valid_rows"),
-        F.count("_label").alias("quarantined_rows"),
-    )
-    return counts.withColumn(
-        "reconciled", F.col("source_rows") == F.col("valid_rows") + F.col("quarantined_rows")
+    counts = df.selectExpr(f"{first_broken(rules)} AS label").agg(
+        F.expr("count(1) AS source_rows"),
+        F.expr("count_if(label IS NULL) AS valid_rows"),
+        F.expr("count(label) AS quarantined_rows"),
     )
+    return counts.selectExpr("*", "source_rows = valid_rows + quarantined_rows AS reconciled")
 
 
 def reconcile_tables(source: DataFrame, valid: DataFrame, quarantine: DataFrame) -> DataFrame:
     """The same check over three written tables, each counted on its own."""
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
-
-    parts = counted(source, "source").unionByName(counted(valid, "valid")).unionByName(
-        counted(quarantine, "quarantine"))
+    parts = None
+    for name, df in (("source", source), ("valid", valid), ("quarantined", quarantine)):
+        part = df.agg(F.expr("count(1) AS n")).selectExpr(f"'{name}' AS part", "n")
+        parts = part if parts is None else parts.unionByName(part)
     wide = parts.agg(*[
-        F.max(F.when(F.col("part") == p, F.col("n"))).alias(f"{p_name}_rows")
-        for p, p_name in (("source", "source"), ("valid", "valid"), ("quarantine", "quarantined"))
+        F.expr(f"max(CASE WHEN part = '{name}' THEN n END) AS {name}_rows")
+        for name in ("source", "valid", "quarantined")
     ])
-    return wide.withColumn(
-        "reconciled", F.col("source_rows") == F.col("valid_rows") + F.col("quarantined_rows")
-    )
+    return wide.selectExpr("*", "source_rows = valid_rows + quarantined_rows AS reconciled")
 
 
 def bronze_profile(readings: DataFrame) -> DataFrame:
     return readings.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_distinct("compound_id").alias("n_compounds"),
-        F.count_distinct("assay_name").alias("n_assays"),
-        F.min("acquired_ts").alias("first_ts"),
-        F.max("acquired_ts").alias("last_ts"),
+        F.expr("count(1) AS n_rows"),
+        F.expr("count(DISTINCT compound_id) AS n_compounds"),
+        F.expr("count(DISTINCT assay_name) AS n_assays"),
+        F.expr("min(acquired_ts) AS first_ts"),
+        F.expr("max(acquired_ts) AS last_ts"),
     )
 
 
 def assay_profile(readings: DataFrame) -> DataFrame:
     return readings.groupBy("assay_name").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("result_value").alias("min_value"),
-        F.max("result_value").alias("max_value"),
+        F.expr("count(1) AS n"),
+        F.expr("min(result_value) AS min_value"),
+        F.expr("max(result_value) AS max_value"),
     )

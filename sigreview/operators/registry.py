@@ -10,19 +10,19 @@ from ..functions.privacy import structure_placeholder
 
 def registry(df: DataFrame, key: str, ts: str, dimension: str, count_as: str, dimension_as: str) -> DataFrame:
     return df.groupBy(key).agg(
-        F.count(F.lit(1)).alias(count_as),
-        F.count_distinct(dimension).alias(dimension_as),
-        F.min(ts).alias("first_seen"),
-        F.max(ts).alias("last_seen"),
+        F.expr(f"count(1) AS {count_as}"),
+        F.expr(f"count(DISTINCT {dimension}) AS {dimension_as}"),
+        F.expr(f"min({ts}) AS first_seen"),
+        F.expr(f"max({ts}) AS last_seen"),
     )
 
 
 def compound_registry(readings: DataFrame) -> DataFrame:
     seen = registry(readings, "compound_id", "acquired_ts", "assay_name", "n_readings", "n_assays")
-    return seen.select(
+    return seen.selectExpr(
         "compound_id",
-        structure_placeholder(F.col("compound_id")).alias("structure_id_placeholder"),
-        F.lit(True).alias("structure_is_synthetic_placeholder"),
+        f"{structure_placeholder('compound_id')} AS structure_id_placeholder",
+        "TRUE AS structure_is_synthetic_placeholder",
         "n_readings", "n_assays", "first_seen", "last_seen",
     )
 

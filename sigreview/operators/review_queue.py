@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from ..functions.text import stamp
 from ..schemas import QUEUE
 from .spread import HOT_ROWS, join_unique, number_rows
 
@@ -17,30 +19,31 @@ REFRESHED = (
     "clinical_correlation_state", "clinical_drug_code", "clinical_signal_detail",
 )
 
+# What a sync did to a row.
 INSERTED, REFRESHED_ROW, STALE, KEPT = "inserted", "refreshed", "cleared", "kept"
 
 
 def with_signal(flags: DataFrame, correlation: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Flags with the signal of their compound."""
-    signal = correlation.select(
+    signal = correlation.selectExpr(
         "compound_id",
-        F.col("correlation_state").alias("clinical_correlation_state"),
-        F.col("drug_code").alias("clinical_drug_code"),
-        F.col("signal_detail").alias("clinical_signal_detail"),
+        "correlation_state AS clinical_correlation_state",
+        "drug_code AS clinical_drug_code",
+        "signal_detail AS clinical_signal_detail",
     )
     return join_unique(flags, signal, ["compound_id"], spread=["reading_id"], hot_rows=hot_rows)
 
 
 def queue_source(flags: DataFrame, correlation: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Flagged readings in the shape of the queue's refreshed columns."""
-    joined = with_signal(flags.where("is_flagged"), correlation, hot_rows)
-    return joined.withColumn("flagged_ts", F.col("evaluated_ts")).select("reading_id", *REFRESHED)
+    flagged = flags.where("is_flagged").withColumnRenamed("evaluated_ts", "flagged_ts")
+    return with_signal(flagged, correlation, hot_rows).select("reading_id", *REFRESHED)
 
 
 def merge_queue(
     queue: DataFrame,
     source: DataFrame,
-    as_of: Column,
+    as_of: datetime,
     *,
     key: Sequence[str] = ("reading_id",),
     clear_missing: bool = True,
@@ -52,72 +55,70 @@ def merge_queue(
     Source rows refresh the reasoning columns; status and resolution columns are
     the reviewer's and stay.  Open rows absent from the source are cleared,
     unless ``clear_missing`` is off because the source is only an increment.
-    One full outer join on the key does all of it.
+    One full outer join on the key, which is unique on both sides, does all of it.
     """
-    key = list(key)
-    old, new = queue.withColumn("_old", F.lit(True)), source.withColumn("_new", F.lit(True))
-    o, n = old.alias("o"), new.alias("n")
-    both = o.join(n, [F.col(f"o.{k}") == F.col(f"n.{k}") for k in key], "full_outer")
-    is_old, is_new = F.col("o._old").isNotNull(), F.col("n._new").isNotNull()
-    is_open = F.col("o.status") == V.OPEN
-    stale = is_old & ~is_new & is_open if clear_missing else F.lit(False)
-    back = is_old & is_new & (F.col("o.status") == V.CLEARED) if reopen_cleared else F.lit(False)
-    columns = {
-        "status": F.when(~is_old | back, V.OPEN).when(stale, V.CLEARED).otherwise(F.col("o.status")),
-        "synced_ts": F.when(is_new | stale, as_of).otherwise(F.col("o.synced_ts")),
-    }
-    for name in key:
-        columns[name] = F.coalesce(f"o.{name}", f"n.{name}")
+    old = queue.selectExpr("*", "TRUE AS present").alias("o")
+    new = source.selectExpr("*", "TRUE AS present").alias("n")
+    both = old.join(new, F.expr(" AND ".join(f"o.{k} = n.{k}" for k in key)), "full_outer")
+    stale = f"n.present IS NULL AND o.status = '{V.OPEN}' AND {clear_missing}"
+    back = f"n.present AND o.status = '{V.CLEARED}' AND {reopen_cleared}"
+    out = {f.name: f"o.{f.name}" for f in QUEUE}
     for name in REFRESHED:
-        if name not in columns:
-            columns[name] = F.when(is_new, F.col(f"n.{name}")).otherwise(F.col(f"o.{name}"))
+        out[name] = f"CASE WHEN n.present THEN n.{name} ELSE o.{name} END"
     if keep_first_flagged:
-        columns["flagged_ts"] = F.coalesce("o.flagged_ts", "n.flagged_ts")
-    change = (
-        F.when(~is_old, INSERTED).when(is_new, REFRESHED_ROW).when(stale, STALE).otherwise(KEPT)
+        out["flagged_ts"] = "coalesce(o.flagged_ts, n.flagged_ts)"
+    for name in key:
+        out[name] = f"coalesce(o.{name}, n.{name})"
+    out["status"] = (
+        f"CASE WHEN o.present IS NULL OR ({back}) THEN '{V.OPEN}' "
+        f"WHEN {stale} THEN '{V.CLEARED}' ELSE o.status END"
     )
-    return both.select(
-        *[columns.get(f.name, F.col(f"o.{f.name}")).cast(f.dataType).alias(f.name) for f in QUEUE],
-        change.alias("change"),
+    out["synced_ts"] = f"CASE WHEN n.present OR ({stale}) THEN {stamp(as_of)} ELSE o.synced_ts END"
+    out["change"] = (
+        f"CASE WHEN o.present IS NULL THEN '{INSERTED}' WHEN n.present THEN '{REFRESHED_ROW}' "
+        f"WHEN {stale} THEN '{STALE}' ELSE '{KEPT}' END"
     )
+    return both.selectExpr(*[f"{sql} AS {name}" for name, sql in out.items()])
 
 
 def sync_summary(merged: DataFrame) -> DataFrame:
     """One row: source flags, upserted, cleared, and the queue by status afterwards."""
-    upserted = F.col("change").isin(INSERTED, REFRESHED_ROW)
+    upserted = f"count_if(change IN ('{INSERTED}', '{REFRESHED_ROW}'))"
     return merged.agg(
-        F.count_if(upserted).alias("source_open_flags"),
-        F.count_if(upserted).alias("upserted"),
-        F.count_if(F.col("change") == STALE).alias("cleared_stale"),
-        F.count_if(F.col("status") == V.OPEN).alias("n_open"),
-        F.count_if(F.col("status") == V.RESOLVED).alias("n_resolved"),
-        F.count_if(F.col("status") == V.CLEARED).alias("n_cleared"),
+        F.expr(f"{upserted} AS source_open_flags"),
+        F.expr(f"{upserted} AS upserted"),
+        F.expr(f"count_if(change = '{STALE}') AS cleared_stale"),
+        *[F.expr(f"count_if(status = '{s}') AS n_{s}") for s in (V.OPEN, V.RESOLVED, V.CLEARED)],
     )
 
 
 def sync_queue(
-    queue: DataFrame, flags: DataFrame, correlation: DataFrame, as_of: Column, **options
+    queue: DataFrame, flags: DataFrame, correlation: DataFrame, as_of: datetime, **options
 ) -> tuple[DataFrame, DataFrame]:
     """(next queue snapshot, one-row summary)."""
     merged = merge_queue(queue, queue_source(flags, correlation), as_of, **options)
     return merged.drop("change"), sync_summary(merged)
 
 
+def open_rows(queue: DataFrame) -> DataFrame:
+    return queue.where(f"status = '{V.OPEN}'")
+
+
 def stale_rows(queue: DataFrame, source: DataFrame) -> DataFrame:
     """Open queue rows whose reading is no longer flagged."""
-    return queue.where(F.col("status") == V.OPEN).join(
-        source.select("reading_id"), "reading_id", "left_anti"
-    )
+    return open_rows(queue).join(source.select("reading_id"), "reading_id", "left_anti")
 
 
-def clear_stale(queue: DataFrame, source: DataFrame, as_of: Column) -> DataFrame:
+def clear_stale(queue: DataFrame, source: DataFrame, as_of: datetime) -> DataFrame:
     """The queue with stale open rows cleared; an empty source clears every open row."""
-    current = source.select("reading_id").distinct().withColumn("_current", F.lit(True))
-    stale = (F.col("status") == V.OPEN) & F.col("_current").isNull()
-    return queue.join(current, "reading_id", "left").withColumns({
-        "synced_ts": F.when(stale, as_of).otherwise(F.col("synced_ts")),
-        "status": F.when(stale, V.CLEARED).otherwise(F.col("status")),
-    }).select(*queue.columns)
+    current = source.select("reading_id").distinct().selectExpr("*", "TRUE AS is_current")
+    stale = f"status = '{V.OPEN}' AND is_current IS NULL"
+    changed = {
+        "status": f"CASE WHEN {stale} THEN '{V.CLEARED}' ELSE status END",
+        "synced_ts": f"CASE WHEN {stale} THEN {stamp(as_of)} ELSE synced_ts END",
+    }
+    return queue.join(current, "reading_id", "left").selectExpr(
+        *[f"{changed[c]} AS {c}" if c in changed else c for c in queue.columns])
 
 
 def insert_if_absent(target: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -125,25 +126,27 @@ def insert_if_absent(target: DataFrame, rows: DataFrame, key: Sequence[str]) ->
     return target.unionByName(rows.join(target.select(*key), list(key), "left_anti"))
 
 
-def queue_view(
-    queue: DataFrame, status: str | None = V.OPEN, limit: int | None = None
-) -> DataFrame:
+def with_status(queue: DataFrame, status: str | None) -> DataFrame:
+    return queue.where(F.col("status") == status) if status else queue
+
+
+QUEUE_ORDER = ("margin ASC NULLS LAST", "compound_id", "reading_id")
+
+
+def queue_view(queue: DataFrame, status: str | None = V.OPEN, limit: int | None = None) -> DataFrame:
     """Queue rows, worst signed margin first; no status means all, no limit means all."""
-    rows = queue.where(F.col("status") == status) if status else queue
-    rows = rows.orderBy(F.col("margin").asc_nulls_last(), "compound_id", "reading_id")
+    rows = with_status(queue, status).orderBy(
+        F.col("margin").asc_nulls_last(), "compound_id", "reading_id")
     return rows.limit(limit) if limit else rows
 
 
 def queue_positions(queue: DataFrame, status: str | None = V.OPEN) -> DataFrame:
     """The order of :func:`queue_view` as an explicit ``position`` column."""
-    rows = queue.where(F.col("status") == status) if status else queue
-    return number_rows(
-        rows, [F.col("margin").asc_nulls_last(), F.col("compound_id").asc(), F.col("reading_id").asc()]
-    )
+    return number_rows(with_status(queue, status), QUEUE_ORDER)
 
 
 def status_counts(queue: DataFrame) -> DataFrame:
-    return queue.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return queue.groupBy("status").agg(F.expr("count(1) AS n"))
 
 
 def find_compounds(df: DataFrame, text: str) -> DataFrame:

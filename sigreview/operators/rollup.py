@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import fixed_values as V
 from ..functions import decide
+from .review_queue import open_rows
 from .spread import number_rows
 
 READING_FIELDS = (
@@ -17,32 +17,27 @@ READING_FIELDS = (
 READINGS_PER_PART = 1000
 
 
-def open_rows(queue: DataFrame) -> DataFrame:
-    return queue.where(F.col("status") == V.OPEN)
-
-
 def compound_totals(queue: DataFrame) -> DataFrame:
     """Open flags, worst breach and clinical facts per compound."""
-    state = F.col("clinical_correlation_state")
-    top = F.max(F.when(state.isNotNull(), decide.state_rank(state)))
+    state = "clinical_correlation_state"
+    top = f"max(CASE WHEN {state} IS NOT NULL THEN {decide.state_rank(state)} END)"
     return open_rows(queue).groupBy("compound_id").agg(
-        F.count(F.lit(1)).alias("open_flags"),
-        F.max(F.abs("margin")).alias("worst_breach"),
-        decide.state_of_rank(top).alias("clinical_correlation_state"),
-        F.max("clinical_drug_code").alias("clinical_drug_code"),
-        F.max("clinical_signal_detail").alias("clinical_signal_detail"),
-        F.coalesce(top, F.lit(0)).alias("clinical_rank"),
+        F.expr("count(1) AS open_flags"),
+        F.expr("max(abs(margin)) AS worst_breach"),
+        F.expr(f"{decide.state_of_rank(top)} AS clinical_correlation_state"),
+        F.expr("max(clinical_drug_code) AS clinical_drug_code"),
+        F.expr("max(clinical_signal_detail) AS clinical_signal_detail"),
+        F.expr(f"coalesce({top}, 0) AS clinical_rank"),
     )
 
 
+RISK_ORDER = ("clinical_rank DESC", "open_flags DESC", "worst_breach DESC", "compound_id")
+
+
 def queue_rollup(queue: DataFrame) -> DataFrame:
     """One row per open compound with its place in the blended risk order:
     clinical rank, then number of flags, then worst breach."""
-    order = [
-        F.col("clinical_rank").desc(), F.col("open_flags").desc(), F.col("worst_breach").desc(),
-        F.col("compound_id").asc(),
-    ]
-    return number_rows(compound_totals(queue), order)
+    return number_rows(compound_totals(queue), RISK_ORDER)
 
 
 def rollup_readings(queue: DataFrame, per_part: int = READINGS_PER_PART) -> DataFrame:
@@ -54,19 +49,16 @@ def rollup_readings(queue: DataFrame, per_part: int = READINGS_PER_PART) -> Data
     """
     placed = number_rows(
         open_rows(queue).select("compound_id", *READING_FIELDS),
-        [F.abs("margin").desc_nulls_first(), F.col("reading_id").asc()],
-        group=["compound_id"], group_size="open_flags",
-    )
-    part = F.floor((F.col("position") - 1) / per_part) + 1
-    return placed.groupBy("compound_id", part.cast("int").alias("part")).agg(
-        F.max("open_flags").alias("open_flags"),
-        F.array_sort(F.collect_list(F.struct("position", *READING_FIELDS))).alias("readings"),
+        ["abs(margin) DESC NULLS FIRST", "reading_id"], group=["compound_id"], group_size="open_flags",
+    ).selectExpr("*", f"CAST(floor((position - 1) / {per_part}) + 1 AS INT) AS part")
+    fields = ", ".join(("position", *READING_FIELDS))
+    return placed.groupBy("compound_id", "part").agg(
+        F.expr("max(open_flags) AS open_flags"),
+        F.expr(f"array_sort(collect_list(struct({fields}))) AS readings"),
     )
 
 
 def share_of_worst(rollup: DataFrame) -> DataFrame:
     """Worst breach as percent of the largest one in the list (at least 1)."""
-    largest = rollup.agg(F.max("worst_breach")).scalar()
-    return rollup.withColumn(
-        "percent_of_worst", F.col("worst_breach") * 100 / F.greatest(F.lit(1.0), largest)
-    )
+    largest = rollup.agg(F.expr("greatest(1.0D, max(worst_breach))")).scalar()
+    return rollup.withColumn("percent_of_worst", F.col("worst_breach") * 100 / largest)

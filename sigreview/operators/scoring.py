@@ -2,40 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import datetime
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import decide
-from ..schemas import FLAG_COLUMNS
+from ..functions.text import stamp
 from .spread import HOT_ROWS, join_dimension, join_unique
 
-_EXACT = "decimal(24,9)"
-
 
-def stable_mean(value: str) -> Column:
-    """Mean through an exact decimal sum, so that row order cannot change it.
+def stable_mean(value: str) -> str:
+    """SQL for a mean through an exact decimal sum: row order cannot change it.
 
     Values a decimal cannot hold (NaN, infinities, beyond 10^15) fall back to
     the floating mean.
     """
-    exact = F.col(value).try_cast(_EXACT)
-    return F.when(
-        F.count(exact) == F.count(value), F.sum(exact).cast("double") / F.count(value)
-    ).otherwise(F.avg(value))
+    exact = f"TRY_CAST({value} AS DECIMAL(24, 9))"
+    return (
+        f"CASE WHEN count({exact}) = count({value}) "
+        f"THEN CAST(sum({exact}) AS DOUBLE) / count({value}) ELSE avg({value}) END"
+    )
 
 
 def history(readings: DataFrame) -> DataFrame:
     """Count and mean per (compound, assay) over all readings of the pair."""
     return readings.groupBy("compound_id", "assay_name").agg(
-        F.count(F.lit(1)).alias("prior_n"), stable_mean("result_value").alias("prior_mean")
+        F.expr("count(1) AS prior_n"), F.expr(f"{stable_mean('result_value')} AS prior_mean")
     )
 
 
 def with_reference(readings: DataFrame, reference: DataFrame, how: str = "left") -> DataFrame:
     """Readings with their assay's threshold row, which must be unique per assay."""
-    slim = reference.select(
-        "assay_name", "concern_direction", F.col("concern_threshold").alias("threshold"),
-        F.col("unit").alias("threshold_unit"), "is_synthetic",
+    slim = reference.selectExpr(
+        "assay_name", "concern_direction", "concern_threshold AS threshold",
+        "unit AS threshold_unit", "is_synthetic",
     )
     return join_dimension(readings, slim, ["assay_name"], how, spread=["sample_id"])
 
@@ -45,37 +46,32 @@ def with_history(readings: DataFrame, past: DataFrame, hot_rows: int = HOT_ROWS)
     pair = ["compound_id", "assay_name"]
     return join_unique(
         readings, past, pair, "left", spread=["sample_id", "acquired_ts"],
-        weights=past.select(*pair, F.col("prior_n").alias("rows")), hot_rows=hot_rows,
+        weights=past.selectExpr(*pair, "prior_n AS rows"), hot_rows=hot_rows,
     )
 
 
-def verdicts(scored: DataFrame, as_of: Column) -> DataFrame:
+def verdicts(scored: DataFrame, as_of: datetime) -> DataFrame:
     """The flag columns, from readings that carry reference and history."""
-    value, threshold = F.col("result_value"), F.col("threshold")
-    mean = F.round("prior_mean", 4)
-    n = F.coalesce("prior_n", F.lit(0).cast("bigint"))
-    return scored.select(
-        "compound_id",
-        F.col("sample_id").alias("reading_id"),
-        "assay_name", "result_value", "result_unit",
-        decide.breaches(value, F.col("concern_direction"), threshold).alias("is_flagged"),
-        decide.reason(
-            F.col("assay_name"), value, F.col("result_unit"), F.col("concern_direction"),
-            threshold, F.col("threshold_unit"), mean, n,
-        ).alias("reason"),
+    value, direction, threshold = "result_value", "concern_direction", "threshold"
+    mean, n = "round(prior_mean, 4)", "coalesce(prior_n, 0L)"
+    why = decide.reason("assay_name", value, "result_unit", direction, threshold, "threshold_unit", mean, n)
+    return scored.selectExpr(
+        "compound_id", "sample_id AS reading_id", "assay_name", "result_value", "result_unit",
+        f"{decide.breaches(value, direction, threshold)} AS is_flagged",
+        f"{why} AS reason",
         "concern_direction", "threshold", "threshold_unit",
-        decide.margin(value, threshold).alias("margin"),
-        n.alias("compound_prior_n"),
-        mean.alias("compound_prior_mean"),
-        F.coalesce("is_synthetic", F.lit(False)).alias("is_synthetic_reference"),
-        as_of.alias("evaluated_ts"),
-    ).select(*FLAG_COLUMNS)
+        f"{decide.margin(value, threshold)} AS margin",
+        f"{n} AS compound_prior_n",
+        f"{mean} AS compound_prior_mean",
+        "coalesce(is_synthetic, FALSE) AS is_synthetic_reference",
+        f"{stamp(as_of)} AS evaluated_ts",
+    )
 
 
 def score_readings(
     readings: DataFrame,
     reference: DataFrame,
-    as_of: Column,
+    as_of: datetime,
     past: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
@@ -94,11 +90,11 @@ def score_readings(
 
 def flag_summary(flags: DataFrame) -> DataFrame:
     return flags.agg(
-        F.count(F.lit(1)).alias("n_readings"),
-        F.sum(F.col("is_flagged").cast("int")).alias("n_flagged"),
-        F.count_if(~F.col("is_flagged")).alias("n_not_flagged"),
+        F.expr("count(1) AS n_readings"),
+        F.expr("sum(CAST(is_flagged AS INT)) AS n_flagged"),
+        F.expr("count_if(NOT is_flagged) AS n_not_flagged"),
     )
 
 
 def flagged_per_assay(flags: DataFrame) -> DataFrame:
-    return flags.where("is_flagged").groupBy("assay_name").agg(F.count(F.lit(1)).alias("n_flagged"))
+    return flags.where("is_flagged").groupBy("assay_name").agg(F.expr("count(1) AS n_flagged"))

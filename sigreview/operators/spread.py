@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import pin
@@ -46,26 +46,18 @@ def join_unique(
     """
     on = list(on)
     if weights is None:
-        weights = left.groupBy(*on).agg(F.count(F.lit(1)).alias("rows"))
-    hot = F.broadcast(
-        weights.where(F.col("rows") >= hot_rows).select(
-            *on, F.ceil(F.col("rows") / hot_rows).cast("int").alias("_slices")
-        )
+        weights = left.groupBy(*on).agg(F.expr("count(1) AS rows"))
+    hot = F.broadcast(weights.where(f"rows >= {hot_rows}").selectExpr(
+        *on, f"CAST(ceil(rows / {hot_rows}) AS INT) AS _slices"))
+    digest = f"xxhash64({', '.join(spread)})"
+    any_null = " OR ".join(f"{key} IS NULL" for key in on)
+    left_slice = (
+        f"CAST(CASE WHEN {any_null} THEN pmod({digest}, {NULL_SLICES}) "
+        f"WHEN _slices > 1 THEN pmod({digest}, _slices) ELSE 0 END AS INT) AS _slice"
     )
-    any_null = F.lit(False)
-    for key in on:
-        any_null = any_null | F.col(key).isNull()
-    digest = F.xxhash64(*spread)
-    sliced_left = left.join(hot, on, "left").withColumn(
-        "_slice",
-        F.when(any_null, F.pmod(digest, F.lit(NULL_SLICES)))
-        .when(F.col("_slices") > 1, F.pmod(digest, F.col("_slices")))
-        .otherwise(F.lit(0))
-        .cast("int"),
-    ).drop("_slices")
-    sliced_right = right.join(hot, on, "left").withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_slices"), F.lit(1)) - 1))
-    ).drop("_slices")
+    sliced_left = left.join(hot, on, "left").selectExpr(*left.columns, left_slice)
+    sliced_right = right.join(hot, on, "left").selectExpr(
+        *right.columns, "explode(sequence(0, coalesce(_slices, 1) - 1)) AS _slice")
     return sliced_left.join(sliced_right, [*on, "_slice"], how).drop("_slice")
 
 
@@ -90,63 +82,73 @@ def join_dimension(
 
 def running_total(
     df: DataFrame,
-    order: Sequence[Column],
+    order: Sequence[str],
     *,
     group: Sequence[str] = (),
-    weight: Column | None = None,
+    weight: str | None = None,
     total: str = "running",
     group_total: str | None = None,
 ) -> DataFrame:
     """Add the inclusive running sum of ``weight`` (default 1) per group.
 
-    ``group`` columns followed by ``order`` must be a total order.  The rows are
+    ``order`` holds SQL sort terms such as ``"margin ASC NULLS LAST"``; the
+    ``group`` columns followed by them must be a total order.  The rows are
     range-sorted and pinned once; then only one sum per (sort partition, group)
     is needed to carry totals across partitions.
     """
-    group = list(group)
-    weighed = df.withColumn("_rt_weight", (F.lit(1) if weight is None else weight).cast("bigint"))
+    columns, group = df.columns, list(group)
+    terms = [_sort_term(t) for t in [*group, *order]]
     pinned = pin(
-        weighed.orderBy(*[F.col(g).asc() for g in group], *order).withColumn(
-            "_rt_slot", F.monotonically_increasing_id()
-        )
-    ).withColumn("_rt_part", F.shiftright("_rt_slot", _SLOT_BITS))
-
-    # Null-safe grouping keys: the join below must also match null groups.
-    keys = [F.coalesce(F.col(g).cast("string"), F.lit("")).alias(f"_g{i}")
-            for i, g in enumerate(group)]
-    keys += [F.col(g).isNull().alias(f"_n{i}") for i, g in enumerate(group)]
-    names = [f"_g{i}" for i in range(len(group))] + [f"_n{i}" for i in range(len(group))]
-    keyed = pinned.select("*", *keys)
-
-    runs = keyed.groupBy("_rt_part", *names).agg(
-        F.sum("_rt_weight").alias("_rt_sum"), F.min("_rt_slot").alias("_rt_first")
+        df.selectExpr("*", f"CAST({weight or '1'} AS BIGINT) AS _rt_weight")
+        .orderBy(*terms)
+        .selectExpr("*", "monotonically_increasing_id() AS _rt_slot")
     )
+    # Group keys that also join where a group is null.
+    keys = {f"_rt_g{i}": f"coalesce(CAST({g} AS STRING), '')" for i, g in enumerate(group)}
+    keys |= {f"_rt_n{i}": f"{g} IS NULL" for i, g in enumerate(group)}
+    part = {"_rt_part": f"shiftright(_rt_slot, {_SLOT_BITS})"} | keys
+    keyed = pinned.selectExpr("*", *[f"{sql} AS {name}" for name, sql in part.items()])
+
     # One row per sort partition and group: a window over one group sees at
     # most as many rows as there are sort partitions.
-    within = Window.partitionBy(*names)
-    before = within.orderBy("_rt_part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = runs.select(
-        "_rt_part", *names, "_rt_first",
-        F.coalesce(F.sum("_rt_sum").over(before), F.lit(0)).alias("_rt_before"),
-        F.sum("_rt_sum").over(within).alias("_rt_total"),
+    runs = keyed.groupBy(*part).agg(
+        F.expr("sum(_rt_weight) AS _rt_sum"), F.expr("min(_rt_slot) AS _rt_first"))
+    of_group = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    before = f"{of_group} ORDER BY _rt_part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    carried = runs.selectExpr(
+        *part, "_rt_first",
+        f"coalesce(sum(_rt_sum) OVER ({before}), 0) AS _rt_before",
+        f"sum(_rt_sum) OVER ({of_group}) AS _rt_total",
     )
     if not group:
         carried = F.broadcast(carried)  # one row per sort partition
-    joined = keyed.join(carried, ["_rt_part", *names], "inner")
-    if weight is None:
-        own = F.col("_rt_slot") - F.col("_rt_first") + 1
-    else:
-        local = Window.partitionBy("_rt_part", *names).orderBy("_rt_slot")
-        own = F.sum("_rt_weight").over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = joined.withColumn(total, (F.col("_rt_before") + own).cast("bigint"))
+    joined = keyed.join(carried, list(part), "inner")
+    own = "_rt_slot - _rt_first + 1"
+    if weight:
+        local = f"PARTITION BY {', '.join(part)} ORDER BY _rt_slot"
+        own = f"sum(_rt_weight) OVER ({local} ROWS UNBOUNDED PRECEDING)"
+    out = [*columns, f"CAST(_rt_before + {own} AS BIGINT) AS {total}"]
     if group_total:
-        out = out.withColumn(group_total, F.col("_rt_total").cast("bigint"))
-    return out.drop("_rt_weight", "_rt_slot", "_rt_part", "_rt_first", "_rt_before", "_rt_total", *names)
+        out.append(f"CAST(_rt_total AS BIGINT) AS {group_total}")
+    return joined.selectExpr(*out)
+
+
+def _sort_term(term: str):
+    """``name``, ``name DESC`` or ``expression ASC NULLS LAST`` as a sort column."""
+    words = term.split()
+    nulls = None
+    if words[-2:-1] == ["NULLS"]:
+        nulls, words = words[-1], words[:-2]
+    down = words[-1] == "DESC"
+    column = F.expr(" ".join(words[:-1] if words[-1] in ("ASC", "DESC") else words))
+    if down:
+        return column.desc_nulls_first() if nulls == "FIRST" else column.desc()
+    return column.asc_nulls_last() if nulls == "LAST" else column.asc()
 
 
 def number_rows(
     df: DataFrame,
-    order: Sequence[Column],
+    order: Sequence[str],
     *,
     group: Sequence[str] = (),
     name: str = "position",
@@ -169,30 +171,16 @@ def exact_percentiles(
     group of any size is spread over the sort partitions.
     """
     group = list(group)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(
-        F.count(F.lit(1)).alias("_rows")
-    )
+    counts = df.where(f"{value} IS NOT NULL").groupBy(*group, value).agg(F.expr("count(1) AS _rows"))
     ranked = running_total(
-        counts, [F.col(value).asc()], group=group, weight=F.col("_rows"),
-        total="_upto", group_total="_all",
-    )
-    low, high = {}, {}
+        counts, [value], group=group, weight="_rows", total="_upto", group_total="_all")
+    aggs, out = ["max(_all) AS _all"], []
     for name, point in points.items():
-        target = F.lit(float(point)) * (F.col("_all") - 1)
-        low[name] = F.floor(target)
-        high[name] = F.ceil(target)
-    holds = lambda rank: (rank >= F.col("_upto") - F.col("_rows")) & (rank < F.col("_upto"))
-    aggs = []
-    for name in points:
-        aggs.append(F.max(F.when(holds(low[name]), F.col(value))).alias(f"_lo_{name}"))
-        aggs.append(F.max(F.when(holds(high[name]), F.col(value))).alias(f"_hi_{name}"))
-    picked = ranked.groupBy(*group).agg(F.max("_all").alias("_all"), *aggs)
-    out = [
-        (
-            F.col(f"_lo_{name}")
-            + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))
-            * (F.lit(float(point)) * (F.col("_all") - 1) - F.floor(F.lit(float(point)) * (F.col("_all") - 1)))
-        ).cast("double").alias(name)
-        for name, point in points.items()
-    ]
-    return picked.select(*group, *out)
+        rank = f"({float(point)!r}D * (_all - 1))"
+        for end, at in (("lo", f"floor({rank})"), ("hi", f"ceil({rank})")):
+            holds = f"{at} >= _upto - _rows AND {at} < _upto"
+            aggs.append(f"max(CASE WHEN {holds} THEN {value} END) AS _{end}_{name}")
+        out.append(
+            f"CAST(_lo_{name} + (_hi_{name} - _lo_{name}) * ({rank} - floor({rank})) AS DOUBLE) AS {name}")
+    picked = ranked.groupBy(*group).agg(*[F.expr(a) for a in aggs])
+    return picked.selectExpr(*group, *out)

@@ -5,10 +5,13 @@ Each role is a projection or grouping of whole tables; FIXTURES.md lists them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from ..functions.text import stamp
 from ..operators import correlate, deidentify, registry, review_queue, scoring
 from ..schemas import QUEUE
 from ..sources import envelope
@@ -34,12 +37,11 @@ EARLIER = (
 TOLERANCE = 0.335
 
 
-def as_of():
-    return F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
-
+AS_OF = datetime(2024, 1, 31)
+EARLIER_STAMP = datetime(2024, 1, 30)
 
-def earlier():
-    return F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")
+# The number in the JSON text column props.
+CODE = "from_json(props, 'k INT').k"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,58 +52,59 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events")
 
 
-def code() -> Column:
-    """The number in the JSON text column props."""
-    return F.from_json("props", "k int")["k"]
-
-
-def readings_of(e: DataFrame) -> DataFrame:
-    """Event rows as readings; event_id stays as the sort key of the pages."""
-    k, user, event = code(), F.col("user_id"), F.col("event_id")
-    return e.select(
-        event.cast("string").alias("sample_id"),
-        F.format_string("CMPD%05d", user).alias("compound_id"),
-        F.concat(F.lit("P"), (1 + user % 6).cast("string")).alias("plate"),
-        F.concat(F.char(65 + event % 8), F.lpad((1 + event % 12).cast("string"), 2, "0")).alias("well"),
-        (1 + event % 2).cast("int").alias("replicate"),
-        F.col("event_type").alias("assay_name"),
-        F.col("value").alias("result_value"),
-        F.when(F.col("event_type") == "signup", "").otherwise("uM").alias("result_unit"),
-        F.col("ts").alias("acquired_ts"),
-        F.concat(F.lit("proto-"), "event_type").alias("assay_protocol"),
-        F.concat(F.lit("op-"), k.cast("string")).alias("operator_id"),
-        F.md5(event.cast("string")).alias("batch_guid"),
-        F.when(k < 25, "REVIEW").otherwise("PASS").alias("qc_flag"),
-        event,
-    )
+_READING = {
+    "sample_id": "CAST(event_id AS STRING)",
+    "compound_id": "format_string('CMPD%05d', user_id)",
+    "plate": "concat('P', 1 + user_id % 6)",
+    "well": "concat(char(65 + event_id % 8), lpad(CAST(1 + event_id % 12 AS STRING), 2, '0'))",
+    "replicate": "CAST(1 + event_id % 2 AS INT)",
+    "assay_name": "event_type",
+    "result_value": "value",
+    "result_unit": "CASE WHEN event_type = 'signup' THEN '' ELSE 'uM' END",
+    "acquired_ts": "ts",
+    "assay_protocol": "concat('proto-', event_type)",
+    "operator_id": f"concat('op-', {CODE})",
+    "batch_guid": "md5(CAST(event_id AS STRING))",
+    "qc_flag": f"CASE WHEN {CODE} < 25 THEN 'REVIEW' ELSE 'PASS' END",
+}
+
+
+def readings_of(e: DataFrame, *extra: str, **other: str) -> DataFrame:
+    """Event rows as readings, with other expressions for some columns."""
+    return e.selectExpr(*[f"{sql} AS {name}" for name, sql in (_READING | other).items()], *extra)
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readings_of(events(spark, sf_dir)).drop("event_id")
+    return readings_of(events(spark, sf_dir))
 
 
 def dirty_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings where some values are missing or out of range, by the code in props."""
-    k = code()
-    broken = events(spark, sf_dir).withColumns({
-        "event_type": F.when(k != 1, F.col("event_type")),
-        "ts": F.when(k != 2, F.col("ts")),
-        "value": F.when(k == 4, -F.col("value")).when(k == 5, F.col("value") * 1e6)
-        .when(k != 3, F.col("value")),
-    })
-    keeps_user = F.col("operator_id") != "op-0"
-    return readings_of(broken).withColumn(
-        "compound_id", F.when(keeps_user, F.col("compound_id"))
-    ).drop("event_id")
+    kind = f"CASE WHEN {CODE} <> 1 THEN event_type END"
+    return readings_of(
+        events(spark, sf_dir),
+        compound_id=f"CASE WHEN {CODE} <> 0 THEN format_string('CMPD%05d', user_id) END",
+        assay_name=kind,
+        result_unit=f"CASE WHEN {kind} = 'signup' THEN '' ELSE 'uM' END",
+        assay_protocol=f"concat('proto-', {kind})",
+        acquired_ts=f"CASE WHEN {CODE} <> 2 THEN ts END",
+        result_value=f"CASE WHEN {CODE} = 4 THEN -value WHEN {CODE} = 5 THEN value * 1e6D "
+                     f"WHEN {CODE} <> 3 THEN value END",
+    )
 
 
 def composite_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings whose sample id is the vendor's composite id; some are malformed."""
-    r = readings_of(events(spark, sf_dir))
-    good = F.concat(F.lit("LO-"), "compound_id", F.lit("-"), "plate", F.lit("-"), "well", F.lit("-R"),
-                    F.col("replicate").cast("string"))
-    bad = F.concat(F.lit("bad-"), F.col("event_id").cast("string"))
-    return r.withColumn("sample_id", F.when(F.col("operator_id") == "op-6", bad).otherwise(good))
+    """Readings whose sample id is the vendor's composite id; some are malformed.
+
+    event_id stays as the sort key of the pages.
+    """
+    good = (
+        "concat('LO-', {compound_id}, '-', {plate}, '-', {well}, '-R', {replicate})".format(**_READING)
+    )
+    return readings_of(
+        events(spark, sf_dir), "event_id",
+        sample_id=f"CASE WHEN {CODE} = 6 THEN concat('bad-', event_id) ELSE {good} END",
+    )
 
 
 def page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,26 +119,24 @@ def reference(spark: SparkSession, rows=CURRENT) -> DataFrame:
     return threshold_table(spark, [(a, d, t, u, "bound for checks", True) for a, d, t, u in rows])
 
 
-def flags(spark: SparkSession, sf_dir: str, rows=CURRENT, stamp=None) -> DataFrame:
-    stamp = as_of() if stamp is None else stamp
-    return scoring.score_readings(readings(spark, sf_dir), reference(spark, rows), stamp)
+def flags(
+    spark: SparkSession, sf_dir: str, rows=CURRENT, as_of: datetime = AS_OF
+) -> DataFrame:
+    return scoring.score_readings(readings(spark, sf_dir), reference(spark, rows), as_of)
 
 
 def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as clinical observations; small orders lack the drug code."""
-    cust = F.col("o_custkey")
-    adverse = (F.col("o_orderpriority") == "1-URGENT") & (cust % 3 == 0)
-    term = (
-        F.when(F.col("o_orderstatus") == "F", "cardiac_arrhythmia")
-        .when(F.col("o_orderstatus") == "O", "qt_prolongation").otherwise("mild_rash")
-    )
-    drug = F.when(cust % 40 == 0, "DRG-0777").otherwise(F.format_string("DRG-%04d", cust % 300))
-    return load(spark, sf_dir, "orders").select(
-        F.concat(F.lit("pt-"), cust.cast("string")).alias("patient_ref"),
-        F.when(F.col("o_totalprice") >= 5000, drug).alias("drug_code"),
-        F.when(adverse, V.ADVERSE).otherwise(V.LAB_RESULT).alias("observation_type"),
-        F.when(adverse, term).otherwise(F.concat(F.lit("level "), "o_orderstatus")).alias("value"),
-        F.col("o_orderdate").alias("effective_ts"),
+    adverse = "o_orderpriority = '1-URGENT' AND o_custkey % 3 = 0"
+    return load(spark, sf_dir, "orders").selectExpr(
+        "concat('pt-', o_custkey) AS patient_ref",
+        "CASE WHEN o_totalprice < 5000 THEN NULL WHEN o_custkey % 40 = 0 THEN 'DRG-0777' "
+        "ELSE format_string('DRG-%04d', o_custkey % 300) END AS drug_code",
+        f"CASE WHEN {adverse} THEN '{V.ADVERSE}' ELSE '{V.LAB_RESULT}' END AS observation_type",
+        f"CASE WHEN NOT ({adverse}) THEN concat('level ', o_orderstatus) "
+        "WHEN o_orderstatus = 'F' THEN 'cardiac_arrhythmia' "
+        "WHEN o_orderstatus = 'O' THEN 'qt_prolongation' ELSE 'mild_rash' END AS value",
+        "o_orderdate AS effective_ts",
     )
 
 
@@ -147,22 +148,17 @@ def crosswalk_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mappings for every user with a reading of at least 200; some ambiguous,
     some unresolved, some with a second row."""
     users = events(spark, sf_dir).groupBy("user_id").agg(F.max("value").alias("top"))
-    user, kind = F.col("user_id"), F.col("user_id") % 4
-    own = F.format_string("DRG-%04d", "user_id")
-    main = F.struct(
-        F.when(kind < 2, own).when(kind == 2, "DRG-0777").alias("drug_code"),
-        F.when(kind < 2, "one to one").when(kind == 2, "ambiguous").otherwise("unresolved")
-        .alias("mapping_source"),
-        F.when(kind < 2, 1.0).when(kind == 2, 0.5).otherwise(0.0).alias("confidence"),
+    main = (
+        "named_struct('drug_code', CASE WHEN user_id % 4 < 2 THEN format_string('DRG-%04d', user_id) "
+        "WHEN user_id % 4 = 2 THEN 'DRG-0777' END, 'mapping_source', CASE WHEN user_id % 4 < 2 "
+        "THEN 'one to one' WHEN user_id % 4 = 2 THEN 'ambiguous' ELSE 'unresolved' END, 'confidence', "
+        "CASE WHEN user_id % 4 < 2 THEN 1.0D WHEN user_id % 4 = 2 THEN 0.5D ELSE 0.0D END)"
     )
-    second = F.struct(
-        F.lit("DRG-0777").alias("drug_code"), F.lit("second row").alias("mapping_source"),
-        F.lit(0.5).alias("confidence"),
+    second = "named_struct('drug_code', 'DRG-0777', 'mapping_source', 'second row', 'confidence', 0.5D)"
+    return users.where("top >= 200").selectExpr(
+        "format_string('CMPD%05d', user_id) AS compound_id",
+        f"inline(CASE WHEN user_id % 25 = 0 THEN array({main}, {second}) ELSE array({main}) END)",
     )
-    rows = F.when(user % 25 == 0, F.array(main, second)).otherwise(F.array(main))
-    return users.where(F.col("top") >= 200).select(
-        F.format_string("CMPD%05d", "user_id").alias("compound_id"), F.explode(rows).alias("m")
-    ).select("compound_id", "m.*")
 
 
 def compound_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +167,7 @@ def compound_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.correlate(
-        flags(spark, sf_dir), crosswalk_seed(spark, sf_dir), observations(spark, sf_dir), as_of()
+        flags(spark, sf_dir), crosswalk_seed(spark, sf_dir), observations(spark, sf_dir), AS_OF
     )
 
 
@@ -181,25 +177,23 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prior_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The queue an earlier calibration left: open, resolved and cleared rows."""
-    f = flags(spark, sf_dir, EARLIER, earlier()).where("is_flagged")
-    event = F.col("reading_id").cast("bigint")
-    status = F.when(event % 7 == 0, V.RESOLVED).when(event % 7 == 1, V.CLEARED).otherwise(V.OPEN)
-    resolved = event % 7 == 0
-    flagged = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((event % 30).cast("int"))
-    columns = {
-        "status": status,
-        "flagged_ts": flagged,
-        "synced_ts": earlier(),
-        "resolved_by": F.when(resolved, "earlier reviewer"),
-        "resolved_ts": F.when(resolved, earlier()),
-        "resolution_note": F.when(resolved, "earlier note"),
-        "resolution_reason": F.when(resolved, V.CONFIRMED),
-        "clinical_correlation_state": F.lit(None),
-        "clinical_drug_code": F.lit(None),
-        "clinical_signal_detail": F.lit(None),
+    turn = "CAST(reading_id AS BIGINT) % 7"
+    at = stamp(EARLIER_STAMP)
+    out = {f.name: f.name for f in QUEUE} | {
+        "status": f"CASE {turn} WHEN 0 THEN '{V.RESOLVED}' WHEN 1 THEN '{V.CLEARED}' ELSE '{V.OPEN}' END",
+        "flagged_ts": "TIMESTAMP_NTZ '2024-01-01 00:00:00' "
+                      "+ make_dt_interval(CAST(CAST(reading_id AS BIGINT) % 30 AS INT))",
+        "synced_ts": at,
+        "resolved_by": f"CASE WHEN {turn} = 0 THEN 'earlier reviewer' END",
+        "resolved_ts": f"CASE WHEN {turn} = 0 THEN {at} END",
+        "resolution_note": f"CASE WHEN {turn} = 0 THEN 'earlier note' END",
+        "resolution_reason": f"CASE WHEN {turn} = 0 THEN '{V.CONFIRMED}' END",
+        "clinical_correlation_state": "CAST(NULL AS STRING)",
+        "clinical_drug_code": "CAST(NULL AS STRING)",
+        "clinical_signal_detail": "CAST(NULL AS STRING)",
     }
-    return f.select([columns.get(c.name, F.col(c.name) if c.name in f.columns else F.lit(None))
-                     .cast(c.dataType).alias(c.name) for c in QUEUE])
+    flagged = flags(spark, sf_dir, EARLIER, EARLIER_STAMP).where("is_flagged")
+    return flagged.selectExpr(*[f"{sql} AS {name}" for name, sql in out.items()])
 
 
 def queue_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +202,7 @@ def queue_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merged_queue(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return review_queue.merge_queue(
-        prior_queue(spark, sf_dir), queue_source(spark, sf_dir), as_of(), **options
+        prior_queue(spark, sf_dir), queue_source(spark, sf_dir), AS_OF, **options
     )
 
 
@@ -216,51 +210,41 @@ def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged_queue(spark, sf_dir).drop("change")
 
 
+# seq, action, reason, condition on the turn of the reading
+_STEPS = (
+    (1, "reopen", "NULL", "turn = 2"),
+    (2, "resolve", f"CASE WHEN turn = 11 THEN 'bogus' WHEN turn % 3 = 0 THEN '{V.FALSE_POSITIVE}' "
+                   f"WHEN turn % 3 = 1 THEN '{V.CONFIRMED}' ELSE '{V.ESCALATED}' END", "TRUE"),
+    (3, "resolve", f"'{V.ESCALATED}'", "turn = 3"),
+    (4, "reopen", "NULL", "turn >= 4"),
+    (5, "resolve", f"'{V.FALSE_POSITIVE}'", "turn >= 8"),
+    (6, "reopen", "NULL", "turn = 10"),
+)
+
+
 def action_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviewer actions on every row of the prior queue, legal and void ones."""
-    rows = prior_queue(spark, sf_dir).select("reading_id")
-    event = F.col("reading_id").cast("bigint")
-    turn = event % 12
-
-    def step(seq: int, action: str, reason, wanted):
-        return F.when(wanted, F.struct(
-            F.lit(seq).cast("bigint").alias("seq"), F.lit(action).alias("action"),
-            reason.cast("string").alias("resolution_reason"),
-            F.lit(f"reviewer {seq}").alias("actor"),
-            (as_of() + F.make_dt_interval(F.lit(seq))).alias("action_ts"),
-            F.lit(f"note {seq}").alias("note"),
-        ))
-
-    first = (
-        F.when(turn == 11, "bogus").when(event % 3 == 0, V.FALSE_POSITIVE)
-        .when(event % 3 == 1, V.CONFIRMED).otherwise(V.ESCALATED)
-    )
-    steps = F.array(
-        step(1, "reopen", F.lit(None), turn == 2),
-        step(2, "resolve", first, F.lit(True)),
-        step(3, "resolve", F.lit(V.ESCALATED), turn == 3),
-        step(4, "reopen", F.lit(None), turn >= 4),
-        step(5, "resolve", F.lit(V.FALSE_POSITIVE), turn >= 8),
-        step(6, "reopen", F.lit(None), turn == 10),
-    )
-    return rows.select("reading_id", F.explode(F.filter(steps, lambda s: s.isNotNull())).alias("s")).select(
-        "reading_id", "s.*"
+    steps = ", ".join(
+        f"CASE WHEN {wanted} THEN named_struct('seq', {seq}L, 'action', '{action}', "
+        f"'resolution_reason', CAST({reason} AS STRING), 'actor', 'reviewer {seq}', "
+        f"'action_ts', {stamp(AS_OF)} + make_dt_interval({seq}), 'note', 'note {seq}') END"
+        for seq, action, reason, wanted in _STEPS
     )
+    turns = prior_queue(spark, sf_dir).selectExpr("reading_id", "CAST(reading_id AS BIGINT) % 12 AS turn")
+    return turns.selectExpr("reading_id", f"inline(filter(array({steps}), s -> s IS NOT NULL))")
 
 
 def resolved_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with their order as resolutions; the flag time is unknown where
     the goods left before the order date."""
-    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    o = load(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS l_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     li = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_shipdate")
-    reason = (
-        F.when(F.col("l_returnflag") == "R", V.FALSE_POSITIVE)
-        .when(F.col("l_returnflag") == "A", V.CONFIRMED).otherwise(V.ESCALATED)
-    )
-    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "inner").select(
-        F.format_string("CMPD%05d", "o_custkey").alias("compound_id"),
-        F.col("o_orderpriority").alias("assay_name"),
-        reason.alias("resolution_reason"),
-        F.col("l_shipdate").alias("resolved_ts"),
-        F.when(F.col("l_shipdate") >= F.col("o_orderdate"), F.col("o_orderdate")).alias("flagged_ts"),
+    return li.join(o, "l_orderkey").selectExpr(
+        "format_string('CMPD%05d', o_custkey) AS compound_id",
+        "o_orderpriority AS assay_name",
+        f"CASE l_returnflag WHEN 'R' THEN '{V.FALSE_POSITIVE}' WHEN 'A' THEN '{V.CONFIRMED}' "
+        f"ELSE '{V.ESCALATED}' END AS resolution_reason",
+        "l_shipdate AS resolved_ts",
+        "CASE WHEN l_shipdate >= o_orderdate THEN o_orderdate END AS flagged_ts",
     )

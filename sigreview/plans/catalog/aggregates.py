@@ -153,7 +153,7 @@ BY_ASSAY = """
 
 @query("a15_flags_by_assay", BY_ASSAY)
 def flags_by_assay(spark, d):
-    return kpi.flags_by_assay(B.prior_queue(spark, d), 7, B.as_of()).withColumn(
+    return kpi.flags_by_assay(B.prior_queue(spark, d), 7, B.AS_OF).withColumn(
         "percent_of_largest", F.round("percent_of_largest", 6))
 
 

@@ -15,39 +15,40 @@ _AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
     SELECT sample_id, CASE WHEN k <> 6 THEN compound_id END AS compound_id, CASE WHEN k <> 6 THEN plate END AS plate,
       CASE WHEN k <> 6 THEN well END AS well, CASE WHEN k <> 6 THEN replicate END AS replicate FROM composite""")
 def composite_id(spark, d):
-    sample = F.col("sample_id")
-    return B.composite_readings(spark, d).select(
-        "sample_id", parse.sample_compound(sample).alias("compound_id"), parse.sample_plate(sample).alias("plate"),
-        parse.sample_well(sample).alias("well"), parse.sample_replicate(sample).alias("replicate"))
+    sample = "sample_id"
+    return B.composite_readings(spark, d).selectExpr(
+        sample, f"{parse.sample_compound(sample)} AS compound_id", f"{parse.sample_plate(sample)} AS plate",
+        f"{parse.sample_well(sample)} AS well", f"{parse.sample_replicate(sample)} AS replicate")
 
 
 @query("f2_vendor_timestamp", """
     SELECT event_id, CASE WHEN k = 0 THEN NULL WHEN k = 1 THEN NULL ELSE date_trunc('milliseconds', ts) END AS parsed FROM ev""")
 def vendor_timestamp(spark, d):
-    k, ts = B.code(), F.col("ts")
     raw = (
-        F.when(k == 0, F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSS"))
-        .when(k == 1, F.concat(F.date_format(ts, "yyyy"), F.lit("0230 00:00:00.000")))
-        .when(k < 50, F.date_format(ts, "yyyyMMdd HH:mm:ss.SSSSSS"))
-        .otherwise(parse.vendor_timestamp_text(ts))
+        f"CASE WHEN {B.CODE} = 0 THEN date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSS') "
+        f"WHEN {B.CODE} = 1 THEN concat(date_format(ts, 'yyyy'), '0230 00:00:00.000') "
+        f"WHEN {B.CODE} < 50 THEN date_format(ts, 'yyyyMMdd HH:mm:ss.SSSSSS') "
+        f"ELSE {parse.vendor_timestamp_text('ts')} END AS raw"
     )
-    return B.events(spark, d).select("event_id", parse.vendor_timestamp(raw).alias("parsed"))
+    return B.events(spark, d).selectExpr("event_id", raw).selectExpr(
+        "event_id", f"{parse.vendor_timestamp('raw')} AS parsed")
 
 
 @query("f3_lenient_number", "SELECT event_id, CASE WHEN k >= 4 THEN value END AS parsed FROM ev")
 def lenient_number(spark, d):
-    k, v = B.code(), F.col("value").cast("string")
     raw = (
-        F.when(k == 0, "n/a").when(k == 1, F.concat(v, F.lit("f"))).when(k == 2, "")
-        .when(k == 3, F.lit(None)).when(k < 50, F.concat(F.lit(" "), v, F.lit(" "))).otherwise(v)
+        f"CASE WHEN {B.CODE} = 0 THEN 'n/a' WHEN {B.CODE} = 1 THEN concat(value, 'f') WHEN {B.CODE} = 2 THEN '' "
+        f"WHEN {B.CODE} = 3 THEN NULL WHEN {B.CODE} < 50 THEN concat(' ', value, ' ') "
+        "ELSE CAST(value AS STRING) END AS raw"
     )
-    return B.events(spark, d).select("event_id", parse.lenient_number(raw).alias("parsed"))
+    return B.events(spark, d).selectExpr("event_id", raw).selectExpr(
+        "event_id", f"{parse.lenient_number('raw')} AS parsed")
 
 
 @query("f4_nested_field", "SELECT event_id, CASE WHEN k >= 50 THEN k END AS k, CASE WHEN k >= 50 THEN 'uM' END AS unit FROM ev")
 def nested_field(spark, d):
     """A nested record with fields that are absent, or absent as a whole."""
-    k = B.code()
+    k = F.expr(B.CODE)
     body = F.when(k < 25, "{}").when(k < 50, '{"meas": null}').otherwise(
         F.concat(F.lit('{"meas": {"val": '), k.cast("string"), F.lit(', "uom": "uM"}}')))
     parsed = F.from_json(body, "meas struct<val:int, uom:string>")
@@ -58,24 +59,25 @@ def nested_field(spark, d):
 @query("f5_iso_timestamp", "SELECT event_id, CASE WHEN k > 0 THEN date_trunc('second', ts) END AS parsed FROM ev")
 def iso_timestamp(spark, d):
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
-    raw = F.when(B.code() == 0, F.concat(iso, F.lit("#"))).otherwise(iso)
-    return B.events(spark, d).select("event_id", parse.iso_timestamp(raw).alias("parsed"))
+    raw = F.when(F.expr(B.CODE) == 0, F.concat(iso, F.lit("#"))).otherwise(iso)
+    return B.events(spark, d).select("event_id", raw.alias("raw")).selectExpr(
+        "event_id", f"{parse.iso_timestamp('raw')} AS parsed")
 
 
 @query("f6_structure_placeholder", """
     SELECT DISTINCT compound_id, 'SYNTH-INCHIKEY-' || upper(substr(md5(compound_id), 1, 20)) AS placeholder FROM readings""")
 def structure_placeholder(spark, d):
-    return B.readings(spark, d).select(
-        "compound_id", privacy.structure_placeholder(F.col("compound_id")).alias("placeholder")).distinct()
+    return B.readings(spark, d).selectExpr(
+        "compound_id", f"{privacy.structure_placeholder('compound_id')} AS placeholder").distinct()
 
 
 @query("f7_f8_pseudonyms", """
     SELECT patient_ref, sha256(patient_ref || ':sigreview-test-salt') AS first_key,
       'anon-' || substr(sha256(sha256(patient_ref || ':sigreview-test-salt')), 1, 10) AS second_key FROM raw_obs""")
 def pseudonyms(spark, d):
-    key = privacy.pseudonym(F.col("patient_ref"), B.SALT)
-    return B.raw_observations(spark, d).select(
-        "patient_ref", key.alias("first_key"), privacy.second_pseudonym(key).alias("second_key"))
+    key = privacy.pseudonym("patient_ref", B.SALT)
+    return B.raw_observations(spark, d).selectExpr(
+        "patient_ref", f"{key} AS first_key", f"{privacy.second_pseudonym(key)} AS second_key")
 
 
 @query("f9_f10_f11_verdict", "SELECT reading_id, is_flagged, margin, reason FROM flags")
@@ -88,10 +90,10 @@ def verdict(spark, d):
       CASE c.correlation_state WHEN 'correlated' THEN 2 WHEN 'checked_no_correlation' THEN 1 ELSE 0 END AS state_rank
     FROM correlation c JOIN summary s USING (compound_id)""")
 def signal(spark, d):
-    state = F.col("correlation_state")
-    return B.correlation(spark, d).select(
-        "compound_id", "correlation_state", "signal_detail",
-        decide.signal_summary(state).alias("signal_summary"), decide.state_rank(state).alias("state_rank"))
+    state = "correlation_state"
+    return B.correlation(spark, d).selectExpr(
+        "compound_id", state, "signal_detail",
+        f"{decide.signal_summary(state)} AS signal_summary", f"{decide.state_rank(state)} AS state_rank")
 
 
 @query("f15_defaults", """
@@ -136,9 +138,9 @@ def abs_round(spark, d):
       CAST(round(CAST(epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts) AS DECIMAL(24, 6)) / 3600000000, 2) AS DOUBLE) AS hours
     FROM events""")
 def elapsed(spark, d):
-    seconds = kpi.elapsed_seconds(F.col("ts"), B.as_of())
-    return B.events(spark, d).select(
-        "event_id", F.round(seconds, 6).alias("seconds"), kpi.hours(seconds).alias("hours"))
+    seconds = kpi.elapsed_seconds("ts", text.stamp(B.AS_OF))
+    return B.events(spark, d).selectExpr(
+        "event_id", f"round({seconds}, 6) AS seconds", f"{kpi.hours(seconds)} AS hours")
 
 
 @query("f20_f21_task_text", """
@@ -149,12 +151,10 @@ def elapsed(spark, d):
         || CAST(CAST(round_even(observed_fpr * 100, 0) AS BIGINT) AS VARCHAR) || '% > 34%).' AS action_text FROM drift""")
 def task_text(spark, d):
     rates = drift.drift_rates(B.resolved_items(spark, d), B.TOLERANCE)
-    fpr = F.col("observed_fpr")
-    return rates.select(
-        "assay_name", text.percent(fpr).alias("rate_text"),
-        text.task_id(F.col("assay_name"), B.as_of()).alias("task_id"),
-        text.task_action(F.col("assay_name"), F.col("n_false_positive"), F.col("n_resolved"), fpr, B.TOLERANCE)
-        .alias("action_text"))
+    action = text.task_action("assay_name", "n_false_positive", "n_resolved", "observed_fpr", B.TOLERANCE)
+    return rates.selectExpr(
+        "assay_name", f"{text.percent('observed_fpr')} AS rate_text",
+        f"{text.task_id('assay_name', B.AS_OF)} AS task_id", f"{action} AS action_text")
 
 
 @query("f22_stamp", f"SELECT reading_id, {_AS_OF} AS evaluated_ts FROM flags")
@@ -168,22 +168,22 @@ def stamp(spark, d):
       CASE WHEN k >= 10 THEN 'value ' || CAST(value AS VARCHAR) END AS rationale, k >= 20 AS is_valid FROM ev""")
 def reply_parse(spark, d):
     """Replies built from the events: some of one line, some with an unknown action."""
-    k, event = B.code(), F.col("event_id")
-    choice = F.element_at(F.array(*[F.lit(a) for a in V.ADVISORY_ACTIONS]), (event % 4 + 1).cast("int"))
-    action = F.when(k < 20, "call the lab").otherwise(choice)
-    rationale = F.concat(F.lit("RATIONALE: value "), F.col("value").cast("string"))
-    reply = F.when(k < 10, F.concat(F.lit("ACTION: "), action)).otherwise(
-        F.concat(F.lit("ACTION: "), action, F.lit("\n"), rationale))
-    return B.events(spark, d).select(
-        "event_id", text.reply_action(reply).alias("action"), text.reply_rationale(reply).alias("rationale"),
-        text.reply_valid(reply).alias("is_valid"))
+    choices = ", ".join(text.quote(a) for a in V.ADVISORY_ACTIONS)
+    action = f"CASE WHEN {B.CODE} < 20 THEN 'call the lab' ELSE array({choices})[CAST(event_id % 4 AS INT)] END"
+    reply = (
+        f"CASE WHEN {B.CODE} < 10 THEN concat('{V.REPLY_ACTION}', {action}) ELSE "
+        f"concat('{V.REPLY_ACTION}', {action}, '\\n', '{V.REPLY_RATIONALE}', 'value ', value) END AS reply"
+    )
+    return B.events(spark, d).selectExpr("event_id", reply).selectExpr(
+        "event_id", f"{text.reply_action('reply')} AS action", f"{text.reply_rationale('reply')} AS rationale",
+        f"{text.reply_valid('reply')} AS is_valid")
 
 
 @query("f25_group_id", """
     SELECT coalesce(CASE WHEN k <> 6 THEN compound_id END, 'none') AS group_id, count(*) AS n FROM composite GROUP BY 1""")
 def group_id(spark, d):
-    group = F.coalesce(parse.sample_group(F.col("sample_id")), F.lit("none"))
-    return B.composite_readings(spark, d).groupBy(group.alias("group_id")).agg(F.count(F.lit(1)).alias("n"))
+    group = f"coalesce({parse.sample_group('sample_id')}, 'none') AS group_id"
+    return B.composite_readings(spark, d).selectExpr(group).groupBy("group_id").agg(F.expr("count(1) AS n"))
 
 
 @query("u3_masks", """
@@ -192,9 +192,9 @@ def group_id(spark, d):
       (m.member OR o.observation_type <> 'lab_result') AS visible
     FROM obs o JOIN (VALUES (TRUE), (FALSE)) m(member) ON TRUE""")
 def masks(spark, d):
-    member = F.col("is_member")
-    both = B.observations(spark, d).withColumn("is_member", F.explode(F.array(F.lit(True), F.lit(False))))
-    return both.select(
-        "is_member", privacy.mask_value(F.col("value"), member).alias("value"),
-        privacy.mask_key(F.col("patient_pseudonym"), member).alias("patient_key"),
-        privacy.row_visible(F.col("observation_type"), member).alias("visible"))
+    member = "is_member"
+    both = B.observations(spark, d).selectExpr("*", "explode(array(TRUE, FALSE)) AS is_member")
+    return both.selectExpr(
+        member, f"{privacy.mask_value('value', member)} AS value",
+        f"{privacy.mask_key('patient_pseudonym', member)} AS patient_key",
+        f"{privacy.row_visible('observation_type', member)} AS visible")

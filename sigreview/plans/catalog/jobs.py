@@ -4,6 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ... import fixed_values as V
+from ...functions import text
 from ...operators import actions, advice, correlate, deidentify, drift, kpi, lookups, quality, registry
 from ...operators import review_queue, rollup
 from ...schemas import READING, RESOLVED_ITEM
@@ -108,7 +109,7 @@ _PROMPT = """
 
 
 def _prompts(spark, d):
-    return advice.recommendation_prompts(B.flags(spark, d), B.correlation(spark, d), B.as_of(), B.MODEL)
+    return advice.recommendation_prompts(B.flags(spark, d), B.correlation(spark, d), B.AS_OF, B.MODEL)
 
 
 @query("c11_recommendation_prompts", _PROMPT)
@@ -135,7 +136,7 @@ def recommend(spark, d):
 @query("c13_sync_queue", "SELECT * EXCLUDE (change) FROM merged")
 def sync_queue(spark, d):
     return review_queue.sync_queue(
-        B.prior_queue(spark, d), B.flags(spark, d), B.correlation(spark, d), B.as_of())[0]
+        B.prior_queue(spark, d), B.flags(spark, d), B.correlation(spark, d), B.AS_OF)[0]
 
 
 @query("c13_sync_summary", """
@@ -145,7 +146,7 @@ def sync_queue(spark, d):
       count(*) FILTER (WHERE status = 'resolved') AS n_resolved, count(*) FILTER (WHERE status = 'cleared') AS n_cleared FROM merged""")
 def sync_summary(spark, d):
     return review_queue.sync_queue(
-        B.prior_queue(spark, d), B.flags(spark, d), B.correlation(spark, d), B.as_of())[1]
+        B.prior_queue(spark, d), B.flags(spark, d), B.correlation(spark, d), B.AS_OF)[1]
 
 
 @query("c13_clear_stale", f"""
@@ -154,7 +155,7 @@ def sync_summary(spark, d):
       CASE WHEN status = 'open' AND reading_id NOT IN (SELECT reading_id FROM queue_source) THEN {_AS_OF} ELSE synced_ts END AS synced_ts)
     FROM prior_queue""")
 def clear_stale(spark, d):
-    return review_queue.clear_stale(B.prior_queue(spark, d), B.queue_source(spark, d), B.as_of())
+    return review_queue.clear_stale(B.prior_queue(spark, d), B.queue_source(spark, d), B.AS_OF)
 
 
 @query("c13_sync_options", f"""
@@ -198,9 +199,9 @@ _TASKS = f"""
 def drift_tasks(spark, d):
     """The second run of a day refreshes the tasks of the first."""
     items = B.resolved_items(spark, d)
-    first = drift.drift_tasks(drift.drift_rates(items, B.TOLERANCE), B.TOLERANCE, B.as_of()).withColumns(
-        {"status": F.lit("done"), "opened_ts": B.earlier()})
-    _, tasks = drift.drift_check(items, first, B.as_of(), B.TOLERANCE)
+    first = drift.drift_tasks(drift.drift_rates(items, B.TOLERANCE), B.TOLERANCE, B.AS_OF).withColumns(
+        {"status": F.lit("done"), "opened_ts": F.expr(text.stamp(B.EARLIER_STAMP))})
+    _, tasks = drift.drift_check(items, first, B.AS_OF, B.TOLERANCE)
     return tasks.withColumn("observed_fpr", F.round("observed_fpr", 6))
 
 

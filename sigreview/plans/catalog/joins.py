@@ -99,7 +99,7 @@ def keyed_upsert(spark, d):
       AND reading_id NOT IN (SELECT reading_id FROM earlier_flags WHERE is_flagged)""")
 def insert_if_absent(spark, d):
     columns = ("reading_id", "assay_name", "margin")
-    log = B.flags(spark, d, B.EARLIER, B.earlier()).where("is_flagged").select(*columns)
+    log = B.flags(spark, d, B.EARLIER, B.EARLIER_STAMP).where("is_flagged").select(*columns)
     rows = B.flags(spark, d).where("is_flagged").select(*columns)
     return review_queue.insert_if_absent(log, rows, ["reading_id"])
 

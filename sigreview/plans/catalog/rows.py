@@ -46,14 +46,14 @@ def null_drop(spark, d):
 
 @query("p6_status_filter", "SELECT reading_id, compound_id, margin FROM prior_queue WHERE status = 'open'")
 def status_filter(spark, d):
-    return rollup.open_rows(B.prior_queue(spark, d)).select("reading_id", "compound_id", "margin")
+    return review_queue.open_rows(B.prior_queue(spark, d)).select("reading_id", "compound_id", "margin")
 
 
 @query("p7_trailing_days", """
     SELECT sample_id, acquired_ts FROM readings
     WHERE acquired_ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY""")
 def trailing_days(spark, d):
-    return kpi.trailing_days(B.readings(spark, d), "acquired_ts", 7, B.as_of()).select(
+    return kpi.trailing_days(B.readings(spark, d), "acquired_ts", 7, B.AS_OF).select(
         "sample_id", "acquired_ts")
 
 
@@ -174,7 +174,7 @@ def nested_order(spark, d):
     SELECT sample_id, assay_name, row_number() OVER (ORDER BY sample_id, assay_name) AS position FROM readings""")
 def source_order(spark, d):
     slim = B.readings(spark, d).select("sample_id", "assay_name")
-    return spread.number_rows(slim, [F.col("sample_id").asc(), F.col("assay_name").asc()])
+    return spread.number_rows(slim, ["sample_id", "assay_name"])
 
 
 # --- set operations ------------------------------------------------------------
@@ -203,7 +203,7 @@ def labelled_union(spark, d):
     SELECT reading_id FROM earlier_flags WHERE is_flagged
       AND reading_id NOT IN (SELECT reading_id FROM flags WHERE is_flagged)""")
 def no_longer_flagged(spark, d):
-    before = B.flags(spark, d, B.EARLIER, B.earlier()).where("is_flagged").select("reading_id")
+    before = B.flags(spark, d, B.EARLIER, B.EARLIER_STAMP).where("is_flagged").select("reading_id")
     now = B.flags(spark, d).where("is_flagged").select("reading_id")
     return before.join(now, "reading_id", "left_anti")
 

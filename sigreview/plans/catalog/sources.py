@@ -64,7 +64,7 @@ def cell_unwrap(spark, d):
     ).alias("values")))
     plain = F.to_json(F.array(kind, value))
     raw = B.events(spark, d).select(
-        "event_id", F.when(B.code() < 50, wrapped).otherwise(plain).alias("body"))
+        "event_id", F.when(F.expr(B.CODE) < 50, wrapped).otherwise(plain).alias("body"))
     return resultset.unwrap_cells(raw).select(
         "event_id", F.col("cells")[0].alias("first_cell"), F.col("cells")[1].alias("second_cell"))
 
@@ -97,7 +97,7 @@ def json_page_files(spark, d):
       CASE WHEN k <> 8 THEN value END AS result_value,
       CASE WHEN k <> 9 THEN ts END AS acquired_ts FROM ev""")
 def schema_coercion(spark, d):
-    k = B.code()
+    k = F.expr(B.CODE)
     staged = B.events(spark, d).select(
         F.col("event_id").cast("string").alias("sample_id"),
         F.when(k < 7, "x").otherwise((1 + k).cast("string")).alias("replicate"),

@@ -17,7 +17,7 @@ def _event_stream(spark, d):
     """The events table as a stream of readings."""
     schema = B.events(spark, d).schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return B.readings_of(source).drop("event_id")
+    return B.readings_of(source)
 
 
 def _run(query_, name):
@@ -59,7 +59,7 @@ def drop_repeats(spark, d):
 @query("t3_score_stream", "SELECT * FROM flags")
 def score_stream(spark, d):
     past = scoring.history(B.readings(spark, d))
-    scored = incremental.score_stream(_event_stream(spark, d), B.reference(spark), past, B.as_of())
+    scored = incremental.score_stream(_event_stream(spark, d), B.reference(spark), past, B.AS_OF)
     return _appended(spark, scored, "flags")
 
 
@@ -70,7 +70,7 @@ def sync_stream(spark, d):
     root = scratch_path(spark, "queue")
     running = incremental.start_sync(
         _event_stream(spark, d), B.prior_queue(spark, d), B.reference(spark),
-        scoring.history(B.readings(spark, d)), B.correlation(spark, d), B.as_of(), root,
+        scoring.history(B.readings(spark, d)), B.correlation(spark, d), B.AS_OF, root,
         scratch_path(spark, "queue-state"),
     )
     _run(running, "queue")

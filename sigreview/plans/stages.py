@@ -7,8 +7,9 @@ sizes and does not recompute what came before.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import actions, advice, correlate, deidentify, drift, kpi, quality, registry
 from ..operators import review_queue, rollup, scoring
@@ -23,7 +24,7 @@ class Batch:
 
     spark: SparkSession
     folder: str
-    as_of: Column
+    as_of: datetime
     salt: str
     model_label: str = "advisory-model"
     tables: dict[str, DataFrame] = field(default_factory=dict)

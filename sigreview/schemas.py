@@ -68,12 +68,6 @@ RESULT_SET = (
     "columns array<struct<name:string, path:string>>, rows array<array<string>>"
 )
 
-FLAG_COLUMNS = (
-    "compound_id", "reading_id", "assay_name", "result_value", "result_unit", "is_flagged",
-    "reason", "concern_direction", "threshold", "threshold_unit", "margin", "compound_prior_n",
-    "compound_prior_mean", "is_synthetic_reference", "evaluated_ts",
-)
-
 QUEUE = table(
     "reading_id string, compound_id string, assay_name string, result_value double, "
     "result_unit string, concern_direction string, threshold double, threshold_unit string, "

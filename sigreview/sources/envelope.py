@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import parse
+from ..functions.text import quote
 from ..operators.spread import number_rows
 from ..schemas import OBJECT_LIST, READING, READING_PAGE
 from .coerce import to_declared
@@ -53,22 +54,23 @@ def vendor_records(pages: DataFrame) -> DataFrame:
 
 def unmarshal(records: DataFrame, record: str = "record") -> DataFrame:
     """Vendor record to the 13 declared columns; what is missing becomes NULL."""
-    sample = F.col(f"{record}.smpl")
-    return records.select(
-        sample.alias("sample_id"),
-        parse.sample_compound(sample).alias("compound_id"),
-        parse.sample_plate(sample).alias("plate"),
-        parse.sample_well(sample).alias("well"),
-        parse.sample_replicate(sample).alias("replicate"),
-        F.col(f"{record}.analyte").alias("assay_name"),
-        parse.lenient_number(F.col(f"{record}.meas.val")).alias("result_value"),
-        F.col(f"{record}.meas.uom").alias("result_unit"),
-        parse.vendor_timestamp(F.col(f"{record}.acqTs")).alias("acquired_ts"),
-        F.col(f"{record}.proto").alias("assay_protocol"),
-        F.col(f"{record}.operator").alias("operator_id"),
-        F.col(f"{record}.batchGuid").alias("batch_guid"),
-        F.col(f"{record}.qcFlag").alias("qc_flag"),
-    )
+    sample = f"{record}.smpl"
+    typed = {
+        "sample_id": sample,
+        "compound_id": parse.sample_compound(sample),
+        "plate": parse.sample_plate(sample),
+        "well": parse.sample_well(sample),
+        "replicate": parse.sample_replicate(sample),
+        "assay_name": f"{record}.analyte",
+        "result_value": parse.lenient_number(f"{record}.meas.val"),
+        "result_unit": f"{record}.meas.uom",
+        "acquired_ts": parse.vendor_timestamp(f"{record}.acqTs"),
+        "assay_protocol": f"{record}.proto",
+        "operator_id": f"{record}.operator",
+        "batch_guid": f"{record}.batchGuid",
+        "qc_flag": f"{record}.qcFlag",
+    }
+    return records.selectExpr(*[f"{sql} AS {name}" for name, sql in typed.items()])
 
 
 def ingest_readings(pages: DataFrame) -> DataFrame:
@@ -84,20 +86,13 @@ def list_objects(raw: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
-def vendor_record_of(readings: DataFrame) -> Column:
-    """Reading columns as the vendor's nested record of strings."""
-    return F.struct(
-        F.col("sample_id").alias("smpl"),
-        F.col("assay_name").alias("analyte"),
-        F.struct(
-            F.col("result_value").cast("string").alias("val"), F.col("result_unit").alias("uom")
-        ).alias("meas"),
-        parse.vendor_timestamp_text(F.col("acquired_ts")).alias("acqTs"),
-        F.col("assay_protocol").alias("proto"),
-        F.col("operator_id").alias("operator"),
-        F.col("batch_guid").alias("batchGuid"),
-        F.col("qc_flag").alias("qcFlag"),
-    )
+# Reading columns as the vendor's nested record of strings.
+_RECORD = (
+    "named_struct('smpl', sample_id, 'analyte', assay_name, "
+    "'meas', named_struct('val', CAST(result_value AS STRING), 'uom', result_unit), "
+    f"'acqTs', {parse.vendor_timestamp_text('acquired_ts')}, 'proto', assay_protocol, "
+    "'operator', operator_id, 'batchGuid', batch_guid, 'qcFlag', qc_flag)"
+)
 
 
 def write_envelopes(
@@ -112,29 +107,22 @@ def write_envelopes(
 
     ``order`` must be a total order, so pages come out the same on every run.
     """
-    slim = readings.select(*order, vendor_record_of(readings).alias("_record"))
-    numbered = number_rows(
-        slim, [F.col(c).asc() for c in order], name="_position", group_size="_total"
-    )
-    offset = F.col("_position") - 1
-    paged = numbered.withColumn("page_offset", offset - F.pmod(offset, F.lit(page_size)))
+    slim = readings.selectExpr(*order, f"{_RECORD} AS record")
+    paged = number_rows(slim, list(order), name="position", group_size="total").selectExpr(
+        f"position - 1 - pmod(position - 1, {page_size}) AS page_offset", "position", "total", "record")
+    # A page is bounded by its size, so its records can be gathered in one row.
     pages = paged.groupBy("page_offset").agg(
-        F.max("_total").alias("_total"),
-        F.sort_array(F.collect_list(F.struct("_position", "_record"))).alias("_sorted"),
+        F.expr("max(total) AS total"),
+        F.expr("sort_array(collect_list(struct(position, record))) AS sorted"),
     )
-    returned = F.size("_sorted").cast("bigint")
-    following = F.col("page_offset") + returned
-    return pages.select(
-        "page_offset",
-        F.to_json(F.struct(F.struct(
-            F.lit(exported_at).alias("exportedAt"),
-            F.lit(object_name).alias("object"),
-            F.struct(
-                F.col("_total").alias("totalCount"),
-                returned.alias("returned"),
-                F.col("page_offset").alias("offset"),
-                F.when(following < F.col("_total"), following).alias("nextOffset"),
-                F.transform("_sorted", lambda r: r["_record"]).alias("records"),
-            ).alias("resultSet"),
-        ).alias("LIMS_EXPORT"))).alias("body"),
+    following = "page_offset + size(sorted)"
+    result_set = (
+        "named_struct('totalCount', total, 'returned', CAST(size(sorted) AS BIGINT), "
+        f"'offset', page_offset, 'nextOffset', CASE WHEN {following} < total THEN {following} END, "
+        "'records', transform(sorted, r -> r.record))"
+    )
+    envelope = (
+        f"named_struct('exportedAt', {quote(exported_at)}, 'object', {quote(object_name)}, "
+        f"'resultSet', {result_set})"
     )
+    return pages.selectExpr("page_offset", f"to_json(named_struct('LIMS_EXPORT', {envelope})) AS body")

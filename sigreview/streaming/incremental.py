@@ -7,8 +7,9 @@ time since it was last written.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -45,7 +46,7 @@ def drop_repeats(
 
 
 def score_stream(
-    readings: DataFrame, reference: DataFrame, past: DataFrame, as_of: Column
+    readings: DataFrame, reference: DataFrame, past: DataFrame, as_of: datetime
 ) -> DataFrame:
     """Verdicts for new readings against a static reference and history."""
     return score_readings(readings, reference, as_of, past)
@@ -74,7 +75,7 @@ def start_sync(
     reference: DataFrame,
     past: DataFrame,
     correlation: DataFrame,
-    as_of: Column,
+    as_of: datetime,
     root: str,
     checkpoint: str,
     **trigger,
@@ -103,7 +104,7 @@ def start_live_counts(
 ) -> StreamingQuery:
     """Running counts per group, rewritten as a small snapshot at each trigger
     (for a panel: ``processingTime="45 seconds"``)."""
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(*by).agg(F.expr("count(1) AS n"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(_snapshot(root, batch_id))
