@@ -1,9 +1,9 @@
 """Page folders as a Spark data source, for batch and incremental reads.
 
-The folder holds one sub-folder ``page_offset=<n>`` per landed page, each with
-one JSON page per line, as ``land_pages`` writes them.  Planning lists names
-only; every task reads its own range of pages.  The folder must be mounted on
-all executors.  For object stores read the same files with
+The folder holds sub-folders ``from_offset=<n>``, each with a run of pages from
+record offset n on, one JSON page per line, as ``land_pages`` writes them.
+Planning lists names only; every task reads its own folders.  The folder must be
+mounted on all executors.  For object stores read the same files with
 ``envelope.read_pages``.
 """
 
@@ -21,16 +21,20 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-PAGES_PER_TASK = 16
-_PREFIX = "page_offset="
+from ..fixed_values import READING_PAGE_SIZE
 
+RECORDS_PER_FOLDER = 50 * READING_PAGE_SIZE
+FOLDERS_PER_TASK = 1
+_PREFIX = "from_offset="
 
-def land_pages(pages: DataFrame, path: str) -> None:
-    """Write (page_offset, body) rows as page folders."""
-    pages.select("page_offset", "body").write.mode("overwrite").partitionBy("page_offset").text(path)
 
+def land_pages(pages: DataFrame, path: str, records_per_folder: int = RECORDS_PER_FOLDER) -> None:
+    """Append (page_offset, body) rows as page folders."""
+    start = f"page_offset - pmod(page_offset, {int(records_per_folder)}) AS from_offset"
+    pages.selectExpr("body", start).write.mode("append").partitionBy("from_offset").text(path)
 
-class PageRange(InputPartition):
+
+class FolderRange(InputPartition):
     def __init__(self, offsets: list[int]):
         self.offsets = offsets
 
@@ -40,8 +44,8 @@ def _landed(path: str) -> list[int]:
     return sorted(int(n[len(_PREFIX):]) for n in names)
 
 
-def _ranges(offsets: list[int], per_task: int) -> list[PageRange]:
-    return [PageRange(offsets[i:i + per_task]) for i in range(0, len(offsets), per_task)]
+def _ranges(offsets: list[int], per_task: int) -> list[FolderRange]:
+    return [FolderRange(offsets[i:i + per_task]) for i in range(0, len(offsets), per_task)]
 
 
 def _page_lines(path: str, offsets: list[int]) -> Iterator[tuple[int, str]]:
@@ -62,21 +66,21 @@ def _folder(options: dict) -> str:
 class PageReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = _folder(options)
-        self.per_task = int(options.get("pages_per_task", PAGES_PER_TASK))
+        self.per_task = int(options.get("folders_per_task", FOLDERS_PER_TASK))
 
     def partitions(self) -> list[InputPartition]:
         return _ranges(_landed(self.path), self.per_task)
 
-    def read(self, partition: PageRange) -> Iterator[tuple[int, str]]:
+    def read(self, partition: FolderRange) -> Iterator[tuple[int, str]]:
         return _page_lines(self.path, partition.offsets)
 
 
 class PageStreamReader(DataSourceStreamReader):
-    """Offsets are ``{"offset": n}``: pages with a lower offset have been read."""
+    """Offsets are ``{"offset": n}``: folders that start below n have been read."""
 
     def __init__(self, options: dict):
         self.path = _folder(options)
-        self.per_task = int(options.get("pages_per_task", PAGES_PER_TASK))
+        self.per_task = int(options.get("folders_per_task", FOLDERS_PER_TASK))
 
     def initialOffset(self) -> dict:
         return {"offset": 0}
@@ -89,19 +93,19 @@ class PageStreamReader(DataSourceStreamReader):
         span = [o for o in _landed(self.path) if start["offset"] <= o < end["offset"]]
         return _ranges(span, self.per_task)
 
-    def read(self, partition: PageRange) -> Iterator[tuple[int, str]]:
+    def read(self, partition: FolderRange) -> Iterator[tuple[int, str]]:
         return _page_lines(self.path, partition.offsets)
 
 
 class VendorPages(DataSource):
-    """``spark.read.format("vendor_pages").load(path)`` gives (page_offset, body)."""
+    """``spark.read.format("vendor_pages").load(path)`` gives (from_offset, body)."""
 
     @classmethod
     def name(cls) -> str:
         return "vendor_pages"
 
     def schema(self) -> str:
-        return "page_offset bigint, body string"
+        return "from_offset bigint, body string"
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return PageReader(self.options)
