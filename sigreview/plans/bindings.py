@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions.text import stamp
-from ..operators import correlate, deidentify, registry, review_queue, scoring
-from ..schemas import QUEUE
+from ..operators import actions, correlate, deidentify, registry, review_queue, scoring
+from ..schemas import QUEUE, RESOLVED_ITEM
+from ..session import pin
 from ..sources import envelope
 from ..sources.tables import threshold_table
 
@@ -165,18 +166,27 @@ def compound_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.compound_registry(readings(spark, sf_dir))
 
 
-def correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+def correlation(spark: SparkSession, sf_dir: str, flagged: DataFrame | None = None) -> DataFrame:
     return correlate.correlate(
-        flags(spark, sf_dir), crosswalk_seed(spark, sf_dir), observations(spark, sf_dir), AS_OF
+        flags(spark, sf_dir) if flagged is None else flagged,
+        crosswalk_seed(spark, sf_dir), observations(spark, sf_dir), AS_OF,
     )
 
 
+def written_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flag table as a written stage, for jobs that read it more than once."""
+    return pin(flags(spark, sf_dir))
+
+
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.public_summary(correlation(spark, sf_dir))
 
 
 def prior_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The queue an earlier calibration left: open, resolved and cleared rows."""
+    """The queue an earlier calibration left: open, resolved and cleared rows.
+
+    A queue is a written snapshot, so it is written here too.
+    """
     turn = "CAST(reading_id AS BIGINT) % 7"
     at = stamp(EARLIER_STAMP)
     out = {f.name: f.name for f in QUEUE} | {
@@ -193,11 +203,12 @@ def prior_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
         "clinical_signal_detail": "CAST(NULL AS STRING)",
     }
     flagged = flags(spark, sf_dir, EARLIER, EARLIER_STAMP).where("is_flagged")
-    return flagged.selectExpr(*[f"{sql} AS {name}" for name, sql in out.items()])
+    return pin(flagged.selectExpr(*[f"{sql} AS {name}" for name, sql in out.items()]))
 
 
 def queue_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review_queue.queue_source(flags(spark, sf_dir), correlation(spark, sf_dir))
+    flagged = written_flags(spark, sf_dir)
+    return review_queue.queue_source(flagged, correlation(spark, sf_dir, flagged))
 
 
 def merged_queue(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -222,7 +233,7 @@ _STEPS = (
 )
 
 
-def action_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def action_log(prior: DataFrame) -> DataFrame:
     """Reviewer actions on every row of the prior queue, legal and void ones."""
     steps = ", ".join(
         f"CASE WHEN {wanted} THEN named_struct('seq', {seq}L, 'action', '{action}', "
@@ -230,10 +241,17 @@ def action_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"'action_ts', {stamp(AS_OF)} + make_dt_interval({seq}), 'note', 'note {seq}') END"
         for seq, action, reason, wanted in _STEPS
     )
-    turns = prior_queue(spark, sf_dir).selectExpr("reading_id", "CAST(reading_id AS BIGINT) % 12 AS turn")
+    turns = prior.selectExpr("reading_id", "CAST(reading_id AS BIGINT) % 12 AS turn")
     return turns.selectExpr("reading_id", f"inline(filter(array({steps}), s -> s IS NOT NULL))")
 
 
+def acted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(queue, resolved log) after the action log; resolved rows are logged already."""
+    prior = prior_queue(spark, sf_dir)
+    done = prior.where(f"status = '{V.RESOLVED}'").select(*RESOLVED_ITEM.fieldNames())
+    return actions.apply_actions(prior, done, action_log(prior))
+
+
 def resolved_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with their order as resolutions; the flag time is unknown where
     the goods left before the order date."""

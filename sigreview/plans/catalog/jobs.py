@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from ... import fixed_values as V
 from ...functions import text
-from ...operators import actions, advice, correlate, deidentify, drift, kpi, lookups, quality, registry
+from ...operators import advice, deidentify, drift, kpi, lookups, quality, registry
 from ...operators import review_queue, rollup
-from ...schemas import READING, RESOLVED_ITEM
+from ...schemas import READING
 from ...sources import envelope, resultset
 from .. import bindings as B
 from .. import questions
@@ -109,7 +109,8 @@ _PROMPT = """
 
 
 def _prompts(spark, d):
-    return advice.recommendation_prompts(B.flags(spark, d), B.correlation(spark, d), B.AS_OF, B.MODEL)
+    flags = B.written_flags(spark, d)
+    return advice.recommendation_prompts(flags, B.correlation(spark, d, flags), B.AS_OF, B.MODEL)
 
 
 @query("c11_recommendation_prompts", _PROMPT)
@@ -133,10 +134,15 @@ def recommend(spark, d):
     return replies.select("compound_id", "part", "action", "rationale", "is_valid")
 
 
+def _synced(spark, d):
+    flags = B.written_flags(spark, d)
+    return review_queue.sync_queue(
+        B.prior_queue(spark, d), flags, B.correlation(spark, d, flags), B.AS_OF)
+
+
 @query("c13_sync_queue", "SELECT * EXCLUDE (change) FROM merged")
 def sync_queue(spark, d):
-    return review_queue.sync_queue(
-        B.prior_queue(spark, d), B.flags(spark, d), B.correlation(spark, d), B.AS_OF)[0]
+    return _synced(spark, d)[0]
 
 
 @query("c13_sync_summary", """
@@ -145,8 +151,7 @@ def sync_queue(spark, d):
       count(*) FILTER (WHERE change = 'cleared') AS cleared_stale, count(*) FILTER (WHERE status = 'open') AS n_open,
       count(*) FILTER (WHERE status = 'resolved') AS n_resolved, count(*) FILTER (WHERE status = 'cleared') AS n_cleared FROM merged""")
 def sync_summary(spark, d):
-    return review_queue.sync_queue(
-        B.prior_queue(spark, d), B.flags(spark, d), B.correlation(spark, d), B.AS_OF)[1]
+    return _synced(spark, d)[1]
 
 
 @query("c13_clear_stale", f"""
@@ -171,9 +176,7 @@ def sync_options(spark, d):
 
 @query("c14_apply_actions", "SELECT * FROM acted")
 def apply_actions(spark, d):
-    q = B.prior_queue(spark, d)
-    log = q.where(F.col("status") == V.RESOLVED).select(*RESOLVED_ITEM.fieldNames())
-    return actions.apply_actions(q, log, B.action_log(spark, d))[0]
+    return B.acted(spark, d)[0]
 
 
 @query("c15_queue_rollup", """

@@ -3,8 +3,7 @@
 from pyspark.sql import functions as F
 
 from ...functions import sql_functions
-from ...operators import actions, correlate, review_queue, scoring
-from ...schemas import RESOLVED_ITEM
+from ...operators import correlate, review_queue, scoring
 from ...session import scratch_path
 from ...sources.tables import save_folder
 from .. import bindings as B
@@ -154,6 +153,4 @@ def check_signal(spark, d):
 
 @query("j10_resolved_log", "SELECT * FROM resolved_log")
 def resolved_log(spark, d):
-    q = B.prior_queue(spark, d)
-    log = q.where(F.col("status") == "resolved").select(*RESOLVED_ITEM.fieldNames())
-    return actions.apply_actions(q, log, B.action_log(spark, d))[1]
+    return B.acted(spark, d)[1]

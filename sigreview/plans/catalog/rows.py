@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from ...operators import (
     actions, correlate, deidentify, kpi, lookups, quality, review_queue, rollup, scoring, spread,
 )
-from ...schemas import RESOLVED_ITEM
 from .. import bindings as B
 from .base import query
 
@@ -88,7 +87,7 @@ def point_lookup(spark, d):
     SELECT reading_id, seq, action, resolution_reason, coalesce(action = 'reopen' OR resolution_reason IN
       ('false_positive', 'confirmed_concern', 'escalated_for_confirmatory_assay'), FALSE) AS accepted FROM action_log""")
 def reason_validation(spark, d):
-    accepted, rejected = actions.split_actions(B.action_log(spark, d))
+    accepted, rejected = actions.split_actions(B.action_log(B.prior_queue(spark, d)))
     columns = ("reading_id", "seq", "action", "resolution_reason")
     return accepted.select(*columns, F.lit(True).alias("accepted")).unionByName(
         rejected.select(*columns, F.lit(False).alias("accepted")))
@@ -121,13 +120,7 @@ def share_of_worst(spark, d):
 
 @query("w4_action_fold", "SELECT reading_id, status, resolved_by, resolution_reason FROM acted")
 def action_fold(spark, d):
-    q = B.prior_queue(spark, d)
-    folded, _ = actions.apply_actions(q, _prior_log(q), B.action_log(spark, d))
-    return folded.select("reading_id", "status", "resolved_by", "resolution_reason")
-
-
-def _prior_log(q):
-    return q.where(F.col("status") == "resolved").select(*RESOLVED_ITEM.fieldNames())
+    return B.acted(spark, d)[0].select("reading_id", "status", "resolved_by", "resolution_reason")
 
 
 # --- sorts -------------------------------------------------------------------

@@ -4,19 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import fixed_values as V
+from ..functions.text import quote
 from ..schemas import CROSSWALK_SEED, THRESHOLD
 
 LITERAL_ROWS = 10_000
 
 
-def literal_table(spark: SparkSession, rows, schema) -> DataFrame:
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    return quote(value) if isinstance(value, str) else str(value)
+
+
+def literal_table(spark: SparkSession, rows, schema: StructType) -> DataFrame:
     """A small table given in code; its size is checked, as it gets broadcast."""
     rows = list(rows)
-    if len(rows) > LITERAL_ROWS:
+    if not 0 < len(rows) <= LITERAL_ROWS:
         raise ValueError(f"{len(rows)} literal rows; write a table instead")
-    return spark.createDataFrame(rows, schema)
+    values = ", ".join(f"({', '.join(_literal(v) for v in row)})" for row in rows)
+    typed = ", ".join(f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema)
+    return spark.sql(f"SELECT {typed} FROM VALUES {values} AS t({', '.join(schema.fieldNames())})")
 
 
 def threshold_table(spark: SparkSession, rows=V.THRESHOLD_ROWS) -> DataFrame:
