@@ -20,7 +20,8 @@ from ..sources.tables import save_folder
 
 @dataclass
 class Batch:
-    """Inputs and settings of one run; ``folder`` takes the written stages."""
+    """Settings of one run.  ``folder`` takes the written stages and must be new
+    for each run: the previous queue is read while the next one is written."""
 
     spark: SparkSession
     folder: str

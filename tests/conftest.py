@@ -10,6 +10,6 @@ from sigreview.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "sigreview-tests")
+    session = local_session(8, "sigreview-tests", **{"spark.sql.shuffle.partitions": "4"})
     session.sparkContext.setLogLevel("ERROR")
     return session
