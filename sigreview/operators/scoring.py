@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import decide
 from ..functions.text import stamp
+from ..session import pin
 from .spread import HOT_ROWS, join_dimension, join_unique
 
 
@@ -77,14 +78,15 @@ def score_readings(
 ) -> DataFrame:
     """One explained verdict per reading; nothing is dropped.
 
-    The history joins last, as its shuffle then moves rows already matched to
-    the broadcast reference.  Pass ``past`` to score an increment against a
-    history computed elsewhere.
+    The history is written first: it is read for the list of heavy pairs and
+    for the join, and its true size lets Spark broadcast it where it is small
+    instead of shuffling the readings.  Pass ``past`` to score an increment
+    against a history written elsewhere.
     """
     slim = readings.select(
         "sample_id", "compound_id", "assay_name", "result_value", "result_unit", "acquired_ts"
     )
-    past = history(slim) if past is None else past
+    past = pin(history(slim)) if past is None else past
     return verdicts(with_history(with_reference(slim, reference), past, hot_rows), as_of)
 
 
