@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracles import compare, connect
+from sigreview.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,12 +20,12 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("key", list(entry.queries()))
+@pytest.mark.parametrize("key", list(QUERIES))
 def test_query(spark, duck, key):
-    df = entry.queries()[key](spark, SF)
+    df = QUERIES[key](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert compare(df.toPandas(), duck.execute(entry.oracle_sql()[key]).df()) == ""
+    assert compare(df.toPandas(), duck.execute(ORACLES[key]).df()) == ""
