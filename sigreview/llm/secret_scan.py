@@ -28,6 +28,8 @@ RUN = "[A-Za-z0-9+/_=-]{20,}"
 IDENTIFIER = "[A-Za-z0-9_-]{8,}"
 # A secret: at least so much log-likelihood ratio in all, and for each pair of characters.
 LEAST_TOTAL, LEAST_PAIR = 12.0, 0.6
+# Pairs that the general frequency of second characters counts for after each first one.
+PRIOR_PAIRS = 20
 # Bound of the labelled sample: documents that it is taken from, those with the least hash of the id.
 SAMPLE_DOCS = 4000
 
@@ -82,18 +84,22 @@ def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mos
 def train(labelled: DataFrame) -> list[float]:
     """The log-likelihood ratio of every pair of characters, from strings (value, secret).
 
-    Counts are smoothed by half a pair, so without samples of a kind all pairs count alike for it."""
+    What follows a character is smoothed by ``PRIOR_PAIRS`` pairs dealt as all second characters
+    are, and these by half a pair each; without samples of a kind all pairs count alike for it."""
     n = len(ALPHABET)
     pairs = labelled.where("value IS NOT NULL AND secret IS NOT NULL AND char_length(value) > 1").selectExpr(
         "secret", "split(value, '') AS chars").selectExpr("secret", f"explode({_pairs('chars')}) AS pair")
     counted = pairs.where(f"pair BETWEEN 1 AND {n * n}").groupBy("pair").agg(
         F.count_if("secret").alias("random"), F.count_if(~F.col("secret")).alias("plain"))
-    spark = labelled.sparkSession
-    grid = spark.range(1, n * n + 1).selectExpr("CAST(id AS INT) AS pair", f"CAST((id - 1) DIV {n} AS INT) AS first")
-    full = grid.join(counted, "pair", "left").selectExpr(
-        "pair", "first", "coalesce(random, 0) + 0.5D AS random", "coalesce(plain, 0) + 0.5D AS plain")
-    rows = full.groupBy("first").agg(F.sum("random").alias("randoms"), F.sum("plain").alias("plains"))
-    ratios = full.join(rows, "first").selectExpr("pair", "ln(random / randoms) - ln(plain / plains) AS ratio")
+    grid = labelled.sparkSession.range(1, n * n + 1).selectExpr(
+        "CAST(id AS INT) AS pair", f"CAST((id - 1) DIV {n} AS INT) AS first", f"CAST((id - 1) % {n} AS INT) AS second")
+    full = grid.join(counted, "pair", "left").fillna(0, ["random", "plain"])
+    kinds = ("random", "plain")
+    rows = full.groupBy("first").agg(*[F.sum(k).alias(f"{k}_row") for k in kinds])
+    seconds = full.groupBy("second").agg(*[(F.sum(k) + 0.5).alias(f"{k}_second") for k in kinds])
+    all_pairs = full.agg(*[F.sum(k).alias(k) for k in kinds]).first()
+    likely = {k: f"ln(({k} + {PRIOR_PAIRS}D * {k}_second / {all_pairs[k] + 0.5 * n}D) / ({k}_row + {PRIOR_PAIRS}D))" for k in kinds}
+    ratios = full.join(rows, "first").join(seconds, "second").selectExpr("pair", f"{likely['random']} - {likely['plain']} AS ratio")
     return [r["ratio"] for r in ratios.orderBy("pair").collect()]  # as many rows as there are pairs
 
 
