@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_checked, keyed, lower_ascii, pin, scratch_path
+from .common import join_checked, join_same, keyed, lower_ascii, pin, scratch_path
 
 HASH = ["h1", "h2"]
 # Batches that a whole table is cut into; a stream of batches has as many as come.
@@ -125,7 +125,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col("_row")[text_col], F.lit(""))
     whole = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"),
                         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_th"))
-    joined = join_checked(whole, dropped, ["_id", "_th"], "left", 100_000, "size(places)")
+    joined = join_same(whole, dropped, ["_id", "_th"], "left")
     lines = F.split(text, "\n", -1)
     kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("places", i)), "\n")
     new = F.when(F.col("places").isNull(), F.col("_row")[text_col]).otherwise(kept)
