@@ -1,83 +1,101 @@
-"""The two table-reading scalar functions, as SQL functions for use in spark.sql.
+"""The two table-reading scalar functions, for use in spark.sql.
 
-They read views by name and take literal or per-row arguments; Catalyst turns
-their scalar subqueries into grouped left joins.  They are built from the same
-rule text as ``score_readings`` and ``correlate``, which answer for whole tables
-with fewer joins.
+Each is defined over views that hold one row per key: the history of a pair, the rule of
+an assay, the mapping of a compound, its adverse observations.  The views come from the operators
+that answer for whole tables, so a function and its batch form share every number, and a call costs
+one lookup per view.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from .. import fixed_values as V
+from ..operators import correlate, scoring
 from . import decide
 
+# Rows found in the views, and what the functions return.
+_RULE = "direction STRING, threshold DOUBLE, unit STRING, synthetic BOOLEAN"
+_PAST = "readings BIGINT, mean DOUBLE"
+_MAPPING = "drug_code STRING, confidence DOUBLE"
+_ADVERSE = "observations BIGINT, terms STRING"
 _VERDICT = (
     "is_flagged BOOLEAN, assay_name STRING, reading_value DOUBLE, reading_unit STRING, "
     "concern_direction STRING, threshold DOUBLE, threshold_unit STRING, margin DOUBLE, "
     "compound_prior_n BIGINT, compound_prior_mean DOUBLE, is_synthetic_reference BOOLEAN, "
     "reason STRING"
 )
-_READING_FACTS = "thr DOUBLE, dir STRING, thr_unit STRING, syn BOOLEAN, n BIGINT, mean DOUBLE"
-
 _SIGNAL = (
     "state STRING, drug_code STRING, crosswalk_confidence DOUBLE, n_adverse_obs BIGINT, "
     "signal_detail STRING"
 )
-_SIGNAL_FACTS = "drug STRING, conf DOUBLE, n BIGINT, terms STRING"
 
 
-def _define(spark: SparkSession, name: str, takes: str, returns: str, body: str) -> None:
+def _function(spark: SparkSession, name: str, takes: str, returns: str, body: str) -> None:
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({takes}) RETURNS STRUCT<{returns}> RETURN {body}")
 
 
+def _looked_up(view: str, keys: dict[str, str], fields: dict[str, str]) -> str:
+    """SQL for the row of a view with one row per key, as a struct; NULL where there is none."""
+    row = ", ".join(f"'{name}', {column}" for name, column in fields.items())
+    match = " AND ".join(f"{view}.{column} = {argument}" for column, argument in keys.items())
+    return f"(SELECT any_value(named_struct({row})) FROM {view} WHERE {match})"
+
+
+def _struct(fields: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {sql}" for name, sql in fields.items()) + ")"
+
+
+def _rows(spark: SparkSession, table: str | DataFrame) -> DataFrame:
+    return spark.table(table) if isinstance(table, str) else table
+
+
 def register_check_reading(
-    spark: SparkSession, readings_view: str, reference_view: str, name: str = "check_reading"
+    spark: SparkSession, readings: str | DataFrame, reference: str | DataFrame,
+    name: str = "check_reading", past: DataFrame | None = None,
 ) -> None:
-    """``name(compound, assay, value, unit)`` returns the explained verdict as a struct."""
-    facts, verdict = f"{name}_facts", f"{name}_verdict"
-    by_assay = f"FROM {reference_view} WHERE assay_name = {facts}.assay"
-    of_pair = f"FROM {readings_view} WHERE compound_id = {facts}.compound AND assay_name = {facts}.assay"
-    _define(spark, facts, "compound STRING, assay STRING", _READING_FACTS, f"""named_struct(
-        'thr', (SELECT max(concern_threshold) {by_assay}),
-        'dir', (SELECT max(concern_direction) {by_assay}),
-        'thr_unit', (SELECT max(unit) {by_assay}),
-        'syn', (SELECT bool_or(is_synthetic) {by_assay}),
-        'n', (SELECT count(*) {of_pair}),
-        'mean', (SELECT CAST(sum(TRY_CAST(result_value AS DECIMAL(24, 9))) AS DOUBLE)
-                        / count(result_value) {of_pair}))""")
-    # Without any history the reading itself stands in for the mean in the text.
-    why = decide.reason("assay", "value", "unit", "f.dir", "f.thr", "f.thr_unit",
-                        "round(coalesce(f.mean, value), 4)", "f.n")
-    _define(spark, verdict, f"assay STRING, value DOUBLE, unit STRING, f STRUCT<{_READING_FACTS}>",
-            _VERDICT, f"""named_struct(
-        'is_flagged', {decide.breaches("value", "f.dir", "f.thr")}, 'assay_name', assay,
-        'reading_value', value, 'reading_unit', unit, 'concern_direction', f.dir,
-        'threshold', f.thr, 'threshold_unit', f.thr_unit, 'margin', {decide.margin("value", "f.thr")},
-        'compound_prior_n', f.n, 'compound_prior_mean', round(f.mean, 4),
-        'is_synthetic_reference', coalesce(f.syn, FALSE), 'reason', {why})""")
-    _define(spark, name, "compound STRING, assay STRING, value DOUBLE, unit STRING", _VERDICT,
-            f"{verdict}(assay, value, unit, {facts}(compound, assay))")
+    """``name(compound, assay, value, unit)`` returns the explained verdict as a struct.
+
+    Tables are given by name or as such; ``reference`` has one row per assay.  ``past`` is a
+    written history; by default it is that of ``readings``.
+    """
+    past = scoring.history(_rows(spark, readings)) if past is None else past
+    past.createOrReplaceTempView(f"{name}_past")
+    _rows(spark, reference).createOrReplaceTempView(f"{name}_rules")
+    value, direction, threshold = "value", "rule.direction", "rule.threshold"
+    told, counted = f"round(coalesce(past.mean, {value}), 4)", "coalesce(past.readings, 0L)"
+    _function(
+        spark, f"{name}_told", f"assay STRING, value DOUBLE, unit STRING, rule STRUCT<{_RULE}>, past STRUCT<{_PAST}>",
+        _VERDICT, _struct({
+            "is_flagged": decide.breaches(value, direction, threshold), "assay_name": "assay",
+            "reading_value": value, "reading_unit": "unit", "concern_direction": direction,
+            "threshold": threshold, "threshold_unit": "rule.unit", "margin": decide.margin(value, threshold),
+            "compound_prior_n": counted, "compound_prior_mean": "round(past.mean, 4)",
+            "is_synthetic_reference": "coalesce(rule.synthetic, FALSE)",
+            "reason": decide.reason("assay", value, "unit", direction, threshold, "rule.unit", told, counted)}))
+    rule = _looked_up(f"{name}_rules", {"assay_name": f"{name}.assay"}, {
+        "direction": "concern_direction", "threshold": "concern_threshold", "unit": "unit", "synthetic": "is_synthetic"})
+    known = _looked_up(f"{name}_past", {"compound_id": f"{name}.compound", "assay_name": f"{name}.assay"}, {
+        "readings": "prior_n", "mean": "prior_mean"})
+    _function(spark, name, "compound STRING, assay STRING, value DOUBLE, unit STRING", _VERDICT,
+              f"{name}_told({name}.assay, {name}.value, {name}.unit, {rule}, {known})")
 
 
 def register_check_signal(
-    spark: SparkSession, crosswalk_view: str, observations_view: str, name: str = "check_signal"
+    spark: SparkSession, crosswalk: str | DataFrame, observations: str | DataFrame,
+    name: str = "check_signal",
 ) -> None:
     """``name(compound)`` returns the three-state clinical signal as a struct."""
-    facts, state = f"{name}_facts", f"{name}_state"
-    mapped = f"FROM {crosswalk_view} WHERE compound_id = {facts}.compound"
-    adverse = (
-        f"FROM {observations_view} o JOIN {crosswalk_view} x ON x.drug_code = o.drug_code "
-        f"WHERE x.compound_id = {facts}.compound AND o.observation_type = '{V.ADVERSE}'"
-    )
-    _define(spark, facts, "compound STRING", _SIGNAL_FACTS, f"""named_struct(
-        'drug', (SELECT max(drug_code) {mapped}),
-        'conf', (SELECT max(confidence) {mapped}),
-        'n', (SELECT count(*) {adverse}),
-        'terms', (SELECT concat_ws(', ', array_sort(collect_set(o.value))) {adverse}))""")
-    _define(spark, state, f"f STRUCT<{_SIGNAL_FACTS}>", _SIGNAL, f"""named_struct(
-        'state', {decide.signal_state("f.drug", "f.n")}, 'drug_code', f.drug,
-        'crosswalk_confidence', f.conf, 'n_adverse_obs', f.n,
-        'signal_detail', {decide.signal_detail("f.drug", "f.n", "f.terms")})""")
-    _define(spark, name, "compound STRING", _SIGNAL, f"{state}({facts}(compound))")
+    crosswalk, observations = _rows(spark, crosswalk), _rows(spark, observations)
+    correlate.collapse_crosswalk(crosswalk).createOrReplaceTempView(f"{name}_mapping")
+    correlate.adverse_by_compound(crosswalk, observations).createOrReplaceTempView(f"{name}_adverse")
+    drug, n = "mapping.drug_code", "adverse.observations"
+    _function(
+        spark, f"{name}_told", f"mapping STRUCT<{_MAPPING}>, adverse STRUCT<{_ADVERSE}>", _SIGNAL, _struct({
+            "state": decide.signal_state(drug, n), "drug_code": drug,
+            "crosswalk_confidence": "mapping.confidence", "n_adverse_obs": f"coalesce({n}, 0L)",
+            "signal_detail": decide.signal_detail(drug, n, "adverse.terms")}))
+    mapping = _looked_up(f"{name}_mapping", {"compound_id": f"{name}.compound"}, {
+        "drug_code": "drug_code", "confidence": "crosswalk_confidence"})
+    adverse = _looked_up(f"{name}_adverse", {"compound_id": f"{name}.compound"}, {
+        "observations": "n_adverse", "terms": "terms"})
+    _function(spark, name, "compound STRING", _SIGNAL, f"{name}_told({mapping}, {adverse})")

@@ -15,11 +15,13 @@ task, the fold is written as three grouped aggregates that combine map-side:
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from ..schemas import QUEUE, RESOLVED_ITEM
+from ..schemas import QUEUE, QUEUE_KEY, RESOLVED_ITEM
 from .review_queue import insert_if_absent
 from .spread import HOT_ROWS, join_unique
 
@@ -38,14 +40,15 @@ def split_actions(actions: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def apply_actions(
-    queue: DataFrame, resolved: DataFrame, actions: DataFrame, hot_rows: int = HOT_ROWS
+    queue: DataFrame, resolved: DataFrame, actions: DataFrame, hot_rows: int = HOT_ROWS,
+    key: Sequence[str] = QUEUE_KEY,
 ) -> tuple[DataFrame, DataFrame]:
     """(next queue, next resolved log) after all accepted actions of the log."""
     log, _ = split_actions(actions)
-    key = ["reading_id"]
+    key = list(key)
     resolve, reopen = f"action = '{RESOLVE}'", f"action = '{REOPEN}'"
 
-    # Only rows that take actions at all; a reading is in the queue once.
+    # Only rows that take actions at all; a key is in the queue once.
     live = queue.where(f"status IN ('{V.OPEN}', '{V.RESOLVED}')").selectExpr(
         *key, f"status = '{V.OPEN}' AS starts_open")
     spans = log.groupBy(*key).agg(

@@ -14,34 +14,45 @@ from .. import fixed_values as V
 from ..functions import text
 from .spread import HOT_ROWS, join_unique, number_rows
 
+# The advised actions, most cautious first.
+CAUTION = V.ADVISORY_ACTIONS
+
+# Flags in one part of a text.  The n-th flag of a compound is in part (n - 1) div FLAGS_PER_PROMPT + 1.
 FLAGS_PER_PROMPT = 1000
 
 
 def breach_texts(flags: DataFrame, per_part: int = FLAGS_PER_PROMPT) -> DataFrame:
     """Breaches and distinct reasons of each compound's flags as text.
 
-    Flags are listed in a fixed order.  A compound with more than ``per_part``
-    flags gets several parts, so that its text stays whole and its rows bounded.
+    Flags are listed in a fixed order, ``per_part`` to a row, so a compound's text
+    stays whole and its rows bounded.  A reason is listed once per compound, in
+    the part of the first flag that has it; a part without a new one has ''.
     """
     placed = number_rows(
         flags.where("is_flagged").select(
             "compound_id", "reading_id", "assay_name", "result_value", "threshold", "margin", "reason"),
         ["assay_name", "margin", "reading_id"], group=["compound_id"], group_size="n_flags",
     )
+    part = f"CAST(floor((position - 1) / {per_part}) + 1 AS INT) AS part"
     breach = text.fill(
         "{assay} {value} vs threshold {threshold} (margin {margin})",
         assay="assay_name", value="round(result_value, 3)", threshold="threshold",
         margin="round(margin, 3)",
     )
+    # Reasons are made distinct over the whole compound before they are dealt to parts.
+    first = placed.groupBy("compound_id", "reason").agg(F.expr("min(position) AS position"))
+    listed = placed.selectExpr("compound_id", "position", "n_flags", f"{breach} AS breach", "NULL AS reason")
+    lines = listed.unionByName(first.selectExpr(
+        "compound_id", "position", "NULL AS n_flags", "NULL AS breach", "reason"))
     return (
-        placed.selectExpr("*", f"CAST(floor((position - 1) / {per_part}) + 1 AS INT) AS part")
+        lines.selectExpr("*", part)
         .groupBy("compound_id", "part")
         .agg(F.expr("max(n_flags) AS n_flags"),
-             F.expr(f"array_sort(collect_list(struct(position, {breach} AS breach, reason))) AS listed"))
+             F.expr("array_sort(collect_list(CASE WHEN breach IS NOT NULL THEN struct(position, breach) END)) AS told"),
+             F.expr("array_sort(collect_list(CASE WHEN reason IS NOT NULL THEN struct(position, reason) END)) AS why"))
         .selectExpr(
             "compound_id", "part", "n_flags",
-            "array_join(listed.breach, '; ') AS breaches",
-            "array_join(array_distinct(listed.reason), ' || ') AS reason_text",
+            "array_join(told.breach, '; ') AS breaches", "array_join(why.reason, ' || ') AS reason_text",
         )
     )
 
@@ -83,6 +94,19 @@ def recommend(prompts: DataFrame, model: Callable[[pd.Series], pd.Series]) -> Da
     return prompts.mapInPandas(call, schema)
 
 
+def one_action(checked: DataFrame) -> DataFrame:
+    """One row per compound: the most cautious valid action over the parts of its prompt.
+
+    Caution follows the order of ``CAUTION``, ties the first part; ``is_valid``
+    says whether any reply kept the format, and without one action and rationale are NULL.
+    """
+    rank = " ".join(f"WHEN {text.quote(a)} THEN {k}" for k, a in enumerate(CAUTION))
+    best = f"min_by(struct(action, rationale), struct(CASE action {rank} END AS rank, part)) FILTER (WHERE is_valid)"
+    return checked.groupBy("compound_id").agg(
+        F.expr(f"{best} AS best"), F.expr("bool_or(is_valid) AS is_valid"), F.expr("count(1) AS n_parts"),
+    ).selectExpr("compound_id", "best.action AS action", "best.rationale AS rationale", "is_valid", "n_parts")
+
+
 def checked_replies(recommended: DataFrame) -> DataFrame:
     """Action and rationale of each reply, and whether it kept the format."""
     reply = "recommendation"

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions.text import stamp
-from ..schemas import QUEUE
+from ..schemas import QUEUE, QUEUE_KEY
 from .spread import HOT_ROWS, join_unique, number_rows
 
 REFRESHED = (
@@ -40,12 +40,27 @@ def queue_source(flags: DataFrame, correlation: DataFrame, hot_rows: int = HOT_R
     return with_signal(flagged, correlation, hot_rows).select("reading_id", *REFRESHED)
 
 
+def one_per_key(rows: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row per key: the first by ``order`` (SQL, largest first), ties by all other columns.
+
+    Each task keeps its own first rows before they shuffle, so a key repeated
+    any number of times costs one row per task.
+    """
+    terms = [F.expr(o).desc() for o in order] + [F.col(c).desc() for c in rows.columns if c not in key]
+    numbered = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(*terms)))
+    return numbered.where("_nth = 1").drop("_nth")
+
+
+# Of several source rows for one key the latest counts, then the widest breach.
+SOURCE_ORDER = ("flagged_ts", "abs(margin)")
+
+
 def merge_queue(
     queue: DataFrame,
     source: DataFrame,
     as_of: datetime,
     *,
-    key: Sequence[str] = ("reading_id",),
+    key: Sequence[str] = QUEUE_KEY,
     clear_missing: bool = True,
     reopen_cleared: bool = False,
     keep_first_flagged: bool = False,
@@ -55,10 +70,11 @@ def merge_queue(
     Source rows refresh the reasoning columns; status and resolution columns are
     the reviewer's and stay.  Open rows absent from the source are cleared,
     unless ``clear_missing`` is off because the source is only an increment.
-    One full outer join on the key, which is unique on both sides, does all of it.
+    One full outer join on the key does all of it: a snapshot is unique in it, and of
+    source rows that share a key one counts (``SOURCE_ORDER``).
     """
     old = queue.selectExpr("*", "TRUE AS present").alias("o")
-    new = source.selectExpr("*", "TRUE AS present").alias("n")
+    new = one_per_key(source, key, SOURCE_ORDER).selectExpr("*", "TRUE AS present").alias("n")
     both = old.join(new, F.expr(" AND ".join(f"o.{k} = n.{k}" for k in key)), "full_outer")
     stale = f"n.present IS NULL AND o.status = '{V.OPEN}' AND {clear_missing}"
     back = f"n.present AND o.status = '{V.CLEARED}' AND {reopen_cleared}"
@@ -104,39 +120,41 @@ def open_rows(queue: DataFrame) -> DataFrame:
     return queue.where(f"status = '{V.OPEN}'")
 
 
-def stale_rows(queue: DataFrame, source: DataFrame) -> DataFrame:
+def stale_rows(queue: DataFrame, source: DataFrame, key: Sequence[str] = QUEUE_KEY) -> DataFrame:
     """Open queue rows whose reading is no longer flagged."""
-    return open_rows(queue).join(source.select("reading_id"), "reading_id", "left_anti")
+    return open_rows(queue).join(source.select(*key), list(key), "left_anti")
 
 
-def clear_stale(queue: DataFrame, source: DataFrame, as_of: datetime) -> DataFrame:
+def clear_stale(
+    queue: DataFrame, source: DataFrame, as_of: datetime, key: Sequence[str] = QUEUE_KEY
+) -> DataFrame:
     """The queue with stale open rows cleared; an empty source clears every open row."""
-    current = source.select("reading_id").distinct().selectExpr("*", "TRUE AS is_current")
+    current = source.select(*key).distinct().selectExpr("*", "TRUE AS is_current")
     stale = f"status = '{V.OPEN}' AND is_current IS NULL"
     changed = {
         "status": f"CASE WHEN {stale} THEN '{V.CLEARED}' ELSE status END",
         "synced_ts": f"CASE WHEN {stale} THEN {stamp(as_of)} ELSE synced_ts END",
     }
-    return queue.join(current, "reading_id", "left").selectExpr(
+    return queue.join(current, list(key), "left").selectExpr(
         *[f"{changed[c]} AS {c}" if c in changed else c for c in queue.columns])
 
 
 def insert_if_absent(target: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Target plus the rows whose key it does not have yet."""
-    return target.unionByName(rows.join(target.select(*key), list(key), "left_anti"))
+    """Target plus one row for each key that it does not have yet."""
+    return target.unionByName(one_per_key(rows, key).join(target.select(*key), list(key), "left_anti"))
 
 
 def with_status(queue: DataFrame, status: str | None) -> DataFrame:
     return queue.where(F.col("status") == status) if status else queue
 
 
-QUEUE_ORDER = ("margin ASC NULLS LAST", "compound_id", "reading_id")
+QUEUE_ORDER = ("margin ASC NULLS LAST", "compound_id", "reading_id", "assay_name")
 
 
 def queue_view(queue: DataFrame, status: str | None = V.OPEN, limit: int | None = None) -> DataFrame:
     """Queue rows, worst signed margin first; no status means all, no limit means all."""
     rows = with_status(queue, status).orderBy(
-        F.col("margin").asc_nulls_last(), "compound_id", "reading_id")
+        F.col("margin").asc_nulls_last(), "compound_id", "reading_id", "assay_name")
     return rows.limit(limit) if limit else rows
 
 

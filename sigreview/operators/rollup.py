@@ -14,6 +14,7 @@ READING_FIELDS = (
     "threshold_unit", "margin", "compound_prior_n", "compound_prior_mean", "reason",
 )
 
+# Readings in one row.  The n-th reading of a compound is in part (n - 1) div READINGS_PER_PART + 1.
 READINGS_PER_PART = 1000
 
 
@@ -34,12 +35,20 @@ def compound_totals(queue: DataFrame) -> DataFrame:
 RISK_ORDER = ("clinical_rank DESC", "open_flags DESC", "worst_breach DESC", "compound_id")
 
 
-def queue_rollup(queue: DataFrame) -> DataFrame:
+def risk_positions(queue: DataFrame) -> DataFrame:
     """One row per open compound with its place in the blended risk order:
     clinical rank, then number of flags, then worst breach."""
     return number_rows(compound_totals(queue), RISK_ORDER)
 
 
+def queue_rollup(queue: DataFrame, per_part: int = READINGS_PER_PART) -> DataFrame:
+    """The compounds in risk order with their readings nested, widest breach first.
+
+    A compound has a row for each ``per_part`` readings, numbered by ``part``."""
+    return risk_positions(queue).join(
+        rollup_readings(queue, per_part).drop("open_flags"), "compound_id")
+
+
 def rollup_readings(queue: DataFrame, per_part: int = READINGS_PER_PART) -> DataFrame:
     """The readings nested under each compound, widest breach first.
 
@@ -49,7 +58,7 @@ def rollup_readings(queue: DataFrame, per_part: int = READINGS_PER_PART) -> Data
     """
     placed = number_rows(
         open_rows(queue).select("compound_id", *READING_FIELDS),
-        ["abs(margin) DESC NULLS FIRST", "reading_id"], group=["compound_id"], group_size="open_flags",
+        ["abs(margin) DESC NULLS FIRST", "reading_id", "assay_name"], group=["compound_id"], group_size="open_flags",
     ).selectExpr("*", f"CAST(floor((position - 1) / {per_part}) + 1 AS INT) AS part")
     fields = ", ".join(("position", *READING_FIELDS))
     return placed.groupBy("compound_id", "part").agg(

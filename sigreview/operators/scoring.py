@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import decide
 from ..functions.text import stamp
-from ..session import pin
 from .spread import HOT_ROWS, join_dimension, join_unique
 
 
@@ -55,7 +54,9 @@ def verdicts(scored: DataFrame, as_of: datetime) -> DataFrame:
     """The flag columns, from readings that carry reference and history."""
     value, direction, threshold = "result_value", "concern_direction", "threshold"
     mean, n = "round(prior_mean, 4)", "coalesce(prior_n, 0L)"
-    why = decide.reason("assay_name", value, "result_unit", direction, threshold, "threshold_unit", mean, n)
+    # A pair that the history does not know: the reading itself stands in, in the text only.
+    told = f"round(coalesce(prior_mean, {value}), 4)"
+    why = decide.reason("assay_name", value, "result_unit", direction, threshold, "threshold_unit", told, n)
     return scored.selectExpr(
         "compound_id", "sample_id AS reading_id", "assay_name", "result_value", "result_unit",
         f"{decide.breaches(value, direction, threshold)} AS is_flagged",
@@ -78,15 +79,13 @@ def score_readings(
 ) -> DataFrame:
     """One explained verdict per reading; nothing is dropped.
 
-    The history is written first: it is read for the list of heavy pairs and
-    for the join, and its true size lets Spark broadcast it where it is small
-    instead of shuffling the readings.  Pass ``past`` to score an increment
-    against a history written elsewhere.
+    Nothing is written here.  A job that scores more than once, or scores an
+    increment, passes the ``past`` it has written as a stage of its own.
     """
     slim = readings.select(
         "sample_id", "compound_id", "assay_name", "result_value", "result_unit", "acquired_ts"
     )
-    past = pin(history(slim)) if past is None else past
+    past = history(slim) if past is None else past
     return verdicts(with_history(with_reference(slim, reference), past, hot_rows), as_of)
 
 

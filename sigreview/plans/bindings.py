@@ -49,8 +49,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+# The vendor's ids have five digits, so users share a compound from 100,000 on.
+USER = "user_id % 100000"
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "events")
+    return load(spark, sf_dir, "events").withColumn("user_id", F.expr(USER))
 
 
 _READING = {
@@ -121,12 +125,25 @@ def reference(spark: SparkSession, rows=CURRENT) -> DataFrame:
 
 
 def flags(
-    spark: SparkSession, sf_dir: str, rows=CURRENT, as_of: datetime = AS_OF
+    spark: SparkSession, sf_dir: str, rows=CURRENT, as_of: datetime = AS_OF, past: DataFrame | None = None
 ) -> DataFrame:
-    return scoring.score_readings(readings(spark, sf_dir), reference(spark, rows), as_of)
+    return scoring.score_readings(readings(spark, sf_dir), reference(spark, rows), as_of, past)
+
+
+def written_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history as a written stage, for jobs that score more than once."""
+    return pin(scoring.history(readings(spark, sf_dir)))
+
+
+def empty_queue(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], QUEUE)
+
+
+def no_signals(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "compound_id string, correlation_state string, drug_code string, signal_detail string")
 
 
-def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_observations(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     """Orders as clinical observations; small orders lack the drug code."""
     adverse = "o_orderpriority = '1-URGENT' AND o_custkey % 3 = 0"
     return load(spark, sf_dir, "orders").selectExpr(
@@ -137,7 +154,7 @@ def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"CASE WHEN NOT ({adverse}) THEN concat('level ', o_orderstatus) "
         "WHEN o_orderstatus = 'F' THEN 'cardiac_arrhythmia' "
         "WHEN o_orderstatus = 'O' THEN 'qt_prolongation' ELSE 'mild_rash' END AS value",
-        "o_orderdate AS effective_ts",
+        "o_orderdate AS effective_ts", *extra,
     )
 
 
@@ -173,16 +190,16 @@ def correlation(spark: SparkSession, sf_dir: str, flagged: DataFrame | None = No
     )
 
 
-def written_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+def written_flags(spark: SparkSession, sf_dir: str, past: DataFrame | None = None) -> DataFrame:
     """The flag table as a written stage, for jobs that read it more than once."""
-    return pin(flags(spark, sf_dir))
+    return pin(flags(spark, sf_dir, past=past))
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.public_summary(correlation(spark, sf_dir))
 
 
-def prior_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prior_queue(spark: SparkSession, sf_dir: str, past: DataFrame | None = None) -> DataFrame:
     """The queue an earlier calibration left: open, resolved and cleared rows.
 
     A queue is a written snapshot, so it is written here too.
@@ -202,18 +219,19 @@ def prior_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
         "clinical_drug_code": "CAST(NULL AS STRING)",
         "clinical_signal_detail": "CAST(NULL AS STRING)",
     }
-    flagged = flags(spark, sf_dir, EARLIER, EARLIER_STAMP).where("is_flagged")
+    flagged = flags(spark, sf_dir, EARLIER, EARLIER_STAMP, past).where("is_flagged")
     return pin(flagged.selectExpr(*[f"{sql} AS {name}" for name, sql in out.items()]))
 
 
-def queue_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flagged = written_flags(spark, sf_dir)
+def queue_source(spark: SparkSession, sf_dir: str, past: DataFrame | None = None) -> DataFrame:
+    flagged = written_flags(spark, sf_dir, past)
     return review_queue.queue_source(flagged, correlation(spark, sf_dir, flagged))
 
 
 def merged_queue(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    past = written_history(spark, sf_dir)
     return review_queue.merge_queue(
-        prior_queue(spark, sf_dir), queue_source(spark, sf_dir), AS_OF, **options
+        prior_queue(spark, sf_dir, past), queue_source(spark, sf_dir, past), AS_OF, **options
     )
 
 
@@ -241,8 +259,8 @@ def action_log(prior: DataFrame) -> DataFrame:
         f"'action_ts', {stamp(AS_OF)} + make_dt_interval({seq}), 'note', 'note {seq}') END"
         for seq, action, reason, wanted in _STEPS
     )
-    turns = prior.selectExpr("reading_id", "CAST(reading_id AS BIGINT) % 12 AS turn")
-    return turns.selectExpr("reading_id", f"inline(filter(array({steps}), s -> s IS NOT NULL))")
+    turns = prior.selectExpr("reading_id", "assay_name", "CAST(reading_id AS BIGINT) % 12 AS turn")
+    return turns.selectExpr("reading_id", "assay_name", f"inline(filter(array({steps}), s -> s IS NOT NULL))")
 
 
 def acted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -259,7 +277,7 @@ def resolved_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey AS l_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     li = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_shipdate")
     return li.join(o, "l_orderkey").selectExpr(
-        "format_string('CMPD%05d', o_custkey) AS compound_id",
+        "format_string('CMPD%05d', o_custkey % 100000) AS compound_id",
         "o_orderpriority AS assay_name",
         f"CASE l_returnflag WHEN 'R' THEN '{V.FALSE_POSITIVE}' WHEN 'A' THEN '{V.CONFIRMED}' "
         f"ELSE '{V.ESCALATED}' END AS resolution_reason",

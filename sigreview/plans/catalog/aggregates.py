@@ -38,20 +38,17 @@ def adverse_rollup(spark, d):
     return correlate.adverse_by_compound(B.crosswalk_seed(spark, d), B.observations(spark, d))
 
 
-@query("a5_breach_texts", """
-    SELECT f.*, r.reason_text FROM (SELECT compound_id, 1 AS part, count(*) AS n_flags,
-      string_agg(assay_name || ' ' || CAST(round(result_value, 3) AS VARCHAR) || ' vs threshold '
-        || CAST(threshold AS VARCHAR) || ' (margin ' || CAST(round(margin, 3) AS VARCHAR) || ')',
-        '; ' ORDER BY assay_name, margin, reading_id) AS breaches
-      FROM flags WHERE is_flagged GROUP BY compound_id) f
-    JOIN (SELECT compound_id, string_agg(reason, ' || ' ORDER BY listed_at) AS reason_text FROM (
-      SELECT compound_id, reason, min(i) AS listed_at FROM (SELECT compound_id, reason, row_number() OVER (
-        PARTITION BY compound_id ORDER BY assay_name, margin, reading_id) AS i FROM flags WHERE is_flagged)
-      GROUP BY compound_id, reason) GROUP BY compound_id) r USING (compound_id)""")
+@query("a5_breach_texts", "SELECT * FROM breach_parts")
 def breach_texts(spark, d):
     return advice.breach_texts(B.flags(spark, d))
 
 
+@query("a5_small_parts", "SELECT * FROM small_breach_parts")
+def small_parts(spark, d):
+    """The same texts two flags to a row, so that compounds have several parts."""
+    return advice.breach_texts(B.flags(spark, d), per_part=2)
+
+
 @query("a7_filtered_counts", """
     SELECT count(*) AS resolved_count, count(*) FILTER (WHERE resolution_reason = 'false_positive') AS false_positive,
       count(*) FILTER (WHERE resolution_reason = 'confirmed_concern') AS confirmed_concern,

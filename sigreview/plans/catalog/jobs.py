@@ -8,6 +8,7 @@ from ...functions import text
 from ...operators import advice, deidentify, drift, kpi, lookups, quality, registry
 from ...operators import review_queue, rollup
 from ...schemas import READING
+from ...session import pin
 from ...sources import envelope, resultset
 from .. import bindings as B
 from .. import questions
@@ -87,7 +88,7 @@ def govern_member(spark, d):
 
 
 _PROMPT = """
-    SELECT b.compound_id, 1 AS part, b.n_flags, coalesce(c.correlation_state, 'no_mapping') AS correlation_state, c.n_adverse_obs,
+    SELECT b.compound_id, b.part, b.n_flags, coalesce(c.correlation_state, 'no_mapping') AS correlation_state, c.n_adverse_obs,
       'Advise a compound reviewer. The flags below were decided by a fixed rule; do not dispute them and add no facts. '
       || b.compound_id || ' has ' || CAST(b.n_flags AS VARCHAR) || ' flagged reading(s). Rule output: ' || b.reason_text
       || '. Breaches: ' || b.breaches || '. Clinical state: ' || coalesce(c.correlation_state, 'no_mapping')
@@ -96,29 +97,25 @@ _PROMPT = """
       || '. Answer in two lines. First line ''ACTION: '' and one of [deprioritize, escalate for confirmatory assay, '
       || 'monitor next cycle, proceed]. Second line ''RATIONALE: '' and one sentence based on these facts.' AS recommendation_input,
       'stub-model' AS model_endpoint, TIMESTAMP '2024-01-31 00:00:00' AS generated_ts
-    FROM (SELECT f.*, r.reason_text FROM (SELECT compound_id, count(*) AS n_flags,
-        string_agg(assay_name || ' ' || CAST(round(result_value, 3) AS VARCHAR) || ' vs threshold '
-          || CAST(threshold AS VARCHAR) || ' (margin ' || CAST(round(margin, 3) AS VARCHAR) || ')',
-          '; ' ORDER BY assay_name, margin, reading_id) AS breaches
-        FROM flags WHERE is_flagged GROUP BY compound_id) f
-      JOIN (SELECT compound_id, string_agg(reason, ' || ' ORDER BY listed_at) AS reason_text FROM (
-        SELECT compound_id, reason, min(i) AS listed_at FROM (SELECT compound_id, reason, row_number() OVER (
-          PARTITION BY compound_id ORDER BY assay_name, margin, reading_id) AS i FROM flags WHERE is_flagged)
-        GROUP BY compound_id, reason) GROUP BY compound_id) r USING (compound_id)) b
-    LEFT JOIN correlation c ON c.compound_id = b.compound_id"""
-
-
-def _prompts(spark, d):
+    FROM {parts} b LEFT JOIN correlation c ON c.compound_id = b.compound_id"""
+
+
+def _prompts(spark, d, per_part=advice.FLAGS_PER_PROMPT):
     flags = B.written_flags(spark, d)
-    return advice.recommendation_prompts(flags, B.correlation(spark, d, flags), B.AS_OF, B.MODEL)
+    return advice.recommendation_prompts(flags, B.correlation(spark, d, flags), B.AS_OF, B.MODEL, per_part)
 
 
-@query("c11_recommendation_prompts", _PROMPT)
-@query("f23_prompt", _PROMPT)
+@query("c11_recommendation_prompts", _PROMPT.format(parts="breach_parts"))
 def recommendation_prompts(spark, d):
     return _prompts(spark, d)
 
 
+@query("f23_prompt", _PROMPT.format(parts="small_breach_parts"))
+def small_prompts(spark, d):
+    """The prompts two flags to a part."""
+    return _prompts(spark, d, 2)
+
+
 def stub_model(prompts: pd.Series) -> pd.Series:
     """A fixed rule in place of a hosted model: escalate where a signal is stated."""
     act = prompts.str.contains("Clinical state: correlated", regex=False)
@@ -127,17 +124,19 @@ def stub_model(prompts: pd.Series) -> pd.Series:
 
 
 @query("c12_recommend", """
-    SELECT compound_id, 1 AS part, CASE correlation_state WHEN 'correlated' THEN 'escalate for confirmatory assay'
-      ELSE 'monitor next cycle' END AS action, 'follows the stated clinical state.' AS rationale, TRUE AS is_valid FROM correlation""")
+    SELECT compound_id, CASE correlation_state WHEN 'correlated' THEN 'escalate for confirmatory assay'
+      ELSE 'monitor next cycle' END AS action, 'follows the stated clinical state.' AS rationale, TRUE AS is_valid,
+      n_parts FROM correlation JOIN (SELECT compound_id, count(*) AS n_parts FROM small_breach_parts GROUP BY 1) USING (compound_id)""")
 def recommend(spark, d):
-    replies = advice.checked_replies(advice.recommend(_prompts(spark, d), stub_model))
-    return replies.select("compound_id", "part", "action", "rationale", "is_valid")
+    """One action per compound, also where its prompt has several parts."""
+    return advice.one_action(advice.checked_replies(advice.recommend(_prompts(spark, d, 2), stub_model)))
 
 
 def _synced(spark, d):
-    flags = B.written_flags(spark, d)
+    past = B.written_history(spark, d)
+    flags = B.written_flags(spark, d, past)
     return review_queue.sync_queue(
-        B.prior_queue(spark, d), flags, B.correlation(spark, d, flags), B.AS_OF)
+        B.prior_queue(spark, d, past), flags, B.correlation(spark, d, flags), B.AS_OF)
 
 
 @query("c13_sync_queue", "SELECT * EXCLUDE (change) FROM merged")
@@ -180,9 +179,12 @@ def apply_actions(spark, d):
 
 
 @query("c15_queue_rollup", """
-    SELECT *, row_number() OVER (ORDER BY clinical_rank DESC, open_flags DESC, worst_breach DESC, compound_id) AS position FROM totals""")
+    SELECT t.* EXCLUDE (row_number), part, reading_ids, row_number AS position FROM (SELECT *, row_number() OVER (
+      ORDER BY clinical_rank DESC, open_flags DESC, worst_breach DESC, compound_id) AS row_number FROM totals) t
+    JOIN (SELECT compound_id, part, reading_ids FROM nested) USING (compound_id)""")
 def queue_rollup(spark, d):
-    return rollup.queue_rollup(B.queue(spark, d))
+    """The nested readings as the list of their ids, in the order of the array."""
+    return rollup.queue_rollup(pin(B.queue(spark, d))).withColumn("reading_ids", F.array_join("readings.reading_id", ",")).drop("readings")
 
 
 query("c16_convergence", aggregates.CONVERGENCE)(aggregates.convergence)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ...functions import sql_functions
 from ...operators import correlate, review_queue, scoring
 from ...session import scratch_path
-from ...sources.tables import save_folder
+from ...sources.tables import save_snapshot
 from .. import bindings as B
 from .. import questions
 from .base import query
@@ -92,15 +92,33 @@ def keyed_upsert(spark, d):
     return B.merged_queue(spark, d)
 
 
+@query("j9_shared_ids", """
+    SELECT coalesce(n.reading_id, o.reading_id) AS reading_id, coalesce(n.assay_name, o.assay_name) AS assay_name,
+      coalesce(n.margin, o.margin) AS margin, coalesce(n.reason, o.reason) AS reason,
+      CASE WHEN o.reading_id IS NULL THEN 'inserted' WHEN n.reading_id IS NOT NULL THEN 'refreshed' ELSE 'cleared' END AS change
+    FROM shared_flags n FULL JOIN shared_earlier o ON o.reading_id = n.reading_id AND o.assay_name = n.assay_name""")
+def shared_ids(spark, d):
+    """Ids that recur in all assays, and several times in one: two syncs, the first into an empty queue."""
+    past = scoring.history(B.readings(spark, d))
+
+    def source(rows, as_of):
+        flagged = B.flags(spark, d, rows, as_of, past).withColumn("reading_id", F.expr("CAST(CAST(reading_id AS BIGINT) % 50 AS STRING)"))
+        return review_queue.queue_source(flagged, B.no_signals(spark))
+    first = review_queue.merge_queue(B.empty_queue(spark), source(B.EARLIER, B.EARLIER_STAMP), B.EARLIER_STAMP)
+    second = review_queue.merge_queue(first.drop("change"), source(B.CURRENT, B.AS_OF), B.AS_OF)
+    return second.select("reading_id", "assay_name", "margin", "reason", "change")
+
+
 @query("j10_insert_if_absent", """
     SELECT reading_id, assay_name, margin FROM earlier_flags WHERE is_flagged
     UNION ALL SELECT reading_id, assay_name, margin FROM flags WHERE is_flagged
       AND reading_id NOT IN (SELECT reading_id FROM earlier_flags WHERE is_flagged)""")
 def insert_if_absent(spark, d):
+    """Every new row arrives twice and is kept once."""
     columns = ("reading_id", "assay_name", "margin")
     log = B.flags(spark, d, B.EARLIER, B.EARLIER_STAMP).where("is_flagged").select(*columns)
     rows = B.flags(spark, d).where("is_flagged").select(*columns)
-    return review_queue.insert_if_absent(log, rows, ["reading_id"])
+    return review_queue.insert_if_absent(log, rows.unionByName(rows), ["reading_id", "assay_name"])
 
 
 @query("j11_scalar_subqueries", """
@@ -108,22 +126,27 @@ def insert_if_absent(spark, d):
     LEFT JOIN hist h ON h.compound_id = r.compound_id AND h.assay_name = r.assay_name
     LEFT JOIN xw ON xw.compound_id = r.compound_id""")
 def scalar_subqueries(spark, d):
+    """Lookups written as scalar subqueries, over one row per key on their side."""
+    rows = B.readings(spark, d).select("sample_id", "compound_id", "assay_name", "result_value")
     return spark.sql(
         """SELECT r.sample_id,
-             (SELECT count(*) FROM {h} h WHERE h.compound_id = r.compound_id
-                AND h.assay_name = r.assay_name) AS n,
-             (SELECT max(x.drug_code) FROM {x} x WHERE x.compound_id = r.compound_id) AS drug_code
-           FROM {r} r""",
-        r=B.readings(spark, d), h=B.readings(spark, d), x=B.crosswalk_seed(spark, d),
+             (SELECT any_value(prior_n) FROM {past} p
+                WHERE p.compound_id = r.compound_id AND p.assay_name = r.assay_name) AS n,
+             (SELECT any_value(drug_code) FROM {mapping} m WHERE m.compound_id = r.compound_id) AS drug_code
+           FROM {rows} r""",
+        rows=rows, past=scoring.history(rows), mapping=correlate.collapse_crosswalk(B.crosswalk_seed(spark, d)),
     )
 
 
 @query("j12_cross_namespace", _CROSSWALK)
 def cross_namespace(spark, d):
-    """The crosswalk check over tables kept in two separate places."""
-    clinical = save_folder(B.observations(spark, d), scratch_path(spark, "clinical-observations"))
-    preclinical = save_folder(B.compound_registry(spark, d), scratch_path(spark, "preclinical-registry"))
-    return correlate.validate_crosswalk(B.crosswalk_seed(spark, d), clinical, preclinical)
+    """The crosswalk check over tables of two databases."""
+    kept = {"sigreview_clinical": B.observations(spark, d), "sigreview_preclinical": B.compound_registry(spark, d)}
+    for database, df in kept.items():
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+        save_snapshot(df, f"{database}.checked", path=scratch_path(spark, database))
+    return correlate.validate_crosswalk(
+        B.crosswalk_seed(spark, d), spark.table("sigreview_clinical.checked"), spark.table("sigreview_preclinical.checked"))
 
 
 @query("u1_check_reading", """
@@ -131,9 +154,9 @@ def cross_namespace(spark, d):
       concern_direction, threshold, threshold_unit, margin, compound_prior_n, compound_prior_mean,
       is_synthetic_reference, reason FROM flags""")
 def check_reading(spark, d):
-    B.readings(spark, d).createOrReplaceTempView("u1_readings")
-    B.reference(spark).createOrReplaceTempView("u1_reference")
-    sql_functions.register_check_reading(spark, "u1_readings", "u1_reference")
+    rows = B.readings(spark, d)
+    rows.createOrReplaceTempView("u1_readings")
+    sql_functions.register_check_reading(spark, rows, B.reference(spark))
     return spark.sql(
         "SELECT sample_id AS reading_id, v.* FROM (SELECT sample_id, "
         "check_reading(compound_id, assay_name, result_value, result_unit) AS v FROM u1_readings)")
@@ -143,10 +166,8 @@ def check_reading(spark, d):
     SELECT compound_id, correlation_state AS state, drug_code, crosswalk_confidence, n_adverse_obs, signal_detail
     FROM correlation""")
 def check_signal(spark, d):
-    B.crosswalk_seed(spark, d).createOrReplaceTempView("u2_crosswalk")
-    B.observations(spark, d).createOrReplaceTempView("u2_observations")
     correlate.flagged_compounds(B.flags(spark, d)).createOrReplaceTempView("u2_compounds")
-    sql_functions.register_check_signal(spark, "u2_crosswalk", "u2_observations")
+    sql_functions.register_check_signal(spark, B.crosswalk_seed(spark, d), B.observations(spark, d))
     return spark.sql(
         "SELECT compound_id, v.* FROM (SELECT compound_id, check_signal(compound_id) AS v FROM u2_compounds)")
 

@@ -136,7 +136,7 @@ def queue_order(spark, d):
     SELECT compound_id, clinical_rank, open_flags, worst_breach, row_number() OVER (
       ORDER BY clinical_rank DESC, open_flags DESC, worst_breach DESC, compound_id) AS position FROM totals""")
 def risk_order(spark, d):
-    return rollup.queue_rollup(B.queue(spark, d)).select(
+    return rollup.risk_positions(B.queue(spark, d)).select(
         "compound_id", "clinical_rank", "open_flags", "worst_breach", "position")
 
 
@@ -154,13 +154,11 @@ def history_order(spark, d):
     return lookups.history_positions(B.readings(spark, d))
 
 
-@query("o5_nested_order", """
-    SELECT compound_id, reading_id, margin, row_number() OVER (
-      PARTITION BY compound_id ORDER BY abs(margin) DESC, reading_id) AS position FROM merged WHERE status = 'open'""")
+@query("o5_nested_order", "SELECT compound_id, part, open_flags, reading_ids FROM small_nested")
 def nested_order(spark, d):
-    nested = rollup.rollup_readings(B.queue(spark, d))
-    return nested.select("compound_id", F.explode("readings").alias("r")).select(
-        "compound_id", "r.reading_id", "r.margin", "r.position")
+    """The order of the nested array itself, two readings to a part."""
+    nested = rollup.rollup_readings(B.queue(spark, d), per_part=2)
+    return nested.withColumn("reading_ids", F.array_join("readings.reading_id", ",")).drop("readings")
 
 
 @query("o6_source_order", """

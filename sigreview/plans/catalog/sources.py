@@ -5,8 +5,8 @@ from pyspark.sql.types import StructType
 
 from ...operators import quality
 from ...schemas import READING
-from ...session import scratch_path
-from ...sources import coerce, envelope, paged, resultset, tables
+from ...session import pin, scratch_path
+from ...sources import coerce, envelope, resultset, tables
 from .. import bindings as B
 from .base import query
 
@@ -34,15 +34,18 @@ def record_unmarshal(spark, d):
 
 
 def _result_set_bodies(spark, d):
-    """Orders as column-major result sets, one per customer."""
-    obs = B.raw_observations(spark, d)
-    names = obs.columns
-    header = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(f"/{n}").alias("path")) for n in names])
-    cells = F.array(*[
-        (F.date_format(n, "yyyy-MM-dd'T'HH:mm:ss") if n == "effective_ts" else F.col(n)).cast("string")
-        for n in names
-    ])
-    return obs.select(F.to_json(F.struct(header.alias("columns"), F.array(cells).alias("rows"))).alias("body"))
+    """Orders as column-major result sets, 500 to a set, the last one shorter."""
+    return resultset.write_result_sets(B.raw_observations(spark, d, "o_orderkey").withColumn(
+        "effective_ts", F.date_format("effective_ts", "yyyy-MM-dd'T'HH:mm:ss")), ["o_orderkey"])
+
+
+def _in_two_lots(bodies, path):
+    """Land bodies as JSON files, one per line, in two lots; the second has the last, partly filled page."""
+    bodies = pin(bodies)
+    middle = bodies.agg(F.expr("max(page_offset) DIV 2")).scalar()
+    for lot in (F.col("page_offset") < middle, F.col("page_offset") >= middle):
+        bodies.where(lot).select("body").write.mode("append").text(path)
+    return path
 
 
 @query("s3_resultset_rows", """
@@ -80,9 +83,15 @@ def object_listing(spark, d):
 
 @query("s6_paged_read", f"SELECT {READING_COLUMNS} FROM bronze")
 def paged_read(spark, d):
-    path = scratch_path(spark, "pages")
-    paged.land_pages(B.page_bodies(spark, d), path)
-    return envelope.ingest_readings(envelope.parse_pages(paged.read_paged(spark, path)))
+    """Pages that were landed in two lots."""
+    return envelope.ingest_readings(envelope.read_pages(spark, _in_two_lots(B.page_bodies(spark, d), scratch_path(spark, "pages"))))
+
+
+@query("s6_paged_result_sets", "SELECT patient_ref, drug_code, observation_type, value, effective_ts FROM raw_obs")
+def paged_result_sets(spark, d):
+    """The clinical feed, landed in two lots."""
+    path = _in_two_lots(_result_set_bodies(spark, d), scratch_path(spark, "sets"))
+    return resultset.ingest_observations(resultset.read_result_sets(spark, path))
 
 
 @query("s6_json_page_files", f"SELECT {READING_COLUMNS} FROM bronze")
@@ -108,10 +117,16 @@ def schema_coercion(spark, d):
     return coerce.to_declared(staged, StructType([READING[n] for n in wanted]))
 
 
-@query("s8_snapshot_table", f"SELECT {READING_COLUMNS} FROM labelled WHERE quarantine_reason IS NULL")
+@query("s8_snapshot_table", f"""SELECT {READING_COLUMNS}, 'readings that passed the gate' AS table_comment, 'silver' AS quality,
+    'events' AS fed_by FROM labelled WHERE quarantine_reason IS NULL""")
 def snapshot_table(spark, d):
+    """A table replaced twice, with its comment and properties as read back."""
     valid, _ = quality.split_quality(B.dirty_readings(spark, d))
-    return tables.save_folder(valid, scratch_path(spark, "silver"))
+    name = "sigreview_readings"
+    tables.save_snapshot(valid.limit(0), name, path=scratch_path(spark, "silver"))
+    table = tables.save_snapshot(valid, name, "readings that passed the gate", scratch_path(spark, "silver"), quality="silver", fed_by="events")
+    notes = tables.table_notes(spark, name)
+    return table.withColumns({"table_comment": F.lit(notes["comment"]), "quality": F.lit(notes["quality"]), "fed_by": F.lit(notes["fed_by"])})
 
 
 @query("s9_reference_table", """

@@ -4,8 +4,7 @@ from pyspark.sql import functions as F
 
 from ...operators import scoring
 from ...schemas import READING
-from ...session import scratch_path
-from ...sources import envelope, paged
+from ...session import is_folder, pin, scratch_path
 from ...streaming import incremental
 from .. import bindings as B
 from .base import query
@@ -14,10 +13,14 @@ READING_COLUMNS = ", ".join(READING.fieldNames())
 
 
 def _event_stream(spark, d):
-    """The events table as a stream of readings."""
-    schema = B.events(spark, d).schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return B.readings_of(source)
+    """The events table as a stream of readings: all files of a folder, or the one file."""
+    schema, path = B.events(spark, d).schema, f"{d}/events.parquet"
+    source = spark.readStream.schema(schema)
+    if is_folder(spark, path):
+        rows = source.parquet(path)
+    else:
+        rows = source.option("pathGlobFilter", "events.parquet").parquet(d)
+    return B.readings_of(rows.withColumn("user_id", F.expr(B.USER)))
 
 
 def _run(query_, name):
@@ -42,40 +45,74 @@ def page_stream(spark, d):
 
 @query("t1_paged_source_stream", f"SELECT {READING_COLUMNS} FROM bronze")
 def paged_source_stream(spark, d):
-    path = scratch_path(spark, "landed-pages")
-    paged.land_pages(B.page_bodies(spark, d), path)
-    stream = paged.stream_paged(spark, path)
-    return _appended(spark, envelope.ingest_readings(envelope.parse_pages(stream)), "bronze-paged")
+    """Pages that arrive in two lots, the last one partly filled; each lot is taken up as it comes."""
+    bodies, path = pin(B.page_bodies(spark, d)), scratch_path(spark, "landed-pages")
+    out, state = scratch_path(spark, "bronze-lots"), scratch_path(spark, "bronze-lots-state")
+    middle = bodies.agg(F.expr("max(page_offset) DIV 2")).scalar()
+    for lot in (F.col("page_offset") < middle, F.col("page_offset") >= middle):
+        bodies.where(lot).select("body").write.mode("append").text(path)
+        _run(incremental.start_append(incremental.stream_readings(spark, path), out, state), "bronze")
+    return spark.read.schema(READING).parquet(out)
 
 
-@query("t2_drop_repeats", "SELECT sample_id, assay_name, acquired_ts FROM readings")
+# Arrivals of the two queries below: first the readings with an even number, then all of them.
+_LATE = """acquired_ts <= (SELECT max(acquired_ts) FROM readings WHERE event_id % 2 = 0) - INTERVAL 20 DAY"""
+
+
+def _two_arrivals(spark, d, start):
+    path = scratch_path(spark, "arrivals")
+    rows = B.readings(spark, d).select("sample_id", "assay_name", "acquired_ts")
+    for lot in (rows.where("CAST(sample_id AS BIGINT) % 2 = 0"), rows):
+        lot.write.mode("append").parquet(path)
+        _run(start(spark.readStream.schema(rows.schema).parquet(path)), "arrivals")
+    return rows.schema
+
+
+@query("t2_drop_repeats", f"""
+    SELECT sample_id, assay_name, acquired_ts FROM readings WHERE event_id % 2 = 0 OR NOT ({_LATE})""")
 def drop_repeats(spark, d):
-    """Every reading arrives twice and is kept once."""
+    """Half of the readings arrive twice and are kept once; what comes too late is left out."""
+    out, state = scratch_path(spark, "once"), scratch_path(spark, "once-state")
+    schema = _two_arrivals(spark, d, lambda rows: incremental.start_append(
+        incremental.drop_repeats(rows, "20 days"), out, state))
+    return spark.read.schema(schema).parquet(out)
+
+
+@query("t2_late_rows", f"SELECT sample_id, assay_name, acquired_ts FROM readings WHERE {_LATE}")
+def late_rows(spark, d):
+    """What came too late in the second lot, kept aside."""
+    root, state = scratch_path(spark, "late"), scratch_path(spark, "late-state")
+    schema = _two_arrivals(spark, d, lambda rows: incremental.start_late_rows(rows, root, state, "20 days"))
+    return spark.read.schema(schema).parquet(f"{root}/rows/*")
+
+
+@query("t2_every_file", "SELECT sample_id, assay_name, acquired_ts FROM readings")
+def every_file(spark, d):
+    """Every reading arrives twice, and all of the table's files are read."""
     twice = _event_stream(spark, d).select("sample_id", "assay_name", "acquired_ts").withColumn(
         "copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     return _appended(spark, incremental.drop_repeats(twice, "30 days"), "once")
 
 
-@query("t3_score_stream", "SELECT * FROM flags")
+@query("t3_score_stream", "SELECT * FROM lagging_flags")
 def score_stream(spark, d):
-    past = scoring.history(B.readings(spark, d))
+    """Scored against a history that ends before most of the readings."""
+    past = pin(scoring.history(B.readings(spark, d).where("acquired_ts < TIMESTAMP_NTZ '2024-01-03 00:00:00'")))
     scored = incremental.score_stream(_event_stream(spark, d), B.reference(spark), past, B.AS_OF)
     return _appended(spark, scored, "flags")
 
 
 @query("t4_sync_stream", """
-    SELECT reading_id, CASE WHEN change = 'cleared' THEN 'open' ELSE status END AS status, margin, reason,
-      clinical_correlation_state FROM merged""")
+    SELECT * EXCLUDE (change) REPLACE (CASE WHEN change = 'cleared' THEN 'open' ELSE status END AS status,
+      CASE WHEN change = 'cleared' THEN TIMESTAMP '2024-01-30 00:00:00' ELSE synced_ts END AS synced_ts) FROM merged""")
 def sync_stream(spark, d):
-    root = scratch_path(spark, "queue")
+    root, past = scratch_path(spark, "queue"), B.written_history(spark, d)
+    flags = B.written_flags(spark, d, past)
     running = incremental.start_sync(
-        _event_stream(spark, d), B.prior_queue(spark, d), B.reference(spark),
-        scoring.history(B.readings(spark, d)), B.correlation(spark, d), B.AS_OF, root,
-        scratch_path(spark, "queue-state"),
-    )
+        _event_stream(spark, d), B.prior_queue(spark, d, past), B.reference(spark), past,
+        pin(B.correlation(spark, d, flags)), B.AS_OF, root, scratch_path(spark, "queue-state"))
     _run(running, "queue")
-    return incremental.latest_snapshot(spark, root).select(
-        "reading_id", "status", "margin", "reason", "clinical_correlation_state")
+    return incremental.latest_queue(spark, root)
 
 
 @query("t5_live_counts", "SELECT assay_name, count(*) AS n FROM readings GROUP BY assay_name")

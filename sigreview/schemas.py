@@ -36,6 +36,9 @@ READING = table(
 READING_KEY = ("sample_id", "assay_name")
 READING_CURSOR = "acquired_ts"
 
+# A reading id may occur in several assays, so queue, log and actions go by both.
+QUEUE_KEY = ("reading_id", "assay_name")
+
 OBSERVATION = table(
     "patient_ref string not null, drug_code string, observation_type string, value string, "
     "effective_ts timestamp_ntz"
@@ -85,7 +88,7 @@ RESOLVED_ITEM = table(
 )
 
 ACTION = table(
-    "reading_id string, seq bigint, action string, resolution_reason string, actor string, "
+    "reading_id string, assay_name string, seq bigint, action string, resolution_reason string, actor string, "
     "action_ts timestamp_ntz, note string"
 )
 

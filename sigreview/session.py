@@ -48,6 +48,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/sigreview-{name}-{uuid.uuid4().hex}"
 
 
+def _store(spark: SparkSession, path: str):
+    """The file system a path is on, as Spark sees it, and the path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    store, place = _store(spark, path)
+    return store.exists(place) and store.getFileStatus(place).isDirectory()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, none if there is no such folder."""
+    store, place = _store(spark, path)
+    return [f.getPath().getName() for f in store.listStatus(place)] if store.exists(place) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote."""
+    store, place = _store(spark, path)
+    store.delete(place, True)
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from the written rows.
 

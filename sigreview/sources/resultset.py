@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import fixed_values as V
+from ..operators.spread import number_rows
 from ..schemas import OBSERVATION, RESULT_SET
 from .coerce import to_declared
 
@@ -42,6 +44,26 @@ def ingest_observations(result_sets: DataFrame) -> DataFrame:
     return to_declared(result_rows(result_sets, OBSERVATION.fieldNames()), OBSERVATION)
 
 
+def write_result_sets(
+    rows: DataFrame, order: Sequence[str], page_size: int = V.OBSERVATION_PAGE_SIZE
+) -> DataFrame:
+    """Rows as result sets of ``page_size`` rows (columns ``page_offset``, ``body``).
+
+    ``order`` names columns that sort the rows in a total order; the other columns, in
+    their order, are the cells, all as text.
+    """
+    names = [c for c in rows.columns if c not in order]
+    cells = F.array(*[F.col(n).cast("string") for n in names]).alias("cells")
+    placed = number_rows(rows.select(*order, cells), list(order))
+    offset = f"position - 1 - pmod(position - 1, {page_size})"
+    # A set is bounded by the page size, so its rows can be gathered.
+    sets = placed.groupBy(F.expr(offset).alias("page_offset")).agg(
+        F.expr("sort_array(collect_list(struct(position, cells))) AS sorted"))
+    header = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(f"/{n}").alias("path")) for n in names])
+    body = F.struct(header.alias("columns"), F.col("sorted.cells").alias("rows"))
+    return sets.select("page_offset", F.to_json(body).alias("body"))
+
+
 CELL_KINDS = ("string_value", "number_value", "bool_value")
 
 CELL_ROW = "values array<struct<{}>>".format(", ".join(f"{k}:string" for k in CELL_KINDS))

@@ -10,6 +10,7 @@ from .. import fixed_values as V
 from ..functions.text import quote
 from ..schemas import CROSSWALK_SEED, THRESHOLD
 
+# Rows that may be given in code at most; beyond that, write a table.
 LITERAL_ROWS = 10_000
 
 
@@ -20,10 +21,12 @@ def _literal(value) -> str:
 
 
 def literal_table(spark: SparkSession, rows, schema: StructType) -> DataFrame:
-    """A small table given in code; its size is checked, as it gets broadcast."""
+    """A small table given in code, maybe empty; its size is checked, as it gets broadcast."""
     rows = list(rows)
-    if not 0 < len(rows) <= LITERAL_ROWS:
+    if len(rows) > LITERAL_ROWS:
         raise ValueError(f"{len(rows)} literal rows; write a table instead")
+    if not rows:
+        return spark.createDataFrame([], schema)
     values = ", ".join(f"({', '.join(_literal(v) for v in row)})" for row in rows)
     typed = ", ".join(f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema)
     return spark.sql(f"SELECT {typed} FROM VALUES {values} AS t({', '.join(schema.fieldNames())})")
@@ -41,18 +44,32 @@ def crosswalk_table(spark: SparkSession, rows=V.CROSSWALK_ROWS) -> DataFrame:
     return literal_table(spark, rows, CROSSWALK_SEED)
 
 
-def save_snapshot(df: DataFrame, table: str, comment: str | None = None, **properties: str) -> DataFrame:
+def save_snapshot(
+    df: DataFrame, table: str, comment: str | None = None, path: str | None = None, **properties: str
+) -> DataFrame:
     """Replace a whole table with df and return the table as read back.
 
-    The new rows may not read the table they replace.
+    The new rows may not read the table they replace.  ``path`` keeps its files
+    outside the warehouse.
     """
+    spark = df.sparkSession
     writer = df.write.mode("overwrite").format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
     if comment:
-        writer = writer.option("comment", comment)
-    for key, value in properties.items():
-        writer = writer.option(key, value)
-    writer.saveAsTable(table)
-    return df.sparkSession.table(table)
+        spark.sql(f"COMMENT ON TABLE {table} IS {quote(comment)}")
+    if properties:
+        listed = ", ".join(f"{quote(key)} = {quote(value)}" for key, value in properties.items())
+        spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ({listed})")
+    return spark.table(table)
+
+
+def table_notes(spark: SparkSession, table: str) -> dict[str, str]:
+    """A table's properties, and its comment under ``comment``."""
+    notes = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
+    for row in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect():
+        if row.col_name == "Comment":
+            notes["comment"] = row.data_type
+    return notes
 
 
 def save_folder(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> DataFrame:

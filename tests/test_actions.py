@@ -27,7 +27,7 @@ def walk(queue, logged, log):
     """Status, resolver, note and reason per reading, and the first resolver logged."""
     state = {q["reading_id"]: dict(q) for q in queue}
     first = dict(logged)
-    for reading, seq, action, reason, actor, ts, note in sorted(log, key=lambda a: a[1]):
+    for reading, _, seq, action, reason, actor, ts, note in sorted(log, key=lambda a: a[2]):
         q = state.get(reading)
         if q is None:
             continue
@@ -50,13 +50,13 @@ def test_fold_matches_a_walk(spark, seed, hot_rows):
         reading = "r0" if rng.random() < 0.33 else f"r{rng.randint(0, 70)}"
         action = rng.choice(["resolve", "resolve", "reopen", "delete"])
         reason = rng.choice([*V.RESOLUTION_REASONS, "bogus", None]) if action == "resolve" else None
-        log.append((reading, seq, action, reason, f"actor{seq}", START + timedelta(hours=seq), f"note{seq}"))
+        log.append((reading, "A", seq, action, reason, f"actor{seq}", START + timedelta(hours=seq), f"note{seq}"))
     prior = [(q["reading_id"], "old") for q in queue if q["status"] == V.RESOLVED and rng.random() < 0.5]
 
     q = spark.createDataFrame([tuple(r[f.name] for f in QUEUE) for r in queue], QUEUE)
     item = {f.name: None for f in RESOLVED_ITEM}
     done = spark.createDataFrame(
-        [tuple((item | {"reading_id": r, "resolved_by": by}).values()) for r, by in prior], RESOLVED_ITEM)
+        [tuple((item | {"reading_id": r, "assay_name": "A", "resolved_by": by}).values()) for r, by in prior], RESOLVED_ITEM)
     next_queue, next_log = actions.apply_actions(q, done, spark.createDataFrame(log, ACTION), hot_rows)
 
     state, first = walk(queue, prior, log)
@@ -69,7 +69,7 @@ def test_round_trip(spark):
     """Open, resolved, reopened: the status returns, the reason and the log stay."""
     q = spark.createDataFrame([tuple(queue_row("r1", V.OPEN)[f.name] for f in QUEUE)], QUEUE)
     none = spark.createDataFrame([], RESOLVED_ITEM)
-    steps = [("r1", 1, "resolve", V.FALSE_POSITIVE, "me", START, "n"), ("r1", 2, "reopen", None, "me", START, None)]
+    steps = [("r1", "A", 1, "resolve", V.FALSE_POSITIVE, "me", START, "n"), ("r1", "A", 2, "reopen", None, "me", START, None)]
     once, log = actions.apply_actions(q, none, spark.createDataFrame(steps[:1], ACTION))
     assert once.first().status == V.RESOLVED and log.count() == 1
     back, log = actions.apply_actions(once, log, spark.createDataFrame(steps[1:], ACTION))
@@ -79,7 +79,7 @@ def test_round_trip(spark):
 
 
 def test_rejected_actions(spark):
-    log = [("r", 1, "resolve", "bogus", "a", START, None), ("r", 2, "resolve", None, "a", START, None),
-           ("r", 3, "delete", None, "a", START, None), ("r", 4, "resolve", V.ESCALATED, "a", START, None)]
+    log = [("r", "A", 1, "resolve", "bogus", "a", START, None), ("r", "A", 2, "resolve", None, "a", START, None),
+           ("r", "A", 3, "delete", None, "a", START, None), ("r", "A", 4, "resolve", V.ESCALATED, "a", START, None)]
     accepted, rejected = actions.split_actions(spark.createDataFrame(log, ACTION))
     assert [r.seq for r in accepted.collect()] == [4] and sorted(r.seq for r in rejected.collect()) == [1, 2, 3]

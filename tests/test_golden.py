@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import fixtures as fx
 from sigreview import fixed_values as V
 from sigreview.functions.sql_functions import register_check_reading, register_check_signal
+from sigreview.functions import sql_functions
 from sigreview.operators import advice, correlate, deidentify, drift, kpi, review_queue, rollup, scoring
 from sigreview.plans import questions
 from sigreview.schemas import QUEUE, RESOLVED_ITEM, REVIEW_TASK
@@ -121,7 +122,7 @@ def test_crosswalk_marks(spark):
 
 def test_rollup_order_and_convergence(queue):
     shown = queue.where(~F.col("compound_id").isin("CMPD00003", "CMPD00012") & (F.col("margin") != -0.012))
-    order = [r.compound_id for r in rollup.queue_rollup(shown).orderBy("position").collect()]
+    order = [r.compound_id for r in rollup.risk_positions(shown).orderBy("position").collect()]
     assert order == ["CMPD00007", "CMPD00006", "CMPD00004", "CMPD00008", "CMPD00014", "CMPD00024"]
     c = kpi.convergence(shown).first()
     assert (c.compounds_open, c.correlated, c.convergence_rate, c.correlation_rate_of_mapped) == (6, 2, 0.3333, 0.5)
@@ -149,6 +150,63 @@ def test_prompts_in_parts_hold_every_breach(flags, signal):
     assert "2 adverse observation(s)" in prompt.recommendation_input and one.breaches.count("threshold") == 3
 
 
+def test_a_compound_far_above_the_part_size(spark):
+    """5,000 flags in parts of 1,000: every breach once, every reason once, one action."""
+    rows = [("C", f"r{i:05}", "A", float(i % 700), 1.0, float(i), f"reason {i % 40}") for i in range(5000)]
+    flags = spark.createDataFrame(rows, "compound_id string, reading_id string, assay_name string, result_value double, "
+                                        "threshold double, margin double, reason string").withColumn("is_flagged", F.lit(True))
+    parts = advice.breach_texts(flags).orderBy("part").collect()
+    assert [p.part for p in parts] == [1, 2, 3, 4, 5] and {p.n_flags for p in parts} == {5000}
+    assert sum(p.breaches.count("vs threshold") for p in parts) == 5000
+    reasons = [r for p in parts for r in p.reason_text.split(" || ") if r]
+    assert sorted(reasons) == sorted({r[-1] for r in rows})
+    signal = spark.createDataFrame([("C", None, None, None)], "compound_id string, correlation_state string, n_adverse_obs long, signal_detail string")
+    prompts = advice.recommendation_prompts(flags, signal, fx.AS_OF, "m")
+    model = lambda p: p.str.contains("reason 39", regex=False).map(
+        {True: "ACTION: deprioritize\nRATIONALE: first part", False: "ACTION: proceed\nRATIONALE: other"})
+    one = advice.one_action(advice.checked_replies(advice.recommend(prompts, model))).collect()
+    assert [(r.compound_id, r.action, r.rationale, r.n_parts) for r in one] == [("C", "deprioritize", "first part", 5)]
+    bad = advice.one_action(advice.checked_replies(prompts.withColumn("recommendation", F.lit("no"))))
+    assert [(r.action, r.is_valid) for r in bad.collect()] == [(None, False)]
+
+
+def test_functions_agree_with_the_batch(spark):
+    """Also for NaN, values no decimal holds, and pairs without a history."""
+    values = [("C1", 2.0), ("C1", 4.0), ("C1", float("nan")), ("C2", 1.0), ("C2", 1e17), ("C3", 0.5)]
+    readings = spark.createDataFrame([(f"s{i}", c, "hERG_IC50", v, "uM", fx.AS_OF) for i, (c, v) in enumerate(values)],
+                                     "sample_id string, compound_id string, assay_name string, result_value double, result_unit string, acquired_ts timestamp_ntz")
+    past = scoring.history(readings.where("compound_id != 'C3'"))
+    batch = {r.reading_id: r for r in scoring.score_readings(readings, fx.reference(spark), fx.AS_OF, past).collect()}
+    sql_functions.register_check_reading(spark, readings, fx.reference(spark), "t_check", past)
+    readings.createOrReplaceTempView("t_checked")
+    rows = spark.sql("SELECT sample_id, t_check(compound_id, assay_name, result_value, result_unit) AS v FROM t_checked").collect()
+    for r in rows:
+        b = batch[r.sample_id]
+        for mine, theirs in (("is_flagged", "is_flagged"), ("reason", "reason"), ("margin", "margin"), ("compound_prior_n", "compound_prior_n"),
+                             ("compound_prior_mean", "compound_prior_mean"), ("threshold", "threshold")):
+            assert str(r.v[mine]) == str(b[theirs])
+    assert batch["s5"].reason and "0.5" in batch["s5"].reason and batch["s5"].compound_prior_mean is None
+
+
+def test_signal_function_joins_no_raw_observations(spark):
+    obs = deidentify.deidentify(fx.observations(spark), salt=SALT)
+    sql_functions.register_check_signal(spark, fx.crosswalk(spark), obs, "t_signal")
+    fx.crosswalk(spark).select("compound_id").distinct().createOrReplaceTempView("t_compounds")
+    df = spark.sql("SELECT compound_id, t_signal(compound_id) AS v FROM t_compounds")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("observation_type"):] if "observation_type" in plan else plan
+    assert "Join" not in below  # observations are aggregated before any join
+    direct = {r.compound_id: r.correlation_state for r in correlate.signals(
+        spark.table("t_compounds"), fx.crosswalk(spark), obs, fx.AS_OF).collect()}
+    assert {r.compound_id: r.v.state for r in df.collect()} == direct
+
+
+def test_every_flag_has_a_reason_without_history(spark):
+    flags = scoring.score_readings(fx.readings(spark), fx.reference(spark), fx.AS_OF, scoring.history(fx.readings(spark).limit(0)))
+    assert flags.where("is_flagged").count() == 14 and flags.where("reason IS NULL").count() == 0
+    assert flags.where("compound_prior_mean IS NOT NULL OR compound_prior_n != 0").count() == 0
+
+
 def test_masks(spark):
     obs = deidentify.deidentify(fx.observations(spark), salt=SALT)
     outside = deidentify.govern(obs, groups=["chemists"]).collect()

@@ -83,6 +83,26 @@ def test_composite_key_keeps_colliding_readings_apart(queue, source):
     assert got.count() == again.count() == 2 and {r.change for r in again.collect()} == {"refreshed"}
 
 
+def test_three_syncs_of_repeated_keys(queue, source):
+    """Ids that recur across assays and within one: the queue does not grow, and a sync is idempotent."""
+    many = source.unionByName(source.withColumn("assay_name", F.lit("B"))).unionByName(source.withColumn("margin", F.lit(-20.0)))
+    now, counts = queue, []
+    for _ in range(3):
+        before, now = now, rq.merge_queue(now, many, NOW).drop("change").cache()
+        counts.append(now.count())
+    assert len(set(counts)) == 1 and counts[0] == 6 + 1 + 4
+    assert before.exceptAll(now).count() == 0
+    assert by_id(now.where("assay_name = 'A'"))["brand-new"].margin == -20.0
+
+
+def test_insert_if_absent_keeps_one_row_per_key(queue):
+    some = queue.where("status = 'resolved'")
+    twice = some.unionByName(some.withColumn("reason", F.lit("z")))
+    got = rq.insert_if_absent(some.limit(0), twice, rq.QUEUE_KEY)
+    assert got.count() == 2 and {r.reason for r in got.collect()} == {"z"}
+    assert rq.insert_if_absent(got, twice, rq.QUEUE_KEY).count() == 2
+
+
 def test_views(queue):
     assert rq.queue_view(queue, None).count() == 6
     assert rq.queue_view(queue, "", 0).count() == 6

@@ -4,13 +4,15 @@ import json
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 import fixtures as fx
 from sigreview.functions import parse, text
-from sigreview.operators import quality
+from sigreview.operators import quality, scoring
+from sigreview.plans.catalog import QUERIES
 from sigreview.schemas import OBSERVATION, READING
 from sigreview.session import scratch_path
-from sigreview.sources import coerce, envelope, paged, resultset, tables
+from sigreview.sources import coerce, envelope, resultset, tables
 
 
 def one(spark, sql, value):
@@ -105,15 +107,42 @@ def test_odd_envelopes_give_nulls_not_errors(spark):
     assert (good.compound_id, good.result_value, good.result_unit) == ("CMPD00001", 23.067, "uM")
 
 
-def test_paged_source_and_json_files_agree(spark):
-    bodies = envelope.write_envelopes(fx.readings(spark), page_size=4)
-    folder, files = scratch_path(spark, "t-folders"), scratch_path(spark, "t-files")
-    paged.land_pages(bodies, folder, records_per_folder=8)
-    bodies.select("body").write.text(files)
-    a = envelope.ingest_readings(envelope.parse_pages(paged.read_paged(spark, folder)))
-    b = envelope.ingest_readings(envelope.read_pages(spark, files))
-    assert a.exceptAll(b).count() == 0 and a.count() == b.count() == fx.readings(spark).count()
-    assert paged.read_paged(spark, folder).rdd.getNumPartitions() > 1
+def test_result_sets_by_page(spark):
+    """Many rows to a set, the last one shorter; nulls and order survive."""
+    rows = spark.createDataFrame([(i, f"p{i}", None if i % 3 else "D", "t", "v", "2026-06-04T11:00:00") for i in range(23)],
+                                 "k int, patient_ref string, drug_code string, observation_type string, value string, effective_ts string")
+    bodies = resultset.write_result_sets(rows, ["k"], 10).cache()
+    assert sorted(r.page_offset for r in bodies.collect()) == [0, 10, 20]
+    path = scratch_path(spark, "t-sets")
+    for lot in ("page_offset < 10", "page_offset >= 10"):
+        bodies.where(lot).select("body").write.mode("append").text(path)
+    back = resultset.ingest_observations(resultset.read_result_sets(spark, path))
+    assert sorted((r.patient_ref, r.drug_code) for r in back.collect()) == sorted((r.patient_ref, r.drug_code) for r in rows.collect())
+
+
+def test_a_reference_may_be_empty(spark):
+    none = tables.threshold_table(spark, [])
+    assert none.count() == 0 and none.columns[0] == "assay_name"
+    flags = scoring.score_readings(fx.readings(spark), none, fx.AS_OF)
+    assert flags.where("is_flagged OR threshold IS NOT NULL").count() == 0 and flags.count() == fx.readings(spark).count()
+    with pytest.raises(ValueError):
+        tables.threshold_table(spark, [(str(i), "low", 1.0, "", "", True) for i in range(tables.LITERAL_ROWS + 1)])
+
+
+def test_snapshot_keeps_comment_and_properties(spark):
+    df = spark.range(3)
+    back = tables.save_snapshot(df, "t_snapshot", "it's noted", scratch_path(spark, "t-snap"), quality="gold")
+    notes = tables.table_notes(spark, "t_snapshot")
+    assert back.count() == 3 and notes["comment"] == "it's noted" and notes["quality"] == "gold"
+
+
+def test_ids_beyond_five_digits(spark):
+    """Users from 100,000 on still give ids that the vendor's pattern takes."""
+    folder = scratch_path(spark, "t-events")
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(50).withColumn("user_id", F.expr("user_id + 1234567"))
+    events.write.parquet(f"{folder}/events.parquet")
+    got = QUERIES["c1_ingest_readings"](spark, folder).where("sample_id NOT LIKE 'bad%'").collect()
+    assert got and all(r.compound_id and len(r.compound_id) == 9 for r in got)
 
 
 def test_object_listing(spark):

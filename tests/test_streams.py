@@ -2,14 +2,19 @@
 
 from datetime import datetime, timedelta
 
+import pytest
+from pyspark.sql import functions as F
+
 import fixtures as fx
 from sigreview import fixed_values as V
 from sigreview.operators import correlate, deidentify, scoring
 from sigreview.plans import stages
+from sigreview.plans.catalog import QUERIES
 from sigreview.schemas import ACTION, QUEUE, READING
-from sigreview.session import scratch_path
-from sigreview.sources import envelope, paged
+from sigreview.session import names_in, scratch_path
+from sigreview.sources import envelope
 from sigreview.streaming import incremental
+from test_actions import queue_row
 
 
 def finish(query):
@@ -25,20 +30,57 @@ def same(a, b):
 def test_pages_arrive_in_two_lots(spark):
     sent = fx.readings(spark)
     bodies = envelope.write_envelopes(sent, page_size=4).cache()
-    files, folders = scratch_path(spark, "t-files"), scratch_path(spark, "t-folders")
-    out_a, state_a = scratch_path(spark, "t-a"), scratch_path(spark, "t-as")
-    out_b, state_b = scratch_path(spark, "t-b"), scratch_path(spark, "t-bs")
+    files, out, state = scratch_path(spark, "t-files"), scratch_path(spark, "t-a"), scratch_path(spark, "t-as")
     seen = []
     for lot in ("page_offset < 12", "page_offset >= 12"):
         bodies.where(lot).select("body").write.mode("append").text(files)
-        paged.land_pages(bodies.where(lot), folders, records_per_folder=4)
-        finish(incremental.start_append(incremental.stream_readings(spark, files), out_a, state_a))
-        pages = envelope.parse_pages(paged.stream_paged(spark, folders))
-        finish(incremental.start_append(envelope.ingest_readings(pages), out_b, state_b))
-        seen.append(spark.read.schema(READING).parquet(out_a).count())
+        finish(incremental.start_append(incremental.stream_readings(spark, files), out, state))
+        seen.append(spark.read.schema(READING).parquet(out).count())
     assert seen == [12, sent.count()]
-    assert same(spark.read.schema(READING).parquet(out_a), sent)
-    assert same(spark.read.schema(READING).parquet(out_b), sent)
+    assert same(spark.read.schema(READING).parquet(out), sent)
+
+
+@pytest.fixture(scope="module")
+def folder(spark):
+    """The tables of sf0.001 with events as a folder of part files."""
+    root, given = scratch_path(spark, "t-tables"), "/root/testdata/sf0.001"
+    spark.read.parquet(f"{given}/events.parquet").repartition(5).write.parquet(f"{root}/events.parquet")
+    spark.read.parquet(f"{given}/orders.parquet").write.parquet(f"{root}/orders.parquet")
+    return root
+
+
+@pytest.mark.parametrize("key", ["t2_every_file", "t2_drop_repeats", "t2_late_rows", "t3_score_stream", "t4_sync_stream", "t5_live_counts"])
+def test_streams_over_folders_give_what_files_give(spark, folder, key):
+    a, b = QUERIES[key](spark, folder), QUERIES[key](spark, "/root/testdata/sf0.001")
+    assert b.count() > 0 and same(a, b)
+
+
+def test_untouched_buckets_stay_and_replays_change_nothing(spark):
+    root = scratch_path(spark, "t-buckets")
+    rows = [queue_row(f"r{i}", V.OPEN) for i in range(40)]
+    queue = spark.createDataFrame([tuple(r[f.name] for f in QUEUE) for r in rows], QUEUE)
+    kept = incremental.BucketedQueue(spark, root, buckets=8)
+    kept.write(queue, range(8), {}, -1)
+    start = kept.state(-1)
+    few = queue.where("reading_id IN ('r1', 'r2')").withColumn("note", F.lit("x")).drop("note")
+    touched = [r.b for r in few.selectExpr(f"{kept.bucket()} AS b").distinct().collect()]
+
+    def step():
+        changed = kept.read(start, touched).withColumn("margin", F.lit(-7.0))
+        kept.write(changed, touched, start, 0)
+        return {f for k in range(8) for f in kept.read(kept.state(), [k]).inputFiles()}
+    once = step()
+    first = spark.createDataFrame(kept.read(kept.state()).collect(), QUEUE)
+    untouched = {k: n for k, n in kept.state().items() if k not in touched}
+    assert untouched == {k: n for k, n in start.items() if k not in touched} and set(untouched.values()) == {-1}
+    again = step()
+    assert len(once) == len(again) and same(first, kept.read(kept.state())) and first.count() == 40
+    # Two states are kept: what only older ones list is deleted.
+    kept.write(kept.read(kept.state(), touched).withColumn("margin", F.lit(-8.0)), touched, kept.state(), 1)
+    kept.write(kept.read(kept.state(), touched).withColumn("margin", F.lit(-9.0)), touched, kept.state(), 2)
+    assert sorted(names_in(spark, f"{root}/state")) == ["batch=1", "batch=2"]
+    assert sorted(names_in(spark, f"{root}/bucket={touched[0]}")) == ["batch=1", "batch=2"]
+    assert kept.read(kept.state()).count() == 40
 
 
 def test_repeats_within_the_delay_are_dropped(spark):
@@ -68,7 +110,7 @@ def test_sync_by_micro_batch_ends_like_one_sync(spark):
         readings.where(lot).coalesce(1).write.mode("append").parquet(path)
         stream = spark.readStream.schema(READING).option("maxFilesPerTrigger", 1).parquet(path)
         finish(incremental.start_sync(stream, empty, fx.reference(spark), past, signal, fx.AS_OF, root, state))
-    queue = incremental.latest_snapshot(spark, root)
+    queue = incremental.latest_queue(spark, root)
     assert same(queue.select("reading_id", "reason", "clinical_correlation_state"),
                 flags.where("is_flagged").join(signal, "compound_id", "left").selectExpr(
                     "reading_id", "reason", "correlation_state AS clinical_correlation_state"))
@@ -106,7 +148,7 @@ def test_whole_batch_twice(spark):
     assert first["recommendation_prompts"].count() == 8
 
     herg = first["review_queue"].where("assay_name = 'hERG_IC50'").select("reading_id").collect()
-    log = [(r.reading_id, i, "resolve", V.FALSE_POSITIVE if i < 2 else V.CONFIRMED, "me", fx.AS_OF + timedelta(hours=i + 1), None)
+    log = [(r.reading_id, "hERG_IC50", i, "resolve", V.FALSE_POSITIVE if i < 2 else V.CONFIRMED, "me", fx.AS_OF + timedelta(hours=i + 1), None)
            for i, r in enumerate(herg)]
     second = run(datetime(2026, 9, 15), queue=first["review_queue"], resolved=first["resolved_items"],
                  log=spark.createDataFrame(log, ACTION), tasks=first["threshold_review_tasks"])
