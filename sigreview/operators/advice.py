@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import fixed_values as V
 from ..functions import text
-from .spread import HOT_ROWS, join_unique, number_rows
+from .spread import join_unique, number_rows
 
 # The advised actions, most cautious first.
 CAUTION = V.ADVISORY_ACTIONS
@@ -59,7 +59,7 @@ def breach_texts(flags: DataFrame, per_part: int = FLAGS_PER_PROMPT) -> DataFram
 
 def recommendation_prompts(
     flags: DataFrame, correlation: DataFrame, as_of: datetime, model_label: str,
-    per_part: int = FLAGS_PER_PROMPT, hot_rows: int = HOT_ROWS,
+    per_part: int = FLAGS_PER_PROMPT, hot_rows: int | None = None,
 ) -> DataFrame:
     """One grounded prompt per flagged compound (and part), with audit columns."""
     signal = correlation.select("compound_id", "correlation_state", "n_adverse_obs", "signal_detail")

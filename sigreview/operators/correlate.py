@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions import decide
 from ..functions.text import stamp
-from .spread import HOT_ROWS, join_unique
+from .spread import join_unique
 
 
 def known_drugs(observations: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def known_drugs(observations: DataFrame) -> DataFrame:
 
 
 def validate_crosswalk(
-    seed: DataFrame, observations: DataFrame, registry: DataFrame, hot_rows: int = HOT_ROWS
+    seed: DataFrame, observations: DataFrame, registry: DataFrame, hot_rows: int | None = None
 ) -> DataFrame:
     """The seed with two marks: is the drug code, is the compound known on its side?
 
@@ -68,7 +68,7 @@ def adverse_by_drug(observations: DataFrame) -> DataFrame:
 
 
 def adverse_by_compound(
-    crosswalk: DataFrame, observations: DataFrame, hot_rows: int = HOT_ROWS
+    crosswalk: DataFrame, observations: DataFrame, hot_rows: int | None = None
 ) -> DataFrame:
     """Adverse count and sorted distinct terms over all drug codes of a compound.
 
@@ -96,7 +96,7 @@ def flagged_compounds(flags: DataFrame) -> DataFrame:
 
 def signals(
     compounds: DataFrame, crosswalk: DataFrame, observations: DataFrame, as_of: datetime,
-    coherent: bool = False, hot_rows: int = HOT_ROWS,
+    coherent: bool = False, hot_rows: int | None = None,
 ) -> DataFrame:
     """Three-state signal for each given compound (one row per compound)."""
     mapping = collapse_crosswalk(crosswalk, coherent)
@@ -115,7 +115,7 @@ def signals(
 
 def correlate(
     flags: DataFrame, crosswalk: DataFrame, observations: DataFrame, as_of: datetime,
-    coherent: bool = False, hot_rows: int = HOT_ROWS,
+    coherent: bool = False, hot_rows: int | None = None,
 ) -> DataFrame:
     """Three-state signal per flagged compound."""
     return signals(flagged_compounds(flags), crosswalk, observations, as_of, coherent, hot_rows)

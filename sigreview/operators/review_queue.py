@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions.text import stamp
 from ..schemas import QUEUE, QUEUE_KEY
-from .spread import HOT_ROWS, join_unique, number_rows
+from .spread import join_unique, number_rows
 
 REFRESHED = (
     "compound_id", "assay_name", "result_value", "result_unit", "concern_direction", "threshold",
@@ -23,7 +23,7 @@ REFRESHED = (
 INSERTED, REFRESHED_ROW, STALE, KEPT = "inserted", "refreshed", "cleared", "kept"
 
 
-def with_signal(flags: DataFrame, correlation: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_signal(flags: DataFrame, correlation: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Flags with the signal of their compound."""
     signal = correlation.selectExpr(
         "compound_id",
@@ -34,7 +34,7 @@ def with_signal(flags: DataFrame, correlation: DataFrame, hot_rows: int = HOT_RO
     return join_unique(flags, signal, ["compound_id"], spread=["reading_id"], hot_rows=hot_rows)
 
 
-def queue_source(flags: DataFrame, correlation: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def queue_source(flags: DataFrame, correlation: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Flagged readings in the shape of the queue's refreshed columns."""
     flagged = flags.where("is_flagged").withColumnRenamed("evaluated_ts", "flagged_ts")
     return with_signal(flagged, correlation, hot_rows).select("reading_id", *REFRESHED)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import pin
@@ -36,15 +36,20 @@ def join_unique(
     *,
     spread: Sequence[str],
     weights: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Equi-join ``left`` to ``right``, which has at most one row per key.
 
-    ``how`` is one of left, inner, left_semi, left_anti.  ``spread`` names
-    columns of ``left`` that differ within a key.  ``weights`` may bring the
-    number of left rows per key as column ``rows`` where that is known already.
+    ``how`` is one of left, inner, left_semi, left_anti; for these Spark itself splits a
+    skewed left side at run time, and that is left to it.  Where the number of left
+    rows per key is known (``weights``, column ``rows``), or ``hot_rows`` is given and it
+    is counted, heavy keys are cut into slices before the join.  ``spread`` names
+    columns of ``left`` that differ within a key.
     """
     on = list(on)
+    if weights is None and hot_rows is None:
+        return left.join(right, on, how)
+    hot_rows = hot_rows or HOT_ROWS
     if weights is None:
         weights = left.groupBy(*on).agg(F.expr("count(1) AS rows"))
     hot = F.broadcast(weights.where(f"rows >= {hot_rows}").selectExpr(
@@ -153,8 +158,18 @@ def number_rows(
     group: Sequence[str] = (),
     name: str = "position",
     group_size: str | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """1-based position of every row in a total order, per group."""
+    """1-based position of every row in a total order, per group.
+
+    Groups are first counted: if none has ``hot_rows`` rows a window numbers them, with one
+    shuffle and nothing written; else, and without groups, all go through ``running_total``.
+    """
+    group = list(group)
+    if group and df.groupBy(*group).count().where(f"count >= {hot_rows}").isEmpty():
+        rows = Window.partitionBy(*group)
+        numbered = df.withColumn(name, F.row_number().over(rows.orderBy(*[_sort_term(t) for t in order])).cast("bigint"))
+        return numbered.withColumn(group_size, F.count(F.lit(1)).over(rows)) if group_size else numbered
     return running_total(df, order, group=group, total=name, group_total=group_size)
 
 

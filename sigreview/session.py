@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,9 +45,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/sigreview-{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_folder(spark).rstrip('/')}/sigreview-{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was pinned or staged within; for jobs whose result is out by then."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        while len(_made) > before:
+            remove(spark, _made.pop())
 
 
 def _store(spark: SparkSession, path: str):
