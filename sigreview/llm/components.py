@@ -17,9 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     and only edges, never groups, are held.  Aggregates are combined before they
     shuffle, and each round is written, which cuts the lineage.
     """
-    now = pin(edges.where("a IS NOT NULL AND b IS NOT NULL AND a != b")
-              .selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct())
-    loops = edges.where("a = b").select("a").distinct()
+    given = pin(edges.where("a IS NOT NULL AND b IS NOT NULL").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct())
+    now, loops = given.where("a != b"), given.where("a = b").select("a")
     while True:
         both = now.union(now.selectExpr("b", "a"))
         # Large star: every larger neighbour of a node is linked to the node's smallest one.

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-CHUNK = 1 << 22  # bytes hashed at once; a longer text is a chunk of its own
+CHUNK = 1 << 19  # bytes hashed at once; a longer text is a chunk of its own
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -105,6 +107,13 @@ def gram_sets(texts: pa.Array, n: int):
                     yield np.zeros(0, np.uint64)
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches, so many at a time, which bounds what is held for one result."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import join_checked, partitions, pin
 from .components import components
-from .grams import gram_sets, mix, ragged, signed
+from .grams import gram_sets, mix, parts, ragged, signed
+from .pretokens import give_back
 
 # Columns of up to so many documents give all pairs of them, larger ones a star.
 LIGHT = 64
@@ -64,15 +65,17 @@ def _count_blobs(n: int, bits: int, ranges: int):
                     times.append(many.tobytes() + counts[a:b][many].astype(np.uint32).tobytes())
             return pa.record_batch([pa.array(part, pa.int32()), pa.array(keys, pa.binary()), pa.array(times, pa.binary())],
                                    ["part", "keys", "times"])
-        for batch in batches:
+        for batch in parts(batches):
             for grams in gram_sets(batch.column(0), n):
                 held.append(mix(grams, 5) >> np.uint64(64 - bits))
                 size += len(grams)
-                if size >= 3_000_000:
+                if size >= 2_000_000:
                     yield flush()
                     held, size = [], 0
         if size:
             yield flush()
+        held = []
+        give_back()
     return run
 
 
@@ -80,19 +83,20 @@ def _merge_blobs(bits: int, ranges: int):
     """Per range of columns: those counted at least twice."""
     def run(key, blobs):
         base = np.uint64((key[0].as_py() << bits) // ranges)
-        news, times = [], []
+        held = []
         for k, t in zip(blobs.column("keys"), blobs.column("times")):
             raw = k.as_py()
             gaps = np.frombuffer(raw, {2: np.uint16, 4: np.uint32, 8: np.uint64}[raw[0]], offset=1)
-            news.append(base + np.cumsum(gaps, dtype=np.uint64))
-            c = np.ones(len(gaps), np.int64)
+            values = base + np.cumsum(gaps, dtype=np.uint64)
             many = np.frombuffer(t.as_py(), np.uint32)
-            c[many[: len(many) // 2]] = many[len(many) // 2:]
-            times.append(c)
-        values, at = np.unique(np.concatenate(news), return_inverse=True)
-        counts = np.bincount(at, np.concatenate(times), len(values)).astype(np.int64)
+            at, times = many[: len(many) // 2], many[len(many) // 2:]
+            held += [values, np.repeat(values[at], times - 1)]
+        values = np.concatenate(held)
+        values.sort()
+        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        counts = np.diff(np.append(first, len(values)))
         keep = counts > 1
-        return pa.table({"col": pa.array(signed(values[keep])), "n": pa.array(counts[keep])})
+        return pa.table({"col": pa.array(signed(values[first[keep]])), "n": pa.array(counts[keep])})
     return run
 
 
@@ -101,7 +105,7 @@ def column_counts(docs: DataFrame, text_col: str, n: int, bits: int) -> DataFram
 
     Each task sorts what it has and sends gaps, a few bytes a column.
     """
-    ranges = max(8, partitions(docs))
+    ranges = max(32, 4 * partitions(docs))  # a range's columns are sorted in one task's memory
     blobs = docs.select(text_col).mapInArrow(_count_blobs(n, bits, ranges), "part int, keys binary, times binary")
     return blobs.groupBy("part").applyInArrow(_merge_blobs(bits, ranges), "col long, n long")
 
@@ -127,7 +131,7 @@ def _sketcher(n: int, percent: int, bits: int, order):
     """Per document: size, two sums that name its set, and its first columns in order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols, times = order.value
-        for batch in batches:
+        for batch in parts(batches):
             ids, sizes, one, two, firsts = [], [], [], [], []
             with np.errstate(over="ignore"):
                 for i, grams in enumerate(gram_sets(batch.column(1), n)):
@@ -147,14 +151,15 @@ def _sketcher(n: int, percent: int, bits: int, order):
                         firsts.append(signed(np.sort(name)[:short]))
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()),
                                    pa.array(two, pa.int64()), ragged(firsts)], ["row", "n", "s1", "s2", "firsts"])
+        give_back()
     return run
 
 
 def _setter(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             sets = [signed(g) for g in gram_sets(batch.column(1), n)]
-            yield pa.record_batch([batch.column(0), ragged(sets)], ["row", "grams"])
+            yield pa.record_batch([batch.column(0), ragged(sets), batch.column(2)], ["row", "grams", "family"])
     return run
 
 
@@ -212,7 +217,8 @@ def _sorted_sets(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
     grams = table.column("grams").combine_chunks()
     flat, cuts = grams.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.diff(grams.offsets.to_numpy()))])
     sets = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), rows[i]))
+    _, first = np.unique(rows, return_index=True)  # repeated rows have the same set
+    order = sorted(first.tolist(), key=lambda i: (len(sets[i]), rows[i]))
     return rows[order], [sets[i] for i in order]
 
 
@@ -274,7 +280,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Equal sets are one class, named by its smallest row.
     name = ["n", "s1", "s2"]
     classes = pin(sketch.where("n > 0").groupBy(*name).agg(F.min("row").alias("class")))
-    heads = sketch.join(classes.selectExpr("class AS row"), "row", "left_semi").where("n > 0").dropDuplicates(["row"])
+    copies = pin(sketch.select("row", *name).join(classes, name).where("row != class").select("row").distinct())
+    heads = join_checked(sketch.where("n > 0"), copies, ["row"], "left_anti")
     postings = heads.select("row", "n", F.posexplode("firsts").alias("pos", "col"))
 
     columns = postings.groupBy("col").agg(F.count(F.lit(1)).alias("held"), F.min("row").alias("pivot")).where("held > 1")
@@ -291,15 +298,16 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         shared.where((F.col("held") > light) & (F.col("row") != F.col("pivot"))).selectExpr("row AS a", "pivot AS b")).distinct()
     families = pin(components(edges))
 
-    # Whole sets of the documents in question, each once.
-    head_texts = join_checked(named.select("row", "_text"), families.selectExpr("node AS row"), ["row"], "left_semi")
-    sets = pin(head_texts.dropDuplicates(["row"]).mapInArrow(_setter(n), "row long, grams array<long>")
-               .join(families.selectExpr("node AS row", "component AS family"), "row"))
-    sizes = pin(sets.groupBy("family").agg(F.count(F.lit(1)).alias("held")))
-    small = sets.join(sizes.where(F.col("held") <= block).select("family"), "family", "left_semi")
-    links = small.groupBy("family").applyInArrow(_family(percent), "a long, b long")
-    if not sizes.where(F.col("held") > block).isEmpty():
-        large = pin(sets.join(sizes.where(F.col("held") > block), "family"))
+    # Whole sets of the documents in question, dealt by family.
+    sizes = families.groupBy("component").agg(F.count(F.lit(1)).alias("held"))
+    sized = pin(families.join(sizes, "component").selectExpr("node AS row", "component AS family", "held"))
+
+    def sets(of: DataFrame) -> DataFrame:
+        texts = join_checked(named.select("row", "_text"), of.select("row", "family"), ["row"], "inner")
+        return texts.select("row", "_text", "family").mapInArrow(_setter(n), "row long, grams array<long>, family long")
+    links = sets(sized.where(F.col("held") <= block)).groupBy("family").applyInArrow(_family(percent), "a long, b long")
+    if not sized.where(F.col("held") > block).isEmpty():
+        large = pin(sets(sized.where(F.col("held") > block)).dropDuplicates(["row"]))
         links = links.union(_large_families(large, shared, percent, light, block))
     reached = pin(components(links))
 
@@ -335,7 +343,7 @@ def _large_families(large: DataFrame, shared: DataFrame, percent: int, light: in
     band = F.floor(F.log(F.size("grams").cast("double")) / F.log(F.lit(100 / percent)))
     dealt = large.withColumn("band", band)
     cuts = dealt.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / block).alias("cuts"))
-    dealt = pin(dealt.join(cuts, ["family", "band"]).withColumn("cut", F.expr("pmod(xxhash64(row), cuts)")).drop("held"))
+    dealt = pin(dealt.join(cuts, ["family", "band"]).withColumn("cut", F.expr("pmod(xxhash64(row), cuts)")))
     left = dealt.join(rest, "row", "left_semi")
     # A leftover block meets each block of its own and the next bands of its family.
     sides = left.select("family", F.col("band").alias("lband"), F.col("cut").alias("lcut")).distinct()

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 #: White space as the tokenizer libraries see it (Unicode White_Space), fixed values.
@@ -39,8 +43,8 @@ class PairTable:
         self.bits = max(4, int(np.ceil(np.log2(len(pairs) + 1))) + 2)
         self.mask = (1 << self.bits) - 1
         self.keys = np.full(1 << self.bits, np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.ranks = np.full(1 << self.bits, self.none, np.int64)
-        self.into = np.zeros(1 << self.bits, np.int64)
+        self.ranks = np.full(1 << self.bits, self.none, np.int32)
+        self.into = np.zeros(1 << self.bits, np.int32)
         slots, todo, self.probes = self._slots(keys), np.arange(len(keys)), 0
         while len(todo):
             self.probes += 1
@@ -53,7 +57,7 @@ class PairTable:
             slots[todo] = (slots[todo] + 1) & self.mask
 
     #: The rank of pairs that don't merge.
-    none = 1 << 40
+    none = 1 << 30
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -72,7 +76,7 @@ class PairTable:
             held = self.keys[slots[todo]]
             todo = todo[(held != keys[todo]) & (held != np.uint64(0xFFFFFFFFFFFFFFFF))]
         good = (self.keys[slots] == keys) & (left >= 0) & (right >= 0)
-        return np.where(good, self.ranks[slots], self.none), self.into[slots]
+        return np.where(good, self.ranks[slots], np.int32(self.none)).astype(np.int64), self.into[slots].astype(np.int64)
 
 
 def per_process(build):
@@ -84,3 +88,19 @@ def per_process(build):
             held[args] = build(*args)
         return held[args]
     return get
+
+
+def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that only some of its texts are Python strings at a time."""
+    for k in range(0, batch.num_rows, rows):
+        yield batch.slice(k, rows)
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: a worker process lives on after its task, beside others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library keeps its own counsel
+        pass
