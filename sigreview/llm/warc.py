@@ -22,7 +22,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import join_checked, pin, scratch_path
 
 #: What ends a record (two line ends), and its headers (one empty line).
 END, BREAK = "\r\n\r\n", "\r\n\r\n"
@@ -48,14 +48,15 @@ def with_roles(pages: DataFrame, id_col: str, url_col: str, payload_col: str, mi
     """_id, _url, _payload, _digest and _first: the page that a revisit refers to, null for a response.
 
     Of pages with equal payloads of at least ``min_bytes`` bytes the one with the largest id is the response.
-    The digests are grouped first, so the join has one row for each; Spark splits what is skewed.
+    Only digests that occur again are joined, one row for each: while these are few they are sent to
+    the pages, beyond that both sides shuffle and Spark splits what is skewed.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(url_col, F.lit("")).alias("_url"),
                         F.coalesce(payload_col, F.lit("")).alias("_payload"))
     rows = rows.withColumn("_sha", F.sha1("_payload"))
-    groups = rows.where(F.octet_length("_payload") >= min_bytes).groupBy("_sha").agg(
-        F.max("_id").alias("_largest"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    joined = rows.join(groups, "_sha", "left")
+    groups = pin(rows.where(F.octet_length("_payload") >= min_bytes).groupBy("_sha").agg(
+        F.max("_id").alias("_largest"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
+    joined = join_checked(rows, groups, ["_sha"], "left")
     first = F.when(F.col("_id").isNull() | (F.col("_id") < F.col("_largest")), F.col("_largest"))
     return joined.select("_id", "_url", "_payload", "_sha", first.alias("_first"))
 
