@@ -45,9 +45,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its token ids, their number, and the digests that show a round trip."""
-    ids = bpe.encode(docs, MULTI_RANKS, public_tokenizers.PATTERN)
-    decoded = bpe.decode(ids, MULTI_RANKS, public_tokenizers.PATTERN)
-    return digests(decoded)
+    return digests(bpe.encode(docs, MULTI_RANKS, public_tokenizers.PATTERN, decoded=True))
 
 
 STAGES = [

@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import PairTable, per_process, splitter
+from .pretokens import PairTable, give_back, per_process, slices, splitter
 
 # Trees of up to so many leaves are worked side by side.
 SIDE_BY_SIDE = 64
@@ -28,36 +29,66 @@ REMEMBERED = 400_000
 CHUNK = 1_000_000
 
 
+def _ranks(path: str) -> dict[bytes, int]:
+    """{bytes: rank} of a tiktoken file; a token's rank is its id."""
+    with open(path, "rb") as file:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+
+
+class Decoder:
+    """The bytes of every id, one after the other."""
+
+    def __init__(self, path: str) -> None:
+        ranks = _ranks(path)
+        parts = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            parts[rank] = token
+        self.lengths = np.array([len(p) for p in parts], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        self.bytes = np.frombuffer(b"".join(parts), np.uint8)
+
+    def _joined(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of ids, and how many there are before each id and after the last."""
+        lengths = self.lengths[ids]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        at = np.arange(ends[-1]) + np.repeat(self.starts[ids] - ends[:-1], lengths)
+        return self.bytes[at], ends
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes that ids stand for."""
+        return self._joined(ids)[0].tobytes()
+
+    def texts(self, ids: np.ndarray, begins: np.ndarray) -> pa.Array:
+        """The bytes of texts whose ids stand one after the other."""
+        joined, ends = self._joined(ids)
+        offsets = pa.py_buffer(ends[begins].astype(np.int32).tobytes())
+        return pa.Array.from_buffers(pa.binary(), len(begins) - 1, [None, offsets, pa.py_buffer(joined.tobytes())])
+
+
 class Vocabulary:
-    """Ranks of a tiktoken file: {bytes: id}, the pairs that merge, and the bytes of each id."""
+    """Ranks of a tiktoken file and the pairs of its tokens that merge."""
 
     def __init__(self, path: str, pattern: str) -> None:
-        with open(path, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.split = splitter(pattern)
-        self.ranks = ranks
-        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.ranks = _ranks(path)
+        self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
-        for token, rank in ranks.items():
+        for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
-                a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
+                a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if a is not None and b is not None:
                     pairs[a, b] = (rank, rank)
-        self.pairs = {key: rank for key, (rank, _) in pairs.items()}
         self.table = PairTable(pairs)
-        top = max(ranks.values()) + 1
-        parts = [b""] * top
-        for token, rank in ranks.items():
-            parts[rank] = token
-        self.lengths = np.array([len(p) for p in parts], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        self.bytes = np.frombuffer(b"".join(parts), np.uint8)
-        self.known: dict[str, np.ndarray] = {}
+        self.forget()
 
-    # --- encoding ---
+    def forget(self) -> None:
+        """Pre-tokens seen so far are numbered; their ids stand one after the other in ``flat``."""
+        self.known: dict[str, int] = {}
+        self.flat, self.begins, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _many(self, tokens: list[bytes], size: int) -> list[np.ndarray]:
-        """Ids of pre-tokens of at most ``size`` bytes, one tree of ``size`` leaves for each."""
+    def _many(self, tokens: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens of at most ``size`` bytes, one tree of ``size`` leaves for each, and how many each has."""
         n, none = len(tokens), self.table.none
         lengths = np.array([len(t) for t in tokens])
         at = np.arange(n)
@@ -104,16 +135,19 @@ class Vocabulary:
             live = live[tree[1, live] < none]
         kept = symbols[:size].T
         alive = kept >= 0
-        return np.split(kept[alive].astype(np.int32), np.cumsum(alive.sum(1))[:-1])
+        return kept[alive].astype(np.int32), alive.sum(1)
 
     def _one(self, token: bytes) -> np.ndarray:
         """Ids of one long pre-token, with a tree of its own."""
-        n, none, pairs = len(token), self.table.none, self.pairs
+        n, none, ranks, tokens = len(token), self.table.none, self.ranks, self.tokens
+
+        def rank(a: int, b: int) -> int:
+            return ranks.get(tokens[a] + tokens[b], none)
         size = 1 << (n - 1).bit_length()
         symbols = self.single[np.frombuffer(token, np.uint8)].tolist()
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         tree = [none] * (2 * size)
-        tree[size: size + n - 1] = [pairs.get(p, none) for p in zip(symbols, symbols[1:])]
+        tree[size: size + n - 1] = [rank(a, b) for a, b in zip(symbols, symbols[1:])]
         for node in range(size - 1, 0, -1):
             tree[node] = min(tree[2 * node], tree[2 * node + 1])
 
@@ -138,9 +172,9 @@ class Vocabulary:
             update(swallowed, none)
             if right < n:
                 before[right] = place
-            update(place, pairs.get((least, symbols[right]), none) if right < n else none)
+            update(place, rank(least, symbols[right]) if right < n else none)
             if left >= 0:
-                update(left, pairs.get((symbols[left], least), none))
+                update(left, rank(symbols[left], least))
         return np.array([s for s in symbols if s >= 0], np.int32)
 
     def _learn(self, tokens: set[str]) -> None:
@@ -148,13 +182,22 @@ class Vocabulary:
         for token in tokens:
             raw = token.encode()
             by_size.setdefault(1 << (len(raw) - 1).bit_length(), []).append((token, raw))
+        names: list[str] = []
+        ids, counts = [self.flat], [self.counts]
         for size, group in by_size.items():
+            names += [token for token, _ in group]
             if size > SIDE_BY_SIDE:
-                self.known.update((t, self._one(raw)) for t, raw in group)
+                alone = [self._one(raw) for _, raw in group]
+                ids += alone
+                counts.append(np.array([len(x) for x in alone], np.int64))
                 continue
             for i in range(0, len(group), 20_000):
-                part = group[i: i + 20_000]
-                self.known.update(zip([t for t, _ in part], self._many([raw for _, raw in part], size)))
+                flat, many = self._many([raw for _, raw in group[i: i + 20_000]], size)
+                ids.append(flat)
+                counts.append(many)
+        self.known.update(zip(names, range(len(self.known), len(self.known) + len(names))))
+        self.flat, self.counts = np.concatenate(ids), np.concatenate(counts)
+        self.begins = np.cumsum(self.counts) - self.counts
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text."""
@@ -167,29 +210,31 @@ class Vocabulary:
             if size >= CHUNK or k == len(texts) - 1:
                 every = set().union(*todo)
                 if len(self.known) + len(every) > REMEMBERED:
-                    self.known = {}
+                    self.forget()
                 self._learn(every - self.known.keys())
-                known = self.known.__getitem__
-                for tokens in todo:
-                    out.append(np.concatenate([*map(known, tokens)]) if tokens else np.zeros(0, np.int32))
+                sizes = np.cumsum([len(tokens) for tokens in todo])
+                number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(todo)), np.int64, sizes[-1])
+                counts = self.counts[number]
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                ids = self.flat[np.arange(ends[-1]) + np.repeat(self.begins[number] - ends[:-1], counts)]
+                out += np.split(ids, ends[sizes[:-1]])
                 todo, size = [], 0
         return out
 
-    # --- decoding ---
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes that ids stand for."""
-        lengths = self.lengths[ids]
-        ends = np.cumsum(lengths)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[ids] - (ends - lengths), lengths)
-        return self.bytes[at].tobytes()
+vocabulary, decoder = per_process(Vocabulary), per_process(Decoder)
 
 
-vocabulary = per_process(Vocabulary)
+def _id_lists(batch: pa.RecordBatch, own: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a batch's texts, one after the other, and where each text's begin."""
+    ids = own.encode([t or "" for t in batch.column(1).to_pylist()])
+    return np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
 
 
-def encode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ids, the token ids of each whole text.
+def encode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+           decoded: bool = False) -> DataFrame:
+    """``id_col`` and ids, the token ids of each whole text; with ``decoded`` also the bytes that the
+    ids stand for, decoded by the task that has them.
 
     Each match of ``pattern`` is merged on its own; special tokens are ordinary text.  Null and empty
     texts have no ids; rows that repeat are encoded alike; other columns play no part.
@@ -198,20 +243,22 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "d
         own = vocabulary(vocabulary_path, pattern)
         for batch in batches:
             # Not all texts of a batch at once, so that a worker holds a bounded number of ids.
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                ids = own.encode([t or "" for t in part.column(1).to_pylist()])
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(
-                    pa.array(offsets), pa.array(np.concatenate(ids)))], ["id", "ids"])
-    out = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, ids array<int>")
-    return out.withColumnRenamed("id", id_col)
+            for part in slices(batch):
+                flat, begins = _id_lists(part, own)
+                columns = [part.column(0), pa.ListArray.from_arrays(pa.array(begins), pa.array(flat))]
+                if decoded:
+                    columns.append(decoder(vocabulary_path).texts(flat, begins))
+                yield pa.record_batch(columns, ["id", "ids", "decoded"][: len(columns)])
+        own.forget()
+        give_back()
+    schema = "id long, ids array<int>" + ", decoded binary" * decoded
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def decode(encoded: DataFrame, vocabulary_path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+def decode(encoded: DataFrame, vocabulary_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes that its ids stand for; a null list gives null, an empty one no bytes."""
     @F.arrow_udf("binary")
     def to_bytes(ids: pa.Array) -> pa.Array:
-        own = vocabulary(vocabulary_path, pattern)
+        own = decoder(vocabulary_path)
         return pa.array([None if not x.is_valid else own.decode(x.values.to_numpy(zero_copy_only=False)) for x in ids], pa.binary())
     return encoded.withColumn(out_col, to_bytes(F.col(ids_col)))

@@ -107,8 +107,8 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_byte_bpe")
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(table(spark, sf_dir, "documents"), MULTI_RANKS, public_tokenizers.PATTERN)
-    return digests(bpe.decode(ids, MULTI_RANKS, public_tokenizers.PATTERN))
+    ids = bpe.encode(table(spark, sf_dir, "documents"), MULTI_RANKS, public_tokenizers.PATTERN, decoded=True)
+    return digests(ids)
 
 
 def digests(decoded: DataFrame) -> DataFrame:

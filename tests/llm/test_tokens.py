@@ -31,11 +31,13 @@ def library():
 def test_ids_and_round_trip(spark, make_docs, texts, library):
     pairs = [*enumerate(texts), (1000, None), (5, texts[5]), (None, "no id")]
     ids = bpe.encode(make_docs(pairs), queries.MULTI_RANKS, public_tokenizers.PATTERN)
-    rows = bpe.decode(ids, queries.MULTI_RANKS, public_tokenizers.PATTERN).collect()
+    rows = bpe.decode(ids, queries.MULTI_RANKS).collect()
+    at_once = {r.doc_id: r for r in bpe.encode(make_docs(pairs), queries.MULTI_RANKS, public_tokenizers.PATTERN, decoded=True).collect()}
     assert len(rows) == len(pairs)
     want = dict(pairs)
     for r in rows:
-        assert r.ids == library.encode_ordinary(want[r.doc_id] or "")
+        assert r.ids == library.encode_ordinary(want[r.doc_id] or "") == list(at_once[r.doc_id].ids)
+        assert bytes(at_once[r.doc_id].decoded) == bytes(r.decoded)
         assert bytes(r.decoded) == (want[r.doc_id] or "").encode()
 
 
@@ -45,7 +47,8 @@ def test_trees_side_by_side_and_alone_agree(texts, library):
     for t in tokens:
         size = 1 << (len(t.encode()) - 1).bit_length()
         one = own._one(t.encode()).tolist()
-        assert one == own._many([t.encode()] * 2, size)[1].tolist() == library.encode_ordinary(t) or own.split(t) != [t]
+        flat, counts = own._many([t.encode()] * 2, size)
+        assert one == flat[counts[0]:].tolist() == library.encode_ordinary(t) or own.split(t) != [t]
 
 
 def test_a_worker_forgets(monkeypatch, texts, library):
@@ -79,4 +82,4 @@ def test_pair_table():
 def test_empty(make_docs):
     assert token_count.count_tokens(make_docs([]), queries.BYTE_BPE).count() == 0
     ids = bpe.encode(make_docs([]), queries.MULTI_RANKS, public_tokenizers.PATTERN)
-    assert bpe.decode(ids, queries.MULTI_RANKS, public_tokenizers.PATTERN).count() == 0
+    assert bpe.decode(ids, queries.MULTI_RANKS).count() == 0
