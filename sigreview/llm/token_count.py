@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import PairTable, per_process, splitter
+from .pretokens import PairTable, give_back, per_process, slices, splitter
 
 # Pre-tokens whose counts a worker remembers; it starts anew beyond that.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 # Characters of text taken at once.
 CHUNK = 2_000_000
 
@@ -115,8 +115,11 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(vocabulary_path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()),
-                                   pa.array(own.counts(texts), pa.int64())], ["id", "n_bytes", "n_tokens"])
+            for part in slices(batch):
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                yield pa.record_batch([part.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()),
+                                       pa.array(own.counts(texts), pa.int64())], ["id", "n_bytes", "n_tokens"])
+        own.known = {}
+        give_back()
     out = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, n_bytes long, n_tokens long")
     return out.withColumnRenamed("id", id_col)
