@@ -30,6 +30,8 @@ IDENTIFIER = "[A-Za-z0-9_-]{8,}"
 LEAST_TOTAL, LEAST_PAIR = 12.0, 0.6
 # Pairs that the general frequency of second characters counts for after each first one.
 PRIOR_PAIRS = 20
+# Part of the model of random strings that is uniform: samples may hold one kind of secret only.
+UNIFORM = 0.5
 # Bound of the labelled sample: documents that it is taken from, those with the least hash of the id.
 SAMPLE_DOCS = 4000
 
@@ -85,7 +87,8 @@ def train(labelled: DataFrame) -> list[float]:
     """The log-likelihood ratio of every pair of characters, from strings (value, secret).
 
     What follows a character is smoothed by ``PRIOR_PAIRS`` pairs dealt as all second characters
-    are, and these by half a pair each; without samples of a kind all pairs count alike for it."""
+    are, and these by half a pair each; a random string is by half a uniform one.  Without samples of
+    a kind all pairs count alike for it."""
     n = len(ALPHABET)
     pairs = labelled.where("value IS NOT NULL AND secret IS NOT NULL AND char_length(value) > 1").selectExpr(
         "secret", "split(value, '') AS chars").selectExpr("secret", f"explode({_pairs('chars')}) AS pair")
@@ -98,8 +101,9 @@ def train(labelled: DataFrame) -> list[float]:
     rows = full.groupBy("first").agg(*[F.sum(k).alias(f"{k}_row") for k in kinds])
     seconds = full.groupBy("second").agg(*[(F.sum(k) + 0.5).alias(f"{k}_second") for k in kinds])
     all_pairs = full.agg(*[F.sum(k).alias(k) for k in kinds]).first()
-    likely = {k: f"ln(({k} + {PRIOR_PAIRS}D * {k}_second / {all_pairs[k] + 0.5 * n}D) / ({k}_row + {PRIOR_PAIRS}D))" for k in kinds}
-    ratios = full.join(rows, "first").join(seconds, "second").selectExpr("pair", f"{likely['random']} - {likely['plain']} AS ratio")
+    likely = {k: f"(({k} + {PRIOR_PAIRS}D * {k}_second / {all_pairs[k] + 0.5 * n}D) / ({k}_row + {PRIOR_PAIRS}D))" for k in kinds}
+    mixed = f"({1 - UNIFORM}D * {likely['random']} + {UNIFORM / n}D)"
+    ratios = full.join(rows, "first").join(seconds, "second").selectExpr("pair", f"ln({mixed}) - ln({likely['plain']}) AS ratio")
     return [r["ratio"] for r in ratios.orderBy("pair").collect()]  # as many rows as there are pairs
 
 

@@ -96,11 +96,14 @@ def test_base_spans(make_docs):
     assert got == {i: plain_spans(t) for i, t in pairs}
 
 
-def test_models_tell_random_strings_from_names(spark, make_docs):
+@pytest.mark.parametrize("seen", ["all", "hex"])
+def test_models_tell_random_strings_from_names(spark, make_docs, seen):
+    """Also secrets of a kind that the samples don't hold."""
     rng = random.Random(3)
+    sample = (lambda: random_secret(rng)) if seen == "all" else (lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40)))
     names = ["readCustomerOrderHistory", "the_maximum_number_of_rows", "internationalization", "configuration-directory-path",
              "applicationContextFactory", "documentation_and_examples", "sometimesratherlongwordsoccur"]
-    labelled = spark.createDataFrame([(random_secret(rng), True) for _ in range(300)]
+    labelled = spark.createDataFrame([(sample(), True) for _ in range(300)]
                                      + [(n, False) for n in names[:5] * 40] + [(None, True), ("x", None), ("", False)], "value string, secret boolean")
     model = secret_scan.train(labelled)
     pairs = [(k, f"here {random_secret(rng)} and {rng.choice(names)} é") for k in range(50)]
