@@ -17,6 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import remove
 from .common import join_checked, join_same, keyed, lower_ascii, pin, scratch_path
 
 HASH = ["h1", "h2"]
@@ -45,7 +46,8 @@ class LineStore:
         self.spark, self.min_chars = spark, min_chars
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[tuple[int, str]] = []  # (level, table), oldest first
-        self.repeats: list[DataFrame] = []
+        self.repeats: list[DataFrame] = []  # written: hashes of a batch that were in the store
+        self.merged: list[str] = []  # runs that stand in a larger one now
 
     def _write(self, df: DataFrame) -> str:
         name = f"llm_line_run_{uuid.uuid4().hex}"
@@ -61,7 +63,7 @@ class LineStore:
             batch = self.spark.table(self._write(own.repartition(self.buckets, *HASH)))
             fresh = reduce(lambda left, run: left.join(self.spark.table(run[1]), HASH, "left_anti"), self.runs, batch)
             new = self._write(fresh)
-            self.repeats.append(batch.join(self.spark.table(new), HASH, "left_anti"))
+            self.repeats.append(pin(batch.join(self.spark.table(new), HASH, "left_anti")))
         else:
             new = self._write(own.repartition(self.buckets, *HASH))
         self.runs.append((0, new))
@@ -76,6 +78,16 @@ class LineStore:
             merged = a.join(b, (F.col("a.h1") == F.col("b.h1")) & (F.col("a.h2") == F.col("b.h2")), "full")
             columns = [F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in [*HASH, "n_docs", "last"]]
             self.runs[-2:] = [(level + 1, self._write(merged.select(*columns)))]
+            self.merged += [one, two]
+
+    def clean(self, everything: bool = False) -> None:
+        """Delete the runs that were merged, or all of them; what was read from them must be written by then."""
+        gone = self.merged + [table for _, table in self.runs] * everything
+        for table in gone:
+            place = self.spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").first().data_type
+            self.spark.sql(f"DROP TABLE {table}")
+            remove(self.spark, place)
+        self.merged = []
 
     def totals(self) -> DataFrame:
         """Every hash with its number of documents and the largest id, over all batches."""
@@ -115,8 +127,10 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     store = LineStore(docs.sparkSession, min_chars)
     for batch in batches(docs, [id_col, text_col], n_batches):
         store.add(keyed(batch, id_col, text_col))
+        store.clean()
     # Only what is to be dropped: keys in enough documents.
     heavy = pin(store.totals().where(F.col("n_docs") >= min_docs).select(*HASH, "last"))
+    store.clean(everything=True)
     rows = keyed(docs, id_col, text_col)
     found = join_checked(line_hashes(rows, min_chars), heavy, HASH, "inner")
     dropped = pin(found.where("NOT (_id <=> last)").groupBy("_id", "_th")

@@ -241,7 +241,7 @@ def score_column(model: Model):
     """A function from a text column to its score, for ``docs.where(score(text) < 0.5)`` and the like."""
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array([model.score(model.matches(t or "")) for t in texts.to_pylist()], pa.float64())
+        return pa.array([model.score(model.matches(t.as_py() or "")) for t in texts], pa.float64())
     return score
 
 
@@ -253,7 +253,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([model.matches(t or "") for t in batch.column(1).to_pylist()]).reshape(-1, len(KINDS))
+            x = np.array([model.matches(t.as_py() or "") for t in batch.column(1)]).reshape(-1, len(KINDS))
             scores = [model.score(row) for row in x]
             yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64())] + [pa.array(x[:, k]) for k in range(len(KINDS))],
                                   ["id", "score", *KINDS])

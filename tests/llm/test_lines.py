@@ -3,6 +3,7 @@
 import pytest
 
 from sigreview.llm import common, line_dedup
+from sigreview.session import scratch_path
 
 BLANKS = " \t\n\x0b\f\r"
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -52,6 +53,23 @@ def test_runs_hold_each_hash_once(spark, make_docs, awkward):
     assert levels == sorted(levels, reverse=True) and len(set(levels)) == len(levels) == 2  # 5 = 4 + 1
     held = [tuple(r) for _, t in store.runs for r in spark.table(t).select("h1", "h2").collect()]
     assert len(held) == len(set(held)) == news == store.totals().count()
+    store.clean()
+    left = {t.name for t in spark.catalog.listTables() if t.name.startswith("llm_line_run_")}
+    assert {t for _, t in store.runs} <= left and not left & set(store.merged)
+    store.clean(everything=True)
+    assert not any(t.name in {r for _, r in store.runs} for t in spark.catalog.listTables())
+
+
+def test_a_batch_reads_its_own_files(spark, make_docs, awkward):
+    path = scratch_path(spark, "t-docs")
+    make_docs(awkward).repartition(8).write.parquet(path)
+    docs = spark.read.parquet(path)
+    parts = line_dedup.batches(docs, ["doc_id", "text"], 3)
+    files = [{r.f for r in p.selectExpr("_metadata.file_path AS f").distinct().collect()} for p in parts]
+    assert sum(map(len, files)) == len(set().union(*files)) == len(docs.inputFiles())
+    read = parts[0]._jdf.queryExecution().executedPlan()
+    scan = [n for n in read.toString().split("\n") if "FileScan" in n]
+    assert scan and sum(p.count() for p in parts) == len(awkward)
 
 
 def test_merge_and_anti_join_read_sorted_runs(spark, make_docs, awkward):
