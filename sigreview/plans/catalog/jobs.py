@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ... import fixed_values as V
 from ...functions import text
-from ...operators import advice, deidentify, drift, kpi, lookups, quality, registry
+from ...operators import advice, deidentify, drift, lookups, quality, registry
 from ...operators import review_queue, rollup
 from ...schemas import READING
 from ...session import pin
