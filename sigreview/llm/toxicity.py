@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pin
+from .pretokens import give_back
 
 # Bounds of the labelled sample that the model is fitted on: rows with label 1 and 0.
 SAMPLE = (2500, 5000)
@@ -38,6 +39,9 @@ FILLERS = "a an the is are was be such so very really ein eine der die das ist u
 SEED_WEIGHT = 3.0
 THREAT_WEIGHT = 3.0
 
+# Features that a task counts before it sends what it has.
+COUNTED = 150_000
+
 #: Kinds of matched clause parts, in the order of the coefficients.
 KINDS = ("aimed", "plain", "negated", "reported", "threat")
 #: Coefficients before any label is seen: bias, then one for each kind.
@@ -132,17 +136,25 @@ class Model:
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: in how many texts of each label a feature occurs."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def counted() -> pa.RecordBatch:
+        names = list(counts[0].keys() | counts[1].keys())
+        return pa.record_batch([pa.array(names, pa.string()), pa.array([counts[1][w] for w in names], pa.int64()),
+                                pa.array([counts[0][w] for w in names], pa.int64())], ["feature", "ones", "zeros"])
     for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for text, toxic in zip(batch.column(0), batch.column(1)):
             own = set()
-            for word in set(_WORD.findall(text.lower())):
+            for word in set(_WORD.findall(text.as_py().lower())):
                 own.update(features(word))
-            counts[toxic].update(own)
-    names = list(counts[0].keys() | counts[1].keys())
-    for i in range(0, len(names), 50_000):
-        part = names[i: i + 50_000]
-        yield pa.record_batch([pa.array(part, pa.string()), pa.array([counts[1][w] for w in part], pa.int64()),
-                               pa.array([counts[0][w] for w in part], pa.int64())], ["feature", "ones", "zeros"])
+            counts[toxic.as_py()].update(own)
+            if len(counts[0]) + len(counts[1]) > COUNTED:
+                yield counted()
+                counts[0].clear()
+                counts[1].clear()
+    yield counted()
+    counts[0].clear()
+    counts[1].clear()
+    give_back()
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample=SAMPLE) -> DataFrame:
@@ -190,7 +202,7 @@ def fit(rows: DataFrame) -> Model:
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([model.matches(t) for t in batch.column(0).to_pylist()]).reshape(-1, len(KINDS))
+            x = np.array([model.matches(t.as_py()) for t in batch.column(0)]).reshape(-1, len(KINDS))
             yield pa.record_batch([pa.array(x[:, k]) for k in range(len(KINDS))] + [batch.column(1)], [*KINDS, "toxic"])
     table = rows.mapInArrow(matched, ", ".join(f"{k} double" for k in KINDS) + ", toxic int").toArrow()  # at most sum(SAMPLE) rows
     x = np.column_stack([np.ones(table.num_rows), *[table.column(k).to_numpy() for k in KINDS]])
@@ -206,7 +218,7 @@ def _needed(rows: DataFrame, entries: dict[str, tuple[int, float]], least: float
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sorted({names[f] for w in set(_WORD.findall(t.lower())) for f in features(w) if f in names})
-                     for t in batch.column(0).to_pylist()]
+                     for t in (x.as_py() for x in batch.column(0))]
             yield pa.record_batch([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["found", "toxic"])
     table = rows.mapInArrow(present, "found array<int>, toxic int").toArrow()  # at most sum(SAMPLE) rows
     found = table.column("found").to_pylist()
