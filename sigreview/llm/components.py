@@ -13,9 +13,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has long columns a and b; self-loops are allowed, null ends are dropped,
     an empty table gives an empty result.  Each round turns every edge towards the smallest
-    neighbour of its ends (large star, then small star), so a chain shortens by about half a round
-    and only edges, never groups, are held.  Aggregates are combined before they
-    shuffle, and each round is written, which cuts the lineage.
+    neighbour of its ends (large star, then small star) until all edges of a component
+    end in its smallest node.  Only edges are held, never a component's nodes together;
+    aggregates are combined before they shuffle; each round is written, which cuts the lineage.
     """
     given = pin(edges.where("a IS NOT NULL AND b IS NOT NULL").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct())
     now, loops = given.where("a != b"), given.where("a = b").select("a")

@@ -41,7 +41,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Different items with their words; ``_item`` numbers equal word lists alike."""
-    items = benchmark.selectExpr(f"CAST(`{id_col}` AS STRING) AS item_id", f"{words(f'coalesce(`{text_col}`, {chr(39) * 2})')} AS item_words")
+    text = words(f"coalesce(`{text_col}`, '')")
+    items = benchmark.selectExpr(f"CAST(`{id_col}` AS STRING) AS item_id", f"{text} AS item_words")
     return items.where("size(item_words) > 0").withColumn("_item", F.array_join("item_words", " "))
 
 
@@ -82,8 +83,7 @@ def phrase_hits(docs: DataFrame, postings: DataFrame, benchmark: DataFrame, id_c
     texts = keyed(docs, id_col, text_col)
     found = join_checked(texts, per_doc, DOC, "inner", 100_000, "size(placed)").selectExpr(*DOC, f"{words('_text')} AS _words", "placed").dropDuplicates(DOC)
     tried = found.select(*DOC, "_words", F.explode("placed").alias("p")).selectExpr(
-        *DOC, "p._item AS _item", "p.shift AS shift",
-        "split(p._item, ' ') AS item_words", "_words")
+        *DOC, "p._item AS _item", "p.shift AS shift", "split(p._item, ' ') AS item_words", "_words")
     n = f"least(size(item_words), {width})"
     starts = tried.selectExpr(
         *DOC, "_item", "shift", f"{n} AS length",
