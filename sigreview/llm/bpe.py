@@ -11,6 +11,7 @@ numpy array and each makes its next merge at the same time; long pre-tokens have
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -24,9 +25,9 @@ from .pretokens import PairTable, give_back, per_process, slices, splitter
 # Trees of up to so many leaves are worked side by side.
 SIDE_BY_SIDE = 64
 # Pre-tokens whose ids a worker remembers; it starts anew beyond that.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 # Characters of text taken at once.
-CHUNK = 1_000_000
+CHUNK = 500_000
 
 
 def _ranks(path: str) -> dict[bytes, int]:
@@ -73,13 +74,15 @@ class Vocabulary:
         self.ranks = _ranks(path)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        pairs = {}
+        lefts, rights, merged = array("q"), array("q"), array("q")
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if a is not None and b is not None:
-                    pairs[a, b] = (rank, rank)
-        self.table = PairTable(pairs)
+                    lefts.append(a)
+                    rights.append(b)
+                    merged.append(rank)
+        self.table = PairTable(*(np.array(x, np.int64) for x in (lefts, rights, merged, merged)))
         self.forget()
 
     def forget(self) -> None:

@@ -37,10 +37,10 @@ class PairTable:
     are not found at the first slot look at the next ones.
     """
 
-    def __init__(self, pairs: dict[tuple[int, int], tuple[int, int]]) -> None:
-        keys = np.array([a << 32 | b for a, b in pairs], np.uint64)
-        values = np.array(list(pairs.values()), np.int64).reshape(-1, 2)
-        self.bits = max(4, int(np.ceil(np.log2(len(pairs) + 1))) + 2)
+    def __init__(self, lefts: np.ndarray, rights: np.ndarray, ranks: np.ndarray, into: np.ndarray) -> None:
+        """Pairs, all different, with their ranks and what they merge into."""
+        keys = (lefts.astype(np.uint64) << np.uint64(32)) | rights.astype(np.uint64)
+        self.bits = max(4, int(np.ceil(np.log2(len(keys) + 1))) + 2)
         self.mask = (1 << self.bits) - 1
         self.keys = np.full(1 << self.bits, np.uint64(0xFFFFFFFFFFFFFFFF))
         self.ranks = np.full(1 << self.bits, self.none, np.int32)
@@ -52,7 +52,7 @@ class PairTable:
             _, first = np.unique(slots[todo][free], return_index=True)
             put = todo[free][first]
             self.keys[slots[put]] = keys[put]
-            self.ranks[slots[put]], self.into[slots[put]] = values[put, 0], values[put, 1]
+            self.ranks[slots[put]], self.into[slots[put]] = ranks[put], into[put]
             todo = todo[self.keys[slots[todo]] != keys[todo]]
             slots[todo] = (slots[todo] + 1) & self.mask
 

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from .pretokens import PairTable, give_back, per_process, slices, splitter
 
 # Pre-tokens whose counts a worker remembers; it starts anew beyond that.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 # Characters of text taken at once.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 #: The split pattern that byte-level tokenizer files name by "use_regex".
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -43,7 +43,8 @@ class Counter:
         vocab = spec["model"]["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.single = np.array([vocab[c] for c in byte_letters()], np.int64)
-        self.table = PairTable({(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)})
+        self.table = PairTable(*(np.array(x, np.int64) for x in (
+            [vocab[a] for a, _ in merges], [vocab[b] for _, b in merges], range(len(merges)), [vocab[a + b] for a, b in merges])))
         # By default the library keeps added tokens whole wherever they stand in a text.
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.split = splitter(PATTERN)

@@ -72,7 +72,8 @@ def test_counts(make_docs, texts):
 def test_pair_table():
     rng = random.Random(2)
     pairs = {(rng.randrange(5000), rng.randrange(5000)): (k, k + 7) for k in range(20_000)}
-    table = PairTable(pairs)
+    table = PairTable(*(np.array(x) for x in ([a for a, _ in pairs], [b for _, b in pairs], [r for r, _ in pairs.values()],
+                                               [i for _, i in pairs.values()])))
     ask = [*pairs, *((rng.randrange(5000), rng.randrange(5000)) for _ in range(20_000)), (-1, 3), (3, -1)]
     ranks, into = table.find(np.array([a for a, _ in ask]), np.array([b for _, b in ask]))
     for (a, b), rank, symbol in zip(ask, ranks, into):
