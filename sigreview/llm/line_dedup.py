@@ -56,8 +56,15 @@ class LineStore:
         return name
 
     def add(self, rows: DataFrame) -> DataFrame:
-        """Take in a batch (``keyed`` output) and return its hashes that are new to the store."""
-        hashes = line_hashes(rows, self.min_chars).select("_id", "_th", *HASH).distinct()
+        """Take in a batch (``keyed`` output) and return its hashes that are new to the store.
+
+        Documents count once in a batch, so all rows that repeat one must come in the same batch.
+        """
+        return self.add_hashes(line_hashes(rows, self.min_chars))
+
+    def add_hashes(self, hashes: DataFrame) -> DataFrame:
+        """The same from ``line_hashes`` output."""
+        hashes = hashes.select("_id", "_th", *HASH).distinct()
         own = hashes.groupBy(*HASH).agg(F.count(F.lit(1)).alias("n_docs"), F.max("_id").alias("last"))
         if self.runs:
             batch = self.spark.table(self._write(own.repartition(self.buckets, *HASH)))
@@ -103,7 +110,10 @@ class LineStore:
 
 def batches(docs: DataFrame, by: list[str], count: int = BATCHES) -> list[DataFrame]:
     """Cut a table into batches: by file where it is read from files, so that each batch
-    reads its own files only, else by the hash of the columns ``by``."""
+    reads its own files only, else by the hash of the columns ``by``.
+
+    Only for tables in which no document is repeated in several files; ``dealt_hashes`` is for any.
+    """
     try:
         docs.select("_metadata.file_path")
         hashed = F.xxhash64("_metadata.file_path")
@@ -112,6 +122,20 @@ def batches(docs: DataFrame, by: list[str], count: int = BATCHES) -> list[DataFr
     return [docs.where(F.pmod(hashed, F.lit(count)) == k) for k in range(count)]
 
 
+def dealt_hashes(rows: DataFrame, min_chars: int, count: int = BATCHES) -> tuple[str, list[DataFrame]]:
+    """``line_hashes`` of ``keyed`` output, written once, and cut into batches by document.
+
+    All rows of a document are in one batch, whatever files they came from, and a batch
+    reads its own folder only.  Gives the folder and the batches.
+    """
+    path = scratch_path(rows.sparkSession, "hashes")
+    hashes = line_hashes(rows, min_chars)
+    dealt = hashes.withColumn("batch", F.pmod(F.xxhash64("_id", "_th"), F.lit(count)).cast("int"))
+    dealt.write.partitionBy("batch").parquet(path)
+    written = rows.sparkSession.read.schema(dealt.schema).parquet(path)
+    return path, [written.where(F.col("batch") == k).drop("batch") for k in range(count)]
+
+
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
                         min_chars: int = 40, min_docs: int = 5, n_batches: int = BATCHES) -> DataFrame:
     """``docs`` with the column ``text_col`` without its repeated lines, and the struct
@@ -125,16 +149,17 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nothing stay as they are, null included.  Other columns pass unchanged, whatever their names.
     """
     store = LineStore(docs.sparkSession, min_chars)
-    for batch in batches(docs, [id_col, text_col], n_batches):
-        store.add(keyed(batch, id_col, text_col))
+    path, hashes = dealt_hashes(keyed(docs, id_col, text_col), min_chars, n_batches)
+    for batch in hashes:
+        store.add_hashes(batch)
         store.clean()
     # Only what is to be dropped: keys in enough documents.
     heavy = pin(store.totals().where(F.col("n_docs") >= min_docs).select(*HASH, "last"))
     store.clean(everything=True)
-    rows = keyed(docs, id_col, text_col)
-    found = join_checked(line_hashes(rows, min_chars), heavy, HASH, "inner")
+    found = join_checked(reduce(DataFrame.unionByName, hashes), heavy, HASH, "inner")
     dropped = pin(found.where("NOT (_id <=> last)").groupBy("_id", "_th")
                   .agg(F.array_sort(F.collect_set("place")).alias("places")))
+    remove(docs.sparkSession, path)
 
     text = F.coalesce(F.col("_row")[text_col], F.lit(""))
     whole = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"),

@@ -44,6 +44,32 @@ def test_against_plain(make_docs, awkward, batches):
         assert r.key == "z" and r._id == 1
 
 
+def test_rows_repeated_across_files_count_once(spark, make_docs):
+    """Two documents hold the line; their rows lie in eight files, whichever batches these are in."""
+    line = "This line stands in two documents that are repeated in many files."
+    pairs = [(1, f"{line}\none"), (2, f"{line}\ntwo"), (3, "three")]
+    path = scratch_path(spark, "t-repeats")
+    for _ in range(8):
+        make_docs(pairs).coalesce(1).write.mode("append").parquet(path)
+    docs = spark.read.parquet(path)
+    assert len(docs.inputFiles()) == 8
+    for least, dropped in ((3, 0), (2, 8)):
+        rows = line_dedup.drop_repeated_lines(docs, min_docs=least).collect()
+        assert len(rows) == 24 and sum(r.line_dedup.n_dropped for r in rows) == dropped
+        assert {r.text for r in rows if r.doc_id == 2} == {f"{line}\ntwo"}
+
+
+def test_a_document_is_in_one_batch(spark, make_docs, awkward):
+    path = scratch_path(spark, "t-dealt")
+    for _ in range(3):
+        make_docs(awkward).write.mode("append").parquet(path)
+    rows = common.keyed(spark.read.parquet(path), "doc_id", "text")
+    _, parts = line_dedup.dealt_hashes(rows, 40, 3)
+    held = [{(r._id, r._th) for r in p.select("_id", "_th").distinct().collect()} for p in parts]
+    assert sum(map(len, held)) == len(set().union(*held)) > 10
+    assert sum(p.count() for p in parts) == line_dedup.line_hashes(rows, 40).count()
+
+
 def test_runs_hold_each_hash_once(spark, make_docs, awkward):
     store = line_dedup.LineStore(spark, buckets=3)
     news = 0
