@@ -27,11 +27,20 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words, similarity of 0.8 or more; the smallest
-    id stays.  Documents without words, or without an id, stay."""
-    found = jaccard.link_components(docs, n=5, percent=80)
-    gone = pin(found.where("n_shingles > 0 AND doc_id != component_id").select("doc_id"))
-    return join_checked(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)
+    """One row of each group of near copies: five words, similarity of 0.8 or more; the smallest id stays,
+    one without an id only where no copy has one.  Of rows that repeat it the least stays.
+    Documents without words stay."""
+    key = ["_id", "_th"]
+    found = pin(jaccard.row_components(docs, n=5, percent=80).where("n_shingles > 0").select(*key, "stays"))
+    gone = pin(found.where("NOT stays").select(*key).distinct())
+    again = pin(found.where("stays").groupBy(*key).count().where("count > 1").select(*key))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"),
+                       F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"))
+    kept = join_checked(rows, gone, key, "left_anti")
+    if not again.isEmpty():
+        once = join_checked(kept, again, key, "left_semi").groupBy(*key).agg(F.min("row").alias("row"))
+        kept = join_checked(kept, again, key, "left_anti").select("row").unionByName(once.select("row"))
+    return kept.select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_checked, partitions, pin
+from .common import join_checked, keyed, partitions, pin
 from .components import components
 from .grams import gram_sets, mix, parts, ragged, signed
 from .pretokens import give_back
@@ -128,7 +128,7 @@ def _column_order(docs: DataFrame, text_col: str, n: int, bits: int, most: int):
 
 
 def _sketcher(n: int, percent: int, bits: int, order):
-    """Per document: size, two sums that name its set, and its first columns in order."""
+    """Per document: size, two sums that name its set, its first columns in order, and its key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols, times = order.value
         for batch in parts(batches):
@@ -150,7 +150,8 @@ def _sketcher(n: int, percent: int, bits: int, order):
                     else:
                         firsts.append(signed(np.sort(name)[:short]))
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()),
-                                   pa.array(two, pa.int64()), ragged(firsts)], ["row", "n", "s1", "s2", "firsts"])
+                                   pa.array(two, pa.int64()), ragged(firsts), batch.column(2), batch.column(3)],
+                                  ["row", "n", "s1", "s2", "firsts", "_id", "_th"])
         give_back()
     return run
 
@@ -217,7 +218,7 @@ def _sorted_sets(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
     grams = table.column("grams").combine_chunks()
     flat, cuts = grams.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.diff(grams.offsets.to_numpy()))])
     sets = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-    _, first = np.unique(rows, return_index=True)  # repeated rows have the same set
+    _, first = np.unique(rows, return_index=True)  # repeated rows have the same text
     order = sorted(first.tolist(), key=lambda i: (len(sets[i]), rows[i]))
     return rows[order], [sets[i] for i in order]
 
@@ -265,18 +266,26 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n-grams; component_id is the smallest id that a document reaches, itself included.
     Null and blank texts have an empty set and link with nothing.  Equal texts, also repeated
     rows, are linked.  A null id never names a component: among documents of which none has an
-    id component_id is null.  An empty table gives an empty result; other columns are ignored.
+    id component_id is null.  Different texts under one id are different documents.
+    An empty table gives an empty result; other columns are ignored.
     """
-    named = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    # A row's own number: its id, or below all ids a number from its text.
-    row = F.coalesce(F.col("_id"), F.expr("-4611686018427387904 - pmod(xxhash64(coalesce(_text, '')), 4611686018427387904)"))
-    named = named.select(row.alias("row"), "_id", "_text")
+    rows = row_components(docs, id_col, text_col, n, percent, light, block)
+    return rows.select(F.col("_id").alias(id_col), "n_shingles", "component_id")
+
+
+def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   n: int = 3, percent: int = 90, light: int = LIGHT, block: int = BLOCK) -> DataFrame:
+    """Per document its key ``_id`` and ``_th`` as in ``keyed``, n_shingles and component_id as in
+    ``link_components``, and whether it stays where one document of each component does: that with the
+    smallest id, those without one last, then with the smallest ``_th``.  Documents without words stay."""
+    # A row's own number, from its id and text: only repeats of one document share it.
+    named = keyed(docs, id_col, text_col).withColumn("row", F.xxhash64("_id", "_th"))
     spark = docs.sparkSession
     bits = _order_bits(docs.count())
     order = spark.sparkContext.broadcast(_column_order(named, "_text", n, bits, ORDER_COLUMNS))
 
-    sketch = pin(named.select("row", "_text").mapInArrow(
-        _sketcher(n, percent, bits, order), "row long, n long, s1 long, s2 long, firsts array<long>"))
+    sketch = pin(named.select("row", "_text", "_id", "_th").mapInArrow(
+        _sketcher(n, percent, bits, order), "row long, n long, s1 long, s2 long, firsts array<long>, _id long, _th long"))
     # Equal sets are one class, named by its smallest row.
     name = ["n", "s1", "s2"]
     classes = pin(sketch.where("n > 0").groupBy(*name).agg(F.min("row").alias("class")))
@@ -313,13 +322,13 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     of_class = classes.join(reached.selectExpr("node AS class", "component"), "class", "left").selectExpr(
         *name, "coalesce(component, class) AS component")
-    rows = sketch.select("row", *name).join(of_class, name, "left")
-    # The smallest id: numbers given to rows without an id do not count.
-    least = rows.where("row > -4611686018427387904").groupBy("component").agg(F.min("row").alias("component_id"))
-    real = F.when(F.col("row") > -4611686018427387904, F.col("row"))
-    return rows.join(least, "component", "left").select(
-        real.alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(real).alias("component_id"))
+    rows = sketch.select("_id", "_th", *name).join(of_class, name, "left")
+    least = rows.where("n > 0").groupBy("component").agg(
+        F.min("_id").alias("component_id"), F.min(F.expr("struct(_id IS NULL AS no_id, _id, _th)")).alias("first"))
+    return rows.join(least.withColumnRenamed("first", "_first"), "component", "left").select(
+        "_id", "_th", F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"),
+        F.expr("n = 0 OR (_id <=> _first._id AND _th = _first._th)").alias("stays"))
 
 
 def _large_families(large: DataFrame, shared: DataFrame, percent: int, light: int, block: int) -> DataFrame:

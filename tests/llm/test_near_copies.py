@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from sigreview.llm import components, jaccard
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -51,6 +52,29 @@ def test_rows_without_an_id(make_docs):
         (0, False, 0), (0, True, 0), (0, True, 7), (7, True, 7)]
 
 
+def near(word, changed=0):
+    return " ".join([f"{word}{k}" for k in range(60)] + [f"new{word}{k}" for k in range(changed)])
+
+
+def test_texts_that_share_an_id(make_docs):
+    """Each text under an id is compared, and links only what it resembles itself."""
+    pairs = [(1, near("a")), (2, near("b")), (5, near("a", 2)), (5, near("b", 2)), (5, near("c")), (6, near("c", 1))]
+    rows = jaccard.link_components(make_docs(pairs)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(1, 1), (2, 2), (5, 1), (5, 2), (5, 5), (6, 5)]
+
+
+def test_one_row_of_each_group_stays(spark, make_docs):
+    """Also of repeated rows and of rows without an id; a clean text stays whatever else has its id."""
+    a, b, c = near("a"), near("b"), near("c")
+    docs = make_docs([(1, a), (1, a), (1, a), (3, near("a", 2)), (3, near("clean")), (None, a), (None, b), (None, b),
+                      (None, near("b", 1)), (4, c), (4, near("c", 1)), (7, ""), (7, ""), (None, None)])
+    rows = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    left = [(r.doc_id, r.text) for r in rows]
+    assert left.count((1, a)) == left.count((3, near("clean"))) == 1 and left.count((7, "")) == 2
+    assert sum(t in (b, near("b", 1)) for _, t in left) == sum(t in (c, near("c", 1)) for _, t in left) == 1
+    assert len(left) == 7 and rows[0].asDict().keys() == set(docs.columns)
+
+
 def test_empty(make_docs):
     assert jaccard.link_components(make_docs([])).count() == 0
 
