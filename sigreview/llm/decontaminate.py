@@ -93,20 +93,40 @@ def phrase_hits(docs: DataFrame, postings: DataFrame, benchmark: DataFrame, id_c
 
 
 def proximity_hits(postings: DataFrame, phrases: DataFrame, within: int = 20) -> DataFrame:
-    """Documents that hold the two rarest terms of a phrase at most ``within`` words apart.
+    """Documents that hold all terms of a phrase at most ``within`` words apart from each other.
 
-    ``phrases`` has columns phrase and words.  Rows: phrase, _id, _th, pos, other, all pairs of
-    places, found by joining the two lists on blocks of ``within`` positions."""
+    ``phrases`` has columns phrase and words, A-Z lower-cased; a repeated word is one term, and a term
+    without postings matches nothing.  Rows: phrase, _id, _th, pos, other, all pairs of places of the two
+    rarest terms around which the other terms stand as well.  The pairs are found by joining the two
+    lists on blocks of ``within`` positions.  A phrase of one term has its places as both."""
+    step = max(within, 1)
     held = postings.where(F.col("term") != LENGTH).groupBy("term").agg(F.count(F.lit(1)).alias("held"))
-    terms = phrases.select("phrase", F.explode(F.array_distinct("words")).alias("term")).join(held, "term")
-    two = terms.groupBy("phrase").agg(F.slice(F.array_sort(F.collect_list(F.struct("held", "term"))), 1, 2).alias("x")).where("size(x) = 2")
-    block = f"CAST(floor(pos / {within}) AS INT)"
-    rare = postings.join(two.selectExpr("phrase", "x[0].term AS term"), "term").selectExpr(
-        "phrase", *DOC, "pos", f"explode(sequence({block} - 1, {block} + 1)) AS block")
+    terms = phrases.select("phrase", F.explode("words").alias("term")).distinct().join(held, "term", "left")
+    ranked = pin(terms.groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct(
+        F.coalesce("held", F.lit(0)).alias("held"), "term"))).alias("x")).where("x[0].held > 0"))
+    place = ["phrase", *DOC, "pos", "other"]
+    one = postings.join(ranked.where("size(x) = 1").selectExpr("phrase", "x[0].term AS term"), "term").selectExpr(
+        "phrase", *DOC, "pos", "pos AS other")
+    two = ranked.where("size(x) > 1")
+    block = f"CAST(floor(pos / {step}) AS INT)"
+    rare = postings.join(two.selectExpr("phrase", "size(x) AS n", "x[0].term AS term"), "term").selectExpr(
+        "phrase", "n", *DOC, "pos", f"explode(sequence({block} - 1, {block} + 1)) AS block")
     next_rare = postings.join(two.selectExpr("phrase", "x[1].term AS term"), "term").selectExpr(
-        "phrase", *DOC, "pos AS other", f"CAST(floor(pos / {within}) AS INT) AS block")
-    return join_same(rare, next_rare, ["phrase", *DOC, "block"], "inner").where(
-        f"abs(pos - other) <= {within}").select("phrase", *DOC, "pos", "other")
+        "phrase", *DOC, "pos AS other", f"{block} AS block")
+    pairs = pin(join_same(rare, next_rare, ["phrase", *DOC, "block"], "inner").where(
+        f"abs(pos - other) <= {within}").select(*place, "n").distinct())
+    # The other terms, in the reach of a window around both places: one word stands at a place.
+    low, high = f"greatest(pos, other) - {within}", f"least(pos, other) + {within}"
+    others = two.selectExpr("phrase", "explode(slice(x, 3, size(x))) AS y").selectExpr("phrase", "y.term AS term")
+    listed = postings.join(others, "term").selectExpr("phrase", *DOC, "term", "pos AS at", f"{block} AS block")
+    reach = pairs.where("n > 2").selectExpr(
+        *place, "n", f"{low} AS low", f"{high} AS high",
+        f"explode(sequence(CAST(floor(({low}) / {step}) AS INT), CAST(floor(({high}) / {step}) AS INT))) AS block")
+    near = join_same(reach, listed, ["phrase", *DOC, "block"], "inner").where("at BETWEEN low AND high")
+    whole = near.groupBy(*place, "n", "low").agg(F.collect_set(F.struct("at", "term")).alias("found")).where(
+        f"exists(sequence(low, least(pos, other)), s -> size(array_distinct(transform("
+        f"filter(found, y -> y.at BETWEEN s AND s + {within}), y -> y.term))) = n - 2)")
+    return pairs.where("n = 2").select(*place).union(whole.select(*place)).union(one.select(*place).distinct())
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -66,3 +66,16 @@ def test_proximity(spark, make_docs):
     want = {(i, frozenset((p, q))) for i, t in pairs for p, x in enumerate(words(t)) for q, y in enumerate(words(t))
             if x == "a" and y == "b" and abs(p - q) <= 3}
     assert got == want
+
+
+def test_proximity_of_whole_phrases(spark, make_docs):
+    """All terms must stand in one window; a term that no text has matches nothing."""
+    rng = random.Random(7)
+    pairs = [(k, " ".join(rng.choice("abcdefgh") for _ in range(25))) for k in range(12)]
+    postings = decontaminate.build_index(make_docs(pairs))
+    asked = {"abc": ["a", "b", "c"], "defg": ["d", "e", "f", "g", "d"], "absent": ["a", "b", "zz"], "one": ["h"]}
+    phrases = spark.createDataFrame(list(asked.items()), "phrase string, words array<string>")
+    got = {(r.phrase, r._id) for r in decontaminate.proximity_hits(postings, phrases, 4).collect()}
+    want = {(p, i) for p, w in asked.items() for i, t in pairs for s in range(25) if set(w) <= set(words(t)[s: s + 5])}
+    assert got == want and {p for p, _ in got} == {"abc", "defg", "one"}
+    assert len(got) < 3 * len(pairs)
