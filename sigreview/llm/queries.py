@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bpe, chat, decontaminate, exact_dedup, jaccard, line_dedup, secret_scan, token_count, toxicity, warc)
+    bpe, chat, decontaminate, exact_dedup, fill_middle, jaccard, line_dedup, packing, secret_scan, token_count, toxicity,
+    vector_codes, warc)
 from .common import pin
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,7 @@ ORACLES: dict[str, str] = {}
 # Places of the tokenizer files; a parameter of the operators.
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -199,3 +201,64 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_count.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+@query("op11_fill_in_middle", """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS w FROM documents),
+drawn AS (SELECT *, len(w) AS n, [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) FOR k IN range(4)] AS r FROM d),
+placed AS (
+  SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 50 THEN 'plain'
+              WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (
+  SELECT *, coalesce(array_to_string(w[:a], ''), '') AS pre, coalesce(array_to_string(w[a + 1:b], ''), '') AS mid,
+         coalesce(array_to_string(w[b + 1:], ''), '') AS suf FROM placed)
+SELECT doc_id, n, form, CASE WHEN form != 'plain' THEN length(pre) END AS prefix_chars,
+       CASE WHEN form != 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+              ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts""")
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fill_middle.*")
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+@query("op12_best_fit_packing")
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE).drop("ids")
+
+
+def _rounds(rounds: int) -> str:
+    """Common table expressions of all rounds: near{k} assigns parts to book{k}, book{k + 1} has the new entries."""
+    near = """near{k} AS MATERIALIZED (
+  SELECT r, part, min(list_sum([CAST((x[i] - y[i]) * (x[i] - y[i]) AS HUGEINT) FOR i IN range(1, len(x) + 1)]) * 16 + entry) AS best
+  FROM parts JOIN book{k} USING (part) GROUP BY r, part)"""
+    book = """means{n} AS (
+  SELECT part, entry, list(mean ORDER BY place) AS y FROM (
+    SELECT part, entry, place, CAST(floor(sum(value) / count(*)) AS BIGINT) AS mean FROM (
+      SELECT part, best % 16 AS entry, unnest(x) AS value, generate_subscripts(x, 1) AS place FROM parts JOIN near{k} USING (r, part))
+    GROUP BY part, entry, place) GROUP BY part, entry),
+book{n} AS MATERIALIZED (SELECT part, entry, coalesce(m.y, b.y) AS y FROM book{k} b LEFT JOIN means{n} m USING (part, entry))"""
+    steps = [s.format(k=k, n=k + 1) for k in range(rounds) for s in (near, book)]
+    return ",\n".join([*steps, near.format(k=rounds)])
+
+
+@query("op13_vector_codes", f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v, row_number() OVER (ORDER BY vec_id) - 1 AS r
+  FROM embeddings WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+parts AS MATERIALIZED (SELECT r, part, v[part * len(v) // 8 + 1:(part + 1) * len(v) // 8] AS x FROM kept, range(8) t(part)),
+book0 AS MATERIALIZED (SELECT part, r AS entry, x AS y FROM parts WHERE r < 16),
+{_rounds(6)},
+digest AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book6),
+coded AS (SELECT r, string_agg(printf('%02x', CAST(best % 16 AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(best // 16) AS BIGINT) AS error
+          FROM near6 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), digest""")
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(model.digest()).alias("codebooks_sha256"))

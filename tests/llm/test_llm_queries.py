@@ -20,7 +20,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     names = {k.split("_")[0] for k in queries.QUERIES}
-    assert names == {f"op{n}" for n in range(1, 11)}
+    assert names == {f"op{n}" for n in range(1, 14)}
     assert {*queries.QUERIES, "pipeline"} <= set(entry.queries())
     assert len(corpus_pipeline.STAGES) == 5
 
