@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import decide
 from ..functions.text import stamp
+from ..schemas import table
 from .spread import HOT_ROWS, join_dimension, join_unique
 
 
@@ -32,6 +33,33 @@ def history(readings: DataFrame) -> DataFrame:
     )
 
 
+# What is kept of a pair so that its mean can be taken later: rows, values, those an exact decimal holds, both sums.
+PARTIAL = table(
+    "compound_id string, assay_name string, n_rows bigint, n_values bigint, n_exact bigint, exact_sum decimal(38,9), plain_sum double"
+)
+
+
+def history_parts(readings: DataFrame) -> DataFrame:
+    """Mergeable sums per (compound, assay), in the columns of ``PARTIAL``."""
+    exact = "TRY_CAST(result_value AS DECIMAL(24, 9))"
+    return readings.groupBy("compound_id", "assay_name").agg(
+        F.expr("count(1) AS n_rows"), F.expr("count(result_value) AS n_values"), F.expr(f"count({exact}) AS n_exact"),
+        F.expr(f"CAST(sum({exact}) AS DECIMAL(38, 9)) AS exact_sum"), F.expr("sum(result_value) AS plain_sum"))
+
+
+def merge_parts(parts: DataFrame) -> DataFrame:
+    """Parts of several runs as one row per pair; the order of merging makes no difference to exact sums."""
+    counts = [F.expr(f"sum({n}) AS {n}") for n in ("n_rows", "n_values", "n_exact")]
+    return parts.groupBy("compound_id", "assay_name").agg(
+        *counts, F.expr("CAST(sum(exact_sum) AS DECIMAL(38, 9)) AS exact_sum"), F.expr("sum(plain_sum) AS plain_sum"))
+
+
+def history_of_parts(parts: DataFrame) -> DataFrame:
+    """The history that merged parts stand for, as :func:`history` gives it."""
+    mean = "CASE WHEN n_exact = n_values THEN CAST(exact_sum AS DOUBLE) ELSE plain_sum END"
+    return parts.selectExpr("compound_id", "assay_name", "n_rows AS prior_n", f"try_divide({mean}, n_values) AS prior_mean")
+
+
 def with_reference(readings: DataFrame, reference: DataFrame, how: str = "left") -> DataFrame:
     """Readings with their assay's threshold row, which must be unique per assay."""
     slim = reference.selectExpr(

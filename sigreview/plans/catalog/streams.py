@@ -1,11 +1,12 @@
 """Incremental forms, run to the end of what is there, then read back."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ...operators import scoring
 from ...schemas import READING
 from ...session import is_folder, pin, scratch_path
-from ...streaming import incremental
+from ...streaming import arrivals, incremental
 from .. import bindings as B
 from .base import query
 
@@ -78,12 +79,26 @@ def drop_repeats(spark, d):
     return spark.read.schema(schema).parquet(out)
 
 
+def _arrived(spark, d):
+    """Both lots through the stateful query, read back."""
+    root, state = scratch_path(spark, "arrived"), scratch_path(spark, "arrived-state")
+    schema = _two_arrivals(spark, d, lambda rows: arrivals.start_arrivals(rows, root, state, "20 days"))
+    return spark.read.schema(StructType([*schema.fields, StructField("arrival", StringType())])).parquet(root)
+
+
+@query("t2_arrivals", f"""
+    SELECT sample_id, assay_name, acquired_ts, 'kept' AS arrival FROM readings WHERE event_id % 2 = 0 UNION ALL
+    SELECT sample_id, assay_name, acquired_ts, CASE WHEN {_LATE} THEN 'late' WHEN event_id % 2 = 0 THEN 'repeated' ELSE 'kept' END
+    FROM readings""")
+def told_apart(spark, d):
+    """Every row of both lots with what it was on arrival."""
+    return _arrived(spark, d)
+
+
 @query("t2_late_rows", f"SELECT sample_id, assay_name, acquired_ts FROM readings WHERE {_LATE}")
 def late_rows(spark, d):
     """What came too late in the second lot, kept aside."""
-    root, state = scratch_path(spark, "late"), scratch_path(spark, "late-state")
-    schema = _two_arrivals(spark, d, lambda rows: incremental.start_late_rows(rows, root, state, "20 days"))
-    return spark.read.schema(schema).parquet(f"{root}/rows/*")
+    return _arrived(spark, d).where(f"arrival = '{arrivals.LATE}'").drop("arrival")
 
 
 @query("t2_every_file", "SELECT sample_id, assay_name, acquired_ts FROM readings")
@@ -102,6 +117,29 @@ def score_stream(spark, d):
     return _appended(spark, scored, "flags")
 
 
+def _moved(spark, d):
+    """All readings in two lots, each scored against the history of the one before."""
+    path, root, state = (scratch_path(spark, n) for n in ("scored-in", "scored", "scored-state"))
+    rows = B.readings(spark, d)
+    for lot in ("CAST(sample_id AS BIGINT) % 2 = 0", "CAST(sample_id AS BIGINT) % 2 = 1"):
+        rows.where(lot).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(rows.schema).parquet(path)
+        _run(incremental.start_scores(stream, B.reference(spark), B.AS_OF, root, state), "scores")
+    return root
+
+
+@query("t3_moving_history", "SELECT * FROM moving_flags")
+def moving_history(spark, d):
+    """The second lot sees the history that the first one left, the first lot none."""
+    return spark.read.parquet(incremental.scores_root(_moved(spark, d))).drop("batch")
+
+
+@query("t3_history_after", "SELECT * FROM hist")
+def history_after(spark, d):
+    """After all lots the moving history is that of the whole table."""
+    return incremental.latest_history(spark, _moved(spark, d))
+
+
 @query("t4_sync_stream", """
     SELECT * EXCLUDE (change) REPLACE (CASE WHEN change = 'cleared' THEN 'open' ELSE status END AS status,
       CASE WHEN change = 'cleared' THEN TIMESTAMP '2024-01-30 00:00:00' ELSE synced_ts END AS synced_ts) FROM merged""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql.types import (
     BooleanType,
+    DecimalType,
     DoubleType,
     IntegerType,
     LongType,
@@ -16,13 +17,14 @@ from pyspark.sql.types import (
 _TYPES = {
     "string": StringType(), "int": IntegerType(), "bigint": LongType(), "double": DoubleType(),
     "boolean": BooleanType(), "timestamp_ntz": TimestampNTZType(),
+    "decimal(38,9)": DecimalType(38, 9),
 }
 
 
 def table(columns: str) -> StructType:
     """A flat schema from ``name type, ...``; a trailing ``not null`` is honoured."""
     fields = []
-    for column in columns.split(","):
+    for column in columns.split(", "):
         name, kind, *rest = column.split()
         fields.append(StructField(name, _TYPES[kind], rest != ["not", "null"]))
     return StructType(fields)

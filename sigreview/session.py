@@ -94,6 +94,19 @@ def pin(df: DataFrame) -> DataFrame:
     This cuts the lineage like a checkpoint, but as Parquet: later steps read
     only the columns they need, and Spark knows the size of what was written.
     """
+    return _written(df, scratch_path(df.sparkSession, "pinned"))
+
+
+@contextmanager
+def pinned(df: DataFrame) -> Iterator[DataFrame]:
+    """df written like :func:`pin`, to be read several times within; deleted at the end."""
     path = scratch_path(df.sparkSession, "pinned")
+    try:
+        yield _written(df, path)
+    finally:
+        remove(df.sparkSession, path)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,7 +1,7 @@
 """Incremental forms: read what landed, drop repeats, score, sync, count.
 
-The history used for scoring is a static table, so it lags the stream by the
-time since it was last written.
+``score_stream`` scores against a static history; with ``start_scores`` the history moves with the
+stream.  ``arrivals.py`` tells repeats and late rows apart, ``batch_log.py`` keeps what micro-batches append.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.review_queue import merge_queue, queue_source
-from ..operators.scoring import score_readings
+from ..operators.scoring import PARTIAL, history_of_parts, history_parts, merge_parts, score_readings
 from ..schemas import QUEUE, QUEUE_KEY, READING_CURSOR, READING_KEY, READING_PAGE
-from ..session import names_in, pin, remove
+from ..session import names_in, pinned
 from ..sources.envelope import ingest_readings
+from .batch_log import BatchLog, latest_per_key
 
 
 def stream_pages(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -39,8 +40,8 @@ def drop_repeats(
     """First arrival per declared key; state is kept for the watermark delay only.
 
     A watermark needs an instant, so the wall-clock cursor is read in the
-    session time zone for it.  What comes later than the delay is left out here
-    and kept by :func:`start_late_rows`.
+    session time zone for it.  What comes later than the delay is left out here;
+    ``arrivals.label_arrivals`` keeps it.
     """
     timed = readings.withColumn("_event_time", F.col(cursor).cast("timestamp"))
     once = timed.withWatermark("_event_time", delay).dropDuplicatesWithinWatermark(list(key))
@@ -60,31 +61,45 @@ def start_append(df: DataFrame, path: str, checkpoint: str, **trigger) -> Stream
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
 
 
-def start_late_rows(
-    readings: DataFrame, root: str, checkpoint: str, delay: str = "1 day",
-    cursor: str = READING_CURSOR, **trigger,
+def scores_root(root: str) -> str:
+    return f"{root.rstrip('/')}/flags"
+
+
+def history_log(spark: SparkSession, root: str, every: int = 16) -> BatchLog:
+    """The moving history under ``root``, as mergeable sums per pair and micro-batch."""
+    return BatchLog(spark, f"{root.rstrip('/')}/history", PARTIAL, merge_parts, every)
+
+
+def latest_history(spark: SparkSession, root: str) -> DataFrame:
+    """The history of all readings scored so far."""
+    return history_of_parts(history_log(spark, root).now())
+
+
+def start_scores(
+    readings: DataFrame, reference: DataFrame, as_of: datetime, root: str, checkpoint: str,
+    initial: DataFrame | None = None, every: int = 16, **trigger,
 ) -> StreamingQuery:
-    """Keep the rows that come later than ``delay``, and count them per micro-batch.
+    """Score each micro-batch against the history of all earlier ones, then add it to that history.
 
-    A row is late if its time is ``delay`` or more before the newest one of all earlier
-    micro-batches, which is the watermark of :func:`drop_repeats` over the same
-    arrivals.  ``root/rows`` has the late rows, ``root/counts`` their number and the
-    newest time so far, both by batch, so a replayed batch rewrites its own part.
+    ``initial`` (columns of ``PARTIAL``) is what was known before the stream.  Scores go to :func:`scores_root`
+    and sums to the history, both by batch; a replayed batch sees the history of the batches
+    before it, as at first, and writes the same again.
     """
-
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        newest = None
-        if batch_id:
-            newest = spark.read.parquet(_snapshot(f"{root}/counts", batch_id - 1)).first().newest
-        mark = F.lit(newest).cast("timestamp_ntz")
-        late = batch.where(F.col(cursor) <= mark - F.expr(f"INTERVAL {delay}"))
-        late.write.mode("overwrite").parquet(_snapshot(f"{root}/rows", batch_id))
-        n_late = spark.read.parquet(_snapshot(f"{root}/rows", batch_id)).count()
-        counts = batch.agg(F.greatest(F.max(cursor), mark).alias("newest")).withColumn("n_late", F.lit(n_late))
-        counts.write.mode("overwrite").parquet(_snapshot(f"{root}/counts", batch_id))
-
-    writer = readings.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
+    log = history_log(readings.sparkSession, root, every)
+    if initial is not None:
+        log.start(initial)
+    pair = ["compound_id", "assay_name"]
+
+    def score(batch: DataFrame, batch_id: int) -> None:
+        log.compact(batch_id)
+        with pinned(batch) as rows:
+            # Only pairs that occur in the batch are looked up.
+            known = log.rows(batch_id - 1).join(rows.select(*pair).distinct(), pair, "left_semi")
+            flags = score_readings(rows, reference, as_of, history_of_parts(log.fold(known)))
+            flags.write.mode("overwrite").parquet(_snapshot(scores_root(root), batch_id))
+            log.append(history_parts(rows), batch_id)
+
+    writer = readings.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint)
     return writer.trigger(**trigger or {"availableNow": True}).start()
 
 
@@ -104,64 +119,14 @@ def latest_snapshot(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(_snapshot(root, _batches(spark, root)[-1]))
 
 
-# Buckets of a queue: what one micro-batch touches is rewritten in whole buckets.
-QUEUE_BUCKETS = 64
-
-
-class BucketedQueue:
-    """A queue in hash buckets of its key, under one folder.
-
-    ``bucket=k/batch=n`` is bucket k as batch n left it; ``state/batch=n`` lists the batch that wrote each
-    bucket last.  A batch writes the buckets that it touches and its state; what no kept state lists is deleted.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, buckets: int = QUEUE_BUCKETS, kept: int = 2) -> None:
-        self.spark, self.root, self.buckets, self.kept = spark, root.rstrip("/"), buckets, kept
-
-    def bucket(self) -> str:
-        return f"CAST(pmod(hash({', '.join(QUEUE_KEY)}), {self.buckets}) AS INT)"
-
-    def state(self, batch: int | None = None) -> dict[int, int]:
-        """{bucket: batch that wrote it} after a batch, by default the newest."""
-        found = _batches(self.spark, f"{self.root}/state")
-        batch = found[-1] if batch is None and found else batch
-        if batch is None or batch not in found:
-            return {}
-        rows = self.spark.read.parquet(_snapshot(f"{self.root}/state", batch)).collect()  # one row per bucket
-        return {r.bucket: r.written for r in rows}
-
-    def read(self, state: dict[int, int], only: Sequence[int] | None = None) -> DataFrame:
-        """The rows of some buckets, by default of all."""
-        paths = [_snapshot(f"{self.root}/bucket={k}", n) for k, n in state.items() if only is None or k in only]
-        if not paths:
-            return self.spark.createDataFrame([], QUEUE)
-        return self.spark.read.schema(QUEUE).parquet(*paths)
-
-    def write(self, rows: DataFrame, touched: Sequence[int], state: dict[int, int], batch: int) -> None:
-        """Write the touched buckets and the state after this batch, then delete what is out of date."""
-        (rows.withColumn("bucket", F.expr(self.bucket())).withColumn("batch", F.lit(batch))
-         .repartition(min(len(touched), self.buckets) or 1, "bucket")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(self.root))
-        there = {k for k in touched if f"batch={batch}" in names_in(self.spark, f"{self.root}/bucket={k}")}
-        after = {k: n for k, n in state.items() if k not in touched} | dict.fromkeys(there, batch)
-        self.spark.createDataFrame(sorted(after.items()), "bucket int, written int").coalesce(1).write.mode("overwrite").parquet(
-            _snapshot(f"{self.root}/state", batch))
-        self._clean()
-
-    def _clean(self) -> None:
-        states = _batches(self.spark, f"{self.root}/state")
-        for old in states[: -self.kept]:
-            newer = [self.state(n) for n in states[-self.kept:]]
-            for k, n in self.state(old).items():
-                if all(s.get(k) != n for s in newer):
-                    remove(self.spark, _snapshot(f"{self.root}/bucket={k}", n))
-            remove(self.spark, _snapshot(f"{self.root}/state", old))
+def queue_log(spark: SparkSession, root: str, every: int = 16) -> BatchLog:
+    """A queue as the rows that each micro-batch changed; the newest row of a key counts."""
+    return BatchLog(spark, root, QUEUE, latest_per_key(QUEUE_KEY), every)
 
 
 def latest_queue(spark: SparkSession, root: str) -> DataFrame:
     """The queue as the newest micro-batch left it."""
-    queue = BucketedQueue(spark, root)
-    return queue.read(queue.state())
+    return queue_log(spark, root).now()
 
 
 def start_sync(
@@ -173,28 +138,27 @@ def start_sync(
     as_of: datetime,
     root: str,
     checkpoint: str,
-    buckets: int = QUEUE_BUCKETS,
+    every: int = 16,
     **trigger,
 ) -> StreamingQuery:
-    """Score each micro-batch and merge its flags into the queue's buckets.
+    """Score each micro-batch and append the queue rows that its flags change.
 
-    The queue starts from ``initial``, written once.  Batch n goes on from the state after
-    batch n-1, so replaying it after a failure writes the same again.  A
-    micro-batch is an increment: rows absent from it are not cleared; the batch sync over
-    the whole flag table does that.  ``past`` and ``correlation`` are read at every
+    The queue starts from ``initial``, written once.  Batch n merges into the rows of its keys as
+    the batches before it left them, so replaying it after a failure writes the same again; every ``every``
+    batches the log is folded into a new base.  A micro-batch is an increment: rows absent from it are not cleared;
+    the batch sync over the whole flag table does that.  ``past`` and ``correlation`` are read at every
     micro-batch and should be written tables.
     """
-    queue = BucketedQueue(readings.sparkSession, root, buckets)
-    if not queue.state(-1):
-        queue.write(initial, range(buckets), {}, -1)
+    queue = queue_log(readings.sparkSession, root, every)
+    queue.start(initial)
 
     def sync(batch: DataFrame, batch_id: int) -> None:
-        state = queue.state(batch_id - 1)
+        queue.compact(batch_id)
         flags = score_readings(batch, reference, as_of, past)
-        source = pin(queue_source(flags, correlation))
-        touched = [r.bucket for r in source.selectExpr(f"{queue.bucket()} AS bucket").distinct().collect()]
-        merged = merge_queue(queue.read(state, touched), source, as_of, clear_missing=False)
-        queue.write(merged.drop("change"), touched, state, batch_id)
+        with pinned(queue_source(flags, correlation)) as source:
+            touched = queue.rows(batch_id - 1).join(source.select(*QUEUE_KEY).distinct(), list(QUEUE_KEY), "left_semi")
+            merged = merge_queue(queue.fold(touched), source, as_of, clear_missing=False)
+            queue.append(merged, batch_id)
 
     writer = readings.writeStream.foreachBatch(sync).option("checkpointLocation", checkpoint)
     return writer.trigger(**trigger or {"availableNow": True}).start()

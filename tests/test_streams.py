@@ -1,19 +1,21 @@
 """Incremental forms over two arrivals, and the whole batch end to end."""
 
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 import fixtures as fx
 from sigreview import fixed_values as V
 from sigreview.operators import correlate, deidentify, scoring
 from sigreview.plans import stages
 from sigreview.plans.catalog import QUERIES
-from sigreview.schemas import ACTION, QUEUE, READING
+from sigreview.schemas import ACTION, QUEUE, QUEUE_KEY, READING
 from sigreview.session import names_in, scratch_path
 from sigreview.sources import envelope
-from sigreview.streaming import incremental
+from sigreview.streaming import arrivals, batch_log, incremental
 from test_actions import queue_row
 
 
@@ -49,38 +51,144 @@ def folder(spark):
     return root
 
 
-@pytest.mark.parametrize("key", ["t2_every_file", "t2_drop_repeats", "t2_late_rows", "t3_score_stream", "t4_sync_stream", "t5_live_counts"])
+@pytest.mark.parametrize("key", ["t2_every_file", "t2_drop_repeats", "t2_arrivals", "t2_late_rows", "t3_score_stream", "t3_moving_history", "t4_sync_stream", "t5_live_counts"])
 def test_streams_over_folders_give_what_files_give(spark, folder, key):
     a, b = QUERIES[key](spark, folder), QUERIES[key](spark, "/root/testdata/sf0.001")
     assert b.count() > 0 and same(a, b)
 
 
-def test_untouched_buckets_stay_and_replays_change_nothing(spark):
-    root = scratch_path(spark, "t-buckets")
-    rows = [queue_row(f"r{i}", V.OPEN) for i in range(40)]
-    queue = spark.createDataFrame([tuple(r[f.name] for f in QUEUE) for r in rows], QUEUE)
-    kept = incremental.BucketedQueue(spark, root, buckets=8)
-    kept.write(queue, range(8), {}, -1)
-    start = kept.state(-1)
-    few = queue.where("reading_id IN ('r1', 'r2')").withColumn("note", F.lit("x")).drop("note")
-    touched = [r.b for r in few.selectExpr(f"{kept.bucket()} AS b").distinct().collect()]
-
-    def step():
-        changed = kept.read(start, touched).withColumn("margin", F.lit(-7.0))
-        kept.write(changed, touched, start, 0)
-        return {f for k in range(8) for f in kept.read(kept.state(), [k]).inputFiles()}
-    once = step()
-    first = spark.createDataFrame(kept.read(kept.state()).collect(), QUEUE)
-    untouched = {k: n for k, n in kept.state().items() if k not in touched}
-    assert untouched == {k: n for k, n in start.items() if k not in touched} and set(untouched.values()) == {-1}
-    again = step()
-    assert len(once) == len(again) and same(first, kept.read(kept.state())) and first.count() == 40
-    # Two states are kept: what only older ones list is deleted.
-    kept.write(kept.read(kept.state(), touched).withColumn("margin", F.lit(-8.0)), touched, kept.state(), 1)
-    kept.write(kept.read(kept.state(), touched).withColumn("margin", F.lit(-9.0)), touched, kept.state(), 2)
-    assert sorted(names_in(spark, f"{root}/state")) == ["batch=1", "batch=2"]
-    assert sorted(names_in(spark, f"{root}/bucket={touched[0]}")) == ["batch=1", "batch=2"]
-    assert kept.read(kept.state()).count() == 40
+def _queue_rows(spark, ids, **values):
+    rows = [queue_row(i, V.OPEN) | values for i in ids]
+    return spark.createDataFrame([tuple(r[f.name] for f in QUEUE) for r in rows], QUEUE)
+
+
+def _parts(spark, root, kind):
+    return sorted(names_in(spark, f"{root}/kind={kind}"))
+
+
+def test_batches_append_fold_and_replay(spark):
+    root = scratch_path(spark, "t-log")
+    log = incremental.queue_log(spark, root, every=3)
+    assert log.now().count() == 0 and log.now().columns == QUEUE.fieldNames()
+    log.start(_queue_rows(spark, [f"r{i}" for i in range(40)]))
+    log.start(_queue_rows(spark, ["never"]))
+    for n in range(3):
+        log.append(_queue_rows(spark, [f"r{n}", f"new{n}"], margin=-11.0 - n), n)
+    # A batch wrote its own rows and nothing else, and a replay replaces them.
+    assert _parts(spark, root, "changes") == ["batch=0", "batch=1", "batch=2"] and _parts(spark, root, "base") == ["batch=-1"]
+    assert spark.read.parquet(f"{root}/kind=changes/batch=1").count() == 2
+    before = log.now().cache()
+    assert before.count() == 43 and {r.margin for r in before.where("reading_id IN ('r2', 'new2')").collect()} == {-13.0}
+    log.append(_queue_rows(spark, ["r2", "new2"], margin=-13.0), 2)
+    assert same(before, log.now())
+    assert log.before(1).where("margin = -11.0").count() == 2 and log.before(1).where("margin < -11.0").count() == 0
+    # Three batches since the base: they are folded before the next one runs, which sees the same rows.
+    assert not log.compact(2) and log.compact(3) and not log.compact(3)
+    assert _parts(spark, root, "base") == ["batch=-1", "batch=2"] and same(before, log.before(3)) and same(before, log.now())
+    for n in range(3, 6):
+        log.append(_queue_rows(spark, [f"r{n}"], margin=-90.0), n)
+    assert log.compact(6)
+    assert _parts(spark, root, "base") == ["batch=2", "batch=5"] and _parts(spark, root, "changes") == ["batch=3", "batch=4", "batch=5"]
+    assert log.now().count() == 43 and log.now().where("margin = -90.0").count() == 3
+    assert log.before(5).where("margin = -90.0").count() == 2
+
+
+def test_a_base_has_as_many_files_as_its_rows_need(spark):
+    root = scratch_path(spark, "t-files")
+    log = batch_log.BatchLog(spark, root, QUEUE, batch_log.latest_per_key(QUEUE_KEY), every=1, rows_per_file=10)
+    log.append(_queue_rows(spark, [f"r{i}" for i in range(95)]), 0)
+    assert log.compact(1)
+    files = [n for n in names_in(spark, f"{root}/kind=base/batch=0") if n.endswith(".parquet")]
+    assert len(files) == 10 and log.now().count() == 95
+
+
+def _uncommit(checkpoint, batch):
+    """As if the run had failed after the batch's writes: the next start runs it again."""
+    for name in (f"{batch}", f".{batch}.crc"):
+        Path(checkpoint, "commits", name).unlink(missing_ok=True)
+
+
+@pytest.fixture()
+def lots(spark):
+    """Readings with recurring pairs in four lots, by replicate, and one with values a decimal can't hold."""
+    base = fx.readings(spark)
+    odd = base.limit(2).withColumn("result_value", F.expr("CAST('NaN' AS DOUBLE)")).withColumn("sample_id", F.concat(F.lit("nan-"), "sample_id"))
+    more = base.withColumn("result_value", F.expr("result_value * 1.5")).withColumn("sample_id", F.concat(F.lit("again-"), "sample_id"))
+    less = base.withColumn("result_value", F.lit(None).cast("double")).withColumn("sample_id", F.concat(F.lit("none-"), "sample_id"))
+    return [base, more.where("replicate % 2 = 0"), less, more.where("replicate % 2 = 1").unionByName(odd)]
+
+
+def test_history_moves_with_the_stream(spark, lots):
+    path, root, state = (scratch_path(spark, n) for n in ("t-in", "t-scores", "t-state"))
+    stream = spark.readStream.schema(READING).parquet
+    for n, lot in enumerate(lots):
+        lot.coalesce(1).write.mode("append").parquet(path)
+        for again in range(2):
+            finish(incremental.start_scores(stream(path), fx.reference(spark), fx.AS_OF, root, state, every=2))
+            seen = lots[0].limit(0)
+            for earlier in lots[:n]:
+                seen = seen.unionByName(earlier)
+            got = spark.read.parquet(f"{incremental.scores_root(root)}/batch={n}")
+            assert same(got, scoring.score_readings(lot, fx.reference(spark), fx.AS_OF, scoring.history(seen)))
+            assert same(incremental.latest_history(spark, root), scoring.history(seen.unionByName(lot)))
+            _uncommit(state, n)  # the second time the batch is a replay
+    assert _parts(spark, f"{root}/history", "base") == ["batch=1"]
+
+
+def test_initial_history(spark, lots):
+    path, root, state = (scratch_path(spark, n) for n in ("t-in", "t-scores", "t-state"))
+    lots[1].coalesce(1).write.parquet(path)
+    finish(incremental.start_scores(spark.readStream.schema(READING).parquet(path), fx.reference(spark), fx.AS_OF, root, state,
+                                    initial=scoring.history_parts(lots[0])))
+    got = spark.read.parquet(f"{incremental.scores_root(root)}/batch=0")
+    assert same(got, scoring.score_readings(lots[1], fx.reference(spark), fx.AS_OF, scoring.history(lots[0])))
+    assert same(incremental.latest_history(spark, root), scoring.history(lots[0].unionByName(lots[1])))
+
+
+ARRIVAL = StructType([*READING.fields[:6], *READING.fields[8:9]])
+
+
+def _arrive(spark, names, rows):
+    """One more lot through the stateful query: (sample, assay, plate, time) to what is stored now."""
+    path, out, state = names
+    given = [(s, "c", p, None, 1, a, datetime(2026, 9, 1) + timedelta(hours=h) if h is not None else None) for s, a, p, h in rows]
+    spark.createDataFrame(given, ARRIVAL).repartition(2).write.mode("append").parquet(path)
+    query = arrivals.start_arrivals(spark.readStream.schema(ARRIVAL).parquet(path), out, state, "10 hours")
+    finish(query)
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    found = spark.read.schema(StructType([*ARRIVAL.fields, StructField("arrival", StringType())])).parquet(out)
+    return sorted((r.sample_id, r.assay_name, r.plate, r.arrival) for r in found.collect()), held[-1]
+
+
+def test_arrivals_are_told_apart_across_restarts(spark):
+    names = [scratch_path(spark, n) for n in ("t-in", "t-out", "t-state")]
+    first, _ = _arrive(spark, names, [("a", "x", "2", 1), ("a", "x", "1", 0), ("a", "x", "3", 2), ("a", "y", "1", 0), ("b", "x", "1", 20),
+                                      ("n", "x", "1", None), ("n", "x", "2", None)])
+    # Of a key's rows in one batch the earliest is kept; a row without a time is neither kept nor remembered.
+    assert first == [("a", "x", "1", "kept"), ("a", "x", "2", "repeated"), ("a", "x", "3", "repeated"), ("a", "y", "1", "kept"),
+                     ("b", "x", "1", "kept"), ("n", "x", "1", "untimed"), ("n", "x", "2", "untimed")]
+    # The watermark is at 10 hours now: what is at or before it is late, also where the key is known or new.
+    second, _ = _arrive(spark, names, [("a", "x", "4", 10), ("c", "x", "1", 3), ("b", "x", "2", 21), ("n", "x", "3", 11), ("d", "x", "1", 40)])
+    assert [r for r in second if r not in first] == [
+        ("a", "x", "4", "late"), ("b", "x", "2", "repeated"), ("c", "x", "1", "late"), ("d", "x", "1", "kept"), ("n", "x", "3", "kept")]
+    # At 30 hours the first keys are forgotten: b counts anew, d is still known.
+    third, held = _arrive(spark, names, [("b", "x", "3", 41), ("d", "x", "2", 42), ("a", "x", "5", 29), ("e", "x", "1", 90)])
+    assert [r for r in third if r not in second] == [
+        ("a", "x", "5", "late"), ("b", "x", "3", "kept"), ("d", "x", "2", "repeated"), ("e", "x", "1", "kept")]
+    # At 80 hours all keys but e are forgotten.
+    _, later = _arrive(spark, names, [("f", "x", "1", 91)])
+    assert (held, later) == (1, 2)
+
+
+def test_rows_that_tie_are_kept_by_their_hash(spark):
+    rows = [("a", "x", p, 5) for p in "12345"]
+    kept = set()
+    for given in (rows, rows[::-1]):
+        found, _ = _arrive(spark, [scratch_path(spark, n) for n in ("t-in", "t-out", "t-state")], given)
+        assert sorted(r[3] for r in found) == ["kept"] + ["repeated"] * 4
+        kept |= {r[2] for r in found if r[3] == "kept"}
+    assert len(kept) == 1
+    assert spark.conf.get(arrivals.PROVIDER, None) != arrivals.ROCKS
 
 
 def test_repeats_within_the_delay_are_dropped(spark):
@@ -109,7 +217,9 @@ def test_sync_by_micro_batch_ends_like_one_sync(spark):
     for lot in ("replicate < 10", "replicate >= 10"):
         readings.where(lot).coalesce(1).write.mode("append").parquet(path)
         stream = spark.readStream.schema(READING).option("maxFilesPerTrigger", 1).parquet(path)
-        finish(incremental.start_sync(stream, empty, fx.reference(spark), past, signal, fx.AS_OF, root, state))
+        for _ in range(2):
+            finish(incremental.start_sync(stream, empty, fx.reference(spark), past, signal, fx.AS_OF, root, state, every=1))
+            _uncommit(state, max(int(n) for n in names_in(spark, f"{state}/commits") if n.isdigit()))  # then a replay
     queue = incremental.latest_queue(spark, root)
     assert same(queue.select("reading_id", "reason", "clinical_correlation_state"),
                 flags.where("is_flagged").join(signal, "compound_id", "left").selectExpr(
