@@ -6,7 +6,7 @@ from pyspark.sql.types import StructType
 from ...operators import quality
 from ...schemas import READING
 from ...session import pin, scratch_path
-from ...sources import coerce, envelope, resultset, tables
+from ...sources import coerce, envelope, lines, resultset, tables
 from .. import bindings as B
 from .base import query
 
@@ -101,6 +101,53 @@ def json_page_files(spark, d):
     return envelope.ingest_readings(envelope.read_pages(spark, path))
 
 
+# Lines that are no pages, one after every page but each fourth.
+_BAD = """CASE page_offset DIV 200 % 4 WHEN 1 THEN concat('{"LIMS_EXPORT": {"resultSet": {"offset": ', page_offset)
+      WHEN 2 THEN concat('{"error": "busy", "offset": ', page_offset, '}')
+      WHEN 3 THEN concat('{"LIMS_EXPORT": {"object": "assay_results", "offset": ', page_offset, '}}') END"""
+
+_REJECTS = """
+    SELECT CASE i // 200 % 4 WHEN 1 THEN '{"LIMS_EXPORT": {"resultSet": {"offset": ' || i
+        WHEN 2 THEN '{"error": "busy", "offset": ' || i || '}' ELSE '{"LIMS_EXPORT": {"object": "assay_results", "offset": ' || i || '}}' END AS body,
+      CASE i // 200 % 4 WHEN 1 THEN 'unreadable_json' WHEN 2 THEN 'no_envelope' ELSE 'no_records' END AS reject_reason
+    FROM range((SELECT count(*) FROM events)) t(i) WHERE i % 200 = 0 AND i // 200 % 4 <> 0"""
+
+
+def _mixed_bodies(spark, d):
+    """Pages, and lines among them that are none."""
+    return B.page_bodies(spark, d).selectExpr("page_offset", f"explode(filter(array(body, {_BAD}), b -> b IS NOT NULL)) AS body")
+
+
+@query("s1_page_rejects", _REJECTS)
+def page_rejects(spark, d):
+    """What no page could be read from, as it came."""
+    return envelope.rejected_pages(_mixed_bodies(spark, d)).select("body", "reject_reason")
+
+
+def _landed(spark, d):
+    path = _in_two_lots(_mixed_bodies(spark, d), scratch_path(spark, "mixed"))
+    return envelope.land_pages(spark, path, scratch_path(spark, "mixed-landed"))
+
+
+@query("s6_landed_pages", f"SELECT {READING_COLUMNS} FROM bronze")
+def landed_pages(spark, d):
+    """Bad lines among the pages take nothing from the readings."""
+    return envelope.ingest_readings(_landed(spark, d)[0])
+
+
+@query("s6_landed_rejects", _REJECTS)
+def landed_rejects(spark, d):
+    return _landed(spark, d)[1].select("body", "reject_reason")
+
+
+@query("s6_landed_counts", f"""
+    SELECT 'good' AS outcome, count(*) AS n_lines FROM range((SELECT count(*) FROM events)) t(i) WHERE i % 200 = 0
+    UNION ALL SELECT reject_reason, count(*) FROM ({_REJECTS}) GROUP BY 1""")
+def landed_counts(spark, d):
+    """Lines by outcome add up to those that were landed."""
+    return lines.outcome_counts(lines.parse_lines(_mixed_bodies(spark, d), envelope.PAGE_LINE))
+
+
 @query("s7_schema_coercion", """
     SELECT CAST(event_id AS VARCHAR) AS sample_id, CASE WHEN k >= 7 THEN 1 + k END AS replicate,
       CASE WHEN k <> 8 THEN value END AS result_value,
@@ -129,6 +176,20 @@ def snapshot_table(spark, d):
     return table.withColumns({"table_comment": F.lit(notes["comment"]), "quality": F.lit(notes["quality"]), "fed_by": F.lit(notes["fed_by"])})
 
 
+@query("s8_versioned_publish", f"""SELECT {READING_COLUMNS}, 'readings that passed the gate' AS table_comment, 'silver' AS quality,
+    2 AS n_versions FROM labelled WHERE quarantine_reason IS NULL""")
+def versioned_publish(spark, d):
+    """Published three times: with a column more, then from what is published itself, then as it should be."""
+    dirty, name, folder = B.dirty_readings(spark, d), "sigreview_published", scratch_path(spark, "published")
+    first = tables.publish_version(quality.label_quality(dirty), name, folder, "all readings")
+    tables.publish_version(first.where("quarantine_reason IS NULL"), name, folder)
+    valid = spark.table(name).drop("quarantine_reason")
+    table = tables.publish_version(valid, name, folder, "readings that passed the gate", quality="silver")
+    notes = tables.table_notes(spark, name)
+    return table.withColumns({"table_comment": F.lit(notes["comment"]), "quality": F.lit(notes["quality"]),
+                              "n_versions": F.lit(len(tables.versions(spark, folder)))})
+
+
 @query("s9_reference_table", """
     SELECT t.assay_name, t.concern_direction, t.concern_threshold, t.unit, t.is_synthetic, h.n AS n_readings
     FROM thresholds t LEFT JOIN (SELECT assay_name, count(*) AS n FROM readings GROUP BY assay_name) h

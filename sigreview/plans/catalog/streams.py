@@ -6,8 +6,10 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ...operators import scoring
 from ...schemas import READING
 from ...session import is_folder, pin, scratch_path
+from ...sources import envelope, lines
 from ...streaming import arrivals, incremental
 from .. import bindings as B
+from . import sources
 from .base import query
 
 READING_COLUMNS = ", ".join(READING.fieldNames())
@@ -56,6 +58,18 @@ def paged_source_stream(spark, d):
     return spark.read.schema(READING).parquet(out)
 
 
+@query("t1_landing_stream", sources._REJECTS)
+def landing_stream(spark, d):
+    """Pages and lines that are none arrive in two lots; one query keeps both kinds, here the rejects."""
+    bodies, path = pin(sources._mixed_bodies(spark, d)), scratch_path(spark, "mixed-lots")
+    out, state = scratch_path(spark, "mixed-out"), scratch_path(spark, "mixed-state")
+    middle = bodies.agg(F.expr("max(page_offset) DIV 2")).scalar()
+    for lot in (F.col("page_offset") < middle, F.col("page_offset") >= middle):
+        bodies.where(lot).select("body").write.mode("append").text(path)
+        _run(lines.start_landing(lines.stream_lines(spark, path), envelope.PAGE_LINE, out, state), "landing")
+    return lines.landed(spark, envelope.PAGE_LINE, out)[1].select("body", "reject_reason")
+
+
 # Arrivals of the two queries below: first the readings with an even number, then all of them.
 _LATE = """acquired_ts <= (SELECT max(acquired_ts) FROM readings WHERE event_id % 2 = 0) - INTERVAL 20 DAY"""
 

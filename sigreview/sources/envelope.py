@@ -13,16 +13,35 @@ from ..functions.text import quote
 from ..operators.spread import number_rows
 from ..schemas import OBJECT_LIST, READING, READING_PAGE
 from .coerce import to_declared
+from .lines import Kind, land_lines, parse_lines, read_lines, split_lines
+
+
+#: A landed page: without the envelope or its list of records it is rejected, an empty list is fine.
+PAGE_LINE = Kind(READING_PAGE, (
+    ("no_envelope", "parsed.LIMS_EXPORT IS NULL"),
+    ("no_records", "parsed.LIMS_EXPORT.resultSet.records IS NULL"),
+))
 
 
 def parse_pages(raw: DataFrame, body: str = "body") -> DataFrame:
-    """One text column of page JSON to one parsed page per row."""
-    return raw.select(F.from_json(body, READING_PAGE).alias("page"))
+    """One text column of page JSON to one parsed page per row; what can't be read is in :func:`rejected_pages`."""
+    return split_lines(parse_lines(raw.select(body), PAGE_LINE, body))[0].withColumnRenamed("parsed", "page")
+
+
+def rejected_pages(raw: DataFrame, body: str = "body") -> DataFrame:
+    """The lines that :func:`parse_pages` leaves out, with the reason."""
+    return split_lines(parse_lines(raw, PAGE_LINE, body))[1]
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Landed page files, one JSON page per line, read as parsed pages."""
-    return spark.read.schema(READING_PAGE).json(path).select(F.struct("LIMS_EXPORT").alias("page"))
+    return parse_pages(read_lines(spark, path))
+
+
+def land_pages(spark: SparkSession, path: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(pages, rejects) of landed page files, parsed once and written to ``folder``."""
+    good, rejects = land_lines(spark, path, PAGE_LINE, folder)
+    return good.withColumnRenamed("parsed", "page"), rejects
 
 
 def page_index(pages: DataFrame, *keep: str) -> DataFrame:

@@ -11,16 +11,31 @@ from .. import fixed_values as V
 from ..operators.spread import number_rows
 from ..schemas import OBSERVATION, RESULT_SET
 from .coerce import to_declared
+from .lines import Kind, land_lines, parse_lines, read_lines, split_lines
+
+
+#: A landed result set needs its column list and its rows; no rows are fine.
+RESULT_LINE = Kind(RESULT_SET, (("no_columns", "parsed.columns IS NULL"), ("no_rows", "parsed.rows IS NULL")))
 
 
 def parse_result_sets(raw: DataFrame, body: str = "body") -> DataFrame:
-    return raw.select(F.from_json(body, RESULT_SET).alias("rs"))
+    """One text column of result sets to one parsed set per row; what can't be read is in :func:`rejected_result_sets`."""
+    return split_lines(parse_lines(raw.select(body), RESULT_LINE, body))[0].withColumnRenamed("parsed", "rs")
+
+
+def rejected_result_sets(raw: DataFrame, body: str = "body") -> DataFrame:
+    """The lines that :func:`parse_result_sets` leaves out, with the reason."""
+    return split_lines(parse_lines(raw, RESULT_LINE, body))[1]
 
 
 def read_result_sets(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RESULT_SET).json(path).select(
-        F.struct("columns", "rows").alias("rs")
-    )
+    return parse_result_sets(read_lines(spark, path))
+
+
+def land_result_sets(spark: SparkSession, path: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(result sets, rejects) of landed files, parsed once and written to ``folder``."""
+    good, rejects = land_lines(spark, path, RESULT_LINE, folder)
+    return good.withColumnRenamed("parsed", "rs"), rejects
 
 
 def result_rows(result_sets: DataFrame, names: Sequence[str]) -> DataFrame:

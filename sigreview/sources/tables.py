@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -9,6 +11,7 @@ from pyspark.sql.types import StructType
 from .. import fixed_values as V
 from ..functions.text import quote
 from ..schemas import CROSSWALK_SEED, THRESHOLD
+from ..session import names_in, remove
 
 # Rows that may be given in code at most; beyond that, write a table.
 LITERAL_ROWS = 10_000
@@ -49,8 +52,8 @@ def save_snapshot(
 ) -> DataFrame:
     """Replace a whole table with df and return the table as read back.
 
-    The new rows may not read the table they replace.  ``path`` keeps its files
-    outside the warehouse.
+    The new rows may not read the table they replace, and readers may find none while it is
+    written: see :func:`publish_version`.  ``path`` keeps its files outside the warehouse.
     """
     spark = df.sparkSession
     writer = df.write.mode("overwrite").format("parquet")
@@ -63,6 +66,46 @@ def save_snapshot(
     return spark.table(table)
 
 
+DONE = "_SUCCESS"  # what Spark leaves in a folder that was written to its end
+
+
+def versions(spark: SparkSession, folder: str) -> list[str]:
+    """The whole versions under a folder, oldest first."""
+    found = sorted(n for n in names_in(spark, folder) if n.startswith("version="))
+    return [n for n in found if DONE in names_in(spark, f"{folder.rstrip('/')}/{n}")]
+
+
+def publish_version(
+    df: DataFrame, name: str, folder: str, comment: str | None = None, keep: int = 2, **properties: str
+) -> DataFrame:
+    """Replace what ``name`` stands for in one step, and return it as read back.
+
+    The rows go to a new version under ``folder`` first.  Only then one catalogue call points ``name``, a view, at
+    them, with comment and properties; so readers see the old rows or the new ones, never none, and a
+    write that fails changes nothing.  df may read the version that it replaces, and its columns may
+    differ.  The newest ``keep`` versions stay for readers that are under way, older ones are deleted.
+    One publisher at a time.
+    """
+    spark, folder = df.sparkSession, folder.rstrip("/")
+    before = versions(spark, folder)
+    number = int(before[-1].removeprefix("version=").split("-")[0]) + 1 if before else 0
+    path = f"{folder}/version={number:08d}-{uuid.uuid4().hex[:8]}"
+    try:
+        df.write.parquet(path)
+    except Exception:
+        remove(spark, path)
+        raise
+    told = f" COMMENT {quote(comment)}" if comment else ""
+    if properties:
+        told += f" TBLPROPERTIES ({', '.join(f'{quote(key)} = {quote(value)}' for key, value in properties.items())})"
+    spark.sql(f"CREATE OR REPLACE VIEW {name}{told} AS SELECT * FROM parquet.`{path}`")
+    stay = {*versions(spark, folder)[-max(1, keep):]}
+    for old in names_in(spark, folder):
+        if old.startswith("version=") and old not in stay:
+            remove(spark, f"{folder}/{old}")
+    return spark.table(name)
+
+
 def table_notes(spark: SparkSession, table: str) -> dict[str, str]:
     """A table's properties, and its comment under ``comment``."""
     notes = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}

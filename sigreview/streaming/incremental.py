@@ -15,16 +15,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.review_queue import merge_queue, queue_source
 from ..operators.scoring import PARTIAL, history_of_parts, history_parts, merge_parts, score_readings
-from ..schemas import QUEUE, QUEUE_KEY, READING_CURSOR, READING_KEY, READING_PAGE
+from ..schemas import QUEUE, QUEUE_KEY, READING_CURSOR, READING_KEY
 from ..session import names_in, pinned
-from ..sources.envelope import ingest_readings
+from ..sources.envelope import ingest_readings, parse_pages
+from ..sources.lines import stream_lines
 from .batch_log import BatchLog, latest_per_key
 
 
 def stream_pages(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Newly landed page files (one JSON page per line) as parsed pages."""
-    source = spark.readStream.schema(READING_PAGE).option("maxFilesPerTrigger", files_per_trigger)
-    return source.json(path).select(F.struct("LIMS_EXPORT").alias("page"))
+    """Newly landed page files (one JSON page per line) as parsed pages; ``lines.start_landing`` keeps rejects too."""
+    return parse_pages(stream_lines(spark, path, files_per_trigger))
 
 
 def stream_readings(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
