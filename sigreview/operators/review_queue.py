@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
@@ -97,6 +97,33 @@ def merge_queue(
     return both.selectExpr(*[f"{sql} AS {name}" for name, sql in out.items()])
 
 
+# Queue rows in one bucket.
+ROWS_PER_BUCKET = 1_000_000
+
+
+def save_queue(queue: DataFrame, name: str, path: str, buckets: int | None = None) -> DataFrame:
+    """Write a queue as a table bucketed and sorted by its key, and return it as read back.
+
+    :func:`merge_queue` then reads it in place: only the source's rows shuffle, to the queue's buckets.  Without
+    ``buckets`` their number follows from the rows, one bucket per million and at least the session's shuffle
+    partitions.  What is merged from a bucketed queue lies by bucket already, so the next one takes over
+    ``buckets`` from :func:`bucket_count` and is written where it is.
+    """
+    if buckets is None:
+        spread = int(queue.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(spread, -(-queue.count() // ROWS_PER_BUCKET))
+        queue = queue.repartition(buckets, *QUEUE_KEY)
+    writer = queue.write.bucketBy(buckets, *QUEUE_KEY).sortBy(*QUEUE_KEY).option("path", path)
+    writer.saveAsTable(name)
+    return queue.sparkSession.table(name)
+
+
+def bucket_count(spark: SparkSession, name: str) -> int:
+    """The buckets of a saved queue."""
+    told = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+    return int(told["Num Buckets"])
+
+
 def sync_summary(merged: DataFrame) -> DataFrame:
     """One row: source flags, upserted, cleared, and the queue by status afterwards."""
     upserted = f"count_if(change IN ('{INSERTED}', '{REFRESHED_ROW}'))"

@@ -78,6 +78,28 @@ def with_history(readings: DataFrame, past: DataFrame, hot_rows: int = HOT_ROWS)
     )
 
 
+def heavy_pairs(readings: DataFrame, hot_rows: int = HOT_ROWS) -> bool:
+    """Whether some (compound, assay) has so many readings; fewer rows than that in all need no count per pair."""
+    if readings.count() < hot_rows:
+        return False
+    return not readings.groupBy("compound_id", "assay_name").count().where(f"count >= {hot_rows}").isEmpty()
+
+
+def with_own_history(readings: DataFrame) -> DataFrame:
+    """Readings with the history of their pair among themselves: one scan and one shuffle by pair.
+
+    For readings without :func:`heavy_pairs`, as a pair's readings meet in one task.
+    """
+    over = "OVER (PARTITION BY compound_id, assay_name)"
+    exact = "TRY_CAST(result_value AS DECIMAL(24, 9))"
+    mean = (f"CASE WHEN count({exact}) {over} = count(result_value) {over} "
+            f"THEN CAST(sum({exact}) {over} AS DOUBLE) / count(result_value) {over} ELSE avg(result_value) {over} END")
+    # As in a join, null keys have no history.
+    known = "compound_id IS NOT NULL AND assay_name IS NOT NULL"
+    return readings.selectExpr(
+        "*", f"CASE WHEN {known} THEN count(1) {over} END AS prior_n", f"CASE WHEN {known} THEN {mean} END AS prior_mean")
+
+
 def verdicts(scored: DataFrame, as_of: datetime) -> DataFrame:
     """The flag columns, from readings that carry reference and history."""
     value, direction, threshold = "result_value", "concern_direction", "threshold"
@@ -108,11 +130,14 @@ def score_readings(
     """One explained verdict per reading; nothing is dropped.
 
     Nothing is written here.  A job that scores more than once, or scores an
-    increment, passes the ``past`` it has written as a stage of its own.
+    increment, passes the ``past`` it has written as a stage of its own.  Without it the history is that of the
+    readings: taken in one scan where no pair is heavy, else by a join with heavy pairs sliced.
     """
     slim = readings.select(
         "sample_id", "compound_id", "assay_name", "result_value", "result_unit", "acquired_ts"
     )
+    if past is None and not heavy_pairs(slim, hot_rows):
+        return verdicts(with_own_history(with_reference(slim, reference)), as_of)
     past = history(slim) if past is None else past
     return verdicts(with_history(with_reference(slim, reference), past, hot_rows), as_of)
 

@@ -49,12 +49,8 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-# The vendor's ids have five digits, so users share a compound from 100,000 on.
-USER = "user_id % 100000"
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "events").withColumn("user_id", F.expr(USER))
+    return load(spark, sf_dir, "events")
 
 
 _READING = {
@@ -101,13 +97,13 @@ def dirty_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def composite_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings whose sample id is the vendor's composite id; some are malformed.
 
-    event_id stays as the sort key of the pages.
+    event_id stays as the sort key of the pages.  The vendor's ids have five digits, so only here do users
+    share a compound from 100,000 on.
     """
-    good = (
-        "concat('LO-', {compound_id}, '-', {plate}, '-', {well}, '-R', {replicate})".format(**_READING)
-    )
+    vendor = _READING | {"compound_id": "format_string('CMPD%05d', user_id % 100000)"}
+    good = "concat('LO-', {compound_id}, '-', {plate}, '-', {well}, '-R', {replicate})".format(**vendor)
     return readings_of(
-        events(spark, sf_dir), "event_id",
+        events(spark, sf_dir), "event_id", compound_id=vendor["compound_id"],
         sample_id=f"CASE WHEN {CODE} = 6 THEN concat('bad-', event_id) ELSE {good} END",
     )
 
@@ -277,7 +273,7 @@ def resolved_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey AS l_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     li = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_shipdate")
     return li.join(o, "l_orderkey").selectExpr(
-        "format_string('CMPD%05d', o_custkey % 100000) AS compound_id",
+        "format_string('CMPD%05d', o_custkey) AS compound_id",
         "o_orderpriority AS assay_name",
         f"CASE l_returnflag WHEN 'R' THEN '{V.FALSE_POSITIVE}' WHEN 'A' THEN '{V.CONFIRMED}' "
         f"ELSE '{V.ESCALATED}' END AS resolution_reason",

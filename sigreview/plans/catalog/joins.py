@@ -1,5 +1,7 @@
 """Joins."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ...functions import sql_functions
@@ -92,6 +94,16 @@ def keyed_upsert(spark, d):
     return B.merged_queue(spark, d)
 
 
+@query("j9_bucketed_queue", "SELECT * EXCLUDE (change) FROM merged")
+def bucketed_queue(spark, d):
+    """The queue as a bucketed table: merged in place, and saved again as the next one."""
+    names = [f"sigreview_queue_{uuid.uuid4().hex}" for _ in range(2)]
+    past = B.written_history(spark, d)
+    queue = review_queue.save_queue(B.prior_queue(spark, d, past), names[0], scratch_path(spark, "queue"))
+    merged = review_queue.merge_queue(queue, B.queue_source(spark, d, past), B.AS_OF)
+    return review_queue.save_queue(merged.drop("change"), names[1], scratch_path(spark, "queue"), review_queue.bucket_count(spark, names[0]))
+
+
 @query("j9_shared_ids", """
     SELECT coalesce(n.reading_id, o.reading_id) AS reading_id, coalesce(n.assay_name, o.assay_name) AS assay_name,
       coalesce(n.margin, o.margin) AS margin, coalesce(n.reason, o.reason) AS reason,

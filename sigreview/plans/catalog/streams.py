@@ -23,7 +23,7 @@ def _event_stream(spark, d):
         rows = source.parquet(path)
     else:
         rows = source.option("pathGlobFilter", "events.parquet").parquet(d)
-    return B.readings_of(rows.withColumn("user_id", F.expr(B.USER)))
+    return B.readings_of(rows)
 
 
 def _run(query_, name):
