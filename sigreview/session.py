@@ -94,7 +94,16 @@ def pin(df: DataFrame) -> DataFrame:
     This cuts the lineage like a checkpoint, but as Parquet: later steps read
     only the columns they need, and Spark knows the size of what was written.
     """
-    return _written(df, scratch_path(df.sparkSession, "pinned"))
+    path = scratch_path(df.sparkSession, "pinned")
+    written = _written(df, path)
+    written.pinned_at = path
+    return written
+
+
+def unpin(*pinned: DataFrame) -> None:
+    """Delete what :func:`pin` wrote, where all that was derived from it is written too."""
+    for df in pinned:
+        remove(df.sparkSession, df.pinned_at)
 
 
 @contextmanager
