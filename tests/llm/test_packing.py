@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -54,6 +55,46 @@ def check(rows, pairs, library, size):
     return len(held)
 
 
+def test_words_give_what_whole_texts_give(library):
+    """White space of all kinds, controls, combining marks, case rules and special strings between and within words."""
+    rng = random.Random(6)
+    atoms = [*"abIΣσςİſßÉé1²½½٣三🙂'.,-_<|>", "'s", "'LL", "\u0301", "\u0338", "\u1100\u1161", "\u200d", "\u200b", "\x00", "\x0b", "\x0c", "\x1c", "\x1f",
+             "\x85", "\xa0", "\u2003", "\u2028", "\u3000", " ", " ", " ", "\n", "\t", "\r", "<|endoftext|>", "<|startoftext|>", "ΟΔΟΣ", "don't"]
+    texts = ["".join(rng.choice(atoms) for _ in range(rng.randint(0, 40))) for _ in range(4000)] + ["", " ", "\n\n", "a" * 3000]
+    for found in (packing.words_of(queries.WORD_BPE).ids(pa.array(texts)), packing._whole(pa.array(texts), queries.WORD_BPE)):
+        for k, text in enumerate(texts):
+            assert found[0][found[1][k]:found[1][k + 1]].tolist() == library(text)[:-1], repr(text)
+
+
+def test_plain_words_in_a_row_give_what_they_give_alone(library):
+    rng = random.Random(8)
+    letters = [chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)] if c not in (0xD7, 0xF7)]
+    words = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) + "".join(rng.choice("!'<|>.-`~[") for _ in range(rng.randint(0, 3)))
+                    for _ in range(5000)})
+    own = packing.Words(queries.WORD_BPE)
+    own.learn(words)
+    for w, k in own.slots.items():
+        assert own.flat[own.starts[k]:own.starts[k] + own.sizes[k]].tolist() == library(w)[:-1], w
+
+
+def test_a_worker_forgets(monkeypatch, library):
+    monkeypatch.setattr(packing, "REMEMBERED", 5)
+    monkeypatch.setattr(packing, "CHUNK", 30)
+    texts = [f"word{k} of many {k % 3} words" for k in range(50)] + ["", "a much longer text than thirty bytes " * 3, ""]
+    batch, own, got = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"]), packing.Words(queries.WORD_BPE), []
+    for part in packing.lots(batch):
+        ids, borders = own.ids(part.column(1))
+        got += [[*ids[a:b].tolist(), 0] for a, b in zip(borders, borders[1:])]
+    assert got == [library(t) for t in texts]
+
+
+def test_whole_texts(make_docs, awkward, library):
+    """A vocabulary in which spaces count goes through the library as it is."""
+    rows = packing.pack(make_docs(awkward), queries.BYTE_BPE, size=64, words_apart=False).collect()
+    other = Tokenizer.from_file(queries.BYTE_BPE)
+    check(rows, awkward, lambda t: [*other.encode(t or "", add_special_tokens=False).ids, 0], 64)
+
+
 @pytest.mark.parametrize("size", [2048, 64, 7, 1])
 def test_packed(make_docs, awkward, library, size):
     pairs = awkward + [(100, "word " * 2047), (101, "word " * 2048), (102, "<|endoftext|> a<|startoftext|>")]
