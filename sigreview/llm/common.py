@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import pin, scratch_path  # noqa: F401  (re-used by the operators)
+from ..session import pin, scratch_path, unpin  # noqa: F401  (re-used by the operators)
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_checked, keyed, partitions, pin
+from .common import join_checked, keyed, partitions, pin, unpin
 from .components import components
 from .grams import gram_sets, mix, parts, ragged, signed
 from .pretokens import give_back
@@ -295,6 +295,10 @@ def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     columns = postings.groupBy("col").agg(F.count(F.lit(1)).alias("held"), F.min("row").alias("pivot")).where("held > 1")
     shared = pin(postings.join(columns, "col"))
+    # What was written only to get here goes as soon as it isn't needed; so does the first columns' copy.
+    order.unpersist()
+    slim = pin(sketch.drop("firsts"))
+    unpin(sketch)
     # Light columns: all pairs, with the overlap and the last shared places.
     members = shared.where(F.col("held") <= light)
     pairs = (members.selectExpr("col", "row AS a", "n AS na", "pos + 1 AS pa")
@@ -315,14 +319,17 @@ def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         texts = join_checked(named.select("row", "_text"), of.select("row", "family"), ["row"], "inner")
         return texts.select("row", "_text", "family").mapInArrow(_setter(n), "row long, grams array<long>, family long")
     links = sets(sized.where(F.col("held") <= block)).groupBy("family").applyInArrow(_family(percent), "a long, b long")
+    staged: list[DataFrame] = []
     if not sized.where(F.col("held") > block).isEmpty():
         large = pin(sets(sized.where(F.col("held") > block)).dropDuplicates(["row"]))
-        links = links.union(_large_families(large, shared, percent, light, block))
+        staged.append(large)
+        links = links.union(_large_families(large, shared, percent, light, block, staged))
     reached = pin(components(links))
+    unpin(copies, shared, families, sized, *staged)
 
     of_class = classes.join(reached.selectExpr("node AS class", "component"), "class", "left").selectExpr(
         *name, "coalesce(component, class) AS component")
-    rows = sketch.select("_id", "_th", *name).join(of_class, name, "left")
+    rows = slim.select("_id", "_th", *name).join(of_class, name, "left")
     least = rows.where("n > 0").groupBy("component").agg(
         F.min("_id").alias("component_id"), F.min(F.expr("struct(_id IS NULL AS no_id, _id, _th)")).alias("first"))
     return rows.join(least.withColumnRenamed("first", "_first"), "component", "left").select(
@@ -331,8 +338,8 @@ def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.expr("n = 0 OR (_id <=> _first._id AND _th = _first._th)").alias("stays"))
 
 
-def _large_families(large: DataFrame, shared: DataFrame, percent: int, light: int, block: int) -> DataFrame:
-    """Links inside families of more than ``block`` documents.
+def _large_families(large: DataFrame, shared: DataFrame, percent: int, light: int, block: int, staged: list[DataFrame]) -> DataFrame:
+    """Links inside families of more than ``block`` documents; what they need written is added to ``staged``.
 
     First every member of a heavy column against the column's pivot; then what these
     links leave outside a family's largest component against the whole family.
@@ -360,6 +367,7 @@ def _large_families(large: DataFrame, shared: DataFrame, percent: int, light: in
     near = near.withColumn("cut", F.explode(F.expr("sequence(0L, cuts - 1)"))).drop("cuts")
     cell = ["family", "lband", "lcut", "band", "cut"]
     blocks = pin(near)
+    staged += [first, reached, dealt, blocks]
     zero = blocks.join(left.selectExpr("family", "band AS lband", "cut AS lcut", "row", "grams"), ["family", "lband", "lcut"])
     one = blocks.join(dealt.select("family", "band", "cut", "row", "grams"), ["family", "band", "cut"])
     both = zero.select(*cell, F.lit(0).alias("side"), "row", "grams").unionByName(

@@ -3,10 +3,11 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from sigreview.llm import components, jaccard
+from sigreview.llm import components, grams, jaccard
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -75,6 +76,39 @@ def test_one_row_of_each_group_stays(spark, make_docs):
     assert len(left) == 7 and rows[0].asDict().keys() == set(docs.columns)
 
 
+def thue_morse(size, turned=False):
+    """A word of a and b that no polynomial over powers of two tells from its complement."""
+    return "".join("ab"[(bin(k).count("1") + turned) % 2] for k in range(size))
+
+
+@pytest.mark.parametrize("size", [8, 1024, 2048, 4096, 65_536])
+def test_words_that_arithmetic_confuses(make_docs, size):
+    """Texts that differ in one long word only are different, alone and in a sentence; equal ones beside them link."""
+    one, two = thue_morse(size), thue_morse(size, True)
+    pairs = [(1, one), (2, two), (3, one), (4, f"say {one} now"), (5, f"say {two} now"), (6, f"SAY  {two.upper()} now")]
+    rows = jaccard.link_components(make_docs(pairs), n=3, percent=90).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(1, 1), (2, 2), (3, 1), (4, 4), (5, 5), (6, 5)]
+
+
+def test_word_hashes():
+    """Equal for equal words wherever they stand; different for words that share blocks, lengths or ends."""
+    rng = random.Random(2)
+    words = {"".join(rng.choice("ab\x00é") for _ in range(rng.randint(1, 40))) for _ in range(3000)} | {"a" * k for k in range(1, 100)}
+    words |= {"a" * 8 + "b" * 8, "b" * 8 + "a" * 8, "\x00", "\x00" * 2, "a\x00", "z" * 16 + "y"}
+    words = sorted(words)
+    shuffled = words * 2
+    rng.shuffle(shuffled)
+    found = {}
+    for texts in (pa.array(words), pa.array([" \n".join(shuffled)])):
+        sets = [g for t in texts.to_pylist() for g in grams.gram_sets(pa.array([t]), 1)]
+        if len(sets) > 1:
+            assert all(len(s) == 1 for s in sets)
+            found = {w: int(s[0]) for w, s in zip(words, sets)}
+            assert len(set(found.values())) == len(words)
+        else:
+            assert sorted(sets[0].tolist()) == sorted(found.values())
+
+
 def test_empty(make_docs):
     assert jaccard.link_components(make_docs([])).count() == 0
 
