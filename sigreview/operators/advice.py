@@ -6,12 +6,15 @@ from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import fixed_values as V
 from ..functions import text
+from ..schemas import REPLY
+from ..session import names_in
+from .review_queue import one_per_key
 from .spread import join_unique, number_rows
 
 # The advised actions, most cautious first.
@@ -94,6 +97,39 @@ def recommend(prompts: DataFrame, model: Callable[[pd.Series], pd.Series]) -> Da
     return prompts.mapInPandas(call, schema)
 
 
+REPLY_KEY = ("prompt_hash", "model_endpoint")
+
+
+def prompt_hash(prompt: str = "recommendation_input") -> str:
+    """SQL for the name of a prompt text."""
+    return f"sha2({prompt}, 256)"
+
+
+def kept_replies(spark: SparkSession, folder: str) -> DataFrame:
+    """The replies kept under ``folder``, one per prompt text and model."""
+    if not names_in(spark, folder):
+        return spark.createDataFrame([], REPLY)
+    return one_per_key(spark.read.schema(REPLY).parquet(folder), REPLY_KEY)
+
+
+def recommend_kept(prompts: DataFrame, model: Callable[[pd.Series], pd.Series], folder: str) -> DataFrame:
+    """Prompts with replies, of which only those without a kept one go to the model.
+
+    A reply is known by the hash of its prompt text and the label of its model, so another model, or a prompt that
+    changed in one number, is asked anew, and equal prompts are asked once.  New replies are appended to ``folder``
+    in one write before they are used: a run that fails in it keeps none of them, one that fails later all.  A NULL prompt
+    isn't asked and has no reply; a NULL reply of the model is kept as such.
+    """
+    spark = prompts.sparkSession
+    asked = prompts.where("recommendation_input IS NOT NULL").selectExpr(
+        f"{prompt_hash()} AS prompt_hash", "model_endpoint", "recommendation_input").dropDuplicates(list(REPLY_KEY))
+    new = asked.join(kept_replies(spark, folder).select(*REPLY_KEY), list(REPLY_KEY), "left_anti")
+    recommend(new, model).select(*REPLY.fieldNames()).write.mode("append").parquet(folder)
+    told = kept_replies(spark, folder).withColumnRenamed("prompt_hash", "_hash")
+    named = prompts.withColumn("_hash", F.expr(prompt_hash()))
+    return named.join(told, ["_hash", "model_endpoint"], "left").select(*prompts.columns, "recommendation")
+
+
 def one_action(checked: DataFrame) -> DataFrame:
     """One row per compound: the most cautious valid action over the parts of its prompt.
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import fixed_values as V
 from ..functions.text import quote
@@ -60,6 +62,34 @@ def reconcile(df: DataFrame, rules: Sequence[Rule] = READING_RULES) -> DataFrame
     return counts.selectExpr("*", "source_rows = valid_rows + quarantined_rows AS reconciled")
 
 
+VALID = "valid"
+
+
+def write_split(
+    df: DataFrame, folder: str, rules: Sequence[Rule] = READING_RULES
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(valid, quarantine, counts), written in one pass over df.
+
+    Rows go to ``folder`` partitioned by outcome, and are counted by the same job as they pass, so the counts of
+    :func:`reconcile` take no second scan.  Counting follows the rows that the job kept: tasks that were tried again or
+    run twice count once.  A quarantine label must differ from ``valid``.
+    """
+    spark = df.sparkSession
+    seen = Observation(f"gate-{uuid.uuid4().hex}")
+    outcome = f"coalesce(quarantine_reason, '{VALID}') AS outcome"
+    labelled = label_quality(df, rules).observe(
+        seen, F.expr("count(1) AS source_rows"), F.expr("count_if(quarantine_reason IS NULL) AS valid_rows"),
+        F.expr("count(quarantine_reason) AS quarantined_rows"))
+    labelled.selectExpr(*df.columns, outcome).write.mode("overwrite").partitionBy("outcome").parquet(folder)
+    told = seen.get
+    counts = spark.sql("SELECT " + ", ".join(f"{told[n]}L AS {n}" for n in ("source_rows", "valid_rows", "quarantined_rows")))
+    schema = StructType([*df.schema.fields, StructField("outcome", StringType())])
+    rows = spark.read.schema(schema).parquet(folder)
+    valid = rows.where(f"outcome = '{VALID}'").drop("outcome")
+    quarantine = rows.where(f"outcome <> '{VALID}'").withColumnRenamed("outcome", "quarantine_reason")
+    return valid, quarantine, counts.selectExpr("*", "source_rows = valid_rows + quarantined_rows AS reconciled")
+
+
 def reconcile_tables(source: DataFrame, valid: DataFrame, quarantine: DataFrame) -> DataFrame:
     """The same check over three written tables, each counted on its own."""
     parts = None

@@ -1,9 +1,12 @@
 """Aggregations."""
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
-from ...operators import advice, correlate, drift, kpi, quality, registry, review_queue, rollup
+from ...operators import advice, correlate, day_sketches, drift, kpi, quality, registry, review_queue, rollup
 from ...operators import scoring, spread
+from ...session import pin
 from .. import bindings as B
 from .. import questions
 from .base import query
@@ -79,6 +82,49 @@ def percentiles_per_assay(spark, d):
                     F.round("p90_value", 6).alias("p90_value"))
 
 
+# The last ten days of the readings.
+_LAST, _DAYS = date(2024, 1, 28), 10
+_WINDOW = "acquired_ts >= TIMESTAMP '2024-01-19 00:00:00' AND acquired_ts < TIMESTAMP '2024-01-29 00:00:00'"
+_POINTS = {"p10": 0.1, "median_value": 0.5, "p90": 0.9}
+
+
+def _sketched(spark, d):
+    """Sketches of two batches of readings, the second of which adds to the days of the first, written once."""
+    rows = B.readings(spark, d)
+    lots = [day_sketches.day_sketches(rows.where(f"CAST(sample_id AS BIGINT) % 2 = {k}"), "acquired_ts", "result_value", ["compound_id"])
+            for k in (0, 1)]
+    whole = pin(day_sketches.merged(lots[0].unionByName(lots[1]), ["assay_name", "day"]))
+    return day_sketches.window(whole, _LAST, _DAYS)
+
+
+@query("a8_day_quantiles", f"""
+    SELECT assay_name, point, count(result_value) AS n_values, TRUE AS within_bound
+    FROM readings, (VALUES ('p10'), ('median_value'), ('p90')) p(point) WHERE {_WINDOW} GROUP BY ALL""")
+def day_quantiles(spark, d):
+    """Quantiles of a window from its days' sketches, and whether their exact ranks are within twice the stated error."""
+    told = pin(day_sketches.answers(_sketched(spark, d), _POINTS))
+    rows = B.readings(spark, d).where(_WINDOW.replace("TIMESTAMP '", "TIMESTAMP_NTZ '")).select("assay_name", "result_value")
+    counted = rows.join(F.broadcast(told), "assay_name").groupBy("assay_name").agg(
+        F.first("n_values").alias("n_values"),
+        *[F.expr(f"count_if(result_value {sign} {name}) / count(result_value) AS {part}_{name}")
+          for name in _POINTS for sign, part in (("<", "below"), ("<=", "upto"))])
+    slack = 2 * day_sketches.rank_error()
+    near = ", ".join(f"'{n}', below_{n} - {slack} <= {p} AND {p} <= upto_{n} + {slack}" for n, p in _POINTS.items())
+    return counted.selectExpr("assay_name", f"explode(map({near})) AS (point, within_bound)", "n_values")
+
+
+@query("a1_distinct_sketches", f"""
+    SELECT assay_name, count(*) AS n_rows, count(DISTINCT compound_id) AS n_exact, TRUE AS within_bound
+    FROM readings WHERE {_WINDOW} GROUP BY assay_name""")
+def distinct_sketches(spark, d):
+    """Compounds of a window by its days' sketches, within four standard errors (and one) of the exact number."""
+    rows = B.readings(spark, d).where(_WINDOW.replace("TIMESTAMP '", "TIMESTAMP_NTZ '"))
+    exact = rows.groupBy("assay_name").agg(F.expr("count(DISTINCT compound_id) AS n_exact"))
+    told = day_sketches.answers(_sketched(spark, d), {}).join(exact, "assay_name")
+    slack = 4 * day_sketches.distinct_error()
+    return told.selectExpr("assay_name", "n_rows", "n_exact", f"abs(n_compound_id - n_exact) <= 1 + {slack} * n_exact AS within_bound")
+
+
 @query("a9_bool_or_max", """
     SELECT compound_id, bool_or(is_flagged) AS any_flagged, max(concern_direction) AS direction,
       max(threshold_unit) AS unit FROM flags GROUP BY compound_id""")

@@ -5,13 +5,13 @@ from pyspark.sql import functions as F
 
 from ... import fixed_values as V
 from ...functions import text
-from ...operators import advice, deidentify, drift, lookups, quality, registry
+from ...operators import advice, correlate, deidentify, drift, lookups, quality, registry
 from ...operators import review_queue, rollup
 from ...schemas import READING
-from ...session import pin
+from ...session import pin, scratch_path
 from ...sources import envelope, resultset
 from .. import bindings as B
-from .. import questions
+from .. import question_functions, questions
 from . import aggregates, joins
 from .base import query
 from .sources import _result_set_bodies
@@ -132,6 +132,25 @@ def recommend(spark, d):
     return advice.one_action(advice.checked_replies(advice.recommend(_prompts(spark, d, 2), stub_model)))
 
 
+@query("c12_kept_replies", """
+    SELECT compound_id, CASE correlation_state WHEN 'correlated' THEN 'escalate for confirmatory assay'
+      ELSE 'monitor next cycle' END AS action, n_parts, n_prompts, 0 AS n_asked_again
+    FROM correlation JOIN (SELECT compound_id, count(*) AS n_parts FROM small_breach_parts GROUP BY 1) USING (compound_id),
+      (SELECT count(*) AS n_prompts FROM small_breach_parts)""")
+def kept_replies(spark, d):
+    """Two runs over the same prompts: each is asked once, and the second run asks none."""
+    prompts, folder, asked = pin(_prompts(spark, d, 2)), scratch_path(spark, "replies"), spark.sparkContext.accumulator(0)
+
+    def counted(texts: pd.Series) -> pd.Series:
+        asked.add(len(texts))
+        return stub_model(texts)
+    pin(advice.recommend_kept(prompts, counted, folder))
+    first = asked.value
+    replies = pin(advice.recommend_kept(prompts, counted, folder))
+    return advice.one_action(advice.checked_replies(replies)).select("compound_id", "action", "n_parts").withColumns(
+        {"n_prompts": F.lit(first).cast("bigint"), "n_asked_again": F.lit(asked.value - first)})
+
+
 def _synced(spark, d):
     past = B.written_history(spark, d)
     flags = B.written_flags(spark, d, past)
@@ -283,6 +302,57 @@ def c3(spark, d):
     return questions.unmapped_compounds(B.summary(spark, d))
 
 
+def _registered(spark, d, prefix):
+    flags = B.written_flags(spark, d)
+    return question_functions.register_questions(
+        spark, B.readings(spark, d), flags, B.reference(spark), B.compound_registry(spark, d),
+        correlate.public_summary(B.correlation(spark, d, flags)), prefix)
+
+
+@query("c18_sql_last_readings", """
+    SELECT * FROM (SELECT compound_id, sample_id, assay_name, result_value, result_unit, acquired_ts,
+      CAST(row_number() OVER (ORDER BY acquired_ts DESC, sample_id) AS INT) AS recency FROM readings
+      WHERE compound_id = 'CMPD00012') WHERE recency <= 5""")
+def sql_last_readings(spark, d):
+    _registered(spark, d, "q2_")
+    return spark.sql("SELECT * FROM q2_last_readings('CMPD00012', n => 5)")
+
+
+@query("c18_sql_lateral", """
+    SELECT t.assay_name, f.compound_id, f.reading_id, m.n, round(m.mean_value, 6) AS mean_value FROM thresholds t
+    JOIN flags f ON f.is_flagged AND f.assay_name = t.assay_name AND f.result_value < t.concern_threshold / 2
+    JOIN (SELECT compound_id, assay_name, count(*) AS n, avg(result_value) AS mean_value FROM readings GROUP BY 1, 2) m
+      ON m.assay_name = t.assay_name AND m.compound_id = f.compound_id""")
+def sql_lateral(spark, d):
+    """Two questions asked for each row of the reference."""
+    _registered(spark, d, "q7_")
+    B.reference(spark).createOrReplaceTempView("q7_reference")
+    return spark.sql("""
+        SELECT t.assay_name, f.compound_id, f.reading_id, m.n, round(m.mean_value, 6) AS mean_value
+        FROM q7_reference t, LATERAL q7_flagged_in_assay(t.assay_name, t.concern_threshold / 2) f,
+          LATERAL q7_average_per_compound(t.assay_name) m WHERE m.compound_id = f.compound_id""")
+
+
+@query("c18_sql_counts", """
+    SELECT 'currently_flagged' AS question, count(*) AS n_rows FROM flags WHERE is_flagged
+    UNION ALL SELECT 'against_threshold', count(*) FROM readings JOIN thresholds USING (assay_name)
+    UNION ALL SELECT 'most_flagged_assay', count(*) FROM (SELECT rank() OVER (ORDER BY count(*) DESC) AS r FROM flags
+      WHERE is_flagged GROUP BY assay_name) WHERE r = 1
+    UNION ALL SELECT 'registry_size', 1
+    UNION ALL SELECT 'concern_thresholds', count(*) FROM thresholds
+    UNION ALL SELECT 'correlated_compounds', count(*) FROM summary WHERE correlation_state = 'correlated'
+    UNION ALL SELECT 'compounds_per_state', count(DISTINCT correlation_state) FROM summary
+    UNION ALL SELECT 'unmapped_compounds', count(*) FROM summary WHERE correlation_state = 'no_mapping'
+    UNION ALL SELECT 'last_readings', sum(least(n, 3))::BIGINT FROM (SELECT count(*) AS n FROM readings GROUP BY compound_id)
+    UNION ALL SELECT 'flagged_in_assay', count(*) FROM flags WHERE is_flagged AND assay_name = 'error'
+    UNION ALL SELECT 'average_per_compound', count(DISTINCT compound_id) FROM readings WHERE assay_name = 'error'""")
+def sql_counts(spark, d):
+    """All eleven functions called from SQL, with the number of rows that each returns."""
+    named = [n.removeprefix("q_") for n in _registered(spark, d, "q_")]
+    given = {"flagged_in_assay": "'error'", "average_per_compound": "'error'"}
+    return spark.sql(" UNION ALL ".join(f"SELECT '{n}' AS question, count(1) AS n_rows FROM q_{n}({given.get(n, '')})" for n in named))
+
+
 @query("c19_clinical_summary", "SELECT * FROM summary WHERE compound_id = 'CMPD00012'")
 def clinical_summary(spark, d):
     return lookups.clinical_summary(spark, B.summary(spark, d), "CMPD00012")

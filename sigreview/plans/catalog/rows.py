@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ...operators import (
     actions, correlate, deidentify, kpi, lookups, quality, review_queue, rollup, scoring, spread,
 )
+from ...session import scratch_path
 from .. import bindings as B
 from .base import query
 
@@ -36,6 +37,16 @@ def reconciliation(spark, d):
     return quality.reconcile(B.dirty_readings(spark, d))
 
 
+@query("p4_reconciled_write", """
+    SELECT count(*) AS source_rows, count(*) FILTER (WHERE quarantine_reason IS NULL) AS valid_rows,
+      count(quarantine_reason) AS quarantined_rows, TRUE AS reconciled,
+      count(*) FILTER (WHERE quarantine_reason IS NULL) AS written_valid, count(quarantine_reason) AS written_quarantine FROM labelled""")
+def reconciled_write(spark, d):
+    """The counts that the gate's own write took, beside those of what it wrote."""
+    valid, bad, counts = quality.write_split(B.dirty_readings(spark, d), scratch_path(spark, "gate"))
+    return counts.withColumns({"written_valid": F.lit(valid.count()), "written_quarantine": F.lit(bad.count())})
+
+
 @query("p5_null_drop", """
     SELECT count(*) AS source_rows, count(*) FILTER (WHERE drug_code IS NULL OR observation_type IS NULL
       OR effective_ts IS NULL) AS dropped_rows FROM raw_obs""")

@@ -94,6 +94,8 @@ ACTION = table(
     "action_ts timestamp_ntz, note string"
 )
 
+REPLY = table("prompt_hash string, model_endpoint string, recommendation string")
+
 REVIEW_TASK = table(
     "task_id string, assay_name string, observed_fpr double, n_resolved bigint, "
     "n_false_positive bigint, tolerance double, status string, suggested_action string, "
