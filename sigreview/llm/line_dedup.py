@@ -147,6 +147,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     repeats of one document, count once and get the same result.  Documents without an id
     count, and keep a line only if no document with an id holds it.  Texts that lose
     nothing stay as they are, null included.  Other columns pass unchanged, whatever their names.
+    An empty table gives no rows.  A text of any number of lines takes time in proportion to it.
     """
     store = LineStore(docs.sparkSession, min_chars)
     path, hashes = dealt_hashes(keyed(docs, id_col, text_col), min_chars, n_batches)
@@ -166,7 +167,10 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_th"))
     joined = join_same(whole, dropped, ["_id", "_th"], "left")
     lines = F.split(text, "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("places", i)), "\n")
+    # Both arrays are walked once: the places that stay are a difference of sets, and the lines are split once.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("places"))
+    kept = F.array_join(F.transform(F.array(F.struct(lines.alias("lines"), stay.alias("stay"))), lambda s: F.transform(
+        s["stay"], lambda i: s["lines"][i]))[0], "\n")
     new = F.when(F.col("places").isNull(), F.col("_row")[text_col]).otherwise(kept)
     return joined.select(
         *[(new if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns],

@@ -1,5 +1,7 @@
 """Line de-duplication against a plain version."""
 
+import time
+
 import pytest
 
 from sigreview.llm import common, line_dedup
@@ -111,3 +113,16 @@ def test_empty(make_docs):
     assert line_dedup.drop_repeated_lines(make_docs([])).count() == 0
 
 
+
+
+def test_texts_of_very_many_lines(make_docs):
+    """Every second of 200,000 lines goes in all texts but one: time in proportion to the lines."""
+    line = "This line is long enough and stands in each of the documents of this test."
+    text = "\n".join(f"{line} {k % 50}" if k % 2 else str(k) for k in range(200_000))
+    start = time.monotonic()
+    rows = {r.doc_id: r for r in line_dedup.drop_repeated_lines(make_docs([(i, text) for i in range(6)])).collect()}
+    assert time.monotonic() - start < 60
+    assert rows[5].text == text and rows[5].line_dedup.n_dropped == 0
+    for i in range(5):
+        assert (rows[i].line_dedup.n_lines, rows[i].line_dedup.n_dropped) == (200_000, 100_000)
+        assert rows[i].text == "\n".join(str(k) for k in range(0, 200_000, 2))
