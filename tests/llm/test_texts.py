@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +115,50 @@ def test_models_tell_random_strings_from_names(spark, make_docs, seen):
         assert found == [text.split(" ")[1]]
 
 
+def plain_markov(text, model):
+    """The runs that the models add, from the ratios one pair of characters at a time."""
+    n, text = len(secret_scan.ALPHABET), text or ""
+    covered = [False] * len(text)
+    for start, _, end, _ in plain_spans(text):
+        covered[start:end] = [True] * (end - start)
+    left = "".join(" " if c else ch for c, ch in zip(covered, text))
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{12,}", left):
+        at = [secret_scan.ALPHABET.index(c) for c in m[0]]
+        ratio = sum(float(f"{model[a * n + b]:.6f}") for a, b in zip(at, at[1:]))
+        if ratio >= max(secret_scan.LEAST_TOTAL, secret_scan.LEAST_PAIR * (len(at) - 1)):
+            out.append((m.start(), m.end()))
+    return out
+
+
+def test_markov_spans_against_plain_ratios(spark, make_docs):
+    """Random runs of many lengths, alone, beside fixed spans in one word, and cut by them."""
+    rng = random.Random(12)
+    texts = [t for _, t in secret_texts(rng)]
+    for _ in range(60):
+        parts = [random_secret(rng, rng.randint(5, 40)) for _ in range(4)]
+        texts.append(rng.choice([" ", "_"]).join([parts[0] + "." + "deadbeef" * 3 + parts[1], "AKIA" + "B" * 20 + parts[2].lower(), "some_ordinary_names", parts[3]]))
+    texts += ["deadbeefdeadbeeapi_key=abcdefghijklmnop", "token=" + random_secret(rng, 30) + "." + random_secret(rng, 30)]
+    docs = make_docs(list(enumerate(texts)))
+    labelled = spark.createDataFrame([(random_secret(rng), True) for _ in range(300)]
+                                     + [(w, False) for w in ["some_ordinary_names", "getCustomerAddressLine", "identifier_name"] * 60], "value string, secret boolean")
+    model = secret_scan.train(labelled)
+    rows = secret_scan.scan(docs, model).collect()
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == secret_scan.MARKOV] for r in rows}
+    assert got == {k: plain_markov(t, model) for k, t in enumerate(texts)}
+    sizes = {e - s for spans in got.values() for s, e in spans}
+    assert min(sizes) < 20 < max(sizes)
+    assert all([(s.start, s.ord, s.end, s.kind) for s in r.spans if s.kind != "markov"] == plain_spans(texts[r.doc_id]) for r in rows)
+
+
+def test_a_text_of_very_many_spans(make_docs):
+    text = " ".join(f"{k:016x}{k:x}" for k in range(100_000))
+    start = time.monotonic()
+    row = secret_scan.scan(make_docs([(1, text)]), [0.5] * len(secret_scan.ALPHABET) ** 2).first()
+    assert time.monotonic() - start < 40
+    assert [(s.start, s.ord, s.end, s.kind) for s in row.spans] == plain_spans(text)
+
+
 def test_secrets_empty(spark, make_docs):
     docs = make_docs([])
     assert secret_scan.scan(docs, secret_scan.train(secret_scan.samples(docs))).count() == 0
