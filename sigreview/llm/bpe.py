@@ -240,7 +240,8 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "d
     ids stand for, decoded by the task that has them.
 
     Each match of ``pattern`` is merged on its own; special tokens are ordinary text.  Null and empty
-    texts have no ids; rows that repeat are encoded alike; other columns play no part.
+    texts have no ids; rows that repeat are encoded alike; an empty table gives no rows; other columns play no
+    part.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(vocabulary_path, pattern)

@@ -24,8 +24,9 @@ BUDGET = 1024
 OVERHEAD = 4
 #: What counts as one token in a text: a run of ASCII letters and digits, or any other visible character.
 TOKEN = "[A-Za-z0-9]+|[^A-Za-z0-9\\x00-\\x20]"
-# Long turns are counted in the sums' upper bits, tokens of all others in these lower ones.
-_LOW_BITS = 44
+# Long turns are counted in the sums' upper bits, tokens of all others in these lower ones: room for 2^27
+# long turns and 2^36 tokens in a conversation.  Beyond that the sums overflow, which is an error.
+_LOW_BITS = 36
 
 
 def escape(text: Column) -> Column:
@@ -54,7 +55,8 @@ def windows(turns: DataFrame, budget: int = BUDGET) -> DataFrame:
     empty.  Rows without a conv_id are one conversation.  A quarter of the budget each is for the
     system turn, the repeated history and the stretch that a window begins in; a turn may end beyond
     its stretch by as much again.  Only a window that a longer turn stands in is over budget; no text
-    is ever cut.  A conversation's system turn is its first turn, if that has the role system.
+    is ever cut.  A conversation's system turn is its first turn, if that has the role system.  An empty table
+    gives no windows.  A conversation may have 134 million turns longer than a stretch, and 68 billion tokens in others.
     """
     capacity = budget // 4
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"),

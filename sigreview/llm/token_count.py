@@ -111,7 +111,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     """``id_col``, n_bytes (UTF-8) and n_tokens of each whole text.
 
     No begin, end or padding tokens; an added token inside a text is one token.  Null and empty texts
-    have none; rows that repeat count alike; other columns play no part.
+    have none; rows that repeat count alike; an empty table gives no rows; other columns play no part.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(vocabulary_path)

@@ -261,7 +261,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     """Per row: ``id_col``, score (0 to 1) and one column for each kind of match.
 
     Whole texts are read; null counts as empty and gets the score of a text without a
-    match.  Rows that repeat get the same score; other columns play no part.
+    match.  Rows that repeat get the same score; an empty table gives no rows; other columns play no part.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -229,7 +229,8 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     Null payloads and addresses are empty.  Among equal payloads the largest id is the response;
     rows that tie in it are all responses, rows without an id revisit it, or are responses where no row
-    of the payload has one.  An empty table gives no archives and no rows.  Other columns are ignored.
+    of the payload has one.  A payload is written and read whole, however long: memory is one record.  An
+    empty table gives no archives and no rows.  Other columns are ignored.
     """
     spark = pages.sparkSession
     whole, members = scratch_path(spark, "warc-whole"), scratch_path(spark, "warc")
