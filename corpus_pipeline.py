@@ -13,14 +13,15 @@ from sigreview.llm.queries import MULTI_RANKS, digests
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5, by a model learned from the labels that aren't held out.
-    Null texts count as empty and stay."""
+    Null texts count as empty and stay; repeated rows go or stay together; no documents give none."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     score = toxicity.score_column(toxicity.fit(toxicity.training_rows(docs, labels)))
     return docs.where(score(F.col("text")) < 0.5)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated lines; n_chars follows the text.  No document goes."""
+    """Documents without their repeated lines; n_chars follows the text.  No document goes, repeated rows and null
+    texts included; no documents give none."""
     kept = line_dedup.drop_repeated_lines(docs)
     chars = F.when(F.col("line_dedup.n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", chars).select(*docs.columns)
@@ -44,7 +45,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of the benchmark occurs."""
+    """Documents in which no window of the benchmark occurs.  Null and wordless texts stay; repeated rows go or
+    stay together, rows without an id by their text; no documents give none."""
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hit = pin(found.where("n_hit > 0").select("_id", "_th").distinct())
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"),
@@ -53,7 +55,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document its token ids, their number, and the digests that show a round trip."""
+    """Per document the number of its token ids, and the digests that show a round trip.  Null texts are empty;
+    repeated rows have a row each; no documents give none."""
     return digests(bpe.encode(docs, MULTI_RANKS, public_tokenizers.PATTERN, decoded=True))
 
 
