@@ -110,9 +110,8 @@ def column_counts(docs: DataFrame, text_col: str, n: int, bits: int) -> DataFram
     return blobs.groupBy("part").applyInArrow(_merge_blobs(bits, ranges), "col long, n long")
 
 
-def _column_order(docs: DataFrame, text_col: str, n: int, bits: int, most: int):
-    """The frequent columns and their counts: all from a least count on, at most ``most``."""
-    counts = pin(column_counts(docs, text_col, n, bits))
+def _column_order(counts: DataFrame, most: int):
+    """The frequent columns and their counts, of written ``column_counts``: all from a least count on, at most ``most``."""
     # Counts up to 256 as they are, larger ones by their power of two: a few hundred rows.
     level = F.expr("CASE WHEN n <= 256 THEN n ELSE shiftleft(1L, cast(floor(log2(n)) AS int)) END")
     upto, least = 0, 2
@@ -282,7 +281,8 @@ def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = keyed(docs, id_col, text_col).withColumn("row", F.xxhash64("_id", "_th"))
     spark = docs.sparkSession
     bits = _order_bits(docs.count())
-    order = spark.sparkContext.broadcast(_column_order(named, "_text", n, bits, ORDER_COLUMNS))
+    counts = pin(column_counts(named, "_text", n, bits))
+    order = spark.sparkContext.broadcast(_column_order(counts, ORDER_COLUMNS))
 
     sketch = pin(named.select("row", "_text", "_id", "_th").mapInArrow(
         _sketcher(n, percent, bits, order), "row long, n long, s1 long, s2 long, firsts array<long>, _id long, _th long"))
@@ -291,14 +291,17 @@ def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = pin(sketch.where("n > 0").groupBy(*name).agg(F.min("row").alias("class")))
     copies = pin(sketch.select("row", *name).join(classes, name).where("row != class").select("row").distinct())
     heads = join_checked(sketch.where("n > 0"), copies, ["row"], "left_anti")
-    postings = heads.select("row", "n", F.posexplode("firsts").alias("pos", "col"))
+    # Most first columns are held by one document only: what isn't counted twice goes before anything else.
+    held = counts.selectExpr("col AS counted")
+    postings = pin(heads.select("row", "n", F.posexplode("firsts").alias("pos", "col")).join(
+        held, F.shiftrightunsigned("col", 64 - bits) == F.col("counted"), "left_semi"))
 
     columns = postings.groupBy("col").agg(F.count(F.lit(1)).alias("held"), F.min("row").alias("pivot")).where("held > 1")
     shared = pin(postings.join(columns, "col"))
     # What was written only to get here goes as soon as it isn't needed; so does the first columns' copy.
     order.unpersist()
     slim = pin(sketch.drop("firsts"))
-    unpin(sketch)
+    unpin(sketch, counts, postings)
     # Light columns: all pairs, with the overlap and the last shared places.
     members = shared.where(F.col("held") <= light)
     pairs = (members.selectExpr("col", "row AS a", "n AS na", "pos + 1 AS pa")
