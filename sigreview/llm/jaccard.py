@@ -38,6 +38,8 @@ BLOCK = 256
 # The order knows the counts of at most so many columns; the others count as rare.
 # This bounds what is broadcast (12 bytes each) and never changes a result.
 ORDER_COLUMNS = 2_000_000
+# First columns are matched by ranges of hashes, one after another: only one range's shuffle files stand on disk.
+PASSES = 4
 
 
 def _order_bits(rows: int) -> int:
@@ -290,18 +292,12 @@ def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     name = ["n", "s1", "s2"]
     classes = pin(sketch.where("n > 0").groupBy(*name).agg(F.min("row").alias("class")))
     copies = pin(sketch.select("row", *name).join(classes, name).where("row != class").select("row").distinct())
-    heads = join_checked(sketch.where("n > 0"), copies, ["row"], "left_anti")
-    # Most first columns are held by one document only: what isn't counted twice goes before anything else.
-    held = counts.selectExpr("col AS counted")
-    postings = pin(heads.select("row", "n", F.posexplode("firsts").alias("pos", "col")).join(
-        held, F.shiftrightunsigned("col", 64 - bits) == F.col("counted"), "left_semi"))
-
-    columns = postings.groupBy("col").agg(F.count(F.lit(1)).alias("held"), F.min("row").alias("pivot")).where("held > 1")
-    shared = pin(postings.join(columns, "col"))
+    passes = [pin(part) for part in _shared_columns(sketch, copies, counts, bits)]
+    shared = spark.read.schema(passes[0].schema).parquet(*[p.pinned_at for p in passes])
     # What was written only to get here goes as soon as it isn't needed; so does the first columns' copy.
     order.unpersist()
     slim = pin(sketch.drop("firsts"))
-    unpin(sketch, counts, postings)
+    unpin(sketch, counts)
     # Light columns: all pairs, with the overlap and the last shared places.
     members = shared.where(F.col("held") <= light)
     pairs = (members.selectExpr("col", "row AS a", "n AS na", "pos + 1 AS pa")
@@ -328,7 +324,7 @@ def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         staged.append(large)
         links = links.union(_large_families(large, shared, percent, light, block, staged))
     reached = pin(components(links))
-    unpin(copies, shared, families, sized, *staged)
+    unpin(copies, *passes, families, sized, *staged)
 
     of_class = classes.join(reached.selectExpr("node AS class", "component"), "class", "left").selectExpr(
         *name, "coalesce(component, class) AS component")
@@ -341,6 +337,23 @@ def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.expr("n = 0 OR (_id <=> _first._id AND _th = _first._th)").alias("stays"))
 
 
+def _shared_columns(sketch: DataFrame, copies: DataFrame, counts: DataFrame, bits: int) -> Iterator[DataFrame]:
+    """First columns that several classes hold, with their number and least row, range by range of hashes; what a
+    range needs written is deleted when the next is asked for."""
+    for k in range(PASSES):
+        # A range's columns leave the lists before anything shuffles, with their places.
+        own = F.expr("filter(transform(firsts, (col, pos) -> named_struct('pos', pos, 'col', col)), "
+                     f"x -> shiftrightunsigned(x.col, {64 - bits}) % {PASSES} = {k})")
+        heads = join_checked(sketch.where("n > 0").select("row", "n", own.alias("firsts")), copies, ["row"], "left_anti")
+        # Most first columns are held by one document only: what isn't counted twice goes before anything else.
+        held = counts.where(F.col("col") % PASSES == k).selectExpr("col AS counted")
+        postings = pin(heads.selectExpr("row", "n", "inline(firsts)").join(
+            held, F.shiftrightunsigned("col", 64 - bits) == F.col("counted"), "left_semi"))
+        columns = postings.groupBy("col").agg(F.count(F.lit(1)).alias("held"), F.min("row").alias("pivot")).where("held > 1")
+        yield postings.join(columns, "col")
+        unpin(postings)
+
+
 def _large_families(large: DataFrame, shared: DataFrame, percent: int, light: int, block: int, staged: list[DataFrame]) -> DataFrame:
     """Links inside families of more than ``block`` documents; what they need written is added to ``staged``.
 
