@@ -7,7 +7,9 @@ threshold are discarded by bounds that follow from the sizes of their sets:
 1. *Rare columns.*  N-grams get one order, rarer ones first.  Two sets that reach the
    threshold share a column among the first ``size - ceil(t * size) + 1`` of each, so
    only these columns are multiplied; a pair's overlap in them plus what their
-   remaining sizes allow must reach ``t / (1 + t)`` of both sizes together.
+   remaining sizes allow must reach ``t / (1 + t)`` of both sizes together.  Pairs left
+   over are held against each other by the numbers of columns in ranges of hashes: the sets
+   differ in at least as many columns as these numbers do.
 2. *Blocks of whole sets.*  What is left links documents to families.  The sets of a
    family are sorted by size and cut into blocks; a pair of blocks is multiplied in full,
    column block by column block, unless their sizes differ too much to link.
@@ -38,6 +40,8 @@ BLOCK = 256
 # The order knows the counts of at most so many columns; the others count as rare.
 # This bounds what is broadcast (12 bytes each) and never changes a result.
 ORDER_COLUMNS = 2_000_000
+# Where there are more, those come next whose bit is set in a bitmap of at most so many slots (16 MB), half as many columns.
+ORDER_SLOTS = 1 << 27
 # First columns are matched by ranges of hashes, one after another: only one range's shuffle files stand on disk.
 PASSES = 4
 
@@ -112,51 +116,113 @@ def column_counts(docs: DataFrame, text_col: str, n: int, bits: int) -> DataFram
     return blobs.groupBy("part").applyInArrow(_merge_blobs(bits, ranges), "col long, n long")
 
 
-def _column_order(counts: DataFrame, most: int):
-    """The frequent columns and their counts, of written ``column_counts``: all from a least count on, at most ``most``."""
-    # Counts up to 256 as they are, larger ones by their power of two: a few hundred rows.
-    level = F.expr("CASE WHEN n <= 256 THEN n ELSE shiftleft(1L, cast(floor(log2(n)) AS int)) END")
+def _least_count(levels: list, most: int) -> tuple[int, int]:
+    """The least count from which on there are at most ``most`` columns, of (level, count) rows, and their number."""
     upto, least = 0, 2
-    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+    for row in sorted(levels, key=lambda r: -r["level"]):
         if upto + row["count"] > most:
             least = row["level"] + 1 if row["level"] < 256 else 2 * row["level"]
             break
         upto += row["count"]
+    return least, upto
+
+
+def _slot_pages(shift: int):
+    """Per task: the bits of its columns' slots, by pages of 65,536 slots."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slots = np.unique(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(shift))
+            starts = np.flatnonzero(np.diff(slots >> np.uint64(16), prepend=np.uint64((1 << 64) - 1)))
+            for own in np.split(slots, starts[1:]) if len(slots) else []:
+                page = np.zeros(1 << 16, bool)
+                page[own & np.uint64(0xFFFF)] = True
+                page, at = np.packbits(page, bitorder="little"), int(own[0] >> np.uint64(16))
+                pages[at] = pages[at] | page if at in pages else page
+        yield pa.record_batch([pa.array(list(pages), pa.int32()), pa.array([x.tobytes() for x in pages.values()], pa.binary())],
+                              ["page", "bits"])
+    return run
+
+
+def _column_order(counts: DataFrame, bits: int, most: int, slots: int):
+    """What is known of written ``column_counts``: the most frequent columns and their counts, all from a least count on, at
+    most ``most``, and where there are others a bitmap with a slot for as many of these as half its slots, and its bits."""
+    # Counts up to 256 as they are, larger ones by their power of two: a few hundred rows.
+    level = F.expr("CASE WHEN n <= 256 THEN n ELSE shiftleft(1L, cast(floor(log2(n)) AS int)) END")
+    levels = counts.groupBy(level.alias("level")).count().collect()
+    least, known = _least_count(levels, most)
     table = counts.where(F.col("n") >= least).toArrow()  # at most ORDER_COLUMNS short rows
     cols = table.column("col").to_numpy().view(np.uint64)
     order = np.argsort(cols)
-    return cols[order], table.column("n").to_numpy().astype(np.uint32)[order]
+    total = sum(row["count"] for row in levels)
+    seen, wide = np.zeros(0, np.uint8), 0
+    if known < total:
+        wide = max(16, min((4 * total).bit_length(), slots.bit_length() - 1))
+        seen = np.zeros((1 << wide) // 8, np.uint8)
+        often = counts.where(F.col("n") >= _least_count(levels, (1 << wide) // 2)[0]).select("col")
+        found = often.mapInArrow(_slot_pages(bits - wide), "page int, bits binary").toArrow()
+        for page, own in zip(found.column("page").to_pylist(), found.column("bits")):
+            seen[page << 13: page + 1 << 13] |= np.frombuffer(own.as_buffer(), np.uint8)
+    return cols[order], table.column("n").to_numpy().astype(np.uint32)[order], seen, wide
 
 
 def _sketcher(n: int, percent: int, bits: int, order):
-    """Per document: size, two sums that name its set, its first columns in order, and its key."""
+    """Per document: size, two sums that name its set, its first columns in order, its numbers of columns by ranges
+    of hashes, and its key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols, times = order.value
+        cols, times, seen, wide = order.value
         for batch in parts(batches):
-            ids, sizes, one, two, firsts = [], [], [], [], []
+            sizes, one, two, firsts, spread = [], [], [], [], []
             with np.errstate(over="ignore"):
                 for i, grams in enumerate(gram_sets(batch.column(1), n)):
                     size = len(grams)
                     sizes.append(size)
                     one.append(int(signed(mix(grams, 7).sum(dtype=np.uint64, keepdims=True))[0]))
                     two.append(int(signed(mix(grams, 8).sum(dtype=np.uint64, keepdims=True))[0]))
+                    spread.append(_spread(grams))
                     short = size - -(-percent * size // 100) + 1 if size else 0
                     name = mix(grams, 5)
+                    rank = np.zeros(size, np.uint32)
                     if len(cols) and size:
                         key = name >> np.uint64(64 - bits)
                         at = np.minimum(np.searchsorted(cols, key), len(cols) - 1)
-                        rank = np.where(cols[at] == key, times[at], 0)
-                        # The least counts, then the least hashes, up to the prefix's length.
-                        firsts.append(signed(name[np.lexsort((name, rank))[:short]]))
-                    else:
-                        firsts.append(signed(np.sort(name)[:short]))
+                        rank = np.where(cols[at] == key, times[at], rank)
+                    if wide:
+                        slot = name >> np.uint64(64 - wide)
+                        rank = np.maximum(rank, seen[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+                    # The least counts, then the least hashes, up to the prefix's length.
+                    firsts.append(signed(name[np.lexsort((name, rank))[:short]]))
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()),
-                                   pa.array(two, pa.int64()), ragged(firsts), batch.column(2), batch.column(3)],
-                                  ["row", "n", "s1", "s2", "firsts", "_id", "_th"])
+                                   pa.array(two, pa.int64()), ragged(firsts), pa.array(spread, pa.binary()),
+                                   batch.column(2), batch.column(3)],
+                                  ["row", "n", "s1", "s2", "firsts", "spread", "_id", "_th"])
         give_back()
     return run
 
 
+def _spread(grams: np.ndarray) -> bytes:
+    """Numbers of columns in equal ranges of hashes, at most 255 each: a power of two of ranges, for eight columns or fewer."""
+    wide = max(5, (len(grams) - 1 >> 3).bit_length())
+    held = np.bincount((grams >> np.uint64(64 - wide)).astype(np.int64), minlength=1 << wide)
+    return np.minimum(held, 255).astype(np.uint8).tobytes()
+
+
+def _apart(one: bytes, two: bytes) -> int:
+    """A number of columns that at least differ between two sets, by their spreads."""
+    a, b = sorted((np.frombuffer(x, np.uint8).astype(np.int64) for x in (one, two)), key=len)
+    return int(np.abs(b.reshape(len(a), -1).sum(1) - a).sum())
+
+
+def _alike(percent: int):
+    """Pairs whose spreads allow a link: the columns that differ are at most (1 - t) / (1 + t) of both sizes together."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            apart = np.array([_apart(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5))], np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * apart <= (100 - percent) * sizes))
+    return run
+
+
 def _setter(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
@@ -284,10 +350,11 @@ def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     bits = _order_bits(docs.count())
     counts = pin(column_counts(named, "_text", n, bits))
-    order = spark.sparkContext.broadcast(_column_order(counts, ORDER_COLUMNS))
+    order = spark.sparkContext.broadcast(_column_order(counts, bits, ORDER_COLUMNS, ORDER_SLOTS))
 
     sketch = pin(named.select("row", "_text", "_id", "_th").mapInArrow(
-        _sketcher(n, percent, bits, order), "row long, n long, s1 long, s2 long, firsts array<long>, _id long, _th long"))
+        _sketcher(n, percent, bits, order),
+        "row long, n long, s1 long, s2 long, firsts array<long>, spread binary, _id long, _th long"))
     # Equal sets are one class, named by its smallest row.
     name = ["n", "s1", "s2"]
     classes = pin(sketch.where("n > 0").groupBy(*name).agg(F.min("row").alias("class")))
@@ -306,7 +373,12 @@ def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
              .groupBy("a", "b", "na", "nb")
              .agg(F.count(F.lit(1)).alias("overlap"), F.max("pa").alias("pa"), F.max("pb").alias("pb")))
     reach = f"{100 + percent} * (overlap + least(na - pa, nb - pb)) >= {percent} * (na + nb)"
-    edges = pairs.where(reach).select("a", "b").union(
+    # Pairs that share a few columns by chance would chain unlike documents into one family.
+    spreads = slim.where("n > 0").select("row", "spread").dropDuplicates(["row"])
+    alike = (pairs.where(reach).select("a", "b", "na", "nb")
+             .join(spreads.selectExpr("row AS a", "spread AS sa"), "a").join(spreads.selectExpr("row AS b", "spread AS sb"), "b")
+             .select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_alike(percent), "a long, b long"))
+    edges = alike.union(
         shared.where((F.col("held") > light) & (F.col("row") != F.col("pivot"))).selectExpr("row AS a", "pivot AS b")).distinct()
     families = pin(components(edges))
 

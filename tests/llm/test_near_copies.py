@@ -4,6 +4,7 @@ import os
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -177,3 +178,44 @@ def test_first_columns_stand_on_disk_by_ranges(spark, make_docs, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joins)
     assert {r.doc_id: r.component_id for r in out} == {i: i % 1000 for i, _ in pairs}
     assert 0 < max(moved[2:]) < 9 * firsts  # after the counts and the lists themselves
+
+
+def test_columns_shared_by_chance_make_no_family(make_docs, monkeypatch):
+    """Where the order knows no counts, texts of the same few words share first columns; only alike ones are linked."""
+    rng = random.Random(3)
+    say = lambda n: [f"w{rng.randrange(14)}" for _ in range(n)]
+    pairs = [(i, " ".join(say(70))) for i in range(300)]
+    pairs += [(300 + i, pairs[i][1] + " end") for i in range(0, 40, 2)]
+    given, found = [], jaccard.components
+    monkeypatch.setattr(jaccard, "ORDER_COLUMNS", 0)
+    monkeypatch.setattr(jaccard, "components", lambda edges: given.append(edges.count()) or found(edges))
+    rows = jaccard.link_components(make_docs(pairs), n=3, percent=80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == plain(pairs, 3, 80)
+    assert given[0] <= 40  # 20 pairs are alike; thousands share a first column
+
+
+def test_bitmap_of_columns_beyond_the_order(spark):
+    """Columns counted twice that the order has no room for are marked; those counted once come first."""
+    rng = np.random.default_rng(1)
+    names = np.unique(rng.integers(0, 1 << 32, 40_000, dtype=np.uint64))
+    counts = session.pin(spark.createDataFrame([(int(c), 9 if k < 50 else 2) for k, c in enumerate(names)], "col long, n long"))
+    cols, times, seen, wide = jaccard._column_order(counts, 32, 100, 1 << 27)
+    assert cols.tolist() == names[:50].tolist() and set(times.tolist()) == {9}
+    bits = np.unpackbits(seen, bitorder="little")
+    assert len(bits) == 1 << wide and set(np.flatnonzero(bits).tolist()) == set((names >> np.uint64(32 - wide)).tolist())
+    # A bitmap without room for all of them marks the most frequent ones.
+    *_, seen, wide = jaccard._column_order(counts, 32, 10, 1 << 16)
+    assert np.unpackbits(seen).sum() == len(set((names[:50] >> np.uint64(32 - wide)).tolist()))
+    assert jaccard._column_order(counts, 32, 50_000, 1 << 27)[3] == 0
+
+
+@pytest.mark.parametrize("bits", [64, 12])
+def test_spreads_never_rule_out_too_much(bits):
+    """Sets differ in as many columns as their spreads at least, sets of all sizes and with all their hashes in one range."""
+    rng = np.random.default_rng(bits)
+    of = lambda n: np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) >> np.uint64(64 - bits))
+    whole = [of(n) for n in (1, 7, 40, 300, 300, 2000, 9000)]
+    whole += [np.unique(np.append(a[: len(a) - len(a) // 9], of(k))) for a in whole for k in (1, 30)]
+    for a in whole:
+        for b in whole:
+            assert jaccard._apart(jaccard._spread(a), jaccard._spread(b)) <= len(np.setxor1d(a, b))
